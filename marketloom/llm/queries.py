@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binpack import pack_sequences
+from .bitpack import packed_ids
 from .zbands import compression_bands
 
 
@@ -19,8 +22,21 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", compression_bands(F.col("text")).alias("_m")).select("doc_id", "_m.*")
 
 
+def op7_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed_ids(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49408, end_id=2)
+
+
+def op8_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = {"ids_crc32": F.crc32("ids")}
+    return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, columns=crc)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression_bands": op5_compression_bands,
+    "op7_bit_packed_ids": op7_bit_packed_ids,
+    "op8_grouped_packing": op8_grouped_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
