@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binpack import pack_sequences
 from .bitpack import packed_ids
+from .bytecnn import fit_quality, quality_score
+from .piecemodel import decode_ids, encode_ids, ids_digest
 from .zbands import compression_bands
 
 
@@ -17,11 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The score at and above which a document counts as good.
+QUALITY_LIMIT = 0.3
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    net = fit_quality(docs, labels.where(~held_out()))
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality_score(F.col("text"), net).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_LIMIT, 1).otherwise(0))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", compression_bands(F.col("text")).alias("_m")).select("doc_id", "_m.*")
 
 
+def op6_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", encode_ids(F.col("text"), *how).alias("ids"))
+    return docs.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(decode_ids(F.col("ids"), *how), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packed_ids(docs, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49408, end_id=2)
@@ -34,7 +63,9 @@ def op8_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_cnn": op3_byte_cnn,
     "op5_compression_bands": op5_compression_bands,
+    "op6_piece_model": op6_piece_model,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_grouped_packing": op8_grouped_packing,
 }
