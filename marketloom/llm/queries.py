@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .binpack import pack_sequences
 from .bitpack import packed_ids
 from .bytecnn import fit_quality, quality_score
+from .fingerprints import likeness, packed, with_codes, with_next
 from .piecemodel import decode_ids, encode_ids, ids_digest
 from .zbands import compression_bands
 
@@ -62,12 +63,32 @@ def op8_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, columns=crc)
 
 
+def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = with_next(with_codes(docs, "text", "codes"), "doc_id", ["text", "codes"])
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substr(next_text, 1, cast(floor(char_length(text) / 2) as int))"))
+    docs = docs.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text")))
+    docs = with_codes(docs, "edited", "edited_codes")
+    return docs.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        packed(F.col("codes")).alias("fingerprint"),
+        packed(F.col("edited_codes")).alias("edited_fingerprint"),
+        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
+        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_cnn": op3_byte_cnn,
     "op5_compression_bands": op5_compression_bands,
     "op6_piece_model": op6_piece_model,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_grouped_packing": op8_grouped_packing,
+    "op10_one_permutation": op10_one_permutation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
