@@ -13,6 +13,7 @@ from .bitpack import packed_ids
 from .bytecnn import fit_quality, quality_score
 from .fingerprints import likeness, packed, with_codes, with_next
 from .piecemodel import decode_ids, encode_ids, ids_digest
+from .reshard import reshard, with_slots
 from .zbands import compression_bands
 
 
@@ -36,6 +37,14 @@ def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= QUALITY_LIMIT, 1).otherwise(0))
 
 
+def op4_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = reshard(table(spark, sf_dir, "documents").select("doc_id", "text"), old_shards=12, new_shards=16)
+    rows = docs.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard", "_hash")
+    return with_slots(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", compression_bands(F.col("text")).alias("_m")).select("doc_id", "_m.*")
@@ -84,6 +93,7 @@ def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_cnn": op3_byte_cnn,
+    "op4_min_cost_flow": op4_min_cost_flow,
     "op5_compression_bands": op5_compression_bands,
     "op6_piece_model": op6_piece_model,
     "op7_bit_packed_ids": op7_bit_packed_ids,
