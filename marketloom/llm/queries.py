@@ -12,6 +12,7 @@ from .binpack import pack_sequences
 from .bitpack import packed_ids
 from .bytecnn import fit_quality, quality_score
 from .fingerprints import likeness, packed, with_codes, with_next
+from .hostrank import judge
 from .piecemodel import decode_ids, encode_ids, ids_digest
 from .reshard import reshard, with_slots
 from .zbands import compression_bands
@@ -72,6 +73,21 @@ def op8_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, columns=crc)
 
 
+#: The rules of the url query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("block", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op9_host_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = with_next(with_codes(docs, "text", "codes"), "doc_id", ["text", "codes"])
@@ -98,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_model": op6_piece_model,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_grouped_packing": op8_grouped_packing,
+    "op9_host_ranks": op9_host_ranks,
     "op10_one_permutation": op10_one_permutation,
 }
 
