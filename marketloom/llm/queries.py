@@ -15,6 +15,7 @@ from .fingerprints import likeness, packed, with_codes, with_next
 from .hostrank import judge
 from .piecemodel import decode_ids, encode_ids, ids_digest
 from .reshard import reshard, with_slots
+from .styletree import extract_main_text
 from .zbands import compression_bands
 
 
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: The score at and above which a document counts as good.
 QUALITY_LIMIT = 0.3
 
@@ -108,6 +114,7 @@ def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_style_tree": op2_style_tree,
     "op3_byte_cnn": op3_byte_cnn,
     "op4_min_cost_flow": op4_min_cost_flow,
     "op5_compression_bands": op5_compression_bands,
