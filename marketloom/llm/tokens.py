@@ -8,12 +8,15 @@ bounded: two generations of ``MEMO`` chunks each.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from functools import cache
 
+import regex
 from tokenizers import Tokenizer
 
-MEMO = 300_000
+MEMO = 400_000
 _ODD = re.compile(r"[\x00\x1c-\x1f᠎​]")
 
 
@@ -35,18 +38,55 @@ class Memo(dict):
         return found
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+#: Fixed value: how byte-level tokenizers with ``use_regex`` split a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-\u024f]*")
+
+
 class TextEncoder:
-    """``encode(text)``: the ids of a text as bytes of little-endian unsigned 32-bit integers."""
+    """``encode(text)``: the ids of a text as bytes of little-endian unsigned 32-bit integers.
+
+    A new chunk of Latin letters is split as the file's own pre-tokenizer would, and each new
+    pre-token goes to the library's model; any other new chunk goes through the whole library.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space = '"behavior":"Removed"' in self.tokenizer.to_str()  # white space yields no ids
-        self.memo = Memo(self.by_library)
+        self.model, self.to_char = self.tokenizer.model, str.maketrans(dict(enumerate(byte_characters())))
+        config = json.loads(self.tokenizer.to_str())
+        kinds = [k["type"] for k in (config["pre_tokenizer"] or {}).get("pretokenizers", [config["pre_tokenizer"] or {"type": ""}])]
+        first = (config["pre_tokenizer"] or {}).get("pretokenizers", [config["pre_tokenizer"]])[0]
+        norms = [k["type"] for k in (config["normalizer"] or {}).get("normalizers", [])]
+        self.drops_space = kinds == ["Split", "ByteLevel"] and first["behavior"] == "Removed"  # white space yields no ids
+        self.pattern = None
+        if kinds == ["ByteLevel"] and first["use_regex"] and not first["add_prefix_space"] and not config["normalizer"]:
+            self.pattern = regex.compile(BYTE_LEVEL)
+        elif self.drops_space and first["invert"] and norms == ["NFC", "Replace", "Lowercase"]:
+            self.pattern = regex.compile(first["pattern"]["Regex"])
+        self.memo = Memo(self.by_chunk)
+        self.pre_tokens = Memo(self.by_model)
 
     def by_library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def by_model(self, pre_token: str) -> bytes:
+        mapped = pre_token.encode().decode("latin-1").translate(self.to_char)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def by_chunk(self, chunk: str) -> bytes:
+        if not self.pattern or not _LATIN.fullmatch(chunk):
+            return self.by_library(chunk)
+        if self.drops_space:
+            chunk = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+        return b"".join(map(self.pre_tokens.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
