@@ -13,7 +13,8 @@ from .bitpack import packed_ids
 from .bytecnn import fit_quality, quality_score
 from .fingerprints import likeness, packed, with_codes, with_next
 from .hostrank import judge
-from .piecemodel import decode_ids, encode_ids, ids_digest
+from .oddsketch import near_duplicates
+from .piecemodel import round_trip
 from .reshard import reshard, with_slots
 from .styletree import extract_main_text
 from .zbands import compression_bands
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -59,13 +64,8 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode_ids(F.col("text"), *how).alias("ids"))
-    return docs.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(decode_ids(F.col("ids"), *how), 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", round_trip(F.col("text"), *how).alias("_d")).select("doc_id", "_d.*")
 
 
 def op7_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,7 @@ def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_odd_sketches": op1_odd_sketches,
     "op2_style_tree": op2_style_tree,
     "op3_byte_cnn": op3_byte_cnn,
     "op4_min_cost_flow": op4_min_cost_flow,
