@@ -15,7 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 LISTINGS_SQL = """listings AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS olx_id,
     p_brand AS brand, p_type AS model, CASE WHEN p_size % 11 <> 0 THEN 'G' || (p_size // 10) END AS generation,
-    CAST(year(o_orderdate) AS INT) AS year, l_extendedprice AS price_eur, round(l_extendedprice * (1 + l_discount), 2) AS first_price_eur,
+    CAST(year(o_orderdate) AS INT) AS year, l_extendedprice AS price_eur, round(l_extendedprice * (1 + l_discount), 4) AS first_price_eur,
     CAST(l_quantity * 1000 AS INT) AS mileage_km, p_size * 50 AS engine_cc, CAST(round(l_tax * 1000) AS INT) AS horsepower,
     CASE p_partkey % 4 WHEN 0 THEN 'Diesel' WHEN 1 THEN 'Gasolina' WHEN 2 THEN 'Eletrico' END AS fuel_type,
     CASE l_partkey % 2 WHEN 0 THEN 'Manual' ELSE 'Automatic' END AS transmission,
@@ -67,7 +67,7 @@ class Tables:
             F.when(F.col("p_size") % 11 != 0, F.concat(F.lit("G"), F.expr("p_size div 10").cast("string"))).alias("generation"),
             F.year("o_orderdate").alias("year"),
             F.col("l_extendedprice").alias("price_eur"),
-            F.round(F.col("l_extendedprice") * (1 + F.col("l_discount")), 2).alias("first_price_eur"),
+            F.round(F.col("l_extendedprice") * (1 + F.col("l_discount")), 4).alias("first_price_eur"),
             (F.col("l_quantity") * 1000).cast("int").alias("mileage_km"),
             (F.col("p_size") * 50).alias("engine_cc"),
             F.round(F.col("l_tax") * 1000).cast("int").alias("horsepower"),
@@ -123,7 +123,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import market  # noqa: F401
+    from . import enriching, market  # noqa: F401
 
 
 load_all()
