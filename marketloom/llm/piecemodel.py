@@ -24,14 +24,7 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import _ODD, Memo
-
-
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where it is printable, else one from U+0100 on."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+from .tokens import _ODD, Memo, byte_characters
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -142,12 +135,22 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 (lowercase hex) of the decimal ids joined by commas."""
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """A struct for each text: n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes.
 
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield rows.map(lambda x: hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest())
+    One pass in one worker: neither ids nor decoded bytes travel.
+    """
 
-    return digest(ids)
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(path, pattern)
+        names = list(map(str, range(len(own.tokens))))
+        for texts in batches:
+            rows = []
+            for t in texts:
+                ids = own.encode(t)
+                decimal = ",".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                rows.append((len(ids) // 4, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digests(text.cast("string"))
