@@ -58,7 +58,7 @@ def md5_share(key: Column) -> Column:
 
 def adaptive_window(median_days: Column, least: float = 60, most: float = 365, default: float = 180) -> Column:
     """Days to look ahead: four times the usual days on market, within limits."""
-    return F.floor(F.coalesce(clamp(4 * median_days, least, most), F.lit(float(default))))
+    return F.floor(F.when(median_days.isNotNull(), clamp(4 * median_days, least, most)).otherwise(float(default)))
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
