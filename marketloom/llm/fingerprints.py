@@ -2,9 +2,9 @@
 
 Every shingle of ``SHINGLE`` words is hashed once. The top bits of a hash choose its bin and each bin
 keeps its least hash. Empty bins are filled by optimal densification: bin i tries the bins that
-``hash(i, attempt)`` names until one is not empty. A fingerprint holds the low ``LOW_BITS`` of each
-bin. Two documents agree in a bin by chance with probability 2**-LOW_BITS, for which ``likeness``
-corrects.
+``hash(i, attempt)`` names until one is not empty. A fingerprint holds ``LOW_BITS`` low-order bits of
+each bin's value, rehashed with the bin. Two documents agree in a bin by chance with probability
+2**-LOW_BITS, for which ``likeness`` corrects.
 
 Words are what lies between white space; a text of fewer words than a shingle is one shingle. Null
 texts count as empty. A text without words has the empty fingerprint: alike (1) to another empty
@@ -52,7 +52,8 @@ def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
         start, stride = F.pmod(F.xxhash64(i, F.lit(-1)), F.lit(BINS)), F.pmod(F.xxhash64(i, F.lit(-2)), F.lit(BINS // 2)) * 2 + 1
         spots = F.sequence(F.lit(0), F.lit(BINS - 1))
         walk = F.get(F.filter(F.transform(spots, lambda a: F.get("_fp_b", ((start + a * stride) % BINS).cast("int"))), lambda v: v.isNotNull()), F.lit(0))
-        return F.coalesce(value, *tried, walk).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("tinyint")
+        # hashed with the bin, so that bins that share a value by filling do not agree by chance together
+        return F.xxhash64(F.coalesce(value, *tried, walk), i).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("tinyint")
 
     df = df.withColumn(out, F.transform("_fp_b", filled))
     return df.drop("_fp_w", "_fp_s", "_fp_b")
