@@ -98,3 +98,24 @@ def repair_cost(severity: Column, predicted: Column, poor: Column) -> Column:
 def mean(c: Column, digits: int = 4) -> Column:
     """The average by exact decimal sums: the same in whatever order rows arrive."""
     return F.sum(c.cast(f"decimal(28,{digits})")).cast("double") / F.count(c)
+
+
+def sold_tier(active: Column, reason: Column, days: Column) -> tuple[Column, Column]:
+    """(target multiplier, weight) of a training row: how fast a car sold says how well it was priced.
+
+    Sold rows without usable days weigh nothing.
+    """
+    gone = ~active & (F.coalesce(reason, F.lit("")) == "sold")
+    bad = gone & (days.isNull() | (days < 0))
+    times = F.when(gone & (days <= 7), 1.0).when(gone & (days <= 30), 0.98).when(gone, 0.95).otherwise(1.0)
+    weight = F.when(bad, 0.0).when(gone & (days <= 30), 1.5).when(gone, 1.2).otherwise(1.0)
+    return F.when(bad, 1.0).otherwise(times), weight
+
+
+def damage_label(visible: Column, severity: Column, studio: Column) -> Column:
+    """true, false or null from a viewer's answers: contradictions and studio shots are not used."""
+    return F.when(F.coalesce(studio, F.lit(False)), None).when(visible & (severity >= 1), True).when(~visible & (severity == 0), False)
+
+
+def photo_decision(text_severity: Column, photos: Column, flagged: Column) -> Column:
+    return F.when(F.coalesce(photos, F.lit(0)) == 0, "no photos").when(flagged, "confirm").when(text_severity >= 2, "downgrade").otherwise("keep")

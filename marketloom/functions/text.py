@@ -220,3 +220,19 @@ def numbers_out(c: Column) -> Column:
 
 def tidy(text: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")), title)
+
+
+def brand_in_title(title: Column, brands: list[str]) -> Column:
+    """The longest known brand that stands in the title as whole words."""
+    import re
+
+    names = "|".join(re.escape(b.lower()) for b in sorted(brands, key=lambda b: (-len(b), b)))
+    return F.nullif(F.regexp_extract(F.lower(title), rf"(?:^|[^\w])({names})(?:$|[^\w])", 1), F.lit(""))
+
+
+def deal_message(title: Column, price: Column, discount: Column, warnings: list[tuple[Column, str]], positives: list[tuple[Column, str]]) -> Column:
+    """The text of an alert: title, price, discount, then warnings and good signs that hold."""
+    level = F.when(discount >= 30, "!!!").when(discount >= 20, "!!").otherwise("!")
+    lines = [F.concat(level, F.lit(" "), title), F.format_string("%.0f EUR, %.1f%% below", price, discount)]
+    lines += [F.when(on, F.lit(f"- {text}")) for on, text in warnings] + [F.when(on, F.lit(f"+ {text}")) for on, text in positives]
+    return F.concat_ws("\n", *lines)
