@@ -7,9 +7,11 @@
 2. Texts of equal sets are one class; only its smallest doc_id goes on.
 3. In each bucket (equal band key) all members are paired with one hub, not with each other. Pairs
    whose sketches are far apart go; the others are confirmed on full shingle sets.
-4. Confirmed links make components. Buckets that still hold several components get another hub, and
-   after ``hub_rounds`` all pairs between members of different components. Members of one component
-   need no further pair, so no component misses a link that shares a band.
+4. Confirmed links make components. Buckets that still hold several components get another hub, as
+   often as ``hub_rounds``. What is then left gets finer sketches, and tasks compare them between
+   members of different components, block by block, without making rows of pairs; only pairs that
+   look similar leave the task and are confirmed. Members of one component need no further pair, so
+   no component misses a link that shares a band.
 
 Similarity 100 * intersection >= percent * union counts as a link. With 32 bands of 4 samples a pair
 at 0.8 shares no band with probability 5e-8. The sketch limit lies more than five standard errors
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,8 +38,11 @@ from .shared import saved
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
-#: Pairs whose estimated similarity is lower are not checked exactly.
+#: Pairs whose estimated similarity is lower than the threshold by more are not checked exactly.
 SKETCH_MARGIN = 0.2
+#: The finer sketches of members that hubs did not settle, and the members of one block.
+FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 1024, 2048, 0.065
+BLOCK = 2048
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,17 +55,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    steps = np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    random = _mix(steps)
-    return random[:SAMPLES] | np.uint64(1), random[SAMPLES:]
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = _mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return random[:n] | np.uint64(1), random[n:]
 
 
 class Words(dict):
     """word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -79,10 +84,10 @@ def shingle_set(text: str | None, size: int, words: Words) -> np.ndarray:
     return np.unique(_mix(h + np.uint64(k)))
 
 
-def samples_of(shingles: np.ndarray, step: int = 512) -> np.ndarray:
-    """MinHash samples: the least of ``SAMPLES`` permuted hashes."""
-    a, b = _multipliers()
-    least = np.full(SAMPLES, ~np.uint64(0))
+def samples_of(shingles: np.ndarray, n: int = SAMPLES, step: int = 512) -> np.ndarray:
+    """MinHash samples: the least of each of ``n`` permutations of the hashes."""
+    a, b = _multipliers(n)
+    least = np.full(n, ~np.uint64(0))
     for i in range(0, len(shingles), step):
         np.minimum(least, ((shingles[i : i + step, None] ^ b) * a).min(axis=0), out=least)
     return least
@@ -96,9 +101,9 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    spots = _mix(samples + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _M2) % np.uint64(SKETCH_BITS)
-    parity = (np.bincount(spots.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    spots = _mix(samples + np.arange(1, len(samples) + 1, dtype=np.uint64) * _M2) % np.uint64(bits)
+    parity = (np.bincount(spots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
@@ -140,6 +145,53 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(inside)
 
 
+def fine_sketches(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``rep, size, fine`` of the documents named by ``ids`` (rep): a sketch of many samples."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sets = [shingle_set(t, shingle, words) for t in batch.column(1).to_pylist()]
+            fine = [odd_sketch(samples_of(s, FINE_SAMPLES, 128), FINE_BITS).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary())], ["rep", "size", "fine"])
+
+    return texts_of(docs, ids.select(F.col("rep").alias("_id")).distinct()).mapInArrow(sign, "rep long, size long, fine binary")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents in ``ids`` (_id, distinct), one row for each doc_id."""
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def similar_across(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one bucket and different components whose fine sketches look similar.
+
+    A bucket is dealt into blocks of about ``BLOCK`` members; a task holds two blocks at most.
+    """
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(rows["fine"]), np.uint64).reshape(len(rows), -1)
+        rep, size, component = (rows[c].to_numpy() for c in ("rep", "size", "component"))
+        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        one = np.flatnonzero(rows["own"].to_numpy() == i)
+        two = np.flatnonzero(rows["own"].to_numpy() == j)
+        least = FINE_BITS / 2 * (1 - np.exp((percent / 100 - FINE_MARGIN - 1) * 4 * FINE_SAMPLES / FINE_BITS))
+        found = []
+        for x in one.tolist():
+            y = two[(component[two] != component[x]) & (100 * np.minimum(size[two], size[x]) >= percent * np.maximum(size[two], size[x]))]
+            y = y[rep[y] > rep[x]] if i == j else y
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= least]
+            found.append(np.stack([np.minimum(rep[y], rep[x]), np.maximum(rep[y], rep[x])], axis=1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    rows = members.select("key", "rep", "component").join(blocks, "key")
+    own = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.join(fine, "rep").select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "rep", "size", "component", "fine")
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The ``a, b`` whose shingle sets reach ``percent``; each hub's set is made once per batch run."""
 
@@ -162,8 +214,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([a_ids.take(at), b_ids.take(at)], ["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = saved(texts, "dedup-texts")
+    texts = saved(texts_of(docs, ids), "dedup-texts")
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
     return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long")
 
@@ -223,9 +274,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_ro
             if turn < hub_rounds:
                 found = members.where(F.col("component") != F.col("_hub_component")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
             else:
-                other = members.select(F.col("key").alias("_k"), F.col("rep").alias("b"), F.col("component").alias("_c"))
-                crossing = (F.col("key") == F.col("_k")) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("_c"))
-                found = members.join(other, crossing).select(F.col("rep").alias("a"), "b")
+                fine = saved(fine_sketches(docs, members, shingle), "fine-sketches")
+                found = similar_across(members, fine, percent)
         found = found.distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
