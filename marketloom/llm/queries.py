@@ -126,4 +126,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_one_permutation": op10_one_permutation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{what}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for what, rule in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_odd_sketches": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least ON d.doc_id = a LEFT JOIN sizes ON d.doc_id = sizes.doc_id""",
+    "op9_host_ranks": rf"""
+WITH RECURSIVE hosts AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(what, on_host, below, rule) AS (VALUES {_RULES_SQL}),
+ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM hosts JOIN rules ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, below) GROUP BY 1),
+judged AS (SELECT h.*, rule, what FROM hosts h LEFT JOIN ruled USING (page_id)),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?is)\b(?:href|src)\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1)) AS u FROM judged WHERE host <> ''),
+targets AS (SELECT src, translate(regexp_extract('x:' || regexp_replace(u, '(?i)^https?:', ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM found),
+edges AS (SELECT src, dst, count(*) AS n FROM targets WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
+links AS (SELECT 'trust' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+seeds AS (SELECT host, avg((coalesce(what, '') = 'allow')::INT) AS trusted, avg((coalesce(what, '') = 'block')::INT) AS blocked FROM judged WHERE host <> '' GROUP BY 1),
+walk AS (SELECT 0 AS step, 'trust' AS kind, host, trusted AS mass FROM seeds UNION ALL SELECT 0, 'distrust', host, blocked FROM seeds
+  UNION ALL SELECT step + 1, w.kind, l.b, mass * share * 0.85 FROM walk w JOIN links l ON w.kind = l.kind AND w.host = l.a WHERE step < 20),
+scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS bad FROM walk GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(what, CASE WHEN bad >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN scores s ON j.host = s.host""",
+}
