@@ -16,7 +16,7 @@ from functools import cache
 import regex
 from tokenizers import Tokenizer
 
-MEMO = 400_000
+MEMO = 200_000
 _ODD = re.compile(r"[\x00\x1c-\x1f᠎​]")
 
 
@@ -72,7 +72,7 @@ class TextEncoder:
         elif self.drops_space and first["invert"] and norms == ["NFC", "Replace", "Lowercase"]:
             self.pattern = regex.compile(first["pattern"]["Regex"])
         self.memo = Memo(self.by_chunk)
-        self.pre_tokens = Memo(self.by_model)
+        self.pre_tokens = Memo(self.by_model, MEMO // 2)
 
     def by_library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
