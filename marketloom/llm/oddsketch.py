@@ -158,21 +158,30 @@ def fine_sketches(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return texts_of(docs, ids.select(F.col("rep").alias("_id")).distinct()).mapInArrow(sign, "rep long, size long, fine binary")
 
 
+#: Ids up to which a list of documents is sent to the tasks (8 bytes each); longer lists meet the texts in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, text`` of the documents in ``ids`` (_id, distinct), one row for each doc_id."""
-    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = saved(ids, "text-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, docs["doc_id"] == ids["_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def similar_across(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of one bucket and different components whose fine sketches look similar.
 
-    A bucket is dealt into blocks of about ``BLOCK`` members; a task holds two blocks at most.
+    A bucket is dealt into blocks of about ``BLOCK`` members; a group holds two blocks at most. A pair
+    leaves only from the first bucket that both share, which is among the given ones because members
+    of different components keep all their buckets.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(rows["fine"]), np.uint64).reshape(len(rows), -1)
         rep, size, component = (rows[c].to_numpy() for c in ("rep", "size", "component"))
-        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        i, j, key = rows["i"].iat[0], rows["j"].iat[0], rows["key"].iat[0]
+        bands = np.stack(rows["bands"].to_numpy())
         one = np.flatnonzero(rows["own"].to_numpy() == i)
         two = np.flatnonzero(rows["own"].to_numpy() == j)
         least = FINE_BITS / 2 * (1 - np.exp((percent / 100 - FINE_MARGIN - 1) * 4 * FINE_SAMPLES / FINE_BITS))
@@ -181,6 +190,7 @@ def similar_across(members: DataFrame, fine: DataFrame, percent: int) -> DataFra
             y = two[(component[two] != component[x]) & (100 * np.minimum(size[two], size[x]) >= percent * np.maximum(size[two], size[x]))]
             y = y[rep[y] > rep[x]] if i == j else y
             y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= least]
+            y = y[bands[y, (bands[y] == bands[x]).argmax(axis=1)] == key]
             found.append(np.stack([np.minimum(rep[y], rep[x]), np.maximum(rep[y], rep[x])], axis=1))
         return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
@@ -188,7 +198,7 @@ def similar_across(members: DataFrame, fine: DataFrame, percent: int) -> DataFra
     rows = members.select("key", "rep", "component").join(blocks, "key")
     own = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
     rows = rows.withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.join(fine, "rep").select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "rep", "size", "component", "fine")
+    rows = rows.join(fine, "rep").select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "rep", "size", "component", "fine", "bands")
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
@@ -274,7 +284,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_ro
             if turn < hub_rounds:
                 found = members.where(F.col("component") != F.col("_hub_component")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
             else:
-                fine = saved(fine_sketches(docs, members, shingle), "fine-sketches")
+                fine = saved(fine_sketches(docs, members, shingle).join(classes.select("rep", "bands"), "rep"), "fine-sketches")
                 found = similar_across(members, fine, percent)
         found = found.distinct()
         if tested is not None:
@@ -284,6 +294,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_ro
         near = saved(near.select("a", "b"), "near-pairs")
         tested = near if tested is None else tested.unionByName(near)
         links = saved(confirmed(near, docs, shingle, percent), "links")
+        if edges is not None and links.isEmpty():
+            continue
         edges = links if edges is None else edges.unionByName(links)
         owner = components(edges)
     rep_of = classes.select(F.col("set_key").alias("_key"), "rep")
