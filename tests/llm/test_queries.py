@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import fingerprints, hostrank, queries
+from marketloom.llm import fingerprints, hostrank, queries, styletree
 from marketloom.llm.oddsketch import near_duplicates
 
 WORDS = "".join(chr(c) for c in range(97, 123))
@@ -108,6 +108,33 @@ def test_op2_extracts_articles(spark, folder):
         assert r.text == (f"text {r.page_id} body" if r.page_id % 5 else "") and r.n_chars == len(r.text)
 
 
+def style_page(k):
+    # x1 and x3 say the same on every page; x2 and the widget have texts of their own, dealt over headings and paragraphs
+    tags = ["h2" if k >> bit & 1 else "p" for bit in range(9)]
+    letter = "".join(f"<{t}>letter {k} part {n}</{t}>" for n, t in enumerate(tags))
+    html = f"<body><div class=x1><div>Start</div></div><div class=x2><p>intro {k}</p></div><article><p>story {k}</p><div class=x3>Follow us</div></article><div class=widget>{letter}</div><nav>Up</nav>"
+    return html, [f"intro {k}", f"story {k}"] + [f"letter {k} part {n}" for n in range(9)]
+
+
+def test_style_tree_decides_against_names(spark):
+    pages = [(k, f"http://{'ab'[k % 2]}.org/{k}", style_page(k)[0]) for k in range(400)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for r in styletree.extract_main_text(pages).collect():
+        assert r.text.split("\n") == style_page(r.page_id)[1]
+    # with any constant in place of the tree, x1 and x2 would be judged alike
+    for constant in (0.0, 0.3, 0.5, 0.9, 1.0):
+        paths = {styletree._hash(b.path) for b in styletree.parse(style_page(0)[0])[0]}
+        table = F.create_map(*[x for p in paths for x in (F.lit(p), F.array(F.lit(constant), F.lit(0.95)))])
+        got = pages.limit(1).select("page_id", styletree.main_text(F.col("html"), table).alias("text")).first()
+        assert got.text.split("\n") != style_page(got.page_id)[1]
+
+
+def test_style_tree_names_decide_on_a_single_page(spark):
+    html = "<body><nav>Up</nav><article><p>story</p></article><aside><article>teaser</article></aside><article><div class=share>Send</div></article><p>plain</p>"
+    pages = spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")
+    assert styletree.extract_main_text(pages).first().text == "story\nteaser\nplain"
+
+
 def test_op3_columns_and_range(spark, folder, docs):
     rows = queries.QUERIES["op3_byte_cnn"](spark, folder).collect()
     assert len(rows) == docs.count()
