@@ -7,6 +7,11 @@ are sums over walks, discounted by ``damping`` a step, so a host without links k
 value. A host is blocked if its distrust exceeds its trust by ``limit``. Written rules win over the
 graph's verdict.
 
+A blocked host's distrust is divided among its in-links, so of many hosts that link to it each gets
+little. With ``surfer`` distrust is instead the chance that a surfer who follows links of the host
+at random, goes on with ``damping`` and stops at pages that a rule judges, stops at a blocked one:
+at most 1, and the same however many other hosts link there.
+
 Null urls and urls without ``://`` have an empty host and path and are allowed unless a rule fits.
 Null html has no links. Repeated pages count as often as they occur.
 """
@@ -48,7 +53,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, surfer: bool = False) -> DataFrame:
     """``host, trust, distrust`` for hosts that either reaches.
 
     ``seeds``: host, trusted, blocked (0 to 1). Each round is one join and one sum; state and edges
@@ -56,9 +61,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     """
     sides = []
     for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src")):
-        out = edges.groupBy(F.col(a).alias("_from")).agg(F.sum("weight").alias("_all"))
-        side = edges.join(out, F.col(a) == F.col("_from"))
-        sides.append(side.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col("weight") / F.col("_all")).alias("share")))
+        among = "src" if surfer else a
+        out = edges.groupBy(F.col(among).alias("_from")).agg(F.sum("weight").alias("_all"))
+        side = edges.join(out, F.col(among) == F.col("_from"))
+        share = F.col("weight") / F.col("_all")
+        if surfer and kind == "distrust":
+            side = side.join(seeds.select(F.col("host").alias("_host"), (1 - F.col("trusted") - F.col("blocked")).alias("_on")), F.col("src") == F.col("_host"), "left")
+            share = share * F.coalesce("_on", F.lit(1.0))
+        sides.append(side.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), share.alias("share")))
     links = saved(sides[0].unionByName(sides[1]), "host-links")
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trusted", F.lit("distrust"), "blocked")).alias("kind", "seed"))
     start = saved(start.where(F.col("seed") > 0), "host-seeds")
@@ -76,7 +86,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return every.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = 0.8, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = 0.8, damping: float = 0.85, rounds: int = 20, surfer: bool = False) -> DataFrame:
     """``page_id, url, html`` to page_id, host, path, rule, verdict, trust and distrust.
 
     Seeds are the hosts of pages that a rule judges, weighted by the share of the host's pages.
@@ -87,7 +97,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = 0.8, da
     share = lambda what: F.avg(F.when(F.col("_verdict") == what, 1.0).otherwise(0.0))
     seeds = at.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     edges = host_edges(pages.select(host_of(F.col("url")).alias("host"), "html"))
-    bad = propagate(edges, seeds, damping, rounds).withColumnRenamed("host", "_host")
+    bad = propagate(edges, seeds, damping, rounds, surfer).withColumnRenamed("host", "_host")
     out = at.join(bad, F.col("host") == F.col("_host"), "left")
     graph = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= limit, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -257,6 +257,28 @@ def test_host_scores_against_brute_force(spark):
             assert abs(getattr(r, kind) - score[h]) < 1e-9
 
 
+def test_surfer_catches_all_linkers_of_a_popular_blocked_host(spark):
+    # six farms link to the blocked host only (which passes trust on to farm0), deep to a farm, half to both sides, fine to the allowed host
+    out = {f"farm{k}.x": ["bad.x"] for k in range(6)} | {"deep.x": ["farm0.x"], "half.x": ["bad.x", "good.x"], "fine.x": ["good.x"], "loop.x": ["mixed.x"]}
+    out |= {"bad.x": ["farm0.x"], "good.x": ["bad.x"], "mixed.x": ["loop.x", "bad.x", "bad.x"]}
+    html = {h: "".join(f"<a href='http://{x}/'>" for x in to) for h, to in out.items()}
+    urls = [(h, "") for h in out] + [("mixed.x", "no/")]
+    pages = [(k, f"http://{h}/{path}", html[h]) for k, (h, path) in enumerate(urls)]
+    rules = [("block", "bad.x/"), ("allow", "good.x/"), ("block", "mixed.x/no/")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    blocked, trusted = {"bad.x": 1.0, "mixed.x": 0.5}, {"good.x": 1.0}
+    chance = trust = None
+    for _ in range(21):
+        chance = {h: blocked.get(h, 0) + (chance is not None and (1 - blocked.get(h, 0) - trusted.get(h, 0)) * 0.85 * sum(chance[x] for x in to) / len(to)) for h, to in out.items()}
+        trust = {h: trusted.get(h, 0) + (trust is not None and 0.85 * sum(trust[a] * to.count(h) / len(to) for a, to in out.items())) for h in out}
+    rows = hostrank.judge(df, rules, surfer=True).collect()
+    for r in rows:
+        assert abs(r.distrust - chance[r.host]) < 1e-9 and abs(r.trust - trust[r.host]) < 1e-9 and r.distrust <= 1
+        if r.rule is None:
+            assert r.verdict == ("block" if chance[r.host] - trust[r.host] >= 0.8 else "allow")
+    assert {r.host for r in rows if r.rule is None and r.verdict == "block"} == {"mixed.x"} | {f"farm{k}.x" for k in range(1, 6)}
+
+
 def test_host_edges(spark):
     pages = [("a.com", '<a href="https://B.com/x">1</a><a href="//c.org">2</a><a href="/in">3</a><img src=http://b.com/y>'), ("b.com", None), ("", '<a href="http://z.com">')]
     rows = hostrank.host_edges(spark.createDataFrame(pages, "host string, html string")).collect()
