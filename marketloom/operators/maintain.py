@@ -5,6 +5,8 @@ Nothing is updated in place. Callers write the result to a new folder and swap i
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,22 +179,30 @@ def cross_source_pairs(df: DataFrame, a: str = "olx", b: str = "sv", tolerance:
     return pairs.select(F.xxhash64(*[f"_a_{c}" for c in BLOCK]).alias("block"), F.col(f"_a_{key}").alias("a_id"), F.col(f"_b_{key}").alias("b_id"), F.when(first, F.col(f"_a_{key}")).otherwise(F.col(f"_b_{key}")).alias("canonical"))
 
 
+def first_free(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks batches of ``block, b_id, a_id`` in that order; a block may go on in the next batch."""
+    at, taken, done = None, set(), None
+    for batch in batches:
+        out = []
+        for block, b, a in zip(batch["block"], batch["b_id"], batch["a_id"], strict=True):
+            if block != at:
+                at, taken, done = block, set(), None
+            if b != done and a not in taken:
+                taken.add(a)
+                done = b
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a_id", "b_id"])
+
+
 def match_in_blocks(pairs: DataFrame, block: str = "block") -> DataFrame:
     """The exact first-come matching: in each block, every ``b_id`` in order takes its first free ``a_id``.
 
-    A block is one (brand, model, year, district), which a marketplace bounds.
+    A block's pairs are sorted by Spark, which spills, and pass through a task batch by batch; in Python
+    only the taken ids of one block are held. One task still walks the pairs of a block, as each match
+    depends on those before it.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        free, out = set(), []
-        for b, mine in rows.sort_values(["b_id", "a_id"]).groupby("b_id", sort=True):
-            pick = next((a for a in mine["a_id"] if a not in free), None)
-            if pick is not None:
-                free.add(pick)
-                out.append((pick, b))
-        return pd.DataFrame(out, columns=["a_id", "b_id"])
-
-    return pairs.groupBy(block).applyInPandas(walk, "a_id string, b_id string")
+    rows = pairs.select(F.col(block).alias("block"), "b_id", "a_id").repartition("block").sortWithinPartitions("block", "b_id", "a_id")
+    return rows.mapInPandas(first_free, "a_id string, b_id string")
 
 
 def same_source_duplicates(df: DataFrame, tolerance: float = 0.01, key: str = "olx_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
@@ -58,6 +59,31 @@ def test_greedy_matches_take_the_first_free(spark):
     assert {tuple(r) for r in maintain.match_in_blocks(pairs).collect()} == {("a1", "b1"), ("a3", "b3")}
 
 
+def test_greedy_matches_hold_one_batch_of_a_block(spark):
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(rng.integers(3)), f"b{rng.integers(40):02}", f"a{rng.integers(30):02}") for _ in range(900)})
+    want, taken, done = set(), set(), set()
+    for block, b, a in pairs:
+        if (block, b) not in done and (block, a) not in taken:
+            done.add((block, b))
+            taken.add((block, a))
+            want.add((block, a, b))
+    given = []
+
+    def batches():
+        for k in range(0, len(pairs), 7):
+            given.append(k)
+            yield pd.DataFrame(pairs[k : k + 7], columns=["block", "b_id", "a_id"])
+
+    out = maintain.first_free(batches())
+    first = next(out)
+    assert given == [0] and len(first)
+    assert sorted([*map(tuple, first.values), *(tuple(r) for x in out for r in x.values)]) == sorted((a, b) for _, a, b in want)
+    shuffled = [pairs[k] for k in rng.permutation(len(pairs))]
+    got = maintain.match_in_blocks(spark.createDataFrame(shuffled, "block long, b_id string, a_id string")).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for _, a, b in want)
+
+
 def test_seller_rules(spark):
     rows = spark.createDataFrame(
         [(None, None, 9, 9, 9), (False, False, None, None, None), (False, False, 3, 1, 0), (True, True, 1, 1, 1), (True, False, 20, 1, 0), (True, False, 2, None, None)],
