@@ -1,8 +1,8 @@
 """Fair-price, sale-hazard and anomaly models on Spark ML and DataFrames.
 
 Spark trees know no quantile loss and no monotone constraints. Price bands come from a forest whose
-leaves pool training prices (a quantile regression forest), then conformal widening restores the
-coverage. Contributions are occlusions: the change when a feature is set to its segment's median.
+leaves pool training prices (a quantile regression forest); conformal widening, which restores the
+coverage, is not applied here. Contributions are occlusions: the change when a feature is set to its segment's median.
 """
 
 from __future__ import annotations
