@@ -122,23 +122,24 @@ def hazard_scores(model: PipelineModel, df: DataFrame, key: str, price: str) ->
 TREE = "tree int, node long, feature int, cut double, size long"
 
 
-def isolation_forest(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
-    """Trees grown on subsamples, one group for each tree; a group holds ``sample`` rows at most.
+def isolation_forest(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 7, key: str | None = None) -> DataFrame:
+    """Trees grown on subsamples, one group for each tree; a group holds about 2 * ``sample`` rows.
 
-    The k-th tree takes rows whose hash falls to it, so sampling is one pass. Nodes are numbered as
-    in a heap (root 1, children 2n and 2n + 1).
+    The k-th tree draws rows by the hash of their ``key`` and k, and uses the ``sample`` least draws, so
+    sampling is one pass and rows of equal values are drawn apart. The key must be unique; without one
+    the hash is of all columns. Nodes are numbered as in a heap (root 1, children 2n and 2n + 1).
     """
     n = max(1, df.count())
     share = min(1.0, 2.0 * sample / n)
-    rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"), F.xxhash64(*columns).alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"), F.xxhash64(*([key] if key else df.columns)).alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     draw = F.pmod(F.xxhash64("_h", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.where(draw < share)
+    rows = rows.withColumn("_draw", draw).where(F.col("_draw") < share)
     depth = int(np.ceil(np.log2(sample)))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iat[0])
         rng = np.random.default_rng(seed + tree)
-        x = np.stack(group.sort_values("_h")["x"].to_numpy())[:sample]
+        x = np.stack(group.sort_values(["_draw", "_h"])["x"].to_numpy())[:sample]
         out, open_ = [], [(1, x, 0)]
         while open_:
             node, part, level = open_.pop()

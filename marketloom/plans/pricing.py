@@ -59,4 +59,4 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = training(t)
     columns = ["price_eur", *NUMERIC]
-    return k.anomaly_scores(rows, k.isolation_forest(rows, columns), "olx_id", columns)
+    return k.anomaly_scores(rows, k.isolation_forest(rows, columns, key="olx_id"), "olx_id", columns)

@@ -121,6 +121,20 @@ def test_extreme_outlier_is_flagged(spark):
     assert scores.orderBy(F.desc("anomaly")).first().id == "out" and scores.count() == 401
 
 
+def test_common_values_are_not_isolated(spark):
+    # half of the rows are equal: trees draw them one by one, and no tree is given many more rows than it uses
+    same = spark.range(3000).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit(7000.0).alias("price"), F.lit(2012).alias("year"), F.lit(90_000).alias("km"), F.lit("A").alias("brand"))
+    df = priced(spark, 3000).unionByName(same)
+    columns = ["price", "year", "km"]
+    forest = models.isolation_forest(df, columns, trees=20).localCheckpoint()
+    assert [r["size"] for r in forest.where("node = 1").collect()] == [256] * 20
+    leaves = {r.tree: r.most for r in forest.where("feature = -1").groupBy("tree").agg(F.max("size").alias("most")).collect()}
+    assert len(leaves) == 20 and all(80 <= n <= 180 for n in leaves.values())
+    scores = models.anomaly_scores(df, forest, "id", columns)
+    means = {r["same"]: r["mean"] for r in scores.groupBy(F.col("id").startswith("s").alias("same")).agg(F.avg("anomaly").alias("mean")).collect()}
+    assert means[True] < means[False]
+
+
 def test_missing_table_is_empty_and_json_is_lenient(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "none"), "a int").count() == 0
     (tmp_path / "x.json").write_text('{"k": 1}\n\nbroken\n{"k": 1}\n{"k": 2}\n')
