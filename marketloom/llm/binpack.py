@@ -40,24 +40,24 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                begin, stop = 0, len(ids) % step or step
-                k = 0
-                while begin < len(ids):
-                    for column, value in zip(out, (doc_id, k, begin // 4, (stop - begin) // 4, ids[begin:stop]), strict=True):
-                        column.append(value)
-                    begin, stop, k = stop, stop + step, k + 1
-                held += len(ids)
-                if held > 1 << 24:
+        with encoder(tokenizer_path) as own:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                held = 0
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = own.encode(text) + end
+                    begin, stop = 0, len(ids) % step or step
+                    k = 0
+                    while begin < len(ids):
+                        for column, value in zip(out, (doc_id, k, begin // 4, (stop - begin) // 4, ids[begin:stop]), strict=True):
+                            column.append(value)
+                        begin, stop, k = stop, stop + step, k + 1
+                    held += len(ids)
+                    if held > 1 << 23:
+                        yield record(out)
+                        out, held = [[], [], [], [], []], 0
+                if held:
                     yield record(out)
-                    out, held = [[], [], [], [], []], 0
-            if held:
-                yield record(out)
 
     def record(out: list[list]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())

@@ -4,7 +4,7 @@ A file holds a range of documents in order. Each id takes the fewest bits that t
 Layout, all integers little-endian:
 
 * ``MAGIC`` (4 bytes), u32 bits, u32 block length in ids, u64 documents, u64 ids, u64 blocks
-* documents x (i64 doc_id, u64 end of its ids in the file)
+* documents x (i64 doc_id, u64 end of its ids in the file; its highest bit marks a null doc_id)
 * (blocks + 1) x u64 offset of each block from the start of the packed part
 * the packed part: each block starts at a byte; id k of a block takes bits [k * bits, (k + 1) * bits)
 
@@ -12,6 +12,11 @@ Any document or span of ids is read from the header, the offsets and the blocks
 
 Files are written by tasks under a name of their own and then renamed, so a task that runs again
 replaces nothing half-written; only files named by the returned manifest count.
+
+Null and empty texts hold the end id alone. Rows with a null doc_id come first. Repeated rows and
+doc_ids are separate documents, in no particular order among themselves. A task holds the ids of one
+file, which ends with the document that fills it, so a very long text is held whole. Only doc_id and
+text are read; other columns, whatever their names, are not. Empty input gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import partitions, saved, scratch_path
@@ -59,10 +64,11 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     index = np.empty((len(doc_ids), 2), "<i8")
-    index[:, 0], index[:, 1] = doc_ids, np.cumsum(lengths)
+    index[:, 0], index[:, 1] = [d or 0 for d in doc_ids], np.cumsum(lengths)
+    index[:, 1] |= np.array([d is None for d in doc_ids], "i8") << 63
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     head = HEAD.pack(MAGIC, bits, block, len(doc_ids), len(ids), len(blocks))
     return b"".join([head, index.tobytes(), offsets.tobytes(), *blocks])
@@ -77,7 +83,8 @@ class PackedFile:
         if magic != MAGIC:
             raise ValueError("not a file of packed ids")
         index = np.frombuffer(source.read(16 * self.docs), "<i8").reshape(-1, 2)
-        self.doc_ids, self.ends = index[:, 0], index[:, 1]
+        self.ends = index[:, 1] & np.int64((1 << 63) - 1)
+        self.doc_ids = [None if end < 0 else d for d, end in index.tolist()]
         self.offsets = np.frombuffer(source.read(8 * (blocks + 1)), "<u8")
         self.start = HEAD.size + 16 * self.docs + 8 * (blocks + 1)
 
@@ -104,6 +111,12 @@ def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it, so that tasks write where Spark reads."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 MANIFEST = "part int, file int, path string, docs long, ids long, bytes long"
 
 
@@ -111,14 +124,13 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
     """Encode ``doc_id, text`` in ascending doc_id order into packed files under ``folder``.
 
     Returns the manifest, one row for each file: range partition, file number in it, path, counts.
-    Null and empty texts hold the end id alone. A file ends with the document that takes it past
-    ``file_ids`` ids, so one file is all that a task holds. Repeated doc_ids are separate documents.
+    A file ends with the document that takes it past ``file_ids`` ids.
     """
     bits = bits_for(vocabulary)
+    folder = qualified(docs.sparkSession, folder)
     end = int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
         fs, root = _store(folder)
         held: list[tuple[int, bytes]] = []
         count, files, part = 0, 0, 0
@@ -126,7 +138,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
         def flush() -> pa.RecordBatch:
             nonlocal count, files
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            data = encode_file(np.array([d for d, _ in held], "i8"), np.array([len(x) // 4 for _, x in held], "i8"), ids, bits)
+            data = encode_file([d for d, _ in held], np.array([len(x) // 4 for _, x in held], "i8"), ids, bits)
             name = f"ids-{part:05d}-{files:05d}-{uuid.uuid4().hex}.fwb"
             with fs.open_output_stream(f"{root}/_{name}.tmp") as out:
                 out.write(data)
@@ -139,18 +151,18 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
             return row
 
         fs.create_dir(root, recursive=True)
-        for batch in batches:
-            for doc_id, text, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.append((doc_id, encode(text) + end))
-                count += len(held[-1][1]) // 4
-                if count >= file_ids:
-                    yield flush()
-        if held:
-            yield flush()
-
-    n = partitions(docs.sparkSession)
+        with encoder(tokenizer_path) as own:
+            for batch in batches:
+                for doc_id, text, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    held.append((doc_id, own.encode(text) + end))
+                    count += len(held[-1][1]) // 4
+                    if count >= file_ids:
+                        yield flush()
+            if held:
+                yield flush()
+
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     return saved(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
@@ -189,7 +201,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     }
                 )
 
-    return files.repartition(partitions(manifest.sparkSession), "path").mapInArrow(read, DOCUMENTS)
+    # rows are short and stand for whole files: dealt by their number, not by their size
+    n = min(manifest.count(), 16 * partitions(manifest.sparkSession))
+    return files.repartition(max(1, n), "path").mapInArrow(read, DOCUMENTS)
 
 
 def packed_ids(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int) -> DataFrame:

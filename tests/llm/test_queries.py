@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import fingerprints, hostrank, queries, styletree
+from marketloom.llm.bitpack import packed_ids
 from marketloom.llm.oddsketch import near_duplicates
 
 WORDS = "".join(chr(c) for c in range(97, 123))
@@ -32,6 +33,7 @@ def make_texts(seed=0):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             texts.append(" ".join(w).title() if rng.random() < 0.3 else " ".join(w))
     texts.append("long " * 3000 + "end")
+    texts.append("hello <|endoftext|> world <|startoftext|>x é’s — ça\u00a0va İı\n\n \tend")
     rng.shuffle(texts)
     return [(3 * i + 1, t) for i, t in enumerate(texts)]
 
@@ -101,6 +103,28 @@ def test_op1_needs_more_than_one_hub(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 4).items()}
 
 
+def test_op1_doc_id_with_two_texts_has_the_links_of_both(spark):
+    words = [[f"{x}{k}" for k in range(51)] for x in "ab"]
+    first, second = (" ".join(w[:50]) for w in words)
+    rows = [(1, first), (1, second), (2, " ".join(words[1])), (3, " ".join(words[0])), (4, first), (4, "other"), (5, "other"), (1, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (5, 1)]
+
+
+def test_op1_stragglers_of_a_large_group(spark):
+    # near copies of one base, 0.6 to 0.95 alike: the hub settles some, others link with each other only
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_op2_extracts_articles(spark, folder):
     rows = queries.QUERIES["op2_style_tree"](spark, folder).collect()
     assert len(rows) == 60
@@ -177,7 +201,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -194,6 +217,14 @@ def test_op7_against_library(spark, folder, docs):
     assert sorted(tuple(r) for r in queries.QUERIES["op7_bit_packed_ids"](spark, folder).collect()) == want
 
 
+def test_op7_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b"), (2, "c"), (2, "c"), (None, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("x")).withColumn("ids", F.lit(1))
+    got = packed_ids(df, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49408, end_id=2).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (0, 3), (1, 1), (2, 2), (2, 2)]
+    assert sorted(r.start for r in got if r.doc_id is None)[0] == 0 and sum(r.doc_id is None for r in got) == 2
+
+
 def test_op8_against_library(spark, folder, docs):
     encode, want = library("byte_bpe_50k.json"), set()
     for r in docs.collect():
@@ -330,3 +361,5 @@ def test_pipeline(spark, folder, docs):
     assert deduped.columns == docs.columns
     want = brute_components([(r.doc_id, r.text) for r in kept.collect()], 5)
     assert sorted(r.doc_id for r in deduped.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long")).limit(4)
+    assert corpus_pipeline.near_dedup(spark, unnamed, folder).count() == 4
