@@ -5,20 +5,21 @@
    population count of two sketches' XOR estimates how many samples differ, precisely where the
    similarity is high.
 2. Texts of equal sets are one class; only its smallest doc_id goes on.
-3. In each bucket (equal band key) all members are paired with one hub, not with each other. Pairs
-   whose sketches are far apart go; the others are confirmed on full shingle sets.
-4. Confirmed links make components. Buckets that still hold several components get another hub, as
-   often as ``hub_rounds``. What is then left gets finer sketches, and tasks compare them between
-   members of different components, block by block, without making rows of pairs; only pairs that
-   look similar leave the task and are confirmed. Members of one component need no further pair, so
-   no component misses a link that shares a band.
+3. In each bucket (equal band key) all members are paired with one hub, not with each other: the
+   member that shares the most buckets with others, as a rule the text that copies were made from.
+   Pairs whose sketches are far apart go; the others are confirmed on full shingle sets.
+4. Confirmed links make components. The hub leaves its bucket. Buckets that still hold several
+   components are compared block by block inside tasks: sketches first, then full sets. Links join
+   components as they are found, so a task returns fewer links than it has members.
 
 Similarity 100 * intersection >= percent * union counts as a link. With 32 bands of 4 samples a pair
 at 0.8 shares no band with probability 5e-8. The sketch limit lies more than five standard errors
 below the threshold.
 
-Null texts and texts without words have empty sets and link with nothing. Equal rows are copies of
-each other. Rows with a null doc_id are never linked and are kept. Empty input gives no rows.
+Null texts and texts without words have empty sets, link with nothing and stand alone. Equal rows are
+copies of each other. Rows that share a doc_id are one document that has the links of all its texts.
+Rows with a null doc_id are never linked and are kept. Only doc_id and text are read; other columns,
+whatever their names, are not. Empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -27,22 +28,20 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import Scratch, saved
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
 #: Pairs whose estimated similarity is lower than the threshold by more are not checked exactly.
 SKETCH_MARGIN = 0.2
-#: The finer sketches of members that hubs did not settle, and the members of one block.
-FINE_SAMPLES, FINE_BITS, FINE_MARGIN = 1024, 2048, 0.065
-BLOCK = 2048
+#: Members of one block in the comparison across components; long texts count as several.
+BLOCK, BLOCK_SHINGLES = 2048, 512
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -145,97 +144,128 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(inside)
 
 
-def fine_sketches(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``rep, size, fine`` of the documents named by ``ids`` (rep): a sketch of many samples."""
+#: Ids up to which a list of documents is sent to the tasks (8 bytes each); longer lists meet the texts in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, shingle: int, run: Scratch) -> DataFrame:
+    """``set_key, shingles`` (sorted 64-bit hashes) of the classes in ``classes`` (set_key, rep), one row for each."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingle_set(t, shingle, words) for t in batch.column(1).to_pylist()]
-            fine = [odd_sketch(samples_of(s, FINE_SAMPLES, 128), FINE_BITS).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary())], ["rep", "size", "fine"])
+            found = [shingle_set(t, shingle, words).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, found), pa.binary()), pa.array(found, pa.binary())], ["set_key", "shingles"])
 
-    return texts_of(docs, ids.select(F.col("rep").alias("_id")).distinct()).mapInArrow(sign, "rep long, size long, fine binary")
+    ids = run.saved(classes.select(F.col("rep").alias("_id")).distinct(), "set-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(few, docs["doc_id"] == ids["_id"], "left_semi").select("text")
+    # a doc_id may have several texts, of which only those of the classes asked for meet a pair later
+    return run.saved(texts.mapInArrow(sign, "set_key binary, shingles binary").groupBy("set_key").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-#: Ids up to which a list of documents is sent to the tasks (8 bytes each); longer lists meet the texts in a shuffle.
-BROADCAST_IDS = 2_000_000
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` (a, a_key, b, b_key) whose shingle sets reach ``percent``."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[int] = []
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        kept.append(k)
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the documents in ``ids`` (_id, distinct), one row for each doc_id."""
-    ids = saved(ids, "text-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(few, docs["doc_id"] == ids["_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    one, two = sets.toDF("a_key", "_sa"), sets.toDF("b_key", "_sb")
+    return pairs.join(two, "b_key").join(one, "a_key").select("a", "b", "_sa", "_sb").mapInArrow(check, "a long, b long")
 
 
-def similar_across(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one bucket and different components whose fine sketches look similar.
+def links_between(rep: np.ndarray, component: np.ndarray, sketch: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, key: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members ``one`` and ``two`` of a bucket that join different components.
 
-    A bucket is dealt into blocks of about ``BLOCK`` members; a group holds two blocks at most. A pair
-    leaves only from the first bucket that both share, which is among the given ones because members
-    of different components keep all their buckets.
+    Every pair of different components is settled, here or in the first bucket that both share: by
+    sketches, then on full sets; a pair whose components are joined by now needs no look.
+    """
+    least = SKETCH_BITS / 2 * (1 - np.exp((percent / 100 - SKETCH_MARGIN - 1) * 4 * SAMPLES / SKETCH_BITS))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    label = np.unique(component, return_inverse=True)[1]
+    same = one is two
+    inverse: list[np.ndarray] | None = None
+    found: list[tuple[int, int]] = []
+    for x in one.tolist():
+        y = two[two > x] if same else two
+        y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+        y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= least]
+        y = y[bands[y, (bands[y] == bands[x]).argmax(axis=1)] == key]
+        if not len(y):
+            continue
+        if inverse is None:
+            distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+            inverse, mark = np.split(at, np.cumsum(size)[:-1]), np.zeros(len(distinct), np.int32)
+        mark[inverse[x]] = 1
+        both = np.add.reduceat(mark[np.concatenate([inverse[k] for k in y.tolist()])], np.cumsum(size[y]) - size[y])
+        mark[inverse[x]] = 0
+        for k in y[100 * both >= percent * (size[x] + size[y] - both)].tolist():
+            if label[k] != label[x]:
+                found.append((int(rep[x]), int(rep[k])))
+                label[label == label[k]] = label[x]
+    return found
+
+
+def links_across(members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` between members of one bucket and different components.
+
+    ``members``: key, rep, component, sketch, bands, shingles. A bucket is dealt into blocks of about
+    ``BLOCK`` members by weight; a task meets two blocks at a time.
     """
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(rows["fine"]), np.uint64).reshape(len(rows), -1)
-        rep, size, component = (rows[c].to_numpy() for c in ("rep", "size", "component"))
-        i, j, key = rows["i"].iat[0], rows["j"].iat[0], rows["key"].iat[0]
-        bands = np.stack(rows["bands"].to_numpy())
-        one = np.flatnonzero(rows["own"].to_numpy() == i)
-        two = np.flatnonzero(rows["own"].to_numpy() == j)
-        least = FINE_BITS / 2 * (1 - np.exp((percent / 100 - FINE_MARGIN - 1) * 4 * FINE_SAMPLES / FINE_BITS))
-        found = []
-        for x in one.tolist():
-            y = two[(component[two] != component[x]) & (100 * np.minimum(size[two], size[x]) >= percent * np.maximum(size[two], size[x]))]
-            y = y[rep[y] > rep[x]] if i == j else y
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= least]
-            y = y[bands[y, (bands[y] == bands[x]).argmax(axis=1)] == key]
-            found.append(np.stack([np.minimum(rep[y], rep[x]), np.maximum(rep[y], rep[x])], axis=1))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    rows = members.select("key", "rep", "component").join(blocks, "key")
-    own = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.join(fine, "rep").select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "rep", "size", "component", "fine", "bands")
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The ``a, b`` whose shingle sets reach ``percent``; each hub's set is made once per batch run."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at: tuple | None = None
+
+        def settle() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key, i, j = at
+            own = t["own"].to_numpy()
+            arrays = (np.array(t[c].to_pylist(), np.int64) for c in ("sketch", "bands"))
+            sketch, bands = arrays
+            one = np.flatnonzero(own == i)
+            two = one if i == j else np.flatnonzero(own == j)
+            sets = [np.frombuffer(x, "<u8") for x in t["shingles"].to_pylist()]
+            found = links_between(t["rep"].to_numpy(), t["component"].to_numpy(), sketch.view(np.uint64), bands, sets, one, two, key, percent)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            a_ids, b_ids, a_texts, b_texts = (batch.column(k) for k in range(4))
-            kept: list[int] = []
-            for k, a in enumerate(a_ids.to_pylist()):
-                if a != last[0]:
-                    last = (a, shingle_set(a_texts[k].as_py(), shingle, words))
-                one, two = last[1], shingle_set(b_texts[k].as_py(), shingle, words)
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= percent * (len(one) + len(two) - both):
-                    kept.append(k)
-            at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([a_ids.take(at), b_ids.take(at)], ["a", "b"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = saved(texts_of(docs, ids), "dedup-texts")
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long")
+            groups = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            starts = [0, *(np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1).tolist(), len(groups)]
+            for begin, end in zip(starts, starts[1:], strict=False):
+                now = tuple(groups[begin].tolist())
+                if held and now != at:
+                    yield settle()
+                at = now
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield settle()
+
+    weight = F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * BLOCK_SHINGLES))
+    blocks = members.groupBy("key").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
+    rows = members.join(blocks, "key").withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("key", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "rep", "component", "sketch", "bands", "shingles")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, run: Scratch) -> DataFrame:
     """``node, component`` (the least node reachable) of undirected ``a, b``; large-star and small-star.
 
     Every step is a minimum by node and a join, stored; a hub's many edges are summed before the
     shuffle and split by the join.
     """
-    now = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    now = run.saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     state = None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
@@ -246,62 +276,57 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
         moved = large.join(low, F.col("u") == F.col("_u"))
         small = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("_u", "m")).distinct()
-        now = saved(small.toDF("u", "v"), "stars")
+        now = run.saved(small.toDF("u", "v"), "stars")
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (r["n"], r["h"]) == state or not r["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = (r["n"], r["h"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text`` to doc_id, n_shingles, component_id (least doc_id reachable) and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = saved(signatures(docs, shingle), "signatures")
+    run = Scratch(docs.sparkSession, "near-duplicates")
+    signed = run.saved(signatures(docs, shingle), "signatures")
     some = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = saved(classes, "classes")
-    sketches = classes.select("rep", "sketch")
-
-    def hub_of(turn: int) -> Column:
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        return F.min(F.struct(order.alias("_o"), "rep"))["rep"]
-
-    members = classes.select("rep", F.explode("bands").alias("key"))
-    several = members.groupBy("key").agg(hub_of(0).alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "hub")
-    members = saved(members.join(several, F.col("key") == F.col("_key")).select("key", "rep", "hub"), "members")
-    edges, tested, owner = None, None, None
-    for turn in range(hub_rounds + 1):
-        if turn == 0:
-            found = members.where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        else:
-            named = members.select("key", "rep").join(owner.withColumnRenamed("node", "_n"), F.col("rep") == F.col("_n"), "left")
-            named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            hubs = named.groupBy("key").agg(hub_of(turn).alias("hub"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.min_by("component", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("_hub_component"))
-            mixed = hubs.where(F.col("_low") != F.col("_high")).select(F.col("key").alias("_key"), "hub", "_hub_component")
-            members = saved(named.join(mixed, F.col("key") == F.col("_key")).select("key", "rep", "component", "hub", "_hub_component"), "members")
-            if members.isEmpty():
-                break
-            if turn < hub_rounds:
-                found = members.where(F.col("component") != F.col("_hub_component")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-            else:
-                fine = saved(fine_sketches(docs, members, shingle).join(classes.select("rep", "bands"), "rep"), "fine-sketches")
-                found = similar_across(members, fine, percent)
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        one, two = sketches.toDF("a", "_sa"), sketches.toDF("b", "_sb")
-        near = found.join(two, "b").join(one, "a").where(sketch_similarity(F.col("_sa"), F.col("_sb")) >= percent / 100 - SKETCH_MARGIN)
-        near = saved(near.select("a", "b"), "near-pairs")
-        tested = near if tested is None else tested.unionByName(near)
-        links = saved(confirmed(near, docs, shingle, percent), "links")
-        if edges is not None and links.isEmpty():
-            continue
-        edges = links if edges is None else edges.unionByName(links)
-        owner = components(edges)
+    classes = run.saved(classes, "classes")
     rep_of = classes.select(F.col("set_key").alias("_key"), "rep")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(rep_of, F.col("set_key") == F.col("_key"), "left")
-    out = out.join(owner, F.col("rep") == F.col("node"), "left")
+    rows = signed.select("doc_id", "n_shingles", "set_key").join(rep_of, F.col("set_key") == F.col("_key"), "left")
+    rows = run.saved(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "rows")
+    # the classes of a doc_id with several texts belong together
+    several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high")).where(F.col("a") != F.col("_high"))
+    edges = run.saved(rows.join(several.select(F.col("doc_id").alias("_id"), "a"), F.col("doc_id") == F.col("_id")).select("a", F.col("rep").alias("b")).where("b is not null"), "links")
+
+    members = classes.select("set_key", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "n")
+    members = run.saved(members.join(shared, F.col("key") == F.col("_key")).select("key", "set_key", "n"), "shared-bands")
+    popular = members.groupBy("set_key").agg(F.sum("n").alias("popular")).withColumnRenamed("set_key", "_set")
+    popular = popular.join(classes.select("set_key", "rep", "sketch"), F.col("_set") == F.col("set_key")).drop("_set")
+    members = run.saved(members.select("key", "set_key").join(popular, "set_key"), "members")
+    hubs = members.groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("_r"), "set_key", "sketch", "rep")).alias("hub"))
+    hubs = run.saved(hubs.select(F.col("key").alias("_key"), F.col("hub.rep").alias("a"), F.col("hub.set_key").alias("a_key"), F.col("hub.sketch").alias("_sa")), "hubs")
+    members = members.join(hubs, F.col("key") == F.col("_key")).where(F.col("set_key") != F.col("a_key")).drop("_key", "popular")
+    near = members.where((F.col("rep") != F.col("a")) & (sketch_similarity(F.col("sketch"), F.col("_sa")) >= percent / 100 - SKETCH_MARGIN))
+    near = run.saved(near.select("a", "a_key", F.col("rep").alias("b"), F.col("set_key").alias("b_key")).distinct(), "near-pairs")
+    wanted = near.select(F.col("a_key").alias("set_key"), F.col("a").alias("rep")).union(near.select("b_key", "b"))
+    edges = edges.unionByName(run.saved(confirmed(near, sets_of(docs, wanted, shingle, run), percent), "links"))
+    owner = components(edges, run)
+
+    named = members.select("key", "set_key", "rep", "sketch").join(owner, F.col("rep") == F.col("node"), "left")
+    named = run.saved(named.select("key", "set_key", "rep", "sketch", F.coalesce("component", "rep").alias("component")), "named")
+    mixed = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(F.col("_low") != F.col("_high"))
+    rest = run.saved(named.join(mixed.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left_semi"), "mixed")
+    if not rest.isEmpty():
+        sets = sets_of(docs, rest.select("set_key", "rep"), shingle, run)
+        full = rest.select("set_key").distinct().join(classes.select("set_key", "bands"), "set_key").join(sets, "set_key")
+        links = run.saved(links_across(rest.join(full, "set_key"), percent), "links")
+        if not links.isEmpty():
+            owner = components(edges.unionByName(links), run)
+    out = rows.join(owner, F.col("rep") == F.col("node"), "left")
     # documents without a set, or without an id, stand alone
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = saved(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    run.clear()
+    return out

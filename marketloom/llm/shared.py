@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is missing, as in tests on one machine, a temporary folder is made and set.
+    Where the setting is missing, as in tests on one machine, a temporary folder is made and set; a
+    cluster without the setting is an error, as its machines would each write to a disk of their own.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-marketloom-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -37,6 +41,24 @@ def saved(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run in a folder of their own, which ``clear`` removes."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.n = spark, scratch_path(spark, label), 0
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Call when no table of the run will be read again."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
