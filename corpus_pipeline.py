@@ -35,10 +35,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group; of repeated rows one stays."""
+    """The document of the least doc_id of each group; of rows with equal doc_id and text one stays, and all without a doc_id."""
     kept = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    stays = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
