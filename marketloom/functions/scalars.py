@@ -76,17 +76,22 @@ def sold(active: str = "is_active", reason: str = "deactivation_reason") -> Colu
     return ~F.col(active) & (F.coalesce(F.col(reason), F.lit("")) == "sold")
 
 
-def coarse_fuel(fuel: Column) -> Column:
-    """Diesel, petrol, electric, hybrid, lpg or other, by what the text contains."""
+def sub_segment(fuel: Column, engine_cc: Column) -> Column:
+    """Fuel and size of the engine as one label, such as diesel_mid; electric cars have no size.
+
+    Null and empty fuels are ``unk``, other texts petrol; without a positive size the fuel stands alone.
+    """
     t = F.lower(fuel)
-    return (
-        F.when(t.contains("híbrid") | t.contains("hybrid"), "hybrid")
-        .when(t.contains("elétric") | t.contains("eletric") | t.contains("electric"), "electric")
+    kind = (
+        F.when(fuel.isNull() | (fuel == ""), "unk")
         .when(t.contains("diesel"), "diesel")
-        .when(t.contains("gasolina") | t.contains("petrol"), "petrol")
-        .when(t.contains("gpl") | t.contains("lpg"), "lpg")
-        .otherwise("other")
+        .when(t.contains("eléctrico") | t.contains("electr"), "electric")
+        .when(t.contains("híbrido") | t.contains("hybrid"), "hybrid")
+        .when(t.contains("gpl"), "gpl")
+        .otherwise("petrol")
     )
+    size = F.when(engine_cc < 1400, "small").when(engine_cc <= 2000, "mid").otherwise("large")
+    return F.when((kind == "electric") | ~F.coalesce(engine_cc > 0, F.lit(False)), kind).otherwise(F.concat_ws("_", kind, size))
 
 
 def repair_cost(severity: Column, predicted: Column, poor: Column) -> Column:
@@ -100,22 +105,45 @@ def mean(c: Column, digits: int = 4) -> Column:
     return F.sum(c.cast(f"decimal(28,{digits})")).cast("double") / F.count(c)
 
 
+# Most days on market, share of the last ask, weight of a sold row in training.
+SOLD_TIERS = [(14, 0.96, 0.90), (60, 0.94, 0.70), (180, 0.91, 0.50), (365, 0.88, 0.30)]
+
+
 def sold_tier(active: Column, reason: Column, days: Column) -> tuple[Column, Column]:
-    """(target multiplier, weight) of a training row: how fast a car sold says how well it was priced.
+    """(target multiplier, weight) of a training row: the longer a car took to sell, the less its last ask says.
 
-    Sold rows without usable days weigh nothing.
+    Other rows pass with 1 and 1. Sold rows whose whole days are unknown, negative or beyond the last
+    tier keep their price and weigh nothing.
     """
-    gone = ~active & (F.coalesce(reason, F.lit("")) == "sold")
-    bad = gone & (days.isNull() | (days < 0))
-    times = F.when(gone & (days <= 7), 1.0).when(gone & (days <= 30), 0.98).when(gone, 0.95).otherwise(1.0)
-    weight = F.when(bad, 0.0).when(gone & (days <= 30), 1.5).when(gone, 1.2).otherwise(1.0)
-    return F.when(bad, 1.0).otherwise(times), weight
+    gone = F.coalesce(~active & (reason == "sold"), F.lit(False))
+    usable = gone & (days >= 0)
+    times, weight = F.lit(1.0), F.when(gone, 0.0).otherwise(1.0)
+    for most, share, trust in reversed(SOLD_TIERS):
+        times, weight = F.when(usable & (days <= most), share).otherwise(times), F.when(usable & (days <= most), trust).otherwise(weight)
+    return times, weight
+
+
+def loss_weight(price: Column) -> Column:
+    """Weight before scaling: a miss of some per cent costs about the same at every price."""
+    return 1 / F.log1p(F.greatest(price, F.lit(0.0)) + 1)
+
+
+def damage_label(visible: Column, severity: Column) -> Column:
+    """true, false or null (not usable) from a viewer's answers; either answer can say no damage."""
+    return F.when(visible.isNull() | (severity.isNull()), None).when((severity == 0) | ~visible, False).when(severity >= 1, True)
 
 
-def damage_label(visible: Column, severity: Column, studio: Column) -> Column:
-    """true, false or null from a viewer's answers: contradictions and studio shots are not used."""
-    return F.when(F.coalesce(studio, F.lit(False)), None).when(visible & (severity >= 1), True).when(~visible & (severity == 0), False)
+def photo_decision(text_severity: Column, likeliest: Column, photos: Column, limit: float = 0.20) -> Column:
+    """A struct: decision (no_photos, photo_confirms, downgrade) and the recommended severity."""
+    none, sure = photos == 0, likeliest >= limit
+    decision = F.when(none, "no_photos").when(sure, "photo_confirms").otherwise("downgrade")
+    return F.struct(decision.alias("decision"), F.when(none | sure, text_severity).otherwise(0).cast("int").alias("severity"))
 
 
-def photo_decision(text_severity: Column, photos: Column, flagged: Column) -> Column:
-    return F.when(F.coalesce(photos, F.lit(0)) == 0, "no photos").when(flagged, "confirm").when(text_severity >= 2, "downgrade").otherwise("keep")
+def segment_score(undervaluation_pct: Column, sold: Column, median_dom: Column, trend_pct: Column) -> Column:
+    """0 to 1 and more: how worthwhile a segment is; unknown parts count as nothing, an even pace or no trend."""
+    cheap = clamp(F.coalesce(undervaluation_pct, F.lit(0.0)), 0, 30) / 30
+    liquid = F.log1p(F.coalesce(sold, F.lit(0)).cast("double")) / F.log1p(F.lit(50.0))
+    pace = 14 / F.greatest(F.coalesce(median_dom, F.lit(60.0)), F.lit(14.0))
+    trend = (clamp(F.coalesce(trend_pct, F.lit(0.0)), -10, 10) + 10) / 20
+    return 0.40 * cheap + 0.25 * liquid + 0.20 * pace + 0.15 * trend

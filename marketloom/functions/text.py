@@ -64,29 +64,76 @@ NEGOTIABLE = r"aceito propostas|negociavel|oportunidade|abaixo d[oe] mercado|pre
 NO_WARRANTY = r"sem garantia|nao (tem|inclui|oferec)\w* garantia"
 WARRANTY = r"\bgarantia\b"
 FLEET = r"\bex[ -]?taxi\b|\btaxi\b|\btvde\b|\buber\b|\bbolt\b|\bcabify\b|rent[ -]?a[ -]?car|\bfrota\b|carro de empresa|viatura de empresa|leasing terminado|fim de leasing|ex[ -]?aluguer"
-NEW_TYRES = r"pneus? (novos?|como novos?|recentes?)|pneus? a estrear"
-WORN_TYRES = r"pneus? (gastos?|usados?|carecas?|a precisar)"
-FIRST_OWNER = r"(um|1|primeiro|unico|1o) (so )?dono|de origem nacional com um dono"
-TUNING = {
-    "remap": r"\bremap\b",
-    "chip tuning": r"chip ?tuning",
-    "suspensão rebaixada": r"suspensao rebaixada",
-    "coilovers": r"\bcoilovers?\b",
-    "escape desportivo": r"escape desportivo(?! original)",
-    "downpipe": r"\bdownpipe\b",
-    "wrap": r"\bwrap\b",
-    "bodykit": r"\bbody ?kit\b",
-    "turbo upgrade": r"turbo upgrade",
-    "sem catalisador": r"sem catalisador|catalisador removido",
-}
-MAINTENANCE = {
-    "correia": r"(correia|distribuicao) (nova|feita|mudada|substituida)",
-    "embraiagem": r"embraiagem (nova|feita|mudada|substituida)",
-    "travões": r"(travoes|discos|pastilhas) (novos|novas|mudados|mudadas)",
-    "bateria": r"bateria nova",
-    "revisão": r"revisao (feita|recente|em dia)",
-    "óleo": r"(oleo e filtros|mudanca de oleo)",
-}
+# Tyre conditions and single owners, the first that holds, on unaccented text.
+TYRES = [
+    ("new", r"(4|quatro)?\s*pneus?\s+novos?"),
+    ("new", r"pneus?\s+(acabad|recente)\w*\s+d[eo]\s+(trocar|colocar|montar)"),
+    ("good", r"pneus?\s+(em\s+)?(bom|optimo|otimo|excelente)\s+estado"),
+    ("good", r"(8|9)0\s*%\s*(de\s+)?piso"),
+    ("good", r"pneus?\s+(bons?|recentes?)"),
+    ("fair", r"pneus?\s+(em\s+)?estado\s+razoavel"),
+    ("fair", r"(5|6)0\s*%\s*(de\s+)?piso"),
+    ("poor", r"pneus?\s+(gast|desgastad)"),
+    ("poor", r"precisa\s+d[eo]\s+pneus?"),
+]
+FIRST_OWNER = r"1\s*dono\s+(desde\s+novo|desde\s+0\s*km)|(unico|primeiro)\s+dono|comprad[oa]\s+nov[oa]\s+por\s+mim|\b1\s*dono\b|um\s+dono|sempre\s+o\s+mesmo\s+dono|unica\s+dona|um\s+registo"
+# Modifications; of the first two the words themselves are kept.
+REMAPPED, STAGE = r"reprogramacao\s*(stage\s*\d)?(\s*\w+)?", r"stage\s*[12]\b[^,.)]*"
+TUNING = [
+    ("remap", r"\bremap\b"),
+    ("chip tuning", r"chip\s*tuning"),
+    ("suspensão rebaixada", r"suspensao\s+rebaixada"),
+    ("coilovers", r"\bcoilovers?\b"),
+    ("escape desportivo", r"escape\s+desportivo(?!\s+original)"),
+    ("downpipe", r"\bdownpipe\b"),
+    ("wrap", r"\bwrap\b"),
+    ("bodykit", r"\bbodykit\b"),
+    ("bodykit", r"\bbody\s*kit\b"),
+    ("turbo upgrade", r"turbo\s+upgrade"),
+    ("intercooler upgrade", r"intercooler\s+(aftermarket|upgrade|maior)"),
+    ("sem catalisador", r"sem\s+catalisador"),
+    ("catalisador removido", r"catalisador\s+removido"),
+    ("pop & bang", r"pop\s*&?\s*bang"),
+    ("admissão desportiva", r"admissao\s+(desportiv|aftermarket|aberta)"),
+]
+SUSPENSION = r"\b(h&r|bilstein|eibach|tein)\b"
+# Finished maintenance work.
+MAINTENANCE = [
+    ("correia distribuição", r"correia\s+d[eo]\s+distribuicao[\w\s,]*(troca|feita|nova|substituida|aos\s+\d+)"),
+    ("kit distribuição", r"kit\s+distribuicao[\w\s,]*(troca|feita|nova|substituida|aos\s+\d+)"),
+    ("embreagem nova", r"embreagem\s+(nova|trocada|substituida|feita)"),
+    ("embreagem nova", r"embrai?agem\s+(nova|trocada|substituida|feita)"),
+    ("travões", r"(trocou|trocad[oa]s?|novos?|novas?).{0,30}(travoes|pastilhas)"),
+    ("pastilhas/discos travão", r"(pastilhas|discos)\s+d[eo]\s+travao\s+(novos?|novas?|trocad[oa]s?)"),
+    ("bomba de água", r"bomba\s+d[eo]\s+agua\s+(nova|trocada)"),
+    ("revisão", r"revisao\s+(feita|completa|geral|na\s+marca)"),
+    ("óleo e filtros", r"oleo\s+(e\s+filtros?\s+)?(trocad|mudad|feita)"),
+    ("filtros", r"filtros?\s+(trocad|novos?|mudad)"),
+    ("amortecedores", r"amortecedores?\s+(novos?|trocad)"),
+    ("molas", r"molas?\s+(novas?|trocad)"),
+    ("bateria nova", r"bateria\s+(nova|trocada)"),
+    ("pneus", r"pneus?\s+(novos?|trocad)"),
+    ("bomba combustível", r"bomba\s+d[eo]\s+combustivel\s+(nova|trocada)"),
+    ("juntas homocinéticas", r"juntas?\s+homo[\s-]?cineticas?\s+(novas?|trocad)"),
+    ("volante do motor", r"volante\s+d[eo]\s+motor\s+(novo|trocado)"),
+    ("turbo", r"turbo\s+(novo|recondicionado|trocad)"),
+    ("injetores", r"injetores?\s+(novos?|recondicionad|trocad)"),
+    ("bomba direção", r"bomba\s+d[eo]\s+direccao\s+(nova|trocada)"),
+    ("radiador", r"radiador\s+(novo|trocad)"),
+    ("alternador", r"alternador\s+(novo|trocad)"),
+    ("motor de arranque", r"motor\s+d[eo]\s+arranque\s+(novo|trocad)"),
+    ("valvulina caixa", r"valvulina\s+(trocada|nova|mudada)"),
+]
+MANY_PARTS, MANY_PARTS_LABEL = r"(pecas|material)\s+trocad\w*[\s:]*\n", "múltiplas peças trocadas (ver descrição)"
+
+
+def unaccented(c: Column) -> Column:
+    """Lower case without Portuguese accents; white space stays as it is."""
+    return F.translate(F.lower(c), "áàãâéêíóôõúç", "aaaaeeiooouc")
+
+
+def _holds(c: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_like(unaccented(c), F.lit(pattern)), F.lit(False))
 
 
 def folded(c: Column) -> Column:
@@ -125,9 +172,15 @@ def last_number(url: Column) -> Column:
 
 
 def price_eur(c: Column) -> Column:
-    """EUR text to double: cut at the first letter or sign, a dot before three digits separates thousands."""
-    number = F.regexp_extract(F.regexp_replace(c, r"\s", ""), r"^([0-9.,]+)", 1)
-    plain = F.regexp_replace(F.regexp_replace(number, r"\.(?=\d{3}(\D|$))", ""), ",", ".")
+    """EUR text to double; null if there is no number.
+
+    Only what precedes the first letter counts, and of it digits, dots and commas. A comma is the
+    decimal sign, dots before it separate thousands; without a comma, dots do so if three digits
+    follow the last one.
+    """
+    number = F.regexp_replace(F.regexp_extract(c, r"^([^a-zA-Zà-ÿ]*)", 1), r"[^\d,.]", "")
+    plain = F.when(number.contains(","), F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+    plain = plain.when(F.regexp_like(number, F.lit(r"\.[^.]{3}$")), F.replace(number, F.lit("."), F.lit(""))).otherwise(number)
     return plain.try_cast("double")
 
 
@@ -140,8 +193,11 @@ def lenient_double(c: Column) -> Column:
 
 
 def fixed_mileage(km: Column, year: Column, this_year: int) -> Column:
-    """A mileage under 1000 on a car of over two years lacks its thousands."""
-    return F.when((km > 0) & (km < 1000) & (F.lit(this_year) - year > 2), km * 1000).otherwise(km)
+    """Times 1000 where a mileage below 1000 lacks its thousands: without a year, below 500 a year, or where
+    the larger one gives 3,000 to 40,000 a year."""
+    age = F.greatest(F.lit(this_year) - year, F.lit(1))
+    lacks = year.isNull() | (km / age < 500) | (km * 1000 / age).between(3000, 40000)
+    return F.when((km != 0) & (km < 1000) & lacks, km * 1000).otherwise(km)
 
 
 def month_number(c: Column) -> Column:
@@ -185,16 +241,42 @@ def fleet(c: Column) -> Column:
 
 
 def tyres(c: Column) -> Column:
-    return F.when(says(c, NEW_TYRES), "new").when(says(c, WORN_TYRES), "worn")
+    """new, good, fair, poor or null."""
+    return F.coalesce(*[F.when(_holds(c, p), state) for state, p in TYRES])
 
 
 def first_owner(c: Column) -> Column:
-    return F.when(says(c, FIRST_OWNER), True)
-
-
-def found_labels(c: Column, table: dict[str, str]) -> Column:
-    """Labels whose pattern occurs, in the table's order."""
-    return F.array_compact(F.array(*[F.when(says(c, p), label) for label, p in table.items()]))
+    return F.when(_holds(c, FIRST_OWNER), True)
+
+
+def tuning(c: Column) -> Column:
+    """Modifications as an array of labels, in the order of the rules; null text has none."""
+    t = unaccented(F.coalesce(c, F.lit("")))
+    found = lambda p: F.nullif(F.trim(F.regexp_extract(t, p, 0)), F.lit(""))
+    remapped, stage = found(REMAPPED), found(STAGE)
+    # a stage that the first words already name is not told twice
+    told = F.coalesce(remapped.contains(stage) | stage.contains(remapped), F.lit(False))
+    marks = [remapped, F.when(~told, stage), *[F.when(_holds(c, p), label) for label, p in TUNING]]
+    kw = F.when(_holds(c, r"\bkw\b(?!\s*h\b)(?!\s*\d)") & ~_holds(c, r"\d+\s*kw\b"), F.array(F.lit("kw"))).otherwise(F.array())
+    brands = F.transform(F.concat(F.regexp_extract_all(t, F.lit(SUSPENSION), 1), kw), lambda b: F.concat(F.lit("suspensão "), F.upper(b)))
+    return F.array_distinct(F.concat(F.array_compact(F.array(*marks)), brands))
+
+
+def maintenance(c: Column) -> Column:
+    """Finished work as an array of labels, with the km told within 40 characters; null text has none."""
+    t = unaccented(F.coalesce(c, F.lit("")))
+
+    def label(name: str, pattern: str) -> Column:
+        start, n = F.regexp_instr(t, F.lit(pattern)), F.length(F.regexp_extract(t, pattern, 0))
+        before = F.greatest(start - 40, F.lit(1))
+        km = F.replace(F.regexp_extract(F.substring(t, before, start + n + 40 - before), r"(\d[\d.]*)\s*km", 1), F.lit("."), F.lit(""))
+        return F.when(start > 0, F.when(km == "", name).otherwise(F.concat(F.lit(f"{name} ("), km, F.lit("km)"))))
+
+    by_name: dict[str, list[Column]] = {}
+    for name, pattern in MAINTENANCE:
+        by_name.setdefault(name, []).append(label(name, pattern))
+    found = F.array_compact(F.array(*[F.coalesce(*x) for x in by_name.values()]))
+    return F.when((F.size(found) == 0) & F.regexp_like(t, F.lit(MANY_PARTS)), F.array(F.lit(MANY_PARTS_LABEL))).otherwise(found)
 
 
 def damage_severity(text: Column, condition: Column, accident: Column, repair: Column, guaranteed: Column) -> Column:

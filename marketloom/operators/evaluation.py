@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import md5_share, mean, median_of, ratio
+from ..functions.scalars import loss_weight, md5_share, mean, median_of, ratio, sold_tier, whole_days
 
 
 def residuals(df: DataFrame, actual: str, predicted: str, low: str | None = None, high: str | None = None) -> DataFrame:
@@ -196,6 +196,16 @@ def training_filter(df: DataFrame, price: str, first: str, km: str, year: str, t
     return marked.where("_inside AND _used").drop("_p1", "_p99", "_inside", "_used"), counts
 
 
+def training_weights(df: DataFrame, price: str = "price_eur") -> DataFrame:
+    """Adds ``target`` (what the car was worth) and ``weight``: loss weights of mean 1, times the trust in sold rows."""
+    days = whole_days(F.col("deactivated_at"), F.col("first_seen_at"))
+    times, trust = sold_tier(F.col("is_active"), F.col("deactivation_reason"), days)
+    rows = df.withColumn("target", F.col(price) * times)
+    # one row
+    mean = rows.agg(F.avg(loss_weight(F.col("target"))).alias("_mean"))
+    return rows.join(F.broadcast(mean), F.lit(True)).withColumn("weight", loss_weight(F.col("target")) / F.col("_mean") * trust).drop("_mean")
+
+
 def waterfall(contributions: DataFrame, key: str, feature: str, value: str, base: str, top: int = 5) -> DataFrame:
     """Steps from the base price by falling contribution; EUR of each step on the log scale, rest as one.
 

@@ -199,16 +199,19 @@ def segment_trend(snapshots: DataFrame, days: int = 90, listing: str = "listing_
 
 
 def stats_trend(stats: DataFrame, as_of: str, days: int = 60, keys: tuple[str, ...] = ("brand", "model")) -> DataFrame:
-    """First against last median of daily stats within ``days``, at least two points."""
+    """Change in % from the first to the last daily median within ``days``, to one decimal; at least two points, the first over 0."""
     rows = stats.where((F.col("date") >= F.date_sub(at(as_of).cast("date"), days)) & F.col("median_price_eur").isNotNull())
     out = rows.groupBy(*keys).agg(F.min_by("median_price_eur", "date").alias("first"), F.max_by("median_price_eur", "date").alias("last"), F.countDistinct("date").alias("points"))
-    return out.where(F.col("points") >= 2).withColumn("trend", F.round(ratio(F.col("last") - F.col("first"), F.col("first")), 4))
+    return out.where((F.col("points") >= 2) & (F.col("first") > 0)).withColumn("trend", F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 1))
 
 
-def sale_velocity(df: DataFrame, fast: int = 21, rows: int = 3, keys: tuple[str, ...] = ("brand", "model")) -> DataFrame:
-    """Share of inactive rows (whatever the reason) gone within ``fast`` days; lifespans over 0 count."""
+def sale_velocity(df: DataFrame, fast: int = 21, rows: int = 3, keys: tuple[str, ...] = SEGMENT) -> DataFrame:
+    """Share of inactive rows (whatever the reason) gone within ``fast`` days, by segment; lifespans over 0 count.
+
+    A null key is a key of its own.
+    """
     span = whole_days(F.col("deactivated_at"), F.col("first_seen_at"))
-    gone = df.where(~F.col("is_active") & present(*keys) & (span > 0))
+    gone = df.where(~F.col("is_active") & (span > 0))
     return gone.groupBy(*keys).agg(F.round(F.avg((span <= fast).cast("int")), 6).alias("velocity"), F.count("*").alias("n")).where(F.col("n") >= rows)
 
 

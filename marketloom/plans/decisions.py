@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp
+from ..functions.scalars import segment_score
 from ..operators import deals as g
 from ..operators import enrich as n
 from ..operators import market as m
@@ -233,6 +233,12 @@ def _(t: Tables) -> DataFrame:
     return g.verdict_histogram(decided(t)).select("verdict", "n", "share")
 
 
-@query("x30_segment_score", "SELECT p_partkey, round(0.4::DOUBLE * greatest(0, least(1, p_size / 50)) + 0.25::DOUBLE * greatest(0, least(1, p_retailprice / 2000)) + 0.1::DOUBLE + 0.15::DOUBLE, 9) AS score FROM part")
+@query(
+    "x30_segment_score",
+    """SELECT p_partkey, round(0.4 * CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE least(30, greatest(0, p_size - 10)) / 30 END + 0.25 * CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE ln(1 + p_size) / ln(51) END
+    + 0.2 * CASE WHEN p_partkey % 3 = 0 THEN 14 / 60 ELSE 14 / greatest(14, p_size * 2) END + 0.15 * CASE WHEN p_partkey % 11 = 0 THEN 0.5 ELSE (least(10, greatest(-10, p_size - 25)) + 10) / 20 END, 9) AS score FROM part""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.round(0.4 * clamp(F.col("p_size") / 50, 0, 1) + 0.25 * clamp(F.col("p_retailprice") / 2000, 0, 1) + 0.1 + 0.15, 9).alias("score"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    score = segment_score(F.when(k % 7 > 0, size - 10), F.when(k % 5 > 0, F.col("p_size")), F.when(k % 3 > 0, size * 2), F.when(k % 11 > 0, size - 25))
+    return t.part.select("p_partkey", F.round(score, 9).alias("score"))

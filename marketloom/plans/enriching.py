@@ -80,7 +80,7 @@ def generations(t: Tables) -> DataFrame:
     f"""WITH turn AS ({TURNOVER_SQL}), {GENERATIONS_SQL}, g AS (SELECT olx_id, arg_max(name, year_from) AS generation_name FROM listings l
       JOIN generations n ON l.brand = n.brand AND l.model = n.model AND l.year BETWEEN n.year_from AND n.year_to GROUP BY 1)
     SELECT l.olx_id, l.price_eur, generation_name, avg_days_to_sell,
-      CASE WHEN lower(fuel_type) LIKE '%eletric%' THEN 'electric' WHEN lower(fuel_type) LIKE '%diesel%' THEN 'diesel' WHEN lower(fuel_type) LIKE '%gasolina%' THEN 'petrol' ELSE 'other' END AS fuel_group
+      CASE fuel_type WHEN 'Diesel' THEN 'diesel' WHEN 'Gasolina' THEN 'petrol' WHEN 'Eletrico' THEN 'petrol' ELSE 'unk' END || CASE WHEN engine_cc <= 0 THEN '' WHEN engine_cc < 1400 THEN '_small' WHEN engine_cc <= 2000 THEN '_mid' ELSE '_large' END AS sub_segment
     FROM listings l LEFT JOIN g USING (olx_id)
     LEFT JOIN turn ON l.brand = turn.brand AND l.model = turn.model AND l.generation = turn.generation WHERE is_active AND duplicate_of IS NULL""",
 )
@@ -89,7 +89,7 @@ def _(t: Tables) -> DataFrame:
     named = n.assign_generation(rows, generations(t))
     turn = m.turnover(t.listings, "2001-06-01 00:00:00").select("brand", "model", "generation", "avg_days_to_sell")
     out = rows.join(named, "olx_id", "left").join(turn, ["brand", "model", "generation"], "left")
-    return out.select("olx_id", "price_eur", "generation_name", "avg_days_to_sell", s.coarse_fuel(F.col("fuel_type")).alias("fuel_group"))
+    return out.select("olx_id", "price_eur", "generation_name", "avg_days_to_sell", s.sub_segment(F.col("fuel_type"), F.col("engine_cc")).alias("sub_segment"))
 
 
 STATED = "CASE WHEN part_id % 4 = 0 THEN NULL ELSE CAST(mileage_km * (part_id % 15) AS BIGINT) END"

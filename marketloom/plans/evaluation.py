@@ -313,12 +313,16 @@ def _(t: Tables) -> DataFrame:
     return n.groupBy("brand").agg(F.array_join(F.transform(ranked, lambda x: F.concat(x["model"], F.lit(":"), x["n"].cast("string"))), ",").alias("top"))
 
 
-@query("m03_sold_weights", "SELECT olx_id, round(1 / ln(2 + greatest(0, epoch(:as_of - first_seen_at) / 86400 / 365)), 6) AS weight FROM listings")
+@query(
+    "m03_sold_weights",
+    """WITH d AS (SELECT olx_id, price_eur, CASE WHEN NOT is_active AND deactivation_reason = 'sold' THEN floor(epoch(deactivated_at - first_seen_at) / 86400) ELSE -1 END AS days, NOT is_active AND deactivation_reason = 'sold' AS gone FROM listings),
+    w AS (SELECT olx_id, price_eur * CASE WHEN days < 0 OR days > 365 THEN 1 WHEN days <= 14 THEN 0.96 WHEN days <= 60 THEN 0.94 WHEN days <= 180 THEN 0.91 ELSE 0.88 END::DOUBLE AS target,
+      CASE WHEN NOT coalesce(gone, false) THEN 1 WHEN days < 0 OR days > 365 THEN 0 WHEN days <= 14 THEN 0.9 WHEN days <= 60 THEN 0.7 WHEN days <= 180 THEN 0.5 ELSE 0.3 END::DOUBLE AS trust FROM d),
+    raw AS (SELECT *, 1 / ln(greatest(target, 0) + 2) AS raw FROM w)
+    SELECT olx_id, round(target, 4) AS target, round(raw / (SELECT avg(raw) FROM raw) * trust, 6) AS weight FROM raw""",
+)
 def _(t: Tables) -> DataFrame:
-    from ..functions.scalars import at, days_between
-
-    years = F.greatest(F.lit(0.0), days_between(at(AS_OF), F.col("first_seen_at")) / 365)
-    return t.listings.select("olx_id", F.round(1 / F.log(2 + years), 6).alias("weight"))
+    return v.training_weights(t.listings).select("olx_id", F.round("target", 4).alias("target"), F.round("weight", 6).alias("weight"))
 
 
 @query("e08_dom_by_fuel", "SELECT fuel_type, median(epoch(deactivated_at - first_seen_at) / 86400) AS median, count(*) AS n FROM listings WHERE NOT is_active GROUP BY 1")

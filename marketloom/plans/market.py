@@ -169,8 +169,8 @@ def _(t: Tables) -> DataFrame:
 @query(
     "e14_stats_trend",
     f"""WITH d AS ({DAILY_SQL}) SELECT brand, model, arg_min(median_price_eur, date) AS first, arg_max(median_price_eur, date) AS last, count(DISTINCT date) AS points,
-    round((arg_max(median_price_eur, date) - arg_min(median_price_eur, date)) / arg_min(median_price_eur, date), 4) AS trend
-    FROM d WHERE date >= DATE '2024-01-31' - 60 GROUP BY 1, 2 HAVING count(DISTINCT date) >= 2""",
+    round((arg_max(median_price_eur, date) - arg_min(median_price_eur, date)) / arg_min(median_price_eur, date) * 100, 1) AS trend
+    FROM d WHERE date >= DATE '2024-01-31' - 60 GROUP BY 1, 2 HAVING count(DISTINCT date) >= 2 AND arg_min(median_price_eur, date) > 0""",
 )
 def _(t: Tables) -> DataFrame:
     return m.stats_trend(m.daily_market_stats(t.snapshots), "2024-01-31 00:00:00")
@@ -178,8 +178,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "e15_sale_velocity",
-    """SELECT brand, model, round(avg((d <= 21)::INT), 6) AS velocity, count(*) AS n FROM
-    (SELECT brand, model, floor(epoch(deactivated_at - first_seen_at) / 86400) AS d FROM listings WHERE NOT is_active) WHERE d > 0 GROUP BY 1, 2 HAVING count(*) >= 3""",
+    """SELECT brand, model, generation, round(avg((d <= 21)::INT), 6) AS velocity, count(*) AS n FROM
+    (SELECT brand, model, generation, floor(epoch(deactivated_at - first_seen_at) / 86400) AS d FROM listings WHERE NOT is_active) WHERE d > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
 )
 def _(t: Tables) -> DataFrame:
     return m.sale_velocity(t.listings)

@@ -78,26 +78,32 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", x.deal_message(F.col("p_name"), F.floor("p_retailprice").cast("double"), F.col("p_size").cast("double"), [(F.col("p_size") % 2 == 0, "odd")], []).alias("message"))
 
 
-DAYS = "CASE WHEN part_id % 9 > 0 THEN part_id % 60 - 2 END"
-
-
 @query(
     "x32_sold_tiers",
-    f"""WITH d AS (SELECT olx_id, coalesce(NOT is_active AND deactivation_reason = 'sold', false) AS gone, {DAYS} AS days FROM listings)
-    SELECT olx_id, (CASE WHEN gone AND (days IS NULL OR days < 0) THEN 1.0 WHEN gone AND days <= 7 THEN 1.0 WHEN gone AND days <= 30 THEN 0.98 WHEN gone THEN 0.95 ELSE 1.0 END)::DOUBLE AS times,
-    (CASE WHEN gone AND (days IS NULL OR days < 0) THEN 0.0 WHEN gone AND days <= 30 THEN 1.5 WHEN gone THEN 1.2 ELSE 1.0 END)::DOUBLE AS weight FROM d""",
+    """WITH d AS (SELECT olx_id, coalesce(NOT is_active AND deactivation_reason = 'sold', false) AS gone, CASE WHEN part_id % 9 > 0 THEN part_id * 7 % 400 - 5 END AS days FROM listings)
+    SELECT olx_id, (CASE WHEN NOT gone OR days IS NULL OR days < 0 OR days > 365 THEN 1.0 WHEN days <= 14 THEN 0.96 WHEN days <= 60 THEN 0.94 WHEN days <= 180 THEN 0.91 ELSE 0.88 END)::DOUBLE AS times,
+    (CASE WHEN NOT gone THEN 1.0 WHEN days IS NULL OR days < 0 OR days > 365 THEN 0.0 WHEN days <= 14 THEN 0.9 WHEN days <= 60 THEN 0.7 WHEN days <= 180 THEN 0.5 ELSE 0.3 END)::DOUBLE AS weight FROM d""",
 )
 def _(t: Tables) -> DataFrame:
-    times, weight = s.sold_tier(F.col("is_active"), F.col("deactivation_reason"), F.when(F.col("part_id") % 9 > 0, F.col("part_id") % 60 - 2))
+    times, weight = s.sold_tier(F.col("is_active"), F.col("deactivation_reason"), F.when(F.col("part_id") % 9 > 0, F.col("part_id") * 7 % 400 - 5))
     return t.listings.select("olx_id", times.alias("times"), weight.alias("weight"))
 
 
-@query("x36_damage_label", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_size % 2 = 0 AND p_size % 3 >= 1 THEN true WHEN p_size % 2 = 1 AND p_size % 3 = 0 THEN false END AS damaged FROM part")
+@query(
+    "x36_damage_label",
+    """WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_size % 2 = 0 END AS visible, CASE WHEN p_partkey % 7 > 0 THEN p_size % 3 END AS severity FROM part)
+    SELECT p_partkey, CASE WHEN visible IS NULL OR severity IS NULL THEN NULL WHEN severity = 0 OR NOT visible THEN false ELSE true END AS damaged FROM a""",
+)
 def _(t: Tables) -> DataFrame:
-    k = F.col("p_size")
-    return t.part.select("p_partkey", s.damage_label(k % 2 == 0, k % 3, F.col("p_partkey") % 5 == 0).alias("damaged"))
+    k = F.col("p_partkey")
+    return t.part.select("p_partkey", s.damage_label(F.when(k % 5 > 0, F.col("p_size") % 2 == 0), F.when(k % 7 > 0, F.col("p_size") % 3)).alias("damaged"))
 
 
-@query("x37_photo_decision", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'no photos' WHEN p_partkey % 3 = 0 THEN 'confirm' WHEN p_size % 5 >= 2 THEN 'downgrade' ELSE 'keep' END AS decision FROM part")
+@query(
+    "x37_photo_decision",
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'no_photos' WHEN p_partkey % 10 >= 2 THEN 'photo_confirms' ELSE 'downgrade' END AS decision,
+    CAST(CASE WHEN p_size % 4 = 0 OR p_partkey % 10 >= 2 THEN 2 + p_size % 2 ELSE 0 END AS INT) AS severity FROM part""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", s.photo_decision(F.col("p_size") % 5, F.col("p_size") % 4, F.col("p_partkey") % 3 == 0).alias("decision"))
+    decision = s.photo_decision(2 + F.col("p_size") % 2, F.col("p_partkey") % 10 / 10, F.col("p_size") % 4)
+    return t.part.select("p_partkey", decision.alias("_d")).select("p_partkey", "_d.*")

@@ -24,13 +24,21 @@ PHRASES = [
     "desde fevereiro de 2020",
     "12.500 € negociável",
     "matrícula AA-12-BB",
+    "reprogramação stage 1, stage 2 e coilovers, body kit",
+    "stage 2 com suspensão KW e Bilstein",
+    "150 kW, escape desportivo original, pneus desgastados",
+    "correia de distribuição feita aos 120.000 km, embraiagem nova",
+    "peças trocadas:\nvárias, único dono",
+    "4 pneus novos, óleo e filtros trocados, pop & bang",
+    "pneus em bom estado, comprado novo por mim",
+    "50% de piso, sempre o mesmo dono, downpipe, travões: trocadas as pastilhas",
 ]
 FOLD = "regexp_replace(translate(lower({0}), 'áàãâäéêèëíìïóôõòöúùüçñ', 'aaaaaeeeeiiiooooouuucn'), '\\s+', ' ', 'g')"
-SPOKEN_SQL = "spoken AS (SELECT p_partkey AS id, p_size AS size, p_name || ' ' || CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END AS text, " "CASE p_partkey % 5 WHEN 0 THEN 'poor' WHEN 1 THEN 'excellent' END AS condition, CASE WHEN p_partkey % 7 = 0 THEN true END AS accident FROM part)"
+SPOKEN_SQL = "spoken AS (SELECT p_partkey AS id, p_size AS size, p_name || ' ' || CASE p_partkey % 21 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END AS text, " "CASE p_partkey % 5 WHEN 0 THEN 'poor' WHEN 1 THEN 'excellent' END AS condition, CASE WHEN p_partkey % 7 = 0 THEN true END AS accident FROM part)"
 
 
 def spoken(t: Tables) -> DataFrame:
-    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("p_partkey") % 13).cast("int"))
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("p_partkey") % 21).cast("int"))
     k = F.col("p_partkey")
     return t.part.select(
         k.alias("id"), F.col("p_size").alias("size"), F.concat_ws(" ", "p_name", phrase).alias("text"), F.when(k % 5 == 0, "poor").when(k % 5 == 1, "excellent").alias("condition"), F.when(k % 7 == 0, True).alias("accident")
@@ -56,8 +64,30 @@ text_query("x03_folded", "t AS folded", lambda: ("folded", x.folded(F.col("text"
 text_query("x14_urgency", f"CASE WHEN {matches(x.URGENT)} THEN 'high' WHEN {matches(x.NEGOTIABLE)} THEN 'medium' ELSE 'low' END AS urgency", lambda: ("urgency", x.urgency(F.col("text"))))
 text_query("x15_warranty", f"CASE WHEN {matches(x.NO_WARRANTY)} THEN false WHEN {matches(x.WARRANTY)} THEN true END AS warranty", lambda: ("warranty", x.warranty(F.col("text"))))
 text_query("x17_fleet", f"CASE WHEN {matches(x.FLEET)} THEN true END AS fleet", lambda: ("fleet", x.fleet(F.col("text"))))
-text_query("x19_tyres", f"CASE WHEN {matches(x.NEW_TYRES)} THEN 'new' WHEN {matches(x.WORN_TYRES)} THEN 'worn' END AS tyres", lambda: ("tyres", x.tyres(F.col("text"))))
-text_query("x19_first_owner", f"CASE WHEN {matches(x.FIRST_OWNER)} THEN true END AS first_owner", lambda: ("first_owner", x.first_owner(F.col("text"))))
+UNACCENTED = "translate(lower({0}), 'áàãâéêíóôõúç', 'aaaaeeiooouc')"
+
+
+def unaccented_sql(select: str, more: str = "") -> str:
+    return f"WITH {SPOKEN_SQL}, u AS (SELECT id, {UNACCENTED.format('text')} AS u FROM spoken){more} SELECT id, {select} FROM u"
+
+
+@query(
+    "x19_tyres",
+    unaccented_sql(
+        """CASE WHEN regexp_matches(u, 'pneus? +novos?|pneus? +(acabad|recente)[a-z]* +d[eo] +(trocar|colocar|montar)') THEN 'new'
+    WHEN regexp_matches(u, 'pneus? +(em +)?(bom|optimo|otimo|excelente) +estado|[89]0 *% *(de +)?piso|pneus? +(bons?|recentes?)') THEN 'good'
+    WHEN regexp_matches(u, 'pneus? +(em +)?estado +razoavel|[56]0 *% *(de +)?piso') THEN 'fair' WHEN regexp_matches(u, 'pneus? +(gast|desgastad)|precisa +d[eo] +pneus?') THEN 'poor' END AS tyres"""
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return spoken(t).select("id", x.tyres(F.col("text")).alias("tyres"))
+
+
+@query("x19_first_owner", unaccented_sql("CASE WHEN regexp_matches(u, '(^|[^0-9a-z])1 *dono([^a-z]|$)|1 *dono +desde +(novo|0 *km)|(unico|primeiro|um|mesmo) +dono|comprad[oa] +nov[oa] +por +mim|unica +dona|um +registo') THEN true END AS first_owner"))
+def _(t: Tables) -> DataFrame:
+    return spoken(t).select("id", x.first_owner(F.col("text")).alias("first_owner"))
+
+
 SEVERITY_SQL = f"""CAST(CASE WHEN {matches(x.PARTS_ONLY)} OR {matches(x.NON_RUNNER)} THEN 3 WHEN {matches(x.SEVERE)} THEN CASE WHEN coalesce(condition = 'poor', false) THEN 3 ELSE 2 END
   WHEN coalesce(accident, false) OR coalesce(condition = 'poor', false) THEN 2 WHEN coalesce(condition = 'excellent', false) OR {matches(x.PRISTINE)} THEN 0 ELSE 1 END AS INT)"""
 
@@ -84,14 +114,55 @@ def _(t: Tables) -> DataFrame:
     return spoken(t).select("id", F.concat_ws(",", x.plates(F.col("text"))).alias("plates"))
 
 
-@query("x16_tuning")
+TUNING_SQL = [
+    ("remap", r"\bremap\b"),
+    ("chip tuning", r"chip\s*tuning"),
+    ("suspensão rebaixada", r"suspensao\s+rebaixada"),
+    ("coilovers", r"\bcoilovers?\b"),
+    ("downpipe", r"\bdownpipe\b"),
+    ("wrap", r"\bwrap\b"),
+    ("bodykit", r"\bbody\s*kit\b"),
+    ("turbo upgrade", r"turbo\s+upgrade"),
+    ("intercooler upgrade", r"intercooler\s+(aftermarket|upgrade|maior)"),
+    ("sem catalisador", r"sem\s+catalisador"),
+    ("catalisador removido", r"catalisador\s+removido"),
+    ("pop & bang", r"pop\s*&?\s*bang"),
+    ("admissão desportiva", r"admissao\s+(desportiv|aftermarket|aberta)"),
+]
+_marks = [f"CASE WHEN regexp_matches(u, '{p}') THEN '{label}' END" for label, p in TUNING_SQL]
+# RE2 has no lookahead: factory exhausts and power in kW are taken out first
+_marks.insert(4, "CASE WHEN regexp_matches(regexp_replace(u, 'escape\\s+desportivo\\s+original', '', 'g'), 'escape\\s+desportivo') THEN 'escape desportivo' END")
+
+
+@query(
+    "x16_tuning",
+    unaccented_sql(
+        f"""concat_ws(',', nullif(m0, ''), CASE WHEN m1 <> '' AND NOT (m0 <> '' AND (contains(m0, m1) OR contains(m1, m0))) THEN m1 END, {", ".join(_marks)},
+    nullif(array_to_string(list_transform(regexp_extract_all(u, '\\b(h&r|bilstein|eibach|tein)\\b', 1), lambda b: 'suspensão ' || upper(b)), ','), ''),
+    CASE WHEN regexp_matches(u, '\\bkw\\b') AND NOT regexp_matches(u, '\\d\\s*kw\\b|\\bkw\\s*(h\\b|\\d)') THEN 'suspensão KW' END) AS tuning"""
+    ).replace("FROM u", "FROM (SELECT *, trim(regexp_extract(u, 'reprogramacao\\s*(stage\\s*\\d)?(\\s*\\w+)?')) AS m0, trim(regexp_extract(u, 'stage\\s*[12]\\b[^,.)]*')) AS m1 FROM u)"),
+)
 def _(t: Tables) -> DataFrame:
-    return spoken(t).select("id", F.concat_ws(",", x.found_labels(F.col("text"), x.TUNING)).alias("tuning"))
+    return spoken(t).select("id", F.concat_ws(",", x.tuning(F.col("text"))).alias("tuning"))
 
 
-@query("x18_maintenance")
+MAINTENANCE_SQL = r"""rules(k, label, p) AS (VALUES (1, 'correia distribuição', 'correia\s+d[eo]\s+distribuicao[\w\s,]*(troca|feita|nova|substituida|aos\s+\d+)'),
+    (2, 'kit distribuição', 'kit\s+distribuicao[\w\s,]*(troca|feita|nova|substituida|aos\s+\d+)'), (3, 'embreagem nova', 'embrai?agem\s+(nova|trocada|substituida|feita)|embreagem\s+(nova|trocada|substituida|feita)'),
+    (4, 'travões', '(trocou|trocad[oa]s?|novos?|novas?).{0,30}(travoes|pastilhas)'), (5, 'pastilhas/discos travão', '(pastilhas|discos)\s+d[eo]\s+travao\s+(nov[oa]s?|trocad[oa]s?)'),
+    (6, 'bomba de água', 'bomba\s+d[eo]\s+agua\s+(nova|trocada)'), (7, 'revisão', 'revisao\s+(feita|completa|geral|na\s+marca)'), (8, 'óleo e filtros', 'oleo\s+(e\s+filtros?\s+)?(trocad|mudad|feita)'),
+    (9, 'filtros', 'filtros?\s+(trocad|novos?|mudad)'), (10, 'amortecedores', 'amortecedores?\s+(novos?|trocad)'), (11, 'molas', 'molas?\s+(novas?|trocad)'), (12, 'bateria nova', 'bateria\s+(nova|trocada)'),
+    (13, 'pneus', 'pneus?\s+(novos?|trocad)'), (14, 'bomba combustível', 'bomba\s+d[eo]\s+combustivel\s+(nova|trocada)'), (15, 'juntas homocinéticas', 'juntas?\s+homo[\s-]?cineticas?\s+(novas?|trocad)'),
+    (16, 'volante do motor', 'volante\s+d[eo]\s+motor\s+(novo|trocado)'), (17, 'turbo', 'turbo\s+(novo|recondicionado|trocad)'), (18, 'injetores', 'injetores?\s+(novos?|recondicionad|trocad)'),
+    (19, 'bomba direção', 'bomba\s+d[eo]\s+direc[cç][aã]o\s+(nova|trocada)'), (20, 'radiador', 'radiador\s+(novo|trocad)'), (21, 'alternador', 'alternador\s+(novo|trocad)'),
+    (22, 'motor de arranque', 'motor\s+d[eo]\s+arranque\s+(novo|trocad)'), (23, 'valvulina caixa', 'valvulina\s+(trocada|nova|mudada)')),
+    hits AS (SELECT id, k, label, u, length(regexp_extract(u, '(?s)^(.*?)(?:' || p || ')', 1)) AS before, length(regexp_extract(u, p)) AS n FROM u JOIN rules ON regexp_matches(u, p)),
+    told AS (SELECT id, string_agg(label || CASE WHEN km = '' THEN '' ELSE ' (' || replace(km, '.', '') || 'km)' END, ',' ORDER BY k) AS done
+      FROM (SELECT *, regexp_extract(substring(u, greatest(before - 39, 1), before + n + 41 - greatest(before - 39, 1)), '(\d[\d.]*)\s*km', 1) AS km FROM hits) GROUP BY 1)"""
+
+
+@query("x18_maintenance", unaccented_sql("coalesce(done, CASE WHEN regexp_matches(u, '(pecas|material)\\s+trocad\\w*[\\s:]*\\n') THEN 'múltiplas peças trocadas (ver descrição)' ELSE '' END) AS maintenance", f", {MAINTENANCE_SQL}") + " LEFT JOIN told USING (id)")
 def _(t: Tables) -> DataFrame:
-    return spoken(t).select("id", F.concat_ws(",", x.found_labels(F.col("text"), x.MAINTENANCE)).alias("maintenance"))
+    return spoken(t).select("id", F.concat_ws(",", x.maintenance(F.col("text"))).alias("maintenance"))
 
 
 @query("b18_severity_transitions", f"WITH {SPOKEN_SQL}, f AS (SELECT *, {FOLD.format('text')} AS t FROM spoken), r AS (SELECT CAST(size % 4 AS INT) AS old, {SEVERITY_SQL} AS new FROM f) SELECT old, new, count(*) AS n FROM r WHERE old <> new GROUP BY 1, 2")
@@ -126,10 +197,20 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", x.last_number(F.col("url")).alias("id"))
 
 
-@query("x07_price_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice) ELSE floor(o_totalprice) + 0.5 END::DOUBLE AS price FROM orders")
+@query(
+    "x07_price_text",
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN floor(o_totalprice) WHEN 1 THEN floor(o_totalprice) + 0.5 WHEN 2 THEN floor(o_totalprice) WHEN 3 THEN o_orderkey % 100 + 0.5 WHEN 4 THEN NULL ELSE floor(o_totalprice) END::DOUBLE AS price FROM orders""",
+)
 def _(t: Tables) -> DataFrame:
-    whole = F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", ".")
-    written = F.when(F.col("o_orderkey") % 4 == 0, F.concat(whole, F.lit(" € negociável 123"))).otherwise(F.concat(whole, F.lit(",50 EUR")))
+    k, whole = F.col("o_orderkey") % 6, F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", ".")
+    written = (
+        F.when(k == 0, F.concat(whole, F.lit(" € negociável 123")))
+        .when(k == 1, F.concat(whole, F.lit(",50 EUR")))
+        .when(k == 2, F.concat(F.lit("€ "), whole))
+        .when(k == 3, F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit(".5")))
+        .when(k == 4, F.concat(F.lit("Preço "), whole))
+        .otherwise(F.concat(F.floor("o_totalprice").cast("string"), F.lit(" €")))
+    )
     return t.orders.select("o_orderkey", x.price_eur(written).alias("price"))
 
 
@@ -138,14 +219,26 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", x.digits(F.col("c_name")).alias("n"))
 
 
-@query("x09_fixed_mileage", "SELECT p_partkey, CASE WHEN p_size * 40 > 0 AND p_size * 40 < 1000 AND 2024 - (2010 + p_partkey % 15) > 2 THEN p_size * 40000 ELSE p_size * 40 END AS km FROM part")
+@query(
+    "x09_fixed_mileage",
+    """WITH k AS (SELECT p_partkey, p_size * 40 AS km, CASE WHEN p_partkey % 7 > 0 THEN greatest(1, 2024 - (2010 + p_partkey % 15)) END AS age FROM part)
+    SELECT p_partkey, CASE WHEN km >= 1000 THEN km WHEN age IS NULL OR km < 500 * age OR 1000 * km >= 3000 * age AND 1000 * km <= 40000 * age THEN 1000 * km ELSE km END AS km FROM k""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", x.fixed_mileage(F.col("p_size") * 40, 2010 + F.col("p_partkey") % 15, 2024).alias("km"))
+    year = F.when(F.col("p_partkey") % 7 > 0, 2010 + F.col("p_partkey") % 15)
+    return t.part.select("p_partkey", x.fixed_mileage(F.col("p_size") * 40, year, 2024).alias("km"))
 
 
-@query("x27_fuel_group", "SELECT olx_id, CASE fuel_type WHEN 'Diesel' THEN 'diesel' WHEN 'Gasolina' THEN 'petrol' WHEN 'Eletrico' THEN 'electric' ELSE 'other' END AS fuel FROM listings")
+@query(
+    "x27_sub_segment",
+    """WITH f AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'diesel' WHEN 1 THEN 'petrol' WHEN 2 THEN 'electric' WHEN 3 THEN 'hybrid' WHEN 4 THEN 'gpl' WHEN 5 THEN 'unk' ELSE 'diesel' END AS fuel,
+      CASE WHEN p_size % 9 > 0 THEN p_size * 60 - 60 END AS cc FROM part)
+    SELECT p_partkey, fuel || CASE WHEN fuel = 'electric' OR coalesce(cc, 0) <= 0 THEN '' WHEN cc < 1400 THEN '_small' WHEN cc <= 2000 THEN '_mid' ELSE '_large' END AS sub_segment FROM f""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.listings.select("olx_id", s.coarse_fuel(F.col("fuel_type")).alias("fuel"))
+    words = F.array(*[F.lit(w) for w in ("Diesel", "Gasolina", "Eléctrico", "Híbrido", "GPL", None, "Híbrido (Diesel)")])
+    size = F.when(F.col("p_size") % 9 > 0, F.col("p_size") * 60 - 60)
+    return t.part.select("p_partkey", s.sub_segment(F.get(words, (F.col("p_partkey") % 7).cast("int")), size).alias("sub_segment"))
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from marketloom.functions import text
+from marketloom.functions import scalars, text
 from marketloom.operators import enrich, evaluation, maintain, models
 from marketloom.sources import tables
 from marketloom.streaming import jobs
@@ -166,3 +166,82 @@ def test_streams(spark, tmp_path):
     merged = []
     jobs.upsert_stream(stream, lambda df, _: merged.append(df.count()), "listing_id", ["scraped_at"], str(tmp_path / "up")).awaitTermination()
     assert merged == [3]
+
+
+def test_prices_as_written(spark):
+    got = column(spark, ["€ 12.500", "12 500 €", "1.234.567", "12.50", "1.500,00", "€", "", "Preço 5", "7,5 euros e 3"], text.price_eur)
+    assert got == [12500.0, 12500.0, 1234567.0, 12.5, 1500.0, None, None, None, 7.5]
+
+
+def test_mileage_without_thousands(spark):
+    rows = [(150, 2015), (0, 2015), (None, 2015), (999, None), (1000, None), (30, 2024), (900, 2024), (999, 2023), (45, 2023), (25000, 2010)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, km int, year int").orderBy("i")
+    got = [r.km for r in df.select(text.fixed_mileage(F.col("km"), F.col("year"), 2024).alias("km")).collect()]
+    assert got == [150000, 0, None, 999000, 1000, 30000, 900, 999, 45000, 25000]
+
+
+def test_modifications(spark):
+    said = ["Reprogramação stage 1, Stage 1 feito", "stage 2 + downpipe, escape desportivo original", "BodyKit e body kit; escape desportivo", "150 kW elétrico", "suspensão KW", "bateria 50 kWh", "molas H&R e Bilstein", None]
+    assert column(spark, said, text.tuning) == [
+        ["reprogramacao stage 1"],
+        ["stage 2 + downpipe", "downpipe"],
+        ["escape desportivo", "bodykit"],
+        [],
+        ["suspensão KW"],
+        [],
+        ["suspensão H&R", "suspensão BILSTEIN"],
+        [],
+    ]
+
+
+def test_maintenance(spark):
+    said = ["Correia de distribuição feita aos 120.000 km, revisão completa", "embraiagem nova", "embreagem trocada e travões: trocadas as pastilhas", "Peças trocadas:\n- várias", "nada", None]
+    assert column(spark, said, text.maintenance) == [
+        ["correia distribuição (120000km)", "revisão (120000km)"],
+        ["embreagem nova"],
+        ["embreagem nova", "travões"],
+        ["múltiplas peças trocadas (ver descrição)"],
+        [],
+        [],
+    ]
+
+
+def test_tyres_and_owners(spark):
+    said = ["4 pneus novos", "pneus recentes", "90% de piso", "60 % piso", "pneus em estado razoável", "pneus gastos", "precisa de pneus", "pneus", None]
+    assert column(spark, said, text.tyres) == ["new", "good", "good", "fair", "fair", "poor", "poor", None, None]
+    said = ["único dono", "1 dono", "um registo", "única dona", "sempre o mesmo dono", "comprado novo por mim", "21 donos", "dono"]
+    assert column(spark, said, text.first_owner) == [True] * 6 + [None, None]
+
+
+def test_sub_segments(spark):
+    rows = [("Diesel", 1600), ("Gasolina", 1399), ("Eléctrico", 0), ("Híbrido Plug-In", 2000), ("GPL", 2001), (None, 1000), ("", None), ("Outro", None), ("Electric", 3000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, cc int").orderBy("i")
+    got = [r.s for r in df.select(scalars.sub_segment(F.col("f"), F.col("cc")).alias("s")).collect()]
+    assert got == ["diesel_mid", "petrol_small", "electric", "hybrid_mid", "gpl_large", "unk_small", "unk", "petrol", "electric"]
+
+
+def test_sold_tiers_and_weights(spark):
+    rows = [(False, "sold", d) for d in (0, 14, 15, 60, 180, 365, 366, -1, None)] + [(True, None, 5), (False, "expired", 5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a boolean, r string, d int").orderBy("i")
+    times, weight = scalars.sold_tier(F.col("a"), F.col("r"), F.col("d"))
+    got = [tuple(r) for r in df.select(times, weight).collect()]
+    assert got == [(0.96, 0.9), (0.96, 0.9), (0.94, 0.7), (0.94, 0.7), (0.91, 0.5), (0.88, 0.3), (1.0, 0.0), (1.0, 0.0), (1.0, 0.0), (1.0, 1.0), (1.0, 1.0)]
+    w = np.array([r[0] for r in spark.createDataFrame([(3000.0,), (30000.0,), (0.0,)], "p double").select(scalars.loss_weight(F.col("p"))).collect()])
+    assert np.allclose(w, 1 / np.log1p(np.array([3000.0, 30000.0, 0.0]) + 1))
+
+
+def test_photo_rules(spark):
+    rows = [(True, 0), (False, 2), (True, 1), (None, 1), (True, None), (True, -1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v boolean, s int").orderBy("i")
+    assert [r[0] for r in df.select(scalars.damage_label(F.col("v"), F.col("s"))).collect()] == [False, False, True, None, None, None]
+    rows = [(2, 0.9, 0), (2, 0.2, 3), (3, 0.19, 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s int, p double, n int").orderBy("i")
+    got = [(r.d.decision, r.d.severity) for r in df.select(scalars.photo_decision(F.col("s"), F.col("p"), F.col("n")).alias("d")).collect()]
+    assert got == [("no_photos", 2), ("photo_confirms", 2), ("downgrade", 0)]
+
+
+def test_segment_score(spark):
+    rows = [(None, None, None, None), (30.0, 50, 14.0, 10.0), (60.0, 0, 28.0, -20.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u double, n int, d double, t double").orderBy("i")
+    got = [r[0] for r in df.select(scalars.segment_score(F.col("u"), F.col("n"), F.col("d"), F.col("t"))).collect()]
+    assert np.allclose(got, [0.2 * 14 / 60 + 0.075, 1.0, 0.4 + 0.1])
