@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import adaptive_window, clamp, days_between, ratio, repair_cost, sold
-from ..functions.text import canonical_colour, salvage_phrase
+from ..functions.text import canonical_colour, numbers_out, salvage_phrase
 from .enrich import with_comparables, with_segment
 
 # Match score and verdict constants.
@@ -130,12 +130,13 @@ def multipliers(liquidity_days: Column, trend_pct: Column, velocity: Column, sam
     }
 
 
-def deal_signals(active: DataFrame, comparables: DataFrame, grains: dict[str, tuple[str, ...]], predictions: DataFrame, dom: DataFrame, trend: DataFrame, velocity: DataFrame) -> DataFrame:
+def deal_signals(active: DataFrame, comparables: DataFrame, grains: dict[str, tuple[str, ...]], predictions: DataFrame, turnover: DataFrame, trend: DataFrame, velocity: DataFrame) -> DataFrame:
     """One row for each deal: cheap against comparables and prediction, not blocked, worth it after repairs.
 
     ``active`` carries days_listed, price_change_eur, urgency, warranty, damage_severity, poor and
-    blocked; ``predictions``: olx_id, predicted_price, fair_price_low, fair_price_high; ``dom`` and
-    ``trend`` are segment tables, ``velocity`` is by (brand, model).
+    blocked; ``predictions``: olx_id, predicted_price, fair_price_low, fair_price_high. ``turnover``
+    (avg_days_to_sell) and ``velocity`` are by segment, ``trend`` (in %) by (brand, model); a segment
+    without days to sell takes those of its (brand, model) without generation.
     """
     rows = with_comparables(active.where(F.col("price_eur") > 0), comparables, grains, MIN_SAMPLE)
     price, median, predicted = F.col("price_eur"), F.col("comparable_median"), F.col("predicted_price")
@@ -144,66 +145,145 @@ def deal_signals(active: DataFrame, comparables: DataFrame, grains: dict[str, tu
     rows = rows.withColumns({"undervaluation_pct": F.round((1 - price / predicted) * 100, 1), "repair_cost_eur": repair_cost(F.col("damage_severity"), predicted, _no(F.col("poor")))})
     rows = rows.withColumn("adjusted_pct", F.round((predicted - price - F.col("repair_cost_eur")) / predicted * 100, 1))
     rows = rows.where((F.col("undervaluation_pct") > 0) & (F.col("adjusted_pct") > 0)).withColumn("discount_pct", F.round((1 - price / median) * 100, 1))
-    rows = with_segment(with_segment(rows, dom, ["dom_median"]), trend, ["trend_90d_pct"]).join(velocity.select("brand", "model", "velocity"), ["brand", "model"], "left")
+    rows = with_segment(rows, turnover.where(F.col("avg_days_to_sell").isNotNull()), ["avg_days_to_sell"]).join(trend.select("brand", "model", "trend"), ["brand", "model"], "left")
+    own = velocity.select(F.col("brand").alias("_b"), F.col("model").alias("_m"), F.col("generation").alias("_g"), "velocity")
+    rows = rows.join(own, (F.col("brand") == F.col("_b")) & (F.col("model") == F.col("_m")) & F.col("generation").eqNullSafe(F.col("_g")), "left").drop("_b", "_m", "_g")
     rows = rows.withColumn("band_frac", (F.col("fair_price_high") - F.col("fair_price_low")) / predicted)
-    rows = rows.withColumns(multipliers(F.col("dom_median"), F.col("trend_90d_pct"), F.col("velocity"), F.col("comparable_n"), F.col("band_frac"), price))
+    rows = rows.withColumns(multipliers(F.col("avg_days_to_sell"), F.col("trend"), F.col("velocity"), F.col("comparable_n"), F.col("band_frac"), price))
     product = F.col("adjusted_pct")
     for k in ("liquidity_mult", "trend_mult", "motivated_mult", "urgency_mult", "warranty_mult", "velocity_mult", "sample_mult", "band_mult"):
         product = product * F.col(k)
-    return rows.withColumn("flip_score", F.round(product, 1))
+    return rows.withColumn("flip_score", F.round(F.round(product, 6), 1))
+
+
+def figure(c: Column, digits: int = 0, signed: bool = False) -> Column:
+    """A number as text, halves rounded to even."""
+    return F.format_string(f"%{'+' if signed else ''}.{digits}f", F.bround(c.cast("double"), digits))
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Verdict, score and reasons of the ordered decision steps for a whole table.
+    """Verdict, score, reasons and components of the ordered decision steps for a whole table.
 
     Needs price_eur, predicted_price, fair_price_low, sample_size, band_pct, repair_cost_eur,
     damage_severity, accident, right_hand_drive, anomaly_score, prob_sold, days_listed,
     price_change_eur, urgency, warranty, first_owner, fleet, owners and the segment columns
-    dom_median, dom_fast_share, trend_90d_pct, calibration_resid_pct. Each step is a CASE; a row
-    leaves at the first step whose condition holds.
+    dom_median, dom_fast_share, trend_90d_pct, calibration_resid_pct. A row leaves at the first exit
+    whose condition holds. ``reasons`` lists in order what was noted up to there, the exit last;
+    ``components`` holds the figures computed up to there.
     """
     c = F.col
-    price, predicted = F.coalesce(c("price_eur"), F.lit(0.0)), c("predicted_price")
+    price, predicted, low = F.coalesce(c("price_eur"), F.lit(0.0)), c("predicted_price"), c("fair_price_low")
     band, resid = c("band_pct") / 100, c("calibration_resid_pct")
-    sample = F.coalesce(c("sample_size"), F.lit(0))
-    corrected = F.when(resid.isNotNull(), predicted * (1 + resid / 100)).otherwise(predicted)
+    sample, repair = F.coalesce(c("sample_size"), F.lit(0)), F.coalesce(c("repair_cost_eur"), F.lit(0.0))
     hold = F.least(F.coalesce(c("dom_median"), F.lit(DEFAULT_HOLD)), F.lit(DOM_LIMIT))
-    df = rows.withColumn("_corrected", corrected)
-    net = c("_corrected") - price - F.coalesce(c("repair_cost_eur"), F.lit(0.0)) - (FLAT_FEES + HOLDING_PER_DAY * hold)
-    df = df.withColumn("_net", net).withColumn("_net_pct", F.coalesce(ratio(c("_net"), c("_corrected")) * 100, F.lit(0.0)))
-    trend, dom = c("trend_90d_pct"), c("dom_median")
+    df = rows.withColumn("_corrected", F.when(resid.isNotNull(), predicted * (1 + resid / 100)).otherwise(predicted))
+    df = df.withColumn("_fees", FLAT_FEES + HOLDING_PER_DAY * hold).withColumn("_net", c("_corrected") - price - repair - c("_fees"))
+    df = df.withColumn("_net_pct", F.coalesce(ratio(c("_net"), c("_corrected")) * 100, F.lit(0.0)))
+    trend, dom, fast, prob, net_pct = c("trend_90d_pct"), c("dom_median"), c("dom_fast_share"), c("prob_sold"), c("_net_pct")
     falling = F.when(trend < 0, -trend).otherwise(0.0)
-    steps: list[tuple[Column, str, Column, Column]] = [
-        (_no(c("accident")), "REJECT", F.lit(0.0), F.lit("accident")),
-        (c("damage_severity") >= 3, "REJECT", F.lit(0.0), F.lit("severity")),
-        (_no(c("right_hand_drive")), "REJECT", F.lit(0.0), F.lit("right-hand drive")),
-        (c("anomaly_score") >= ANOMALY_LIMIT, "REJECT", F.lit(0.0), F.lit("outlier")),
-        (predicted.isNull() | (predicted <= 0), "NO_OPINION", F.lit(0.0), F.lit("no prediction")),
-        (sample < MIN_SAMPLE, "NO_OPINION", F.lit(0.0), F.lit("few comparables")),
-        (band > WIDE_BAND, "NO_OPINION", F.lit(0.0), F.lit("band too wide")),
-        (resid.isNotNull() & (c("_corrected") <= price), "REJECT", F.lit(0.0), F.lit("at or above fair value")),
-        (c("_net_pct") < MIN_MARGIN, "SKIP", F.greatest(F.lit(0.0), c("_net_pct")), F.lit("margin below floor")),
-        (~_no(price <= c("fair_price_low")) & (price > predicted), "REJECT", F.lit(0.0), F.lit("ask above median")),
-        ((trend < SOFTENING) & (c("_net_pct") < 2 * falling), "SKIP", c("_net_pct"), F.lit("softening segment")),
-        (dom > DOM_LIMIT, "SKIP", c("_net_pct"), F.lit("capital trap")),
-        ((dom > 60) & (c("_net_pct") < MIN_MARGIN_SLOW), "SKIP", c("_net_pct"), F.lit("slow segment")),
+    bargain, wide = _no(price <= low), F.concat(F.lit("band ±"), figure(band * 50), F.lit("%"))
+    tell = F.concat
+    dropped = (c("days_listed") > 30) & (c("price_change_eur") < 0)
+    nothing = F.lit(0.0)
+    # (condition, text, (verdict, score) of an exit or None of a note), in order
+    steps: list[tuple[Column, Column, tuple[str, Column] | None]] = [
+        (c("accident"), F.lit("accident mentioned"), ("REJECT", nothing)),
+        (c("damage_severity") >= 3, tell(F.lit("damage severity "), c("damage_severity").cast("string")), ("REJECT", nothing)),
+        (c("right_hand_drive"), F.lit("right-hand drive"), ("REJECT", nothing)),
+        (c("anomaly_score") >= ANOMALY_LIMIT, tell(F.lit("outlier: anomaly score "), figure(c("anomaly_score"), 2)), ("REJECT", nothing)),
+        (predicted.isNull() | (predicted <= 0), F.lit("no prediction"), ("NO_OPINION", nothing)),
+        (sample < MIN_SAMPLE, tell(F.lit("only "), sample.cast("string"), F.lit(" comparables")), ("NO_OPINION", nothing)),
+        (band > WIDE_BAND, tell(wide, F.lit(" is too wide")), ("NO_OPINION", nothing)),
+        (band > TIGHT_BAND, tell(wide, F.lit(" lowers confidence")), None),
+        (band <= TIGHT_BAND, tell(wide, F.lit(" is tight")), None),
+        (F.abs(resid) > 5, tell(F.lit("prediction corrected by "), figure(resid, 1, True), F.lit("%")), None),
+        (resid.isNotNull() & (c("_corrected") <= price), F.lit("ask at or above corrected value"), ("REJECT", nothing)),
+        (net_pct < MIN_MARGIN, tell(F.lit("net margin "), figure(net_pct, 1), F.lit("% below 12%")), ("SKIP", F.greatest(nothing, net_pct))),
+        (bargain, tell(F.lit("ask "), F.format_number(price, 0), F.lit(" at or below the low band "), F.format_number(low, 0)), None),
+        (~bargain & (price > predicted), F.lit("ask above the median"), ("REJECT", nothing)),
+        (~bargain, F.lit("ask between low and median"), None),
+        ((trend < SOFTENING) & (net_pct < 2 * falling), tell(F.lit("trend "), figure(trend, 1, True), F.lit("%, net margin "), figure(net_pct, 1), F.lit("% below twice the drop")), ("SKIP", net_pct)),
+        (trend < SOFTENING, tell(F.lit("trend "), figure(trend, 1, True), F.lit("%, margin covers twice the drop")), None),
+        ((trend >= SOFTENING) & (trend < 0), tell(F.lit("trend "), figure(trend, 1, True), F.lit("%, discounted")), None),
+        (trend >= 0, tell(F.lit("trend "), figure(trend, 1, True), F.lit("%, firming")), None),
+        (dom > DOM_LIMIT, tell(figure(dom), F.lit(" days on market: capital trap")), ("SKIP", net_pct)),
+        ((dom > 60) & (net_pct < MIN_MARGIN_SLOW), tell(figure(dom), F.lit(" days on market: margin below 18%")), ("SKIP", net_pct)),
+        (dom > 60, tell(figure(dom), F.lit(" days on market: slow, margin clears")), None),
+        (dom <= 30, tell(figure(dom), F.lit(" days on market: fast")), None),
+        (fast < FAST_SHARE, tell(F.lit("only "), figure(fast * 100), F.lit("% sold within 21 days")), None),
+        (prob >= HAZARD_FAST, tell(F.lit("likely to sell soon: "), figure(prob, 2)), None),
+        (prob <= HAZARD_SLOW, tell(F.lit("unlikely to sell soon: "), figure(prob, 2)), None),
+        (dropped, tell(F.lit("motivated: "), c("days_listed").cast("string"), F.lit(" days listed, dropped "), F.format_number(F.abs(c("price_change_eur")), 0)), None),
+        (~_no(dropped) & (c("days_listed") > 60), tell(c("days_listed").cast("string"), F.lit(" days listed: room to negotiate")), None),
+        (c("urgency").isin("high", "medium"), tell(F.lit("urgency "), c("urgency")), None),
+        (c("warranty"), F.lit("warranty"), None),
+        (c("first_owner"), F.lit("first owner"), None),
+        (c("fleet"), F.lit("taxi or rental"), None),
+        (c("owners") >= 3, tell(c("owners").cast("string"), F.lit(" owners")), None),
     ]
-    band_conf = F.when(band > TIGHT_BAND, 0.7).when(band.isNotNull(), 1.15).otherwise(1.0) * F.when(_no(price <= c("fair_price_low")), 1.15).otherwise(1.0)
+    exit_at = F.lit(len(steps))
+    for k, (condition, _, leaves) in reversed(list(enumerate(steps))):
+        if leaves:
+            exit_at = F.when(_no(condition), k).otherwise(exit_at)
+    df = df.withColumn("_exit", exit_at)
+    band_conf = F.when(band > TIGHT_BAND, 0.7).when(band.isNotNull(), 1.15).otherwise(1.0) * F.when(bargain, 1.15).otherwise(1.0)
     calibration = F.when(F.abs(resid) > 5, 0.85).otherwise(1.0)
-    velocity = F.when(dom > 60, 0.85).when(dom <= 30, 1.1).otherwise(1.0) * F.when(c("dom_fast_share") < FAST_SHARE, 0.9).otherwise(1.0)
-    velocity = velocity * F.when(c("prob_sold") >= HAZARD_FAST, 1.10).when(c("prob_sold") <= HAZARD_SLOW, 0.85).otherwise(1.0)
-    motivated = F.when((c("days_listed") > 30) & (c("price_change_eur") < 0), 1.15).when(c("days_listed") > 60, 1.05).otherwise(1.0)
+    velocity = F.when(dom > 60, 0.85).when(dom <= 30, 1.1).otherwise(1.0) * F.when(fast < FAST_SHARE, 0.9).otherwise(1.0)
+    velocity = velocity * F.when(prob >= HAZARD_FAST, 1.10).when(prob <= HAZARD_SLOW, 0.85).otherwise(1.0)
+    motivated = F.when(dropped, 1.15).when(c("days_listed") > 60, 1.05).otherwise(1.0)
     motivated = motivated * F.when(c("urgency") == "high", 1.15).when(c("urgency") == "medium", 1.05).otherwise(1.0)
-    exit_ = F.when(c("warranty"), 1.05).otherwise(1.0) * F.when(c("first_owner"), 1.05).otherwise(1.0) * F.when(c("fleet"), 0.92).otherwise(1.0) * F.when(c("owners") >= 3, 0.95).otherwise(1.0)
-    profit_pct = F.coalesce(ratio((c("_net") - price * falling / 100) * exit_, c("_corrected")) * 100, F.lit(0.0))
-    score = profit_pct * band_conf * F.least(sample / 10.0, F.lit(1.0)) * calibration * motivated * velocity
-    df = df.withColumn("_score", score)
-    verdict = F.when(c("_score") >= BUY_SCORE, "BUY").when(c("_score") >= WATCH_SCORE, "WATCH").otherwise("SKIP")
-    points, why = c("_score"), F.lit("scored")
-    for condition, what, value, reason in reversed(steps):
-        hit = _no(condition)
-        verdict, points, why = F.when(hit, what).otherwise(verdict), F.when(hit, value).otherwise(points), F.when(hit, reason).otherwise(why)
-    return df.withColumns({"verdict": verdict, "score": F.round(points, 1), "reason": why}).drop("_corrected", "_net", "_net_pct", "_score")
+    resale = F.when(c("warranty"), 1.05).otherwise(1.0) * F.when(c("first_owner"), 1.05).otherwise(1.0) * F.when(c("fleet"), 0.92).otherwise(1.0) * F.when(c("owners") >= 3, 0.95).otherwise(1.0)
+    df = df.withColumns({"_profit": (c("_net") - price * falling / 100) * resale, "_conf": band_conf * F.least(sample / 10.0, F.lit(1.0)) * calibration * motivated * velocity})
+    df = df.withColumn("_profit_pct", F.coalesce(ratio(c("_profit"), c("_corrected")) * 100, F.lit(0.0)))
+    df = df.withColumn("_score", c("_profit_pct") * c("_conf"))
+    verdict, points = F.when(c("_score") >= BUY_SCORE, "BUY").when(c("_score") >= WATCH_SCORE, "WATCH").otherwise("SKIP"), F.round(F.round(c("_score"), 6), 1)
+    for k, (_, _, leaves) in enumerate(steps):
+        if leaves:
+            verdict, points = F.when(c("_exit") == k, leaves[0]).otherwise(verdict), F.when(c("_exit") == k, leaves[1]).otherwise(points)
+    noted = [F.when(_no(condition) & ((c("_exit") == k) if leaves else (c("_exit") > k)), text) for k, (condition, text, leaves) in enumerate(steps)]
+    # a figure counts from the step that computes it, unknown ones where the step tells that they are
+    last = len(steps)
+    figures: list[tuple[str, Column, Column]] = [
+        ("anomaly_score", F.bround(c("anomaly_score"), 2), (c("_exit") >= 3) & c("anomaly_score").isNotNull()),
+        ("band_pct", c("band_pct"), (c("_exit") >= 6) & band.isNotNull()),
+        ("calibration_resid_pct", resid, (c("_exit") >= 10) & resid.isNotNull()),
+        *[(name, F.bround(value, digits), c("_exit") >= 11) for name, value, digits in (("predicted_corrected", c("_corrected"), 0), ("net_margin_eur", c("_net"), 0), ("net_margin_pct", net_pct, 1), ("repair_cost_eur", repair, 0), ("fees_eur", c("_fees"), 0))],
+        ("trend_90d_pct", F.bround(trend, 2), c("_exit") >= 15),
+        ("dom_median", F.bround(dom, 0), c("_exit") >= 19),
+        ("dom_fast_share", F.bround(fast, 2), c("_exit") >= 19),
+        ("prob_sold", F.bround(prob, 2), (c("_exit") == last) & prob.isNotNull()),
+        *[(name, F.bround(value, digits), c("_exit") == last) for name, value, digits in (("expected_profit_eur", c("_profit"), 0), ("expected_profit_pct", c("_profit_pct"), 1), ("confidence", c("_conf"), 2), ("score", c("_score"), 1))],
+    ]
+    entries = F.array_compact(F.array(*[F.when(_no(there), F.struct(F.lit(name).alias("k"), value.cast("double").alias("v"))) for name, value, there in figures]))
+    out = df.withColumns({"verdict": verdict, "score": points, "reasons": F.array_compact(F.array(*noted)), "components": F.map_from_entries(entries)})
+    return out.drop("_corrected", "_fees", "_net", "_net_pct", "_exit", "_profit", "_profit_pct", "_conf", "_score")
+
+
+def segment_context(tables: list[DataFrame]) -> DataFrame:
+    """Segment tables (brand, model, generation and figures) side by side, for every segment that any of them has.
+
+    Each becomes rows of one union whose figures are gathered by segment: one shuffle for all.
+    """
+    figures = [k for t in tables for k in t.columns if k not in ("brand", "model", "generation")]
+    rows = [t.select("brand", "model", "generation", *[(F.col(k) if k in t.columns else F.lit(None).cast("double")).alias(k) for k in figures]) for t in tables]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("brand", "model", "generation").agg(*[F.max(k).alias(k) for k in figures])
+
+
+def top_reasons(decided: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` commonest reasons of each verdict with numbers taken out; ties by text."""
+    said = decided.select("verdict", F.explode("reasons").alias("_r")).groupBy("verdict", numbers_out(F.col("_r")).alias("reason")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("verdict").orderBy(F.desc("n"), "reason")
+    return said.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def context_spread(context: DataFrame, columns: list[str]) -> DataFrame:
+    """``name, n, p10, p50, p90`` of each column of a segment table; a table of segments, not of listings."""
+    long = context.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("v")) for k in columns])).alias("_x")).select("_x.*").where("v is not null")
+    at = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return long.groupBy("name").agg(F.count("*").alias("n"), at.alias("_p")).select("name", "n", *[F.col("_p")[i].alias(k) for i, k in enumerate(("p10", "p50", "p90"))])
 
 
 def verdict_histogram(decided: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.scalars import segment_score
 from ..operators import deals as g
 from ..operators import enrich as n
 from ..operators import market as m
-from .market import CALIBRATION_SQL, COMPARABLES_SQL, DOM_SQL, GRAINS, SIGNALS_SQL, signals_of
+from .market import CALIBRATION_SQL, COMPARABLES_SQL, DOM_SQL, GRAINS, SIGNALS_SQL, TREND_SQL, TURNOVER_SQL, signals_of
 from .registry import AS_OF, Tables, query
 
 PAIRS_SQL = f"""{DOM_SQL}, rows AS (SELECT * FROM listings WHERE duplicate_of IS NULL),
@@ -89,8 +89,11 @@ PREDICTED_SQL = "predicted AS (SELECT olx_id, min(predicted_price) AS predicted_
 ACTIVE_SQL = """active AS (SELECT *, CAST(floor(epoch(:as_of - first_seen_at) / 86400) AS BIGINT) AS days_listed, nullif(round(price_eur - first_price_eur, 4), 0) AS price_change_eur,
     CASE part_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS urgency, part_id % 4 = 0 AS warranty, CAST(part_id % 4 AS INT) AS damage_severity, part_id % 2 = 0 AS poor, part_id % 9 = 0 AS blocked
     FROM listings WHERE is_active AND duplicate_of IS NULL)"""
-VELOCITY_SQL = """speed AS (SELECT brand, model, round(avg((d <= 21)::INT), 6) AS velocity FROM (SELECT brand, model, floor(epoch(deactivated_at - first_seen_at) / 86400) AS d FROM listings WHERE NOT is_active) WHERE d > 0 GROUP BY 1, 2 HAVING count(*) >= 3)"""
-DEALS_SQL = f"""{SIGNALS_SQL}, {PREDICTED_SQL}, {ACTIVE_SQL}, {VELOCITY_SQL}, {DOM_SQL}, comps AS ({COMPARABLES_SQL}),
+VELOCITY_SQL = """speed AS (SELECT brand, model, generation, round(avg((d <= 21)::INT), 6) AS velocity FROM (SELECT brand, model, generation, floor(epoch(deactivated_at - first_seen_at) / 86400) AS d FROM listings WHERE NOT is_active) WHERE d > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3)"""
+HISTORY_SQL = """history AS (SELECT brand, model, CAST(first_seen_at AS DATE) AS date, median(price_eur) AS price FROM listings WHERE price_eur IS NOT NULL GROUP BY 1, 2, 3),
+    trends AS (SELECT brand, model, round((arg_max(price, date) - arg_min(price, date)) / arg_min(price, date) * 100, 1) AS trend FROM history
+      WHERE date >= DATE '2001-08-01' - 60 GROUP BY 1, 2 HAVING count(DISTINCT date) >= 2 AND arg_min(price, date) > 0)"""
+DEALS_SQL = f"""{SIGNALS_SQL}, {PREDICTED_SQL}, {ACTIVE_SQL}, {VELOCITY_SQL}, {HISTORY_SQL}, turn AS ({TURNOVER_SQL}), comps AS ({COMPARABLES_SQL}),
     layered AS (SELECT l.*, coalesce(s.n, g.n, m.n) AS sample, coalesce(s.median_price, g.median_price, m.median_price) AS med FROM active l
       LEFT JOIN comps s ON s.grain = 'sub' AND s.n >= 5 AND l.brand = s.brand AND l.model = s.model AND l.generation = s.generation AND l.fuel_type = s.fuel_type
       LEFT JOIN comps g ON g.grain = 'generation' AND g.n >= 5 AND l.brand = g.brand AND l.model = g.model AND l.generation = g.generation
@@ -99,10 +102,12 @@ DEALS_SQL = f"""{SIGNALS_SQL}, {PREDICTED_SQL}, {ACTIVE_SQL}, {VELOCITY_SQL}, {D
       CASE WHEN damage_severity < 2 THEN 0.0 WHEN damage_severity >= 3 THEN predicted_price WHEN poor THEN greatest(0.18::DOUBLE * predicted_price, 1500.0) ELSE greatest(0.12::DOUBLE * predicted_price, 1000.0) END::DOUBLE AS repair
       FROM layered JOIN predicted USING (olx_id) WHERE price_eur < med * 0.85 AND NOT blocked AND predicted_price > 0),
     adjusted AS (SELECT *, round((predicted_price - price_eur - repair) / predicted_price * 100, 1) AS adjusted_pct FROM cheap),
-    deals AS (SELECT a.*, coalesce(o.dom_median, w.dom_median) AS dom_median, velocity, (fair_price_high - fair_price_low) / predicted_price AS band FROM adjusted a
-      LEFT JOIN dom o ON a.brand = o.brand AND a.model = o.model AND a.generation = o.generation LEFT JOIN dom w ON a.brand = w.brand AND a.model = w.model AND w.generation IS NULL
-      LEFT JOIN speed ON a.brand = speed.brand AND a.model = speed.model WHERE undervaluation_pct > 0 AND adjusted_pct > 0),
-    multiplied AS (SELECT *, CASE WHEN dom_median > 0 THEN greatest(0.5, least(2.0, 30 / dom_median)) ELSE 1.0 END::DOUBLE AS liquidity_mult,
+    deals AS (SELECT a.*, coalesce(o.avg_days_to_sell, w.avg_days_to_sell) AS days_to_sell, trend, velocity, (fair_price_high - fair_price_low) / predicted_price AS band FROM adjusted a
+      LEFT JOIN turn o ON a.brand = o.brand AND a.model = o.model AND a.generation = o.generation LEFT JOIN turn w ON a.brand = w.brand AND a.model = w.model AND w.generation IS NULL
+      LEFT JOIN trends ON a.brand = trends.brand AND a.model = trends.model
+      LEFT JOIN speed ON a.brand = speed.brand AND a.model = speed.model AND a.generation IS NOT DISTINCT FROM speed.generation WHERE undervaluation_pct > 0 AND adjusted_pct > 0),
+    multiplied AS (SELECT *, CASE WHEN days_to_sell > 0 THEN greatest(0.5, least(2.0, 30 / days_to_sell)) ELSE 1.0 END::DOUBLE AS liquidity_mult,
+      greatest(0.8::DOUBLE, least(1.2::DOUBLE, 1 + coalesce(trend, 0) / 100)) AS trend_mult,
       CASE WHEN days_listed > 30 AND price_change_eur < 0 THEN least(1 + abs(price_change_eur) / price_eur * 0.5, 1.3) WHEN days_listed > 60 THEN 1.1 ELSE 1.0 END::DOUBLE AS motivated_mult,
       CASE urgency WHEN 'high' THEN 1.3 WHEN 'medium' THEN 1.1 ELSE 1.0 END::DOUBLE AS urgency_mult, CASE WHEN warranty THEN 1.15 ELSE 1.0 END::DOUBLE AS warranty_mult,
       CASE WHEN velocity IS NOT NULL THEN greatest(0.7, least(1.5, 0.7 + velocity * 0.8)) ELSE 1.0 END::DOUBLE AS velocity_mult,
@@ -126,11 +131,17 @@ def deals(t: Tables) -> DataFrame:
             "blocked": F.when(k % 9 == 0, "blocked"),
         }
     )
-    no_trend = m.dom_medians(t.listings).select("brand", "model", "generation", F.lit(None).cast("double").alias("trend_90d_pct"))
-    return g.deal_signals(active, m.comparables(t.listings, GRAINS), GRAINS, predictions(t), m.dom_medians(t.listings), no_trend, m.sale_velocity(t.listings))
+    trend = m.stats_trend(m.daily_market_stats(asked(t)), "2001-08-01 00:00:00")
+    turn = m.turnover(t.listings, "2001-06-01 00:00:00")
+    return g.deal_signals(active, m.comparables(t.listings, GRAINS), GRAINS, predictions(t), turn, trend, m.sale_velocity(t.listings))
 
 
-MULTS = ["liquidity_mult", "motivated_mult", "urgency_mult", "warranty_mult", "velocity_mult", "sample_mult", "band_mult"]
+def asked(t: Tables) -> DataFrame:
+    """Listings as snapshots of their price on the first day."""
+    return t.listings.select(F.col("olx_id").alias("listing_id"), "brand", "model", "generation", "price_eur", F.col("first_seen_at").alias("scraped_at"))
+
+
+MULTS = ["liquidity_mult", "trend_mult", "motivated_mult", "urgency_mult", "warranty_mult", "velocity_mult", "sample_mult", "band_mult"]
 
 
 @query("f06_deal_qualification", f"WITH {DEALS_SQL} SELECT olx_id, undervaluation_pct, adjusted_pct FROM deals")
@@ -143,59 +154,86 @@ def _(t: Tables) -> DataFrame:
     return deals(t).select("olx_id", *[F.round(k, 6).alias(k) for k in MULTS])
 
 
-@query("g05_deal_signals", f"WITH {DEALS_SQL} SELECT olx_id, price_eur, predicted_price, adjusted_pct, round(adjusted_pct * liquidity_mult * 1.0::DOUBLE * motivated_mult * urgency_mult * warranty_mult * velocity_mult * sample_mult * band_mult, 0) AS flip_score FROM multiplied")
+FLIP_SQL = "round(round(adjusted_pct * " + " * ".join(MULTS) + ", 6), 1) AS flip_score"
+
+
+@query("g05_deal_signals", f"WITH {DEALS_SQL} SELECT olx_id, price_eur, predicted_price, adjusted_pct, {FLIP_SQL} FROM multiplied")
 def _(t: Tables) -> DataFrame:
-    product = F.col("adjusted_pct") * F.col("liquidity_mult") * F.lit(1.0)
-    for k in MULTS[1:]:
-        product = product * F.col(k)
-    return deals(t).select("olx_id", "price_eur", "predicted_price", "adjusted_pct", F.round(product, 0).alias("flip_score"))
+    return deals(t).select("olx_id", "price_eur", "predicted_price", "adjusted_pct", "flip_score")
 
 
-@query("k01_top_deals", f"WITH {DEALS_SQL} SELECT olx_id, adjusted_pct FROM deals ORDER BY adjusted_pct DESC, olx_id LIMIT 50")
+@query("k01_top_deals", f"WITH {DEALS_SQL} SELECT olx_id, {FLIP_SQL} FROM multiplied ORDER BY flip_score DESC, olx_id LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    return deals(t).orderBy(F.desc("adjusted_pct"), "olx_id").limit(50).select("olx_id", "adjusted_pct")
+    return deals(t).orderBy(F.desc("flip_score"), "olx_id").limit(50).select("olx_id", "flip_score")
 
 
-@query("k04_deals_by_zone", f"WITH {DEALS_SQL}, r AS (SELECT olx_id, district, adjusted_pct, row_number() OVER (PARTITION BY district ORDER BY adjusted_pct DESC, olx_id) AS place FROM deals) SELECT * FROM r WHERE place <= 30")
+@query(
+    "k04_deals_by_zone",
+    f"WITH {DEALS_SQL}, f AS (SELECT olx_id, district, {FLIP_SQL} FROM multiplied WHERE days_listed <= 300), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY flip_score DESC, olx_id) AS place FROM f) SELECT * FROM r WHERE place <= 30",
+)
 def _(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("district").orderBy(F.desc("adjusted_pct"), "olx_id")
-    return deals(t).select("olx_id", "district", "adjusted_pct", F.row_number().over(w).cast("long").alias("place")).where("place <= 30")
+    w = Window.partitionBy("district").orderBy(F.desc("flip_score"), "olx_id")
+    # the listings end months before the day that stands for now, so fresh means 300 days here
+    return deals(t).where("days_listed <= 300").select("olx_id", "district", "flip_score", F.row_number().over(w).cast("long").alias("place")).where("place <= 30")
 
 
-CONTEXT_SQL = f"""{DOM_SQL}, {SIGNALS_SQL}, {CALIBRATION_SQL}, context AS (SELECT d.brand, d.model, d.generation, dom_median, dom_fast_share, calibration_resid_pct
-    FROM dom d LEFT JOIN resid r ON d.brand = r.brand AND d.model = r.model AND d.generation IS NOT DISTINCT FROM r.generation)"""
+ASKED_SQL = "asked AS (SELECT olx_id AS listing_id, brand, model, generation, price_eur, first_seen_at AS scraped_at FROM listings)"
+CONTEXT_SQL = f"""{DOM_SQL}, {SIGNALS_SQL}, {CALIBRATION_SQL}, {ASKED_SQL}, {TREND_SQL.replace("snapshots", "asked")},
+    keys AS (SELECT brand, model, generation FROM dom UNION SELECT brand, model, generation FROM resid UNION SELECT brand, model, generation FROM trend),
+    context AS (SELECT k.brand, k.model, k.generation, dom_median, dom_fast_share, calibration_resid_pct, trend_90d_pct FROM keys k
+      LEFT JOIN dom d ON k.brand = d.brand AND k.model = d.model AND k.generation IS NOT DISTINCT FROM d.generation
+      LEFT JOIN resid r ON k.brand = r.brand AND k.model = r.model AND k.generation IS NOT DISTINCT FROM r.generation
+      LEFT JOIN trend t ON k.brand = t.brand AND k.model = t.model AND k.generation IS NOT DISTINCT FROM t.generation)"""
 
 
 def context(t: Tables) -> DataFrame:
-    """One segment table of days on market and calibration, with fallback rows."""
-    resid = m.calibration_residuals(t.listings.join(signals_of(t), "olx_id")).select(F.col("brand").alias("_b"), F.col("model").alias("_m"), F.col("generation").alias("_g"), "calibration_resid_pct")
-    on = (F.col("brand") == F.col("_b")) & (F.col("model") == F.col("_m")) & F.col("generation").eqNullSafe(F.col("_g"))
-    return m.dom_medians(t.listings).join(resid, on, "left").select("brand", "model", "generation", "dom_median", "dom_fast_share", "calibration_resid_pct")
+    """One segment table of days on market, calibration and trend, with fallback rows."""
+    tables = [m.dom_medians(t.listings).drop("n"), m.calibration_residuals(t.listings.join(signals_of(t), "olx_id")).drop("n"), m.segment_trend(asked(t))]
+    return g.segment_context(tables)
+
+
+SEGMENT_FIGURES = ["dom_median", "dom_fast_share", "calibration_resid_pct", "trend_90d_pct"]
 
 
-@query("g06_decision_context", f"WITH {CONTEXT_SQL} SELECT brand, model, generation, dom_median, round(dom_fast_share, 6) AS dom_fast_share, round(calibration_resid_pct, 6) AS calibration_resid_pct FROM context")
+@query("g06_decision_context", f"WITH {CONTEXT_SQL} SELECT brand, model, generation, dom_median, round(dom_fast_share, 6) AS dom_fast_share, round(calibration_resid_pct, 6) AS calibration_resid_pct, trend_90d_pct FROM context")
 def _(t: Tables) -> DataFrame:
-    return context(t).withColumns({k: F.round(k, 6) for k in ("dom_fast_share", "calibration_resid_pct")})
+    return context(t).select("brand", "model", "generation", "dom_median", F.round("dom_fast_share", 6).alias("dom_fast_share"), F.round("calibration_resid_pct", 6).alias("calibration_resid_pct"), "trend_90d_pct")
 
 
 DECIDE_SQL = f"""{CONTEXT_SQL}, active AS (SELECT l.*, predicted_price, round(predicted_price * 0.9, 4) AS fair_price_low, part_id % 20 AS sample_size, (part_id % 50)::DOUBLE AS band_pct, (part_id % 9 * 100)::DOUBLE AS repair_cost,
       CAST(part_id % 4 AS INT) AS severity, part_id % 23 = 0 AS accident, part_id % 29 = 0 AS rhd, (part_id % 100) / 100 AS anomaly, (part_id % 10) / 10 AS prob, CAST(floor(epoch(:as_of - first_seen_at) / 86400) AS BIGINT) AS days_listed,
       nullif(round(price_eur - first_price_eur, 4), 0) AS change, CASE part_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS urgency, part_id % 4 = 0 AS warranty, part_id % 5 = 0 AS first_owner, part_id % 7 = 0 AS fleet, part_id % 6 AS owners
       FROM listings l JOIN (SELECT olx_id, min(predicted_price) AS predicted_price FROM signals GROUP BY 1) USING (olx_id) WHERE is_active),
-    ctx AS (SELECT a.*, coalesce(o.dom_median, w.dom_median) AS dom, coalesce(o.dom_fast_share, w.dom_fast_share) AS fast, coalesce(o.calibration_resid_pct, w.calibration_resid_pct) AS resid FROM active a
+    ctx AS (SELECT a.*, coalesce(o.dom_median, w.dom_median) AS dom, coalesce(o.dom_fast_share, w.dom_fast_share) AS fast, coalesce(o.calibration_resid_pct, w.calibration_resid_pct) AS resid, coalesce(o.trend_90d_pct, w.trend_90d_pct) AS trend FROM active a
       LEFT JOIN context o ON a.brand = o.brand AND a.model = o.model AND a.generation = o.generation LEFT JOIN context w ON a.brand = w.brand AND a.model = w.model AND w.generation IS NULL),
-    cor AS (SELECT *, CASE WHEN resid IS NOT NULL THEN predicted_price * (1 + resid / 100) ELSE predicted_price END AS corrected FROM ctx),
-    netted AS (SELECT *, corrected - price_eur - repair_cost - (150 + 1.3::DOUBLE * least(coalesce(dom, 45), 120)) AS net FROM cor),
+    cor AS (SELECT *, CASE WHEN resid IS NOT NULL THEN predicted_price * (1 + resid / 100) ELSE predicted_price END AS corrected, 150 + 1.3::DOUBLE * least(coalesce(dom, 45), 120) AS fees, CASE WHEN trend < 0 THEN -trend ELSE 0 END AS falling, price_eur <= fair_price_low AS bargain FROM ctx),
+    netted AS (SELECT *, corrected - price_eur - repair_cost - fees AS net FROM cor),
     pct AS (SELECT *, net / corrected * 100 AS net_pct FROM netted),
-    scored AS (SELECT *, net * (CASE WHEN warranty THEN 1.05 ELSE 1.0 END * CASE WHEN first_owner THEN 1.05 ELSE 1.0 END * CASE WHEN fleet THEN 0.92 ELSE 1.0 END * CASE WHEN owners >= 3 THEN 0.95 ELSE 1.0 END)::DOUBLE / corrected * 100
-      * (CASE WHEN band_pct / 100 > 0.25 THEN 0.7 ELSE 1.15 END * CASE WHEN price_eur <= fair_price_low THEN 1.15 ELSE 1.0 END)::DOUBLE * least(sample_size / 10.0, 1.0)::DOUBLE * (CASE WHEN abs(resid) > 5 THEN 0.85 ELSE 1.0 END)::DOUBLE
+    scored AS (SELECT *, (net - price_eur * falling / 100) * (CASE WHEN warranty THEN 1.05 ELSE 1.0 END * CASE WHEN first_owner THEN 1.05 ELSE 1.0 END * CASE WHEN fleet THEN 0.92 ELSE 1.0 END * CASE WHEN owners >= 3 THEN 0.95 ELSE 1.0 END)::DOUBLE AS profit,
+      (CASE WHEN band_pct / 100 > 0.25 THEN 0.7 ELSE 1.15 END * CASE WHEN bargain THEN 1.15 ELSE 1.0 END)::DOUBLE * least(sample_size / 10.0, 1.0)::DOUBLE * (CASE WHEN abs(resid) > 5 THEN 0.85 ELSE 1.0 END)::DOUBLE
       * (CASE WHEN days_listed > 30 AND change < 0 THEN 1.15 WHEN days_listed > 60 THEN 1.05 ELSE 1.0 END * CASE urgency WHEN 'high' THEN 1.15 WHEN 'medium' THEN 1.05 ELSE 1.0 END)::DOUBLE
-      * (CASE WHEN dom > 60 THEN 0.85 WHEN dom <= 30 THEN 1.1 ELSE 1.0 END * CASE WHEN fast < 0.3 THEN 0.9 ELSE 1.0 END * CASE WHEN prob >= 0.7 THEN 1.1 WHEN prob <= 0.25 THEN 0.85 ELSE 1.0 END)::DOUBLE AS s FROM pct),
-    decided AS (SELECT olx_id, CASE WHEN accident OR severity >= 3 OR rhd OR anomaly >= 0.9 THEN 'REJECT' WHEN predicted_price <= 0 OR sample_size < 5 OR band_pct / 100 > 0.4 THEN 'NO_OPINION'
-        WHEN resid IS NOT NULL AND corrected <= price_eur THEN 'REJECT' WHEN net_pct < 12 THEN 'SKIP' WHEN price_eur > fair_price_low AND price_eur > predicted_price THEN 'REJECT'
-        WHEN dom > 120 OR dom > 60 AND net_pct < 18 THEN 'SKIP' WHEN s >= 18 THEN 'BUY' WHEN s >= 15 THEN 'WATCH' ELSE 'SKIP' END AS verdict FROM scored)"""
+      * (CASE WHEN dom > 60 THEN 0.85 WHEN dom <= 30 THEN 1.1 ELSE 1.0 END * CASE WHEN fast < 0.3 THEN 0.9 ELSE 1.0 END * CASE WHEN prob >= 0.7 THEN 1.1 WHEN prob <= 0.25 THEN 0.85 ELSE 1.0 END)::DOUBLE AS conf FROM pct),
+    summed AS (SELECT *, profit / corrected * 100 * conf AS s FROM scored),
+    left_at AS (SELECT *, CASE WHEN accident THEN 'accident' WHEN severity >= 3 THEN 'severity' WHEN rhd THEN 'rhd' WHEN anomaly >= 0.9 THEN 'outlier' WHEN predicted_price <= 0 THEN 'none' WHEN sample_size < 5 THEN 'few' WHEN band_pct / 100 > 0.4 THEN 'band'
+        WHEN resid IS NOT NULL AND corrected <= price_eur THEN 'above' WHEN net_pct < 12 THEN 'margin' WHEN NOT bargain AND price_eur > predicted_price THEN 'median'
+        WHEN trend < -3 AND net_pct < 2 * falling THEN 'softening' WHEN dom > 120 THEN 'trap' WHEN dom > 60 AND net_pct < 18 THEN 'slow' ELSE 'end' END AS exit FROM summed),
+    decided AS (SELECT *, CASE WHEN exit IN ('accident', 'severity', 'rhd', 'outlier', 'above', 'median') THEN 'REJECT' WHEN exit IN ('none', 'few', 'band') THEN 'NO_OPINION' WHEN exit <> 'end' THEN 'SKIP' WHEN s >= 18 THEN 'BUY' WHEN s >= 15 THEN 'WATCH' ELSE 'SKIP' END AS verdict,
+        CASE WHEN exit = 'margin' THEN greatest(0, net_pct) WHEN exit IN ('softening', 'trap', 'slow') THEN net_pct WHEN exit = 'end' THEN round(round(s, 6), 1) ELSE 0 END AS score, '±' || printf('%.0f', round_even(band_pct / 2, 0)) || '%' AS wide,
+        exit IN ('above', 'margin', 'median', 'softening', 'trap', 'slow', 'end') AS banded, exit IN ('median', 'softening', 'trap', 'slow', 'end') AS priced, exit IN ('trap', 'slow', 'end') AS timed FROM left_at),
+    reasoned AS (SELECT *, concat_ws(' | ', CASE exit WHEN 'accident' THEN 'accident mentioned' WHEN 'severity' THEN 'damage severity ' || severity WHEN 'rhd' THEN 'right-hand drive' WHEN 'outlier' THEN 'outlier: anomaly score ' || printf('%.2f', anomaly)
+          WHEN 'none' THEN 'no prediction' WHEN 'few' THEN 'only ' || sample_size || ' comparables' WHEN 'band' THEN 'band ' || wide || ' is too wide' END,
+        CASE WHEN banded THEN 'band ' || wide || CASE WHEN band_pct / 100 > 0.25 THEN ' lowers confidence' ELSE ' is tight' END END, CASE WHEN banded AND abs(resid) > 5 THEN 'prediction corrected by ' || printf('%+.1f', round_even(resid, 1)) || '%' END,
+        CASE exit WHEN 'above' THEN 'ask at or above corrected value' WHEN 'margin' THEN 'net margin ' || printf('%.1f', round_even(net_pct, 1)) || '% below 12%' END,
+        CASE WHEN exit = 'median' THEN 'ask above the median' WHEN priced AND bargain THEN 'ask ' || format('{{:,}}', round_even(price_eur, 0)::BIGINT) || ' at or below the low band ' || format('{{:,}}', round_even(fair_price_low, 0)::BIGINT) WHEN priced THEN 'ask between low and median' END,
+        CASE WHEN exit = 'softening' THEN 'trend ' || printf('%+.1f', round_even(trend, 1)) || '%, net margin ' || printf('%.1f', round_even(net_pct, 1)) || '% below twice the drop'
+          WHEN timed THEN 'trend ' || printf('%+.1f', round_even(trend, 1)) || CASE WHEN trend < -3 THEN '%, margin covers twice the drop' WHEN trend < 0 THEN '%, discounted' ELSE '%, firming' END END,
+        CASE WHEN timed THEN printf('%.0f', round_even(dom, 0)) || CASE WHEN exit = 'trap' THEN ' days on market: capital trap' WHEN exit = 'slow' THEN ' days on market: margin below 18%' WHEN dom > 60 THEN ' days on market: slow, margin clears' WHEN dom <= 30 THEN ' days on market: fast' END END,
+        CASE WHEN exit = 'end' AND fast < 0.3 THEN 'only ' || printf('%.0f', round_even(fast * 100, 0)) || '% sold within 21 days' END,
+        CASE WHEN exit = 'end' AND prob >= 0.7 THEN 'likely to sell soon: ' || printf('%.2f', prob) WHEN exit = 'end' AND prob <= 0.25 THEN 'unlikely to sell soon: ' || printf('%.2f', prob) END,
+        CASE WHEN exit = 'end' AND days_listed > 30 AND change < 0 THEN 'motivated: ' || days_listed || ' days listed, dropped ' || format('{{:,}}', round_even(abs(change), 0)::BIGINT) WHEN exit = 'end' AND days_listed > 60 THEN days_listed || ' days listed: room to negotiate' END,
+        CASE WHEN exit = 'end' THEN 'urgency ' || urgency END, CASE WHEN exit = 'end' AND warranty THEN 'warranty' END, CASE WHEN exit = 'end' AND first_owner THEN 'first owner' END, CASE WHEN exit = 'end' AND fleet THEN 'taxi or rental' END, CASE WHEN exit = 'end' AND owners >= 3 THEN owners || ' owners' END) AS reasons FROM decided)"""
 
 
 def decided(t: Tables) -> DataFrame:
@@ -217,20 +255,41 @@ def decided(t: Tables) -> DataFrame:
             "first_owner": k % 5 == 0,
             "fleet": k % 7 == 0,
             "owners": k % 6,
-            "trend_90d_pct": F.lit(None).cast("double"),
         }
     )
-    return g.decide(n.with_segment(rows, context(t), ["dom_median", "dom_fast_share", "calibration_resid_pct"]))
+    return g.decide(n.with_segment(rows, context(t), SEGMENT_FIGURES))
+
+
+@query(
+    "g07_verdicts",
+    f"""WITH {DECIDE_SQL} SELECT olx_id, verdict, round(score, 4) AS score, reasons, CASE WHEN banded AND exit <> 'above' THEN round_even(net_pct, 1) END AS net_margin_pct, CASE WHEN banded AND exit <> 'above' THEN round_even(fees, 0) END AS fees_eur,
+    CASE WHEN exit IN ('softening', 'trap', 'slow', 'end') THEN round_even(trend, 2) END AS trend_90d_pct, CASE WHEN exit = 'end' THEN round_even(conf, 2) END AS confidence FROM reasoned""",
+)
+def _(t: Tables) -> DataFrame:
+    figures = [F.try_element_at("components", F.lit(k)).alias(k) for k in ("net_margin_pct", "fees_eur", "trend_90d_pct", "confidence")]
+    return decided(t).select("olx_id", "verdict", F.round("score", 4).alias("score"), F.concat_ws(" | ", "reasons").alias("reasons"), *figures)
+
+
+@query(
+    "e25_verdict_histogram",
+    f"WITH {DECIDE_SQL} SELECT verdict, count(*) AS n, round(count(*) / (SELECT count(*) FROM decided), 6) AS share, round(median(score), 4) AS median_score FROM decided GROUP BY 1",
+)
+def _(t: Tables) -> DataFrame:
+    return g.verdict_histogram(decided(t))
 
 
-@query("g07_verdicts", f"WITH {DECIDE_SQL} SELECT * FROM decided")
+@query(
+    "e25_top_reasons",
+    f"""WITH {DECIDE_SQL}, said AS (SELECT verdict, regexp_replace(unnest(string_split(reasons, ' | ')), '\\d+(\\.\\d+)?', 'N', 'g') AS reason FROM reasoned),
+    counted AS (SELECT verdict, reason, count(*) AS n FROM said WHERE reason <> '' GROUP BY 1, 2), placed AS (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY n DESC, reason) AS place FROM counted) SELECT * FROM placed WHERE place <= 5""",
+)
 def _(t: Tables) -> DataFrame:
-    return decided(t).select("olx_id", "verdict")
+    return g.top_reasons(decided(t))
 
 
-@query("e25_verdict_histogram", f"WITH {DECIDE_SQL} SELECT verdict, count(*) AS n, round(count(*) / (SELECT count(*) FROM decided), 6) AS share FROM decided GROUP BY 1")
+@query("e25_context_spread", f"WITH {CONTEXT_SQL}, long AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, {k} AS v FROM context WHERE {k} IS NOT NULL" for k in ("dom_median", "dom_fast_share", "calibration_resid_pct", "trend_90d_pct")) + ") SELECT name, count(*) AS n, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90 FROM long GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return g.verdict_histogram(decided(t)).select("verdict", "n", "share")
+    return g.context_spread(context(t), SEGMENT_FIGURES).select("name", "n", *[F.round(k, 6).alias(k) for k in ("p10", "p50", "p90")])
 
 
 @query(
