@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import loss_weight, md5_share, mean, median_of, ratio, sold_tier, whole_days
+from .ranks import quantiles
 
 
 def residuals(df: DataFrame, actual: str, predicted: str, low: str | None = None, high: str | None = None) -> DataFrame:
@@ -45,15 +46,15 @@ def global_metrics(df: DataFrame, actual: str, low: str, high: str) -> DataFrame
 
 def quantile_edges(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """One row: the distinct inner and outer quantile edges of a column as an array."""
-    return df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("edges"))
+    edges = [x for x in quantiles(df, column, [i / n for i in range(n + 1)]) if x is not None]
+    return df.sparkSession.createDataFrame([(sorted(set(edges)) or None,)], "edges array<double>")
 
 
 def by_quantile(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """Adds ``bin``: right-closed bins at the distinct quantile edges, the least value in the first."""
-    # one row with at most n + 1 edges
-    joined = df.join(F.broadcast(quantile_edges(df, column, n)), F.lit(True), "left")
-    below = F.size(F.filter(F.slice("edges", 2, n + 1), lambda e: e < F.col(column)))
-    return joined.withColumn("bin", below.cast("int")).drop("edges")
+    edges = sorted({x for x in quantiles(df, column, [i / n for i in range(n + 1)]) if x is not None})
+    below = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges[1:]), F.lit(0))
+    return df.withColumn("bin", F.when(F.col(column).isNotNull(), below).cast("int"))
 
 
 def worst_residuals(df: DataFrame, key: str, top: int = 20) -> DataFrame:
@@ -158,7 +159,8 @@ def conformal_quantile(df: DataFrame, score: str, coverage: float = 0.8, keys: l
     # in all: the level is one number
     n = rows.count()
     level = min(-(-int(round(coverage * (n + 1) * 1e9)) // 10**9) / n, 1.0) if n else 1.0
-    return rows.agg(F.count("*").alias("n"), F.round(F.percentile(score, F.lit(level)), 6).alias("q"))
+    q = quantiles(rows, score, [level])[0]
+    return df.sparkSession.createDataFrame([(n, q)], "n long, q double").withColumn("q", F.round("q", 6))
 
 
 def assemble_bands(low: Column, mid: Column, high: Column, q: Column) -> dict[str, Column]:
@@ -187,13 +189,12 @@ def training_filter(df: DataFrame, price: str, first: str, km: str, year: str, t
     """
     r = ratio(F.col(price), F.col(first))
     calm = df.where(F.col(price).isNotNull() & F.coalesce((r < swing) & (r > 1 / swing), F.lit(True)))
-    ends = calm.agg(F.percentile(price, F.lit(0.01)).alias("_p1"), F.percentile(price, F.lit(0.99)).alias("_p99"))
-    # one row
-    marked = calm.join(F.broadcast(ends), F.lit(True)).withColumn("_inside", F.col(price).between(F.col("_p1"), F.col("_p99")))
+    low, high = (F.lit(x).cast("double") for x in quantiles(calm, price, [0.01, 0.99]))
+    marked = calm.withColumn("_inside", F.col(price).between(low, high))
     yearly = F.col(km) / F.greatest(F.lit(this_year) - F.col(year), F.lit(1))
     marked = marked.withColumn("_used", F.coalesce(yearly.between(500, 100_000), F.lit(True)))
     counts = marked.agg(F.count("*").alias("calm"), F.count_if("_inside").alias("inside"), F.count_if(F.col("_inside") & F.col("_used")).alias("kept"))
-    return marked.where("_inside AND _used").drop("_p1", "_p99", "_inside", "_used"), counts
+    return marked.where("_inside AND _used").drop("_inside", "_used"), counts
 
 
 def training_weights(df: DataFrame, price: str = "price_eur") -> DataFrame:
@@ -224,10 +225,9 @@ def time_folds(df: DataFrame, order: list[str], folds: int) -> DataFrame:
 
     Cut by the quantiles of the first order column, so no global sort is needed.
     """
-    cuts = df.agg(F.percentile(F.unix_micros(order[0]), F.array(*[F.lit(i / (folds + 1)) for i in range(1, folds + 1)])).alias("_cuts"))
-    # one row
-    joined = df.join(F.broadcast(cuts), F.lit(True))
-    return joined.withColumn("fold", F.size(F.filter("_cuts", lambda c: c <= F.unix_micros(F.col(order[0])))).cast("int")).drop("_cuts")
+    at = F.unix_micros(order[0])
+    cuts = quantiles(df.select(at.alias("_t")), "_t", [i / (folds + 1) for i in range(1, folds + 1)])
+    return df.withColumn("fold", sum((F.when(at >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int"))
 
 
 def hazard_target(df: DataFrame, as_of: str, horizon: int = 30) -> DataFrame:
@@ -246,11 +246,12 @@ def split_by_key(key: Column, share: float = 0.2) -> Column:
 
 def scaled(column: str, df: DataFrame, flag_share: float = 0.05) -> DataFrame:
     """Adds ``scaled`` (0 to 1 between least and largest) and ``flagged`` (above the quantile)."""
-    ends = df.agg(F.min(column).alias("_a"), F.max(column).alias("_b"), F.percentile(column, F.lit(1 - flag_share)).alias("_q"))
+    ends = df.agg(F.min(column).alias("_a"), F.max(column).alias("_b"))
+    limit = F.lit(quantiles(df, column, [1 - flag_share])[0]).cast("double")
     # one row
     out = df.join(F.broadcast(ends), F.lit(True))
     value = F.round(F.coalesce(ratio(F.col(column) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)), 6)
-    return out.withColumns({"scaled": value, "flagged": F.col(column) > F.col("_q")}).drop("_a", "_b", "_q")
+    return out.withColumns({"scaled": value, "flagged": F.col(column) > limit}).drop("_a", "_b")
 
 
 def median_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Fair-price, sale-hazard and anomaly models on Spark ML and DataFrames.
 
 Spark trees know no quantile loss and no monotone constraints. Price bands come from a forest whose
-leaves pool training prices (a quantile regression forest); conformal widening, which restores the
-coverage, is not applied here. Contributions are occlusions: the change when a feature is set to its segment's median.
+leaves pool training prices (a quantile regression forest); ``calibration`` widens them, which restores
+the coverage. Contributions are occlusions: the change when a feature is set to its segment's median.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import md5_share
+from ..functions.scalars import clamp, md5_share, ratio
 from .evaluation import fold_rare
+from .ranks import quantiles
 
 
 def features(numeric: list[str], categorical: list[str], max_bins: int = 64) -> list:
@@ -38,17 +40,22 @@ def prepared(df: DataFrame, numeric: list[str], categorical: list[str], most: in
     return df
 
 
-def fit_price(df: DataFrame, target: str, numeric: list[str], categorical: list[str], weight: str | None = None, seed: int = 7) -> PipelineModel:
+def fit_price(df: DataFrame, target: str, numeric: list[str], categorical: list[str], weight: str | None = None, seed: int = 7, trees: int = 20) -> PipelineModel:
     """A boosted model of log1p of the target; columns must come from ``prepared``."""
-    model = GBTRegressor(labelCol="_y", maxIter=20, maxDepth=5, maxBins=64, subsamplingRate=0.8, seed=seed)
+    model = GBTRegressor(labelCol="_y", maxIter=trees, maxDepth=5, maxBins=64, subsamplingRate=0.8, seed=seed)
     if weight:
         model = model.setWeightCol(weight)
     return Pipeline(stages=[*features(numeric, categorical), model]).fit(df.withColumn("_y", F.log1p(target)))
 
 
+def fold_of(key: Column, folds: int) -> Column:
+    """A fold from 0 that the key's md5 decides."""
+    return F.least(F.floor(md5_share(key) * folds), F.lit(folds - 1)).cast("int")
+
+
 def out_of_fold(df: DataFrame, key: str, target: str, numeric: list[str], categorical: list[str], folds: int = 3) -> DataFrame:
     """``key, fold, predicted`` by models that did not see the row; folds are the key's md5."""
-    rows = df.withColumn("fold", F.least(F.floor(md5_share(F.col(key)) * folds), F.lit(folds - 1)).cast("int"))
+    rows = df.withColumn("fold", fold_of(F.col(key), folds))
     out = None
     for k in range(folds):
         model = fit_price(rows.where(F.col("fold") != k), target, numeric, categorical)
@@ -57,22 +64,47 @@ def out_of_fold(df: DataFrame, key: str, target: str, numeric: list[str], catego
     return out
 
 
-def quantile_forest(train: DataFrame, test: DataFrame, key: str, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7) -> DataFrame:
-    """``key, low, high``: quantiles of the training targets in the leaves that the row falls into.
+@dataclass
+class Forest:
+    """A fitted forest and the quantiles of the training targets in each of its leaves."""
+
+    model: PipelineModel
+    pools: DataFrame
+
 
-    Leaf pools are summarised once (a quantile pair for each tree and leaf) and averaged over trees.
+def _leaves(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+
+
+def fit_forest(train: DataFrame, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7) -> Forest:
+    """A forest of log1p of the target whose leaves keep a pair of quantiles for each tree.
+
+    The quantiles come from sketches with a rank error of 1 in 10,000, as the leaves of a forest of
+    bounded depth are few and hold a large share of the rows each.
     """
     forest = RandomForestRegressor(labelCol="_y", leafCol="leaves", numTrees=trees, maxDepth=6, maxBins=64, minInstancesPerNode=10, seed=seed)
-    model = Pipeline(stages=[*features(numeric, categorical), forest]).fit(train.withColumn("_y", F.log1p(target)))
-    leaves = lambda df, *keep: df.select(*keep, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
-    pools = leaves(model.transform(train.withColumn("_y", F.log1p(target))), "_y").groupBy("tree", "leaf").agg(F.percentile("_y", F.lit(low)).alias("_l"), F.percentile("_y", F.lit(high)).alias("_h"))
-    rows = leaves(model.transform(test), key).join(pools, ["tree", "leaf"])
-    return rows.groupBy(key).agg(F.expm1(F.avg("_l")).alias("low"), F.expm1(F.avg("_h")).alias("high"))
+    rows = train.withColumn("_y", F.log1p(target))
+    model = Pipeline(stages=[*features(numeric, categorical), forest]).fit(rows)
+    pools = _leaves(model.transform(rows), "_y").groupBy("tree", "leaf").agg(F.percentile_approx("_y", [low, high], 10_000).alias("_p"))
+    return Forest(model, pools.select("tree", "leaf", F.col("_p")[0].alias("_l"), F.col("_p")[1].alias("_h")))
+
+
+def forest_bands(forest: Forest, rows: DataFrame, key: str) -> DataFrame:
+    """``key, log_low, log_high``: the leaves' quantiles, averaged over trees."""
+    # at most trees * 2 ** depth rows
+    met = _leaves(forest.model.transform(rows), key).join(F.broadcast(forest.pools), ["tree", "leaf"])
+    return met.groupBy(key).agg(F.avg("_l").alias("log_low"), F.avg("_h").alias("log_high"))
+
+
+def quantile_forest(train: DataFrame, test: DataFrame, key: str, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7) -> DataFrame:
+    """``key, low, high``: quantiles of the training targets in the leaves that the row falls into, unwidened."""
+    bands = forest_bands(fit_forest(train, target, numeric, categorical, low, high, trees, seed), test, key)
+    return bands.select(key, F.expm1("log_low").alias("low"), F.expm1("log_high").alias("high"))
 
 
 def occlusion(model: PipelineModel, df: DataFrame, key: str, numeric: list[str]) -> DataFrame:
     """``key, feature, contribution`` on the log scale: prediction less the one at the feature's median."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in numeric]).first()
+    medians = {c: quantiles(df, c, [0.5])[0] for c in numeric}
     base = model.transform(df).select(key, F.col("prediction").alias("_full"))
     out = None
     for c in numeric:
@@ -82,16 +114,15 @@ def occlusion(model: PipelineModel, df: DataFrame, key: str, numeric: list[str])
     return out
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, target: str, groups: dict[str, list[str]], seed: int = 7) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, target: str, groups: dict[str, list[str]], seed: int = 7, slice_rows: int = 50_000) -> DataFrame:
     """``name, importance``: growth of the mean absolute log error when a group's columns are shuffled.
 
-    Values are shuffled by pairing two random orders within hash slices, without a global sort.
+    Values are shuffled by pairing two random orders within slices of about ``slice_rows`` rows, whose
+    number grows with the table; no task sorts more than a slice.
     """
-    from pyspark.sql import Window
-
     error = lambda d: d.select(F.avg(F.abs(F.col("prediction") - F.log1p(target))).alias("e"))
     base = error(model.transform(df)).first()["e"]
-    slices = 32
+    slices = max(1, -(-df.count() // slice_rows))
     rows = df.withColumn("_id", F.xxhash64(*df.columns)).withColumn("_s", F.pmod("_id", F.lit(slices)))
     found = []
     for name, columns in groups.items():
@@ -111,6 +142,46 @@ def fit_hazard(df: DataFrame, label: str, numeric: list[str], categorical: list[
     return Pipeline(stages=[*features(numeric, categorical), model]).fit(df.withColumn("_w", F.when(F.col(label) == 1, ratio).otherwise(1.0)))
 
 
+def hazard_features(df: DataFrame, price: str = "price_eur") -> DataFrame:
+    """Adds log_price, and residual_pct and band_pct of the row's predictions where these are over 0."""
+    safe = F.when(F.col("predicted_price") > 0, F.col("predicted_price"))
+    return df.withColumns(
+        {
+            "log_price": F.log1p(F.greatest(F.col(price), F.lit(0.0))),
+            "residual_pct": (F.col(price) - safe) / safe * 100,
+            "band_pct": (F.col("fair_price_high") - F.col("fair_price_low")) / safe * 100,
+        }
+    )
+
+
+def hazard_quality(scored: DataFrame, label: str = "label", p: str = "prob_sold") -> DataFrame:
+    """One row: n, base rate, log-loss and AUC (the share of pairs in order, ties half) of scored rows."""
+    rows = scored.where(F.col(label).isNotNull() & F.col(p).isNotNull())
+    q = clamp(F.col(p), 1e-9, 1 - 1e-9)
+    # scores on a fine grid, so that pairs are counted from sums by score and not by sorting rows in one task
+    grid = rows.groupBy(F.round(p, 6).alias("_p")).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
+    part = F.floor(F.col("_p") * 1000)
+    w = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_s", part).withColumn("_in", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    slices = grid.groupBy("_s").agg(F.sum("_neg").alias("_n"))
+    # at most 1001 rows
+    lower = slices.select(F.col("_s").alias("_k"), F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lower"))
+    pairs = grid.join(F.broadcast(lower), F.col("_s") == F.col("_k")).agg(F.sum(F.col("_pos") * (F.col("_in") + F.col("_lower") + F.col("_neg") / 2)).alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
+    loss = rows.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("base_rate"), (-F.avg(F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1 - q)))).alias("log_loss"))
+    # one row each
+    return loss.join(F.broadcast(pairs), F.lit(True)).select("n", "base_rate", "log_loss", ratio(F.col("_won"), (F.col("_p") * F.col("_q")).cast("double")).alias("auc"))
+
+
+def worst_axis(axes: dict[str, DataFrame], key: str) -> DataFrame:
+    """``key``, a column for each axis, ``anomaly`` (the highest of them) and ``axis``, its name."""
+    out = None
+    for name, scores in axes.items():
+        own = scores.select(F.col(key).alias(f"_{name}"), F.col("anomaly").alias(name))
+        out = own.withColumnRenamed(f"_{name}", key) if out is None else out.join(own, F.col(key) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    top = F.greatest(*axes) if len(axes) > 1 else F.col(next(iter(axes)))
+    return out.withColumns({"anomaly": top, "axis": F.coalesce(*[F.when(F.col(name) == top, name) for name in axes])})
+
+
 def hazard_scores(model: PipelineModel, df: DataFrame, key: str, price: str) -> DataFrame:
     """``key, prob_sold``; null where the price is."""
     p = vector_to_array("probability")[1]

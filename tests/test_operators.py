@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars, text
-from marketloom.operators import enrich, evaluation, maintain, models
+from marketloom.operators import calibration, enrich, evaluation, maintain, models, ranks
 from marketloom.sources import tables
 from marketloom.streaming import jobs
 
@@ -245,3 +245,47 @@ def test_segment_score(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u double, n int, d double, t double").orderBy("i")
     got = [r[0] for r in df.select(scalars.segment_score(F.col("u"), F.col("n"), F.col("d"), F.col("t"))).collect()]
     assert np.allclose(got, [0.2 * 14 / 60 + 0.075, 1.0, 0.4 + 0.1])
+
+
+def test_ranks_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), np.full(3000, 0.25), rng.exponential(size=500) * 1e6])
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "g": np.where(np.arange(len(values)) % 3 > 0, "a", "b")})).unionByName(spark.createDataFrame([(None, "a"), (float("nan"), "b")], "v double, g string"))
+    monkeypatch.setattr(ranks, "HELD", 50)
+    monkeypatch.setattr(ranks, "_ACCURACY", 100)
+    levels = [0.0, 0.1, 0.333, 0.5, 0.9, 0.999, 1.0]
+    assert np.allclose(ranks.quantiles(df, "v", levels), np.quantile(values, levels))
+    own = np.sort(values[np.arange(len(values)) % 3 > 0])
+    got = ranks.values_at(df, "v", {"a": [0, 7, len(own) - 1, len(own)], "c": [0]}, "g")
+    assert got == {"a": {0: own[0], 7: own[7], len(own) - 1: own[-1]}, "c": {}}
+    assert ranks.quantiles(df.where("false"), "v", [0.5]) == [None]
+
+
+def test_time_split_and_widths(spark):
+    rows = [(f"k{i}", dt.datetime(2024, 1, 1 + i // 40), float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, v double").unionByName(spark.createDataFrame([("x", None, 1.0)], "k string, t timestamp, v double"))
+    parts = {r.k: r.part for r in calibration.time_split(df, "t", "k", 0.23).collect()}
+    assert len(parts) == 400 and sum(p == "fit" for p in parts.values()) == 308
+    assert all(parts[f"k{i}"] == "fit" for i in range(280)) and all(parts[f"k{i}"] == "calibrate" for i in range(320, 400))
+    assert calibration.time_split(df.limit(100), "t", "k") is None
+    assert calibration.price_edges(df.limit(50), "v") == calibration.PRICE_EDGES
+    edges = [0.0, 10.0, 20.0]
+    got = [tuple(r) for r in df.where("v in (0, 10, 25)").orderBy("v").select(calibration.bucket_at(F.col("v"), edges), calibration.width_of(F.col("v"), edges, {1: 0.5}, 0.1)).collect()]
+    assert got == [(0, 0.1), (1, 0.5), (2, 0.1)]
+
+
+def test_calibrated_chain_covers(spark):
+    rng = np.random.default_rng(1)
+    n = 1500
+    year, km, brand = rng.integers(2000, 2024, n), rng.integers(1, 250, n) * 1000.0, rng.choice(list("abcde"), n)
+    price = np.exp(7 + (year - 2000) * 0.1 - km / 4e5 + (brand == "a") * 0.4 + rng.normal(0, 0.15, n))
+    pdf = pd.DataFrame({"olx_id": [f"i{k}" for k in range(n)], "year": year.astype(float), "mileage_km": km, "brand": brand, "price_eur": price, "first_seen_at": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="h"), "doc": rng.random(n)})
+    rows = models.prepared(spark.createDataFrame(pdf), ["year", "mileage_km"], ["brand"])
+    chain = calibration.fit_chain(rows.where("first_seen_at < '2024-02-20'"), "olx_id", "price_eur", "first_seen_at", ["year", "mileage_km"], ["brand"], ["doc"], trees=10)
+    out = calibration.predict(chain, rows, "olx_id").toPandas().merge(pdf, on="olx_id")
+    assert len(out) == n and (out.fair_price_low <= out.predicted_price).all() and (out.predicted_price <= out.fair_price_high).all()
+    newest = out[out.first_seen_at >= "2024-02-20"]
+    inside = ((newest.price_eur >= newest.fair_price_low) & (newest.price_eur <= newest.fair_price_high)).mean()
+    assert inside > 0.72 and (abs(newest.predicted_price - newest.price_eur) / newest.price_eur).median() < 0.25
+    iso = chain.iso.transform(spark.range(1, 400).selectExpr("cast(id * 100 as double) as raw")).orderBy("raw").toPandas().calibrated
+    assert (np.diff(iso) >= -1e-9).all() and chain.overall > -1 and len(chain.by_bucket) <= len(chain.edges)
