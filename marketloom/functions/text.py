@@ -312,6 +312,57 @@ def brand_in_title(title: Column, brands: list[str]) -> Column:
     return F.nullif(F.regexp_extract(F.lower(title), rf"(?:^|[^\w])({names})(?:$|[^\w])", 1), F.lit(""))
 
 
+# Families of makers, and of the engine names that they alone use.
+BRAND_FAMILIES = {
+    "VAG": ["Volkswagen", "VW", "Audi", "Seat", "SEAT", "Skoda", "Škoda"],
+    "PSA": ["Peugeot", "Citroen", "Citroën", "DS"],
+    "MB": ["Mercedes-Benz", "Mercedes"],
+    "RNO": ["Renault", "Dacia", "Nissan"],
+    "FCA": ["Fiat", "Alfa Romeo", "Lancia", "Jeep"],
+    "FORD": ["Ford"],
+    "HK": ["Hyundai", "Kia"],
+    "MAZDA": ["Mazda"],
+    "BMW": ["BMW", "Mini", "MINI"],
+}
+ENGINE_FAMILIES = {
+    "VAG": ["tdi", "tfsi", "tsi"],
+    "PSA": ["hdi", "bluehdi", "puretech", "ehdi"],
+    "MB": ["cdi", "bluetec"],
+    "RNO": ["dci", "tce", "bluedci", "digt"],
+    "FCA": ["multijet", "mjet", "jtd"],
+    "FORD": ["tdci", "ecoboost"],
+    "HK": ["crdi"],
+    "MAZDA": ["skyactived"],
+    "GM": ["cdti"],
+}
+ENGINE_NAME = r"(?i)\b(BlueHDi|BlueTec|Blue\s+dCi|Blue\s+HDi|PureTech|EcoBoost|Multijet|M-?Jet|SkyActive-?D|DIG-?T|TDI|TFSI|TSI|HDI|CDTI|CDI|dCi|TCe|TDCi|JTD|CRDi|e-HDi)\b"
+
+
+def fitting_sub_model(brand: Column, sub_model: Column) -> Column:
+    """The sub-model, or null where it names an engine of another maker's family; unknown makers and names pass."""
+    table = lambda families: F.create_map(*[F.lit(x) for family, names in families.items() for n in names for x in (n, family)])
+    maker = F.try_element_at(table(BRAND_FAMILIES), brand)
+    engine = F.try_element_at(table(ENGINE_FAMILIES), F.regexp_replace(F.lower(F.regexp_extract(sub_model, ENGINE_NAME, 1)), r"[\s\-]", ""))
+    return F.when(~F.coalesce(maker != engine, F.lit(False)), sub_model)
+
+
+# Features told as whole numbers.
+WHOLE_FEATURES = ["year", "engine_cc", "horsepower", "photo_count", "description_length", "seats", "doors", "seller_listings_count_90d"]
+
+
+def contribution_label(feature: Column, value: Column) -> Column:
+    """'year=2018', 'mileage=85k', 'plate_obscured=yes', 'generation=C7'; a dash where the value (text) is unknown."""
+    number = value.try_cast("double")
+    whole = F.format_string("%d", F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
+    told = (
+        F.when((feature == "mileage_km") & number.isNotNull(), F.concat(F.lit("mileage="), F.format_string("%d", F.bround(number / 1000, 0).cast("long")), F.lit("k")))
+        .when(feature.isin(*WHOLE_FEATURES) & number.isNotNull(), F.concat(feature, F.lit("="), whole))
+        .when((feature == "plate_obscured") & number.isNotNull(), F.concat(feature, F.lit("="), F.when(F.abs(number) >= 1, "yes").otherwise("no")))
+        .when(value.rlike(r"^-?\d+\.\d+$"), F.concat(feature, F.lit("="), F.format_string("%.2f", number)))
+    )
+    return F.coalesce(told, F.concat(feature, F.lit("="), F.coalesce(value, F.lit("—"))))
+
+
 def deal_message(title: Column, price: Column, discount: Column, warnings: list[tuple[Column, str]], positives: list[tuple[Column, str]]) -> Column:
     """The text of an alert: title, price, discount, then warnings and good signs that hold."""
     level = F.when(discount >= 30, "!!!").when(discount >= 20, "!!").otherwise("!")

@@ -118,6 +118,20 @@ def revalidate_candidates(df: DataFrame, as_of: str, days: int = 14, most: int =
     return rows.orderBy(F.desc("deactivated_at"), key).limit(most)
 
 
+def revalidate(df: DataFrame, probes: DataFrame, source: str, as_of: str, days: int = 14, most: int = 300, key: str = "olx_id") -> tuple[DataFrame, DataFrame]:
+    """(table, one row of checked, restored, still_dead and deferred) after probing the newest sold rows of a source.
+
+    ``probes``: key and alive (true, false or null, which defers). Rows without a source belong to 'olx'.
+    """
+    own = df.where(F.coalesce("source", F.lit("olx")) == source)
+    asked = revalidate_candidates(own, as_of, days, most, key).select(F.col(key).alias("_id"))
+    found = asked.join(probes.select(F.col(key).alias("_p"), "alive"), F.col("_id") == F.col("_p"), "left").select("_id", "alive")
+    counts = found.agg(F.count("*").alias("checked"), F.count_if("alive").alias("restored"), F.count_if(~F.col("alive")).alias("still_dead"), F.count_if(F.col("alive").isNull()).alias("deferred"))
+    # at most ``most`` rows
+    out = df.join(F.broadcast(found.where("alive").select("_id", F.lit(True).alias("_back"))), F.col(key) == F.col("_id"), "left")
+    return _restore(out, F.coalesce("_back", F.lit(False))).drop("_id", "_back"), counts
+
+
 def heal_mass_sweeps(df: DataFrame, cutoff: str, threshold: int = 500) -> DataFrame:
     """Restores sold rows of (source, deactivated_at) groups that are too large to be true."""
     swept = df.where(~F.col("is_active") & (F.col("deactivation_reason") == "sold") & (F.col("deactivated_at") < at(cutoff)))

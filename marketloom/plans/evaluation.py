@@ -142,12 +142,6 @@ def _(t: Tables) -> DataFrame:
     return v.field_accuracy(rows, {"type": "equal", "price": "near", "size": "step"}, "p_partkey")
 
 
-@query("e19_facet_rollup", "SELECT r_name, count(*) AS suppliers, count(DISTINCT n_name) AS nations, count(*) FILTER (s_acctbal > 0) AS positive FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name").agg(F.count("*").alias("suppliers"), F.countDistinct("n_name").alias("nations"), F.count_if(F.col("s_acctbal") > 0).alias("positive"))
-
-
 @query(
     "e20_top_ancestor",
     """WITH RECURSIVE tree AS (SELECT n_nationkey + 100 AS id, n_regionkey AS parent FROM nation UNION ALL SELECT r_regionkey, NULL FROM region), walk AS (SELECT id, id AS top, parent FROM tree UNION ALL SELECT w.id, t.id, t.parent FROM walk w JOIN tree t ON w.parent = t.id)

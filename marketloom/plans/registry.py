@@ -123,7 +123,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import decisions, enriching, evaluation, ingest, market, more, pricing, texts  # noqa: F401
+    from . import decisions, enriching, evaluation, ingest, market, more, pages, pricing, texts  # noqa: F401
 
 
 load_all()

@@ -53,3 +53,18 @@ def evolve(df: DataFrame, schema: T.StructType, drop: list[str], json_column: st
         kept = F.map_filter(F.from_json(json_column, "map<string,string>"), lambda k, _: ~k.isin(*dead_keys))
         out = out.withColumn(json_column, F.when(F.col(json_column).isNotNull(), F.to_json(kept)))
     return out
+
+
+def stats_history(stats: DataFrame) -> DataFrame:
+    """Market statistics of all days, oldest first."""
+    return stats.select("brand", "model", "date", "median_price_eur", "avg_price_eur", "min_price_eur", "max_price_eur", "listing_count").orderBy("date", "brand", "model")
+
+
+def unmatched_listings(df: DataFrame, source: str = "olx") -> DataFrame:
+    """Active listings that matched no known model; those without a source come from the first one."""
+    return df.where("is_active").withColumn("source", F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(source)))
+
+
+def relist_history(events: DataFrame, key: str = "original_olx_id") -> DataFrame:
+    """Relist events, newest first."""
+    return events.orderBy(F.desc("detected_at"), key)
