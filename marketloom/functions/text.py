@@ -156,6 +156,15 @@ def canonical_brand(c: Column) -> Column:
     return F.coalesce(_lookup(c, BRANDS), F.trim(c), F.lit(""))
 
 
+def zone_of(district: Column, zones: dict[str, str]) -> Column:
+    """The zone of a district by a fixed map, whatever its case and accents; null for unknown ones."""
+    if not zones:
+        return F.lit(None).cast("string")
+    plain = str.maketrans("áàãâäéêèëíìïóôõòöúùüçñ", "aaaaaeeeeiiiooooouuucn")
+    pairs = F.create_map(*[F.lit(v) for name, zone in zones.items() for v in (name.lower().translate(plain), zone)])
+    return F.try_element_at(pairs, F.trim(folded(district)))
+
+
 def canonical_colour(c: Column) -> Column:
     low = F.nullif(F.lower(F.trim(c)), F.lit(""))
     return F.coalesce(_lookup(c, COLOURS), low)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import adaptive_window, clamp, days_between, ratio, repair_cost, sold
+from ..functions.scalars import adaptive_window, at, clamp, days_between, ratio, repair_cost, sold
 from ..functions.text import canonical_colour, numbers_out, salvage_phrase
 from .enrich import with_comparables, with_segment
 
@@ -259,6 +259,28 @@ def decide(rows: DataFrame) -> DataFrame:
     return out.drop("_corrected", "_fees", "_net", "_net_pct", "_exit", "_profit", "_profit_pct", "_conf", "_score")
 
 
+def new_alerts(signals: DataFrame, seen: DataFrame, least: float = 15.0, key: str = "olx_id") -> DataFrame:
+    """Signals at least ``least`` % below their comparables whose key was not alerted before."""
+    told = seen.select(F.col(key).alias("_seen"))
+    return signals.where(F.col("discount_pct") >= least).join(told, F.col(key) == F.col("_seen"), "left_anti")
+
+
+def rechecked(signals: DataFrame, fresh: DataFrame, as_of: str, stale_days: float = 1.0, least: float = 15.0, key: str = "olx_id") -> DataFrame:
+    """Candidates for alerts after a look at fresh prices.
+
+    Signals seen within ``stale_days`` stand. Of the others only those found in ``fresh`` (key,
+    price_eur, is_active) as active stay, with the discount to the median recomputed from the new
+    price; a null price keeps the old one. Below ``least`` % they go.
+    """
+    new = fresh.select(F.col(key).alias("_f"), F.col("price_eur").alias("_price"), F.col("is_active").alias("_alive"))
+    rows = signals.join(new, F.col(key) == F.col("_f"), "left")
+    stale = F.coalesce(days_between(at(as_of), F.col("last_seen_at")) > stale_days, F.lit(True))
+    price = F.when(stale, F.coalesce("_price", "price_eur")).otherwise(F.col("price_eur"))
+    rows = rows.where(~stale | _no(F.col("_alive"))).withColumn("price_eur", price)
+    rows = rows.withColumn("discount_pct", F.round((1 - F.col("price_eur") / F.col("median_price_eur")) * 100, 1))
+    return rows.where(F.col("discount_pct") >= least).drop("_f", "_price", "_alive")
+
+
 def segment_context(tables: list[DataFrame]) -> DataFrame:
     """Segment tables (brand, model, generation and figures) side by side, for every segment that any of them has.
 

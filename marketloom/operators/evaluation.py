@@ -207,6 +207,19 @@ def training_weights(df: DataFrame, price: str = "price_eur") -> DataFrame:
     return rows.join(F.broadcast(mean), F.lit(True)).withColumn("weight", loss_weight(F.col("target")) / F.col("_mean") * trust).drop("_mean")
 
 
+def contributions_long(df: DataFrame, key: str, names: str, values: str, top: int = 5) -> DataFrame:
+    """``key, rank, feature, contribution`` from arrays of names and values: the ``top`` largest by size, ties by name."""
+    pairs = F.arrays_zip(F.col(names).alias("n"), F.col(values).alias("v"))
+    ordered = F.sort_array(F.transform(pairs, lambda x: F.struct((-F.abs(x["v"])).alias("k"), x["n"].alias("feature"), x["v"].alias("contribution"))))
+    return df.select(key, F.posexplode(F.slice(ordered, 1, top)).alias("rank", "_x")).select(key, "rank", "_x.feature", "_x.contribution")
+
+
+def contributions_wide(long: DataFrame, key: str) -> DataFrame:
+    """``key, features, contributions``: the long table back as arrays in order of rank."""
+    rows = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "contribution"))).alias("_x"))
+    return rows.select(key, F.transform("_x", lambda x: x["feature"]).alias("features"), F.transform("_x", lambda x: x["contribution"]).alias("contributions"))
+
+
 def waterfall(contributions: DataFrame, key: str, feature: str, value: str, base: str, top: int = 5) -> DataFrame:
     """Steps from the base price by falling contribution; EUR of each step on the log scale, rest as one.
 

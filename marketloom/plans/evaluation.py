@@ -170,10 +170,11 @@ def _(t: Tables) -> DataFrame:
     return t.listings.groupBy("brand").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"))
 
 
-@query("a12_manifest", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events")
+@query("a12_manifest", "SELECT name, TIMESTAMP '2024-02-01' AS built_at, n, bytes > 0 AS sized FROM (SELECT 'orders' AS name, count(*) AS n, 1 AS bytes FROM orders UNION ALL SELECT 'part', count(*), 1 FROM part UNION ALL SELECT 'events', count(*), 1 FROM events)")
 def _(t: Tables) -> DataFrame:
-    parts = [getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("orders", "part", "events")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    from ..sources.tables import manifest
+
+    return manifest({n: getattr(t, n) for n in ("orders", "part", "events")}, "2024-02-01 00:00:00").select("name", "built_at", "n", (F.col("bytes") > 0).alias("sized"))
 
 
 @query(
@@ -300,11 +301,26 @@ def _(t: Tables) -> DataFrame:
     return t.listings.select("olx_id", F.first("olx_id").over(w).alias("head"))
 
 
-@query("m20_long_contributions", "SELECT brand, string_agg(model || ':' || n, ',' ORDER BY n DESC, model) AS top FROM (SELECT brand, model, count(*) AS n FROM listings GROUP BY 1, 2) GROUP BY 1")
+PARTS_SQL = """parts AS (SELECT olx_id AS id, unnest(['mileage', 'price', 'engine', 'power']) AS feature, unnest([(mileage_km - 25000) / 50000, (price_eur - 30000) / 50000, (1200 - engine_cc) / 2000, (horsepower - 40) / 100]::DOUBLE[]) AS v FROM listings),
+    long AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(v) DESC, feature) - 1 AS rank FROM parts)"""
+
+
+def contributions(t: Tables) -> DataFrame:
+    c = F.col
+    values = F.array((c("mileage_km") - 25000) / 50000, (c("price_eur") - 30000) / 50000, (1200 - c("engine_cc")) / 2000, (c("horsepower") - 40) / 100)
+    rows = t.listings.select(c("olx_id").alias("id"), F.array(*[F.lit(x) for x in ("mileage", "price", "engine", "power")]).alias("n"), values.alias("v"))
+    return v.contributions_long(rows, "id", "n", "v", 3)
+
+
+@query("m20_long_contributions", f"WITH {PARTS_SQL} SELECT id, CAST(rank AS INT) AS rank, feature, round(v, 6) AS contribution FROM long WHERE rank < 3")
+def _(t: Tables) -> DataFrame:
+    return contributions(t).withColumn("contribution", F.round("contribution", 6))
+
+
+@query("m20_wide_contributions", f"WITH {PARTS_SQL} SELECT id, string_agg(feature, ',' ORDER BY rank) AS features, round(sum(v), 5) AS total FROM long WHERE rank < 3 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    n = t.listings.groupBy("brand", "model").agg(F.count("*").alias("n"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "model", "n")))
-    return n.groupBy("brand").agg(F.array_join(F.transform(ranked, lambda x: F.concat(x["model"], F.lit(":"), x["n"].cast("string"))), ",").alias("top"))
+    wide = v.contributions_wide(contributions(t), "id")
+    return wide.select("id", F.concat_ws(",", "features").alias("features"), F.round(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query(

@@ -205,9 +205,17 @@ def _(t: Tables) -> DataFrame:
     return b.repair_future_first_seen(stock(t), first, "1999-06-01 00:00:00").select("olx_id", "first_seen_at")
 
 
-@query("b17_brand_transitions", "SELECT p_brand AS old, CASE WHEN p_size < 10 THEN upper(p_brand) ELSE p_brand END AS new, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1, 2")
+@query(
+    "b17_brand_transitions",
+    """WITH s AS (SELECT CASE l_partkey % 5 WHEN 0 THEN 'VW' WHEN 1 THEN ' skoda' WHEN 2 THEN 'Renault' WHEN 3 THEN 'alfa-romeo' END AS old FROM lineitem),
+    r AS (SELECT old, CASE old WHEN 'VW' THEN 'Volkswagen' WHEN ' skoda' THEN 'Skoda' WHEN 'alfa-romeo' THEN 'Alfa Romeo' ELSE coalesce(old, '') END AS new FROM s) SELECT old, new, count(*) AS n FROM r WHERE old IS DISTINCT FROM new GROUP BY 1, 2""",
+)
 def _(t: Tables) -> DataFrame:
-    return b.transitions(F.col("p_brand"), F.when(F.col("p_size") < 10, F.upper("p_brand")).otherwise(F.col("p_brand")), t.part)
+    from ..functions.text import canonical_brand
+
+    k = F.col("l_partkey") % 5
+    old = F.when(k == 0, "VW").when(k == 1, " skoda").when(k == 2, "Renault").when(k == 3, "alfa-romeo")
+    return b.transitions(old, canonical_brand(old), t.lineitem)
 
 
 BLOCKED_SQL = """blocked AS (SELECT olx_id, lower(brand) AS brand, lower(model) AS model, year, lower(coalesce(district, '')) AS district, mileage_km, price_eur, last_seen_at, first_seen_at, coalesce(source, 'olx') AS source

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions import text as x
-from .ingest import ARRIVALS_SQL, STOCK_SQL, arrivals, stock
+from ..operators import deals as g
+from ..sources.tables import with_changes, with_deals, without_deals
+from .decisions import DEALS_SQL, deals
+from .ingest import STOCK_SQL, stock
 from .registry import Tables, query
 
 
@@ -30,28 +33,34 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", (F.sum((F.col("value") > 20).cast("int")).over(w) >= 3).alias("streak"))
 
 
-@query("f07_alert_filter", "SELECT event_id, user_id FROM events WHERE value >= 100 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("f07_alert_filter", f"WITH {DEALS_SQL} SELECT olx_id, round((1 - price_eur / med) * 100, 1) AS discount_pct FROM multiplied WHERE round((1 - price_eur / med) * 100, 1) >= 15 AND part_id % 6 <> 0")
 def _(t: Tables) -> DataFrame:
-    seen = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
-    return t.events.where("value >= 100").join(seen, "user_id", "left_anti").select("event_id", "user_id")
+    seen = t.listings.where("part_id % 6 = 0").select("olx_id")
+    return g.new_alerts(deals(t), seen).select("olx_id", "discount_pct")
 
 
 @query(
     "f08_stale_recheck",
-    f"""WITH {STOCK_SQL}, {ARRIVALS_SQL} SELECT s.olx_id, round((1 - coalesce(a.price_eur, s.price_eur) / (s.price_eur * 1.5)) * 100, 4) AS discount_pct FROM stock s LEFT JOIN arrivals a USING (olx_id)
-    WHERE (1 - coalesce(a.price_eur, s.price_eur) / (s.price_eur * 1.5)) * 100 >= 15""",
+    f"""WITH {DEALS_SQL}, looked AS (SELECT olx_id, med, CASE WHEN part_id % 4 = 0 THEN price_eur ELSE coalesce(CASE WHEN part_id % 3 > 0 THEN price_eur * 1.1::DOUBLE END, price_eur) END AS price_eur FROM multiplied WHERE part_id % 4 = 0 OR part_id % 5 > 0)
+    SELECT olx_id, round(price_eur, 4) AS price_eur, round((1 - price_eur / med) * 100, 1) AS discount_pct FROM looked WHERE round((1 - price_eur / med) * 100, 1) >= 15""",
 )
 def _(t: Tables) -> DataFrame:
-    fresh = arrivals(t).select("olx_id", F.col("price_eur").alias("_new"))
-    rows = stock(t).join(fresh, "olx_id", "left")
-    off = (1 - F.coalesce("_new", "price_eur") / (F.col("price_eur") * 1.5)) * 100
-    return rows.where(off >= 15).select("olx_id", F.round(off, 4).alias("discount_pct"))
+    k, now = F.col("part_id"), "2001-12-01 00:00:00"
+    signals = deals(t).withColumns({"median_price_eur": F.col("comparable_median"), "last_seen_at": F.when(k % 4 == 0, s.at(now)).otherwise(F.col("last_seen_at"))})
+    fresh = t.listings.select("olx_id", F.when(k % 3 > 0, F.col("price_eur") * 1.1).alias("price_eur"), (k % 5 > 0).alias("is_active"))
+    return g.rechecked(signals, fresh, now).select("olx_id", F.round("price_eur", 4).alias("price_eur"), "discount_pct")
 
 
-@query("a06_portfolio_delete", f"WITH {STOCK_SQL} SELECT olx_id, price_eur FROM stock WHERE olx_id % 5 <> 0 UNION ALL SELECT olx_id + 20000000, price_eur FROM stock WHERE olx_id % 50 = 0")
+@query(
+    "a06_portfolio_changes",
+    f"""WITH {STOCK_SQL}, added AS (SELECT olx_id, price_eur, brand FROM stock WHERE olx_id % 50 <> 0 UNION ALL SELECT CASE WHEN olx_id % 100 = 0 THEN olx_id ELSE olx_id + 20000000 END, price_eur * 2, brand FROM stock WHERE olx_id % 50 = 0 UNION ALL SELECT olx_id, price_eur, brand FROM stock WHERE olx_id % 100 = 50),
+    changed AS (SELECT olx_id, CASE WHEN olx_id % 3 = 0 THEN 1.0 ELSE price_eur END AS price_eur, brand FROM added) SELECT olx_id, round(price_eur, 4)::DOUBLE AS price_eur, brand FROM changed WHERE olx_id % 7 <> 0""",
+)
 def _(t: Tables) -> DataFrame:
-    kept = stock(t).join(stock(t).where("olx_id % 5 = 0").select("olx_id"), "olx_id", "left_anti").select("olx_id", "price_eur")
-    return kept.unionByName(stock(t).where("olx_id % 50 = 0").select((F.col("olx_id") + 20_000_000).alias("olx_id"), "price_eur"))
+    base, k = stock(t).select("olx_id", "price_eur", "brand"), F.col("olx_id")
+    added = with_deals(base, base.where("olx_id % 50 = 0").select(F.when(k % 100 == 0, k).otherwise(k + 20_000_000).alias("olx_id"), (F.col("price_eur") * 2).alias("price_eur"), "brand"), "olx_id")
+    changed = with_changes(added, added.where("olx_id % 3 = 0").select("olx_id", F.lit(1.0).alias("price_eur")), "olx_id")
+    return without_deals(changed, changed.where("olx_id % 7 = 0"), "olx_id").select("olx_id", F.round("price_eur", 4).alias("price_eur"), "brand")
 
 
 @query(

@@ -152,20 +152,21 @@ PROBED_SQL = f"""{STOCK_SQL}, asked AS (SELECT olx_id FROM stock WHERE NOT is_ac
 
 
 def probed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    probes = stock(t).select("olx_id", F.when(F.col("olx_id") % 5 == 0, True).when(F.col("olx_id") % 5 <= 2, False).alias("alive"))
+    turn = F.floor(F.col("olx_id") / 7) % 5
+    probes = stock(t).select("olx_id", F.when(turn == 0, True).when(turn <= 2, False).alias("alive"))
     return b.revalidate(stock(t), probes, "olx", "1998-02-05 00:00:00")
 
 
 @query(
     "b13_revalidated",
     f"""WITH {PROBED_SQL} SELECT olx_id, is_active OR back AS is_active, CASE WHEN NOT back THEN deactivated_at END AS deactivated_at, CASE WHEN NOT back THEN deactivation_reason END AS deactivation_reason
-    FROM (SELECT *, olx_id % 5 = 0 AND olx_id IN (SELECT olx_id FROM asked) AS back FROM stock)""",
+    FROM (SELECT *, olx_id // 7 % 5 = 0 AND olx_id IN (SELECT olx_id FROM asked) AS back FROM stock)""",
 )
 def _(t: Tables) -> DataFrame:
     return probed(t)[0].select("olx_id", "is_active", "deactivated_at", "deactivation_reason")
 
 
-@query("b13_counts", f"WITH {PROBED_SQL} SELECT count(*) AS checked, count(*) FILTER (olx_id % 5 = 0) AS restored, count(*) FILTER (olx_id % 5 IN (1, 2)) AS still_dead, count(*) FILTER (olx_id % 5 > 2) AS deferred FROM asked")
+@query("b13_counts", f"WITH {PROBED_SQL} SELECT count(*) AS checked, count(*) FILTER (olx_id // 7 % 5 = 0) AS restored, count(*) FILTER (olx_id // 7 % 5 IN (1, 2)) AS still_dead, count(*) FILTER (olx_id // 7 % 5 > 2) AS deferred FROM asked")
 def _(t: Tables) -> DataFrame:
     return probed(t)[1]
 

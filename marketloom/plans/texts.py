@@ -270,16 +270,23 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", k.try_cast("long").alias("k"), k.isNotNull().alias("has_k"))
 
 
-@query("x39_region_of_nation", "SELECT n_name, r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("x39_zones", "SELECT olx_id, r_name AS zone FROM listings LEFT JOIN nation ON n_name = district LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(t: Tables) -> DataFrame:
-    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("zone"))
+    # a fixed map of districts to zones; here nations and regions stand for them
+    zones = {r["n_name"]: r["r_name"] for r in t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").limit(100).collect()}
+    return t.listings.select("olx_id", x.zone_of(F.col("district"), zones).alias("zone"))
 
 
-@query("a17_strip_json_keys", "SELECT event_id, json_extract_string(props, '$.k') AS kept_k FROM events")
+@query("a17_evolved", "SELECT event_id, NULL::VARCHAR AS note, json_extract_string(props, '$.k') AS k, props NOT LIKE '%dead%' AS clean, 2 AS version FROM events")
 def _(t: Tables) -> DataFrame:
-    kinds = F.from_json("props", "map<string,string>")
-    stripped = F.to_json(F.map_filter(kinds, lambda k, _: ~k.isin("dead", "old")))
-    return t.events.select("event_id", F.get_json_object(stripped, "$.k").alias("kept_k"))
+    from pyspark.sql import types as T
+
+    from ..sources.tables import evolved
+
+    rows = t.events.select("event_id", F.regexp_replace("props", r"\}$", ',"dead":1}').alias("props"), F.lit(1).alias("old"))
+    steps = {1: {"schema": T.StructType(), "drop": ["event_id"]}, 2: {"schema": T.StructType().add("note", "string"), "drop": ["old"], "json_column": "props", "dead_keys": ["dead", "gone"]}}
+    out, version = evolved(rows, 1, steps)
+    return out.select("event_id", "note", F.get_json_object("props", "$.k").alias("k"), (~F.col("props").contains("dead")).alias("clean"), F.lit(version).alias("version"))
 
 
 LINK = 'href="([^"?#]*)'

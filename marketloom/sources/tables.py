@@ -55,6 +55,51 @@ def evolve(df: DataFrame, schema: T.StructType, drop: list[str], json_column: st
     return out
 
 
+def evolved(df: DataFrame, version: int, steps: dict[int, dict]) -> tuple[DataFrame, int]:
+    """(table, version) after the steps above ``version`` in ascending order; each holds arguments of ``evolve``.
+
+    A table that is up to date comes back as it is.
+    """
+    for target in sorted(k for k in steps if k > version):
+        df, version = evolve(df, **steps[target]), target
+    return df, version
+
+
+def manifest(tables: dict[str, DataFrame], built_at: str) -> DataFrame:
+    """A row for each table: name, built_at, rows and bytes of its files, from one scan of the rows for each.
+
+    Bytes are 0 for tables without files. ``signature`` (the same in all rows) is the build time and all bytes.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    out = None
+    for name, df in tables.items():
+        files = df.inputFiles()
+        size = spark.read.format("binaryFile").load(files).select("path", "length").agg(F.sum("length").alias("bytes")) if files else spark.range(1).select(F.lit(0).cast("long").alias("bytes"))
+        part = df.agg(F.count("*").alias("n")).join(F.broadcast(size), F.lit(True)).select(F.lit(name).alias("name"), F.lit(built_at).cast("timestamp").alias("built_at"), "n", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+        out = part if out is None else out.unionByName(part)
+    # a row for each table
+    total = out.agg(F.concat_ws(":", F.lit(built_at), F.sum("bytes").cast("string")).alias("signature"))
+    return out.join(F.broadcast(total), F.lit(True))
+
+
+def with_deals(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``df`` with rows added or replaced by ``new`` (columns as ``df``; the last of repeated keys is not defined)."""
+    return df.join(new.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").unionByName(new.dropDuplicates([key]))
+
+
+def with_changes(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``df`` with the known values of ``changes`` (key and some columns) in place of the old ones; unknown keys add nothing."""
+    fields = [c for c in changes.columns if c != key]
+    new = changes.dropDuplicates([key]).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    out = df.join(new, F.col(key) == F.col("_k"), "left")
+    return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns])
+
+
+def without_deals(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the keys of ``gone``."""
+    return df.join(gone.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+
+
 def stats_history(stats: DataFrame) -> DataFrame:
     """Market statistics of all days, oldest first."""
     return stats.select("brand", "model", "date", "median_price_eur", "avg_price_eur", "min_price_eur", "max_price_eur", "listing_count").orderBy("date", "brand", "model")
