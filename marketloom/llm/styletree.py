@@ -210,7 +210,11 @@ def importances_input(pages: DataFrame) -> DataFrame:
     return page_counts(pages).groupBy(*keys).agg(F.sum("pages").alias("pages"), F.sum("first").alias("first"))
 
 
-def main_text(html: Column, branches: Column, limit: float = 0.4, noise_weight: float = 0.3, article_weight: float = 0.6) -> Column:
+#: What a mark by name leaves to the tree: noise needs more importance, an article less.
+NOISE_WEIGHT, ARTICLE_WEIGHT = 0.3, 0.6
+
+
+def main_text(html: Column, branches: Column, limit: float = 0.4, noise_weight: float = NOISE_WEIGHT, article_weight: float = ARTICLE_WEIGHT) -> Column:
     """The text of each page: its blocks whose branch has at least ``limit``, joined by line feeds.
 
     ``branches`` maps paths to arrays of importance and ``known``.
@@ -246,7 +250,10 @@ BROADCAST_HOSTS = 20_000
 def extract_main_text(pages: DataFrame, limit: float = 0.4) -> DataFrame:
     """``page_id, url, html`` to page_id, url and text."""
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    table = branch_table(pages)
+    # only branches that some mark by name decides otherwise than for unknown branches; few repeat so often on a host
+    worth, known = F.col("importance"), F.col("known")
+    told = (worth < limit) | (1 - (1 - known * worth) / NOISE_WEIGHT >= limit) | ((known * worth + 1 - known) / ARTICLE_WEIGHT < limit)
+    table = branch_table(pages).where(told)
     tables = table.groupBy(F.col("host").alias("_host")).agg(F.map_from_entries(F.collect_list(F.struct("path", F.array("importance", "known")))).alias("_branches"))
     tables = saved(tables, "branches")
     size = tables.agg(F.count("*").alias("hosts"), F.sum(F.size("_branches")).alias("branches")).first()
