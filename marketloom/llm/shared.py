@@ -73,9 +73,8 @@ def ranked(df: DataFrame, order: Iterable[str], totals: dict[str, Column], label
     partition. Empty input gives no rows.
     """
     order = list(order)
-    n = partitions(df.sparkSession)
     values = {f"_v_{k}": c.cast("long") for k, c in totals.items()}
-    stored = saved(df.withColumns(values).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), label)
+    stored = saved(df.withColumns(values).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
     w = Window.partitionBy("_part").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     sums = stored.groupBy("_part").agg(F.count("*").alias("_t_pos"), *[F.sum(v).alias(f"_t{v}") for v in values])
