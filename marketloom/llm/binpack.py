@@ -16,7 +16,9 @@ of a length, its sequence and offset. Pieces get their k from counts by stored p
 join the plan. No row of a piece passes through the driver.
 
 Null and empty texts are documents of the end id alone. Equal and repeated rows are separate pieces
-(rows that repeat a doc_id are placed separately too). Empty input gives no rows.
+(rows that repeat a doc_id are placed separately too). Rows with a null doc_id are packed like others.
+All ids of one very long document are held by one task before it is cut. Only doc_id and text are read;
+other columns, whatever their names, are not. Empty input gives no rows.
 """
 
 from __future__ import annotations

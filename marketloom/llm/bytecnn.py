@@ -5,11 +5,13 @@ embedded bytes and keep their largest response (max-pooling). The chunk vectors
 combined by their largest, mean and smallest values into one hidden layer and one probability.
 
 Fitting takes a bounded sample: at most ``sample_docs`` labelled documents of each class (the least
-by hash of the id) and at most ``train_chunks`` chunks of each at a time; the sample is all that the
-driver holds. Scoring reads every byte of every document. Only bytes are inputs.
+by hash of the id) and at most ``train_chunks`` chunks of each in a pass, drawn anew in every pass, so
+that one very long document does not fill a batch; the sample is all that the driver holds. Scoring reads every byte of every document. Only bytes are inputs.
 
 Null and empty texts score 0. With no labelled row, or one class only, the score of other texts is
-the share of label 1 (0.5 without labels).
+the share of label 1 (0.5 without labels). Equal texts get equal scores. Only doc_id, text and quality
+are read, whatever other columns are named. Empty tables give no rows. A very long text is scored from
+all its chunks, held by one task.
 """
 
 from __future__ import annotations

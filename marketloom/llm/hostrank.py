@@ -13,7 +13,9 @@ at random, goes on with ``damping`` and stops at pages that a rule judges, stops
 at most 1, and the same however many other hosts link there.
 
 Null urls and urls without ``://`` have an empty host and path and are allowed unless a rule fits.
-Null html has no links. Repeated pages count as often as they occur.
+Null html has no links. Repeated pages count as often as they occur. Of rules of equal length that fit
+one page the later in the list wins; such rules are the same text, so only their verdicts can differ.
+Other columns than page_id, url and html, whatever their names, are not read. Empty input gives no rows.
 """
 
 from __future__ import annotations

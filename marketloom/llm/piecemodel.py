@@ -6,7 +6,9 @@ normalisation. sentencepiece then merges the neighbouring pair of the best score
 of the lowest rank. Pre-tokens are encoded separately; a pre-token that is itself a token is its id.
 Decoding maps each id to its piece and the piece's characters back to bytes.
 
-Null and empty texts have no ids. Any text decodes to its own UTF-8 bytes.
+Null and empty texts have no ids. Any text decodes to its own UTF-8 bytes. Each row depends on its text
+alone, so repeated rows get equal results; other columns are not read, and empty tables give no rows.
+The ids of one very long text are held by one task.
 """
 
 from __future__ import annotations
@@ -118,8 +120,12 @@ def encode_ids(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(codec(path, pattern).encode)
+        own = codec(path, pattern)
+        try:
+            for texts in batches:
+                yield texts.map(own.encode)
+        finally:
+            own.memo.forget()
 
     return encode(text.cast("string"))
 
@@ -145,12 +151,15 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         names = list(map(str, range(len(own.tokens))))
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids = own.encode(t)
-                decimal = ",".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                rows.append((len(ids) // 4, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    ids = own.encode(t)
+                    decimal = ",".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    rows.append((len(ids) // 4, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.memo.forget()
 
     return digests(text.cast("string"))

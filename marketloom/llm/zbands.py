@@ -5,7 +5,8 @@ text compresses too well, noise not at all. How well ordinary prose compresses d
 length, so the limits are given for length bands.
 
 Null and empty texts have no words and fail the base rules. Nothing is cut: every byte is in the
-whole-document ratio and in one chunk.
+whole-document ratio and in one chunk. Each row is judged by its text alone, so repeated rows get equal
+results; other columns, whatever their names, are not read. A very long text is held whole by one task.
 """
 
 from __future__ import annotations
