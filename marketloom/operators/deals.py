@@ -22,20 +22,22 @@ def _no(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def relist_pairs(df: DataFrame, dom: DataFrame | None = None, key: str = "olx_id", most_days: float = 365) -> DataFrame:
+def relist_pairs(df: DataFrame, dom: DataFrame | None = None, key: str = "olx_id", slot_days: float = 30) -> DataFrame:
     """Sold originals with later candidates of the same brand, model and year within the window.
 
     Columns ``o_*`` and ``c_*`` and gap_days. The range part of the join is pre-cut: an original is
-    copied to the time slots (of the longest window) that it may reach, so the equi-join has the slot
-    as a key. The window is four times the segment's days on market (``dom``), else the default.
+    copied to the time slots that its own window reaches, so the equi-join has the slot as a key and
+    compares with no more than a slot beyond the window at each end. The window is four times the
+    segment's days on market (``dom``), else the default.
     """
-    slot_days = most_days
     slot = lambda c: F.floor(F.unix_micros(c) / F.lit(slot_days * 86400e6)).cast("long")
     rows = df.where(F.col("duplicate_of").isNull())
     first = rows.where(sold() & F.col("deactivated_at").isNotNull())
     first = with_segment(first, dom, ["dom_median"]) if dom is not None else first.withColumn("dom_median", F.lit(None).cast("double"))
     keep = [c for c in rows.columns if c != "duplicate_of"]
-    o = first.select(*[F.col(c).alias(f"o_{c}") for c in keep], adaptive_window(F.col("dom_median")).alias("window_days"), F.explode(F.array(slot(F.col("deactivated_at")), slot(F.col("deactivated_at")) + 1)).alias("_slot"))
+    window = adaptive_window(F.col("dom_median"))
+    last = F.col("deactivated_at") + F.make_dt_interval(window.cast("int"))
+    o = first.select(*[F.col(c).alias(f"o_{c}") for c in keep], window.alias("window_days"), F.explode(F.sequence(slot(F.col("deactivated_at")), slot(last))).alias("_slot"))
     c = rows.select(*[F.col(x).alias(f"c_{x}") for x in keep], slot(F.col("first_seen_at")).alias("_slot"))
     on = ["_slot"]
     o = o.withColumns({"_b": F.col("o_brand"), "_m": F.col("o_model"), "_y": F.col("o_year")})

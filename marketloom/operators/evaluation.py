@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import loss_weight, md5_share, mean, median_of, ratio, sold_tier, whole_days
 from .ranks import quantiles
+from .storage import checkpointed
 
 
 def residuals(df: DataFrame, actual: str, predicted: str, low: str | None = None, high: str | None = None) -> DataFrame:
@@ -207,6 +208,22 @@ def training_weights(df: DataFrame, price: str = "price_eur") -> DataFrame:
     return rows.join(F.broadcast(mean), F.lit(True)).withColumn("weight", loss_weight(F.col("target")) / F.col("_mean") * trust).drop("_mean")
 
 
+def top_ancestors(tree: DataFrame) -> DataFrame:
+    """``id, top`` of a forest given as id and parent (null for the tops); nodes whose parent is unknown have no top.
+
+    Pointer jumping: every round doubles the steps that a node has taken, so a tree of depth d takes
+    log d rounds, each a join, checkpointed.
+    """
+    now = checkpointed(tree.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("id")).alias("top")))
+    while not now.where("top is null and up is not null").isEmpty():
+        above = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        out = now.join(above, F.col("up") == F.col("_id"), "left")
+        # a node with a top is done; others take their parent's top, or its parent
+        out = out.select("id", F.when(F.col("top").isNull() & F.col("_top").isNull(), F.col("_up")).alias("up"), F.coalesce("top", "_top").alias("top"))
+        now = checkpointed(out)
+    return now.where("top is not null").select("id", "top")
+
+
 def contributions_long(df: DataFrame, key: str, names: str, values: str, top: int = 5) -> DataFrame:
     """``key, rank, feature, contribution`` from arrays of names and values: the ``top`` largest by size, ties by name."""
     pairs = F.arrays_zip(F.col(names).alias("n"), F.col(values).alias("v"))

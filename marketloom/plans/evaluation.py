@@ -149,8 +149,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     tree = t.nation.select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent")).unionByName(t.region.select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent")))
-    tree.createOrReplaceTempView("category_tree")
-    return t.spark.sql("WITH RECURSIVE walk AS (SELECT id, id AS top, parent FROM category_tree UNION ALL SELECT w.id, c.id, c.parent FROM walk w JOIN category_tree c ON w.parent = c.id) SELECT id, top FROM walk WHERE parent IS NULL")
+    return v.top_ancestors(tree)
 
 
 @query("e21_photo_rollup", "SELECT user_id, max(value) AS max_p, count(*) FILTER (value >= 50) AS n_high, count(*) FILTER (value >= 50) >= 2 AS flagged, string_agg(event_id, ',' ORDER BY event_id) FILTER (value >= 200) AS high FROM events GROUP BY 1")
@@ -317,10 +316,10 @@ def _(t: Tables) -> DataFrame:
     return contributions(t).withColumn("contribution", F.round("contribution", 6))
 
 
-@query("m20_wide_contributions", f"WITH {PARTS_SQL} SELECT id, string_agg(feature, ',' ORDER BY rank) AS features, round(sum(v), 5) AS total FROM long WHERE rank < 3 GROUP BY 1")
+@query("m20_wide_contributions", f"WITH {PARTS_SQL} SELECT id, string_agg(feature, ',' ORDER BY rank) AS features, round(sum(v), 7) AS total FROM long WHERE rank < 3 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     wide = v.contributions_wide(contributions(t), "id")
-    return wide.select("id", F.concat_ws(",", "features").alias("features"), F.round(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return wide.select("id", F.concat_ws(",", "features").alias("features"), F.round(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x), 7).alias("total"))
 
 
 @query(

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def not_from_future(stream: DataFrame, ts: str, slack: str = "1 day") -> DataFrame:
-    """Rows dated over ``slack`` after now are dropped before any watermark sees them."""
-    return stream.where(F.col(ts) <= F.current_timestamp() + F.expr(f"INTERVAL {slack}"))
+def not_from_future(stream: DataFrame, ts: str, slack: str = "1 day", as_of: str | None = None) -> DataFrame:
+    """Rows dated over ``slack`` after ``as_of`` (the time of the batch if None) are dropped before any watermark sees them."""
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    return stream.where(F.col(ts) <= now + F.expr(f"INTERVAL {slack}"))
 
 
 def weekly_medians(stream: DataFrame, keys: list[str], price: str, ts: str, late: str = "14 days") -> DataFrame:
@@ -42,6 +43,25 @@ def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], ke
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_table(stream: DataFrame, path: str, key: str, columns: list[str], order: list[str], posted: str, checkpoint: str, as_of: str) -> StreamingQuery:
+    """Keep a table of listings up to date: each batch writes a new version ``path/v=<batch>`` of it.
+
+    The latest row of a key in a batch is merged by the rules of ``upsert`` into the version before. A batch
+    that runs again writes the same version again, so a lost driver or executor does no harm.
+    """
+    from ..operators.maintain import upsert
+    from ..sources.tables import read_table
+
+    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (key, *columns))
+    schema = f"{fields}, first_seen_at timestamp, last_seen_at timestamp, is_active boolean, deactivated_at timestamp"
+
+    def merge(latest: DataFrame, number: int) -> None:
+        old = read_table(latest.sparkSession, f"{path}/v={number - 1}", schema)
+        upsert(old, latest, key, columns, as_of, posted).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return upsert_stream(stream, merge, key, order, checkpoint)
+
+
 DYNAMICS = "listing_id long, first_price double, latest_price double, n_drops long, max_drop_pct double"
 STATE = "first_at timestamp, first_price double, last_at timestamp, last_price double, n_drops long, max_drop double"
 
@@ -73,3 +93,9 @@ def inactivity(stream: DataFrame, key: str, ts: str, quiet: str = "10 days", lat
     w = F.session_window(ts, quiet)
     out = stream.withWatermark(ts, late).groupBy(key, w.alias("w")).agg(F.count("*").alias("sightings"), F.max(ts).alias("last_seen_at"))
     return out.select(key, "sightings", "last_seen_at", F.col("w.end").alias("inactive_from"))
+
+
+def missed_cycles(stream: DataFrame, key: str, ts: str, cycles: int = 3, cycle: str = "1 day", late: str = "1 day") -> DataFrame:
+    """One row for each key and stretch without a sighting in ``cycles`` visits of length ``cycle`` in a row."""
+    n, unit = cycle.split(maxsplit=1)
+    return inactivity(stream, key, ts, f"{int(n) * cycles} {unit}", late)

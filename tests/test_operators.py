@@ -166,6 +166,16 @@ def test_streams(spark, tmp_path):
     merged = []
     jobs.upsert_stream(stream, lambda df, _: merged.append(df.count()), "listing_id", ["scraped_at"], str(tmp_path / "up")).awaitTermination()
     assert merged == [3]
+    assert jobs.not_from_future(spark.read.parquet(source), "scraped_at", as_of="2024-01-05 00:00:00").count() == 14
+    query = jobs.upsert_table(stream.withColumn("posted_at", F.col("scraped_at")), str(tmp_path / "table"), "listing_id", ["price_eur"], ["scraped_at"], "posted_at", str(tmp_path / "tc"), "2024-02-01 00:00:00")
+    query.awaitTermination()
+    table = {r.listing_id: r for r in spark.read.parquet(str(tmp_path / "table/v=0")).collect()}
+    assert {k: r.price_eur for k, r in table.items()} == {k: b.latest_price for k, b in batch.items()} and all(r.is_active for r in table.values())
+    # a key that is seen for two days, then not for three cycles of a day
+    visits = [(1, dt.datetime(2024, 1, d)) for d in (1, 2, 9)] + [(2, dt.datetime(2024, 1, d)) for d in range(1, 20)]
+    spark.createDataFrame(visits, "id long, at timestamp").repartition(1).write.parquet(str(tmp_path / "visits"))
+    missed = finish(jobs.missed_cycles(spark.readStream.schema("id long, at timestamp").parquet(str(tmp_path / "visits")), "id", "at", 3, "1 day"), "missed", "complete")
+    assert sorted((r.id, r.sightings) for r in missed.collect()) == [(1, 1), (1, 2), (2, 19)]
 
 
 def test_prices_as_written(spark):
@@ -289,3 +299,24 @@ def test_calibrated_chain_covers(spark):
     assert inside > 0.72 and (abs(newest.predicted_price - newest.price_eur) / newest.price_eur).median() < 0.25
     iso = chain.iso.transform(spark.range(1, 400).selectExpr("cast(id * 100 as double) as raw")).orderBy("raw").toPandas().calibrated
     assert (np.diff(iso) >= -1e-9).all() and chain.overall > -1 and len(chain.by_bucket) <= len(chain.edges)
+
+
+def test_top_ancestors(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 99), (7, None)]
+    got = {tuple(r) for r in evaluation.top_ancestors(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7)}
+
+
+def test_relist_pairs_against_brute_force(spark):
+    from marketloom.operators import deals
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(300):
+        seen = dt.datetime(2023, 1, 1) + dt.timedelta(days=float(rng.integers(0, 700)) / 2)
+        gone = seen + dt.timedelta(days=float(rng.integers(1, 200)))
+        rows.append((f"k{k}", "b", "m", 2010, None, k % 3 > 0, None if k % 3 > 0 else "sold", seen, None if k % 3 > 0 else gone))
+    df = spark.createDataFrame(rows, "olx_id string, brand string, model string, year int, duplicate_of string, is_active boolean, deactivation_reason string, first_seen_at timestamp, deactivated_at timestamp")
+    got = sorted((r.o_olx_id, r.c_olx_id) for r in deals.relist_pairs(df).collect())
+    want = sorted((a[0], b[0]) for a in rows if a[8] for b in rows if a[0] != b[0] and 0 < (b[7] - a[8]).total_seconds() / 86400 <= 180)
+    assert got == want and got
