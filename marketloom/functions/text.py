@@ -180,6 +180,11 @@ def last_number(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"/(\d+)(?:\.html)?/?(?:[?#].*)?$", 1), F.lit(""))
 
 
+def advert_id(url: Column) -> Column:
+    """The id in a url that ends in ID<id>.html."""
+    return F.nullif(F.regexp_extract(url, r"ID(\w+)\.html", 1), F.lit(""))
+
+
 def price_eur(c: Column) -> Column:
     """EUR text to double; null if there is no number.
 
@@ -230,9 +235,14 @@ def member_since(c: Column) -> Column:
 
 
 def plates(c: Column) -> Column:
-    """Plates of the five valid layouts of three pairs (D digits, L letters), as AA-00-AA."""
-    raw = F.regexp_extract_all(F.upper(c), F.lit(r"(?<![A-Z0-9])([A-Z0-9]{2}[-. ]?[A-Z0-9]{2}[-. ]?[A-Z0-9]{2})(?![A-Z0-9])"), 1)
-    dashed = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, "[-. ]", ""), "^(..)(..)(..)$", "$1-$2-$3"))
+    """Plates of the five valid layouts of three pairs (D digits, L letters), as AA-00-AA.
+
+    Other signs than separators are taken out first; what is left is read from the left, so signs
+    within a longer run of letters and digits are no plate.
+    """
+    kept = F.upper(F.regexp_replace(c, r"[^A-Za-z0-9\s\-.·_]", ""))
+    raw = F.regexp_extract_all(kept, F.lit(r"(?<![A-Z0-9])([A-Z0-9]{2}[\s\-.·_]?[A-Z0-9]{2}[\s\-.·_]?[A-Z0-9]{2})(?![A-Z0-9])"), 1)
+    dashed = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s\-.·_]", ""), "^(..)(..)(..)$", "$1-$2-$3"))
     layouts = r"^(\d\d-\d\d-\d\d|\d\d-\d\d-[A-Z]{2}|[A-Z]{2}-\d\d-\d\d|\d\d-[A-Z]{2}-\d\d|[A-Z]{2}-\d\d-[A-Z]{2})$"
     return F.filter(dashed, lambda x: F.regexp_like(x, F.lit(layouts)))
 

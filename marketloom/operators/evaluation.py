@@ -28,6 +28,13 @@ def error_stats(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     )
 
 
+def by_top(df: DataFrame, column: str, top: int = 10, other: str = "other") -> DataFrame:
+    """Adds ``<column>_top``: one of the ``top`` commonest known values (ties by value), else ``other``."""
+    # at most ``top`` rows
+    common = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), column).limit(top).select(F.col(column).alias("_c"))
+    return df.join(F.broadcast(common), F.col(column) == F.col("_c"), "left").withColumn(f"{column}_top", F.coalesce("_c", F.lit(other))).drop("_c")
+
+
 def global_metrics(df: DataFrame, actual: str, low: str, high: str) -> DataFrame:
     """One row: MAE, MAPE, R2 by sums, coverage, bias, inverted bands."""
     d = lambda c: c.cast("decimal(28,4)")
@@ -120,8 +127,17 @@ def field_accuracy(df: DataFrame, fields: dict[str, str], key: str) -> DataFrame
     return long.groupBy("field").agg(F.count("*").alias("n"), F.count_if("right").alias("right")).withColumn("accuracy", F.round(F.col("right") / F.col("n"), 6))
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows of each stratum, the least by md5 of key and seed."""
+def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str, known: DataFrame | None = None, text: str | None = None, least_chars: int = 0, url: str | None = None) -> DataFrame:
+    """``n`` rows of each stratum, the least by md5 of key and seed.
+
+    Left out are keys of ``known``, texts under ``least_chars`` and rows with a null or empty url.
+    """
+    if known is not None:
+        df = df.join(known.select(F.col(key).alias("_known")), F.col(key) == F.col("_known"), "left_anti")
+    if text:
+        df = df.where(F.length(text) >= least_chars)
+    if url:
+        df = df.where(F.coalesce(F.col(url), F.lit("")) != "")
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
@@ -130,6 +146,29 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(F.concat(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
 
 
+def feed_order(df: DataFrame, by: str, key: str = "olx_id") -> DataFrame:
+    """Deals in the order of a feed: ``discount``, ``newest`` or ``profit``, each falling, unknown last; ties by key."""
+    order = {"discount": "discount_pct", "newest": "first_seen_at", "profit": "profit_eur"}[by]
+    return df.orderBy(F.col(order).desc_nulls_last(), key)
+
+
+def round_robin(df: DataFrame, bucket: str, key: str, group: str, score: str, caps: list[tuple[float, int]], least: int) -> DataFrame:
+    """Rows in turns over buckets, adds ``place`` (0-based rank in the bucket) and keeps each group's share.
+
+    First come the first rows of all buckets, the highest bucket first, then their second rows, and so on;
+    rows of a bucket are ordered by falling score and key. Of a group at most as many rows stay, in
+    this order, as ``caps`` (score from, most; first that fits its highest score) allow, else ``least``.
+    """
+    best = Window.partitionBy(group)
+    most = F.lit(least)
+    for at, n in reversed(sorted(caps, reverse=True)):
+        most = F.when(F.max(score).over(best) >= at, n).otherwise(most)
+    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(bucket).orderBy(F.desc(score), key)) - 1)
+    own = Window.partitionBy(group).orderBy("place", F.desc(bucket), key)
+    rows = rows.withColumns({"_most": most, "_k": F.row_number().over(own)})
+    return rows.where(F.col("_k") <= F.col("_most")).drop("_most", "_k").orderBy("place", F.desc(bucket), key)
+
+
 def interleave(df: DataFrame, bucket: str, order: list[Column], most: int) -> DataFrame:
     """Round-robin over buckets, the highest first: adds ``place`` in the bucket; at most ``most`` each."""
     w = Window.partitionBy(bucket).orderBy(*order)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at, ratio
+from ..functions.text import fixed_mileage
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], as_of: str, posted: str = "posted_at") -> DataFrame:
@@ -249,17 +250,46 @@ def page_saturation(log: DataFrame, share: float = 0.95, run: int = 3) -> DataFr
     return pages.withColumn("_run", F.sum(full).over(w.rowsBetween(-(run - 1), 0))).withColumn("stop", F.col("_run") >= run).drop("_run")
 
 
-def merge_details(card: DataFrame, detail: DataFrame, key: str, authoritative: list[str], fill: list[str]) -> DataFrame:
+def photo_backlog(df: DataFrame, extras: str, mode: str = "missing", most: int | None = 500, severity: str = "damage_severity", accident: str = "accident", newest: str = "first_seen_at", key: str = "olx_id") -> DataFrame:
+    """Listings whose photos are to be looked at, the most telling first.
+
+    ``mode``: ``missing`` (no photo verdict in the JSON extras), ``undecided`` (a verdict without a
+    probability) or ``all``. Severity of 2 and more comes first, then told accidents, then the newest.
+    """
+    flag, p = (F.get_json_object(extras, f"$.{k}") for k in ("photo_damage", "photo_damage_p"))
+    due = {"missing": flag.isNull(), "undecided": flag.isNotNull() & p.isNull(), "all": F.lit(True)}[mode]
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = df.where(due).orderBy(no(F.col(severity) >= 2).desc(), no(F.col(accident)).desc(), F.col(newest).desc_nulls_last(), key)
+    return rows if most is None else rows.limit(most)
+
+
+def photo_count_targets(df: DataFrame) -> DataFrame:
+    """Active listings whose photos were never counted."""
+    return df.where(F.col("is_active") & F.col("photo_count").isNull())
+
+
+def mark_expired(df: DataFrame, gone: DataFrame, as_of: str, key: str = "olx_id") -> DataFrame:
+    """Listings of ``gone`` that are still active become inactive as expired."""
+    out = df.join(gone.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left")
+    hit = F.col("_k").isNotNull() & F.col("is_active")
+    return out.withColumns(
+        {"is_active": F.col("is_active") & ~hit, "deactivated_at": F.when(hit, at(as_of)).otherwise(F.col("deactivated_at")), "deactivation_reason": F.when(hit, "expired").otherwise(F.col("deactivation_reason"))}
+    ).drop("_k")
+
+
+def merge_details(card: DataFrame, detail: DataFrame, key: str, authoritative: list[str], fill: list[str], this_year: int | None = None) -> DataFrame:
     """Detail values overwrite where they are authoritative, fill blanks elsewhere; the title is
-    replaced only if the card's holds a price or five digits."""
+    replaced only if the card's holds a price or five digits. Blank is null, empty text and zero. With
+    ``this_year`` a mileage_km that lacks its thousands is mended afterwards by the year."""
     d = detail.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_d_{c}") for c in (*authoritative, *fill, "title")])
     out = card.join(d, F.col(key) == F.col("_k"), "left")
     bad_title = F.col("title").contains("€") | F.regexp_like("title", F.lit(r"\d{5}"))
-    return out.withColumns(
+    out = out.withColumns(
         {c: F.coalesce(f"_d_{c}", c) for c in authoritative}
-        | {c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), F.col(f"_d_{c}")) for c in fill}
+        | {c: F.coalesce(F.when(~F.col(c).cast("string").isin("", "0", "0.0"), F.col(c)), F.col(f"_d_{c}"), F.col(c)) for c in fill}
         | {"title": F.when(F.coalesce(bad_title, F.lit(True)), F.coalesce("_d_title", "title")).otherwise(F.col("title"))}
     ).drop("_k", *[f"_d_{c}" for c in (*authoritative, *fill, "title")])
+    return out if this_year is None else out.withColumn("mileage_km", fixed_mileage(F.col("mileage_km"), F.col("year"), this_year))
 
 
 def keep_last(history: DataFrame, order: str, most: int = 100, key: str | None = None) -> DataFrame:

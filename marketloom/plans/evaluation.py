@@ -39,9 +39,20 @@ def _(t: Tables) -> DataFrame:
     return v.error_stats(scored(t), ["year"])
 
 
-@query("e16_error_by_brand", f"WITH {SCORED_SQL} SELECT brand, {STATS_SQL} FROM scored GROUP BY 1")
+@query("e16_error_by_brand", f"WITH {SCORED_SQL}, top AS (SELECT brand AS b FROM scored WHERE brand IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) SELECT coalesce(b, 'other') AS brand_top, {STATS_SQL} FROM scored LEFT JOIN top ON brand = b GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return v.error_stats(scored(t), ["brand"])
+    return v.error_stats(v.by_top(scored(t), "brand"), ["brand_top"])
+
+
+@query(
+    "e16_error_by_price",
+    f"""WITH {SCORED_SQL}, b AS (SELECT *, CASE WHEN price_eur < 0 THEN NULL WHEN price_eur < 3000 THEN '<3k' WHEN price_eur < 7000 THEN '3-7k' WHEN price_eur < 15000 THEN '7-15k' WHEN price_eur < 30000 THEN '15-30k' ELSE '30k+' END AS price_bucket FROM scored) SELECT price_bucket, {STATS_SQL} FROM b GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    from ..functions.scalars import bucket
+
+    labels = bucket(F.col("price_eur"), [0, 3000, 7000, 15000, 30000], ["<3k", "3-7k", "7-15k", "15-30k", "30k+"])
+    return v.error_stats(scored(t).withColumn("price_bucket", labels), ["price_bucket"])
 
 
 @query(
@@ -75,14 +86,31 @@ def _(t: Tables) -> DataFrame:
     return v.both_ends(t.events, "value", "event_id").select("event_id", "value", "side")
 
 
-@query("k05_feed_order", "SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY value DESC NULLS LAST, event_id LIMIT 100")
-def _(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'purchase'").orderBy(F.col("value").desc_nulls_last(), "event_id").limit(100).select("event_id", "value")
+FEED_SQL = "feed AS (SELECT olx_id, round(price_eur / 1000, 4) AS discount_pct, first_seen_at, CASE WHEN part_id % 5 > 0 THEN first_price_eur - price_eur END AS profit_eur FROM listings)"
+
+
+def feed(t: Tables) -> DataFrame:
+    profit = F.when(F.col("part_id") % 5 > 0, F.col("first_price_eur") - F.col("price_eur"))
+    return t.listings.select("olx_id", F.round(F.col("price_eur") / 1000, 4).alias("discount_pct"), "first_seen_at", profit.alias("profit_eur"))
+
 
+def feed_query(by: str, column: str):
+    @query(f"k05_feed_by_{by}", f"WITH {FEED_SQL} SELECT olx_id, {column} FROM feed ORDER BY {column} DESC NULLS LAST, olx_id LIMIT 100")
+    def _(t: Tables) -> DataFrame:
+        return v.feed_order(feed(t), by).limit(100).select("olx_id", column)
 
-@query("k06_stratified_sample", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || 's'), doc_id) AS k FROM documents) WHERE k <= 7")
+
+for _by, _column in (("discount", "discount_pct"), ("newest", "first_seen_at"), ("profit", "profit_eur")):
+    feed_query(_by, _column)
+
+
+@query(
+    "k06_stratified_sample",
+    "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || 's'), doc_id) AS k FROM documents WHERE length(text) >= 40 AND lang <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE k <= 7",
+)
 def _(t: Tables) -> DataFrame:
-    return v.stratified_sample(t.documents.select("source", "doc_id"), "source", "doc_id", 7, "s")
+    known = t.labels.where("toxic = 1").select("doc_id")
+    return v.stratified_sample(t.documents, "source", "doc_id", 7, "s", known, "text", 40, "lang").select("source", "doc_id")
 
 
 @query("k07_seeded_sample", "SELECT c_custkey FROM customer ORDER BY c_custkey || 'seed', c_custkey LIMIT 50")
@@ -95,6 +123,16 @@ def _(t: Tables) -> DataFrame:
     return v.interleave(t.events, "user_id", [F.desc("value"), F.col("event_id")], 5).select("event_id", "user_id", "place")
 
 
+@query(
+    "k08_round_robin",
+    """WITH b AS (SELECT event_id, user_id, value, CAST(floor(value / 25) AS BIGINT) AS bucket FROM events WHERE value IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value DESC, event_id) - 1 AS place, max(value) OVER (PARTITION BY user_id) AS best FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place, bucket DESC, event_id) AS k FROM p) SELECT event_id, user_id, bucket, CAST(place AS INT) AS place FROM k WHERE k <= CASE WHEN best >= 100 THEN 4 WHEN best >= 50 THEN 2 ELSE 1 END""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.events.where("value is not null").select("event_id", "user_id", "value", F.floor(F.col("value") / 25).alias("bucket"))
+    return v.round_robin(rows, "bucket", "event_id", "user_id", "value", [(100, 4), (50, 2)], 1).select("event_id", "user_id", "bucket", "place")
+
+
 JUDGED_SQL = "judged AS (SELECT d.doc_id, l.quality = 0 AS bad, round(least(1, 10 * (length(text) - length(replace(replace(text, '%', ''), '#', ''))) / greatest(length(text), 1)), 6)::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id))"
 
 

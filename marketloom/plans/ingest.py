@@ -126,13 +126,23 @@ def _(t: Tables) -> DataFrame:
     return t.events.where(due).join(low, "user_id").select("event_id", k.isNull().alias("fresh"), "low").orderBy(F.col("low").asc_nulls_last(), "event_id")
 
 
-@query(
-    "b09_photo_backlog",
-    "SELECT event_id, value FROM events WHERE json_extract_string(props, '$.photo') IS NULL ORDER BY (event_type = 'purchase') DESC, value DESC NULLS LAST, event_id LIMIT 200",
-)
-def _(t: Tables) -> DataFrame:
-    due = t.events.where(F.get_json_object("props", "$.photo").isNull())
-    return due.orderBy((F.col("event_type") == "purchase").desc(), F.col("value").desc_nulls_last(), "event_id").limit(200).select("event_id", "value")
+BACKLOG_SQL = """flagged AS (SELECT olx_id, first_seen_at, CASE WHEN part_id % 3 > 0 THEN CASE WHEN part_id % 5 = 0 THEN '{"photo_damage":true}' ELSE '{"photo_damage":true,"photo_damage_p":0.5}' END END AS extras, part_id % 4 AS severity, CASE WHEN part_id % 7 > 0 THEN part_id % 2 = 0 END AS accident FROM listings)"""
+
+
+def backlog_query(mode: str, condition: str):
+    @query(
+        f"b09_photo_backlog_{mode}",
+        f"WITH {BACKLOG_SQL} SELECT olx_id, severity, first_seen_at FROM flagged WHERE {condition} ORDER BY severity >= 2 DESC, coalesce(accident, false) DESC, first_seen_at DESC, olx_id LIMIT 500",
+    )
+    def _(t: Tables) -> DataFrame:
+        k = F.col("part_id")
+        extras = F.when(k % 3 > 0, F.when(k % 5 == 0, '{"photo_damage":true}').otherwise('{"photo_damage":true,"photo_damage_p":0.5}'))
+        rows = t.listings.select("olx_id", "first_seen_at", extras.alias("extras"), (k % 4).alias("severity"), F.when(k % 7 > 0, k % 2 == 0).alias("accident"))
+        return b.photo_backlog(rows, "extras", mode, severity="severity").select("olx_id", "severity", "first_seen_at")
+
+
+for _mode, _condition in (("missing", "extras IS NULL"), ("undecided", "extras = '{\"photo_damage\":true}'"), ("all", "true")):
+    backlog_query(_mode, _condition)
 
 
 INACTIVE = "o.is_active AND coalesce(o.source, 'olx') = 'olx' AND s.olx_id IS NULL"
@@ -294,11 +304,17 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "b27_mark_expired",
-    f"WITH {STOCK_SQL} SELECT olx_id, CASE WHEN is_active AND olx_id % 9 = 0 THEN 'expired' ELSE deactivation_reason END AS deactivation_reason FROM stock",
+    f"""WITH {STOCK_SQL} SELECT olx_id, is_active AND olx_id % 9 > 0 AS is_active, CASE WHEN is_active AND olx_id % 9 = 0 THEN TIMESTAMP '2001-12-01' ELSE deactivated_at END AS deactivated_at, CASE WHEN is_active AND olx_id % 9 = 0 THEN 'expired' ELSE deactivation_reason END AS deactivation_reason FROM stock""",
 )
 def _(t: Tables) -> DataFrame:
-    gone = F.col("is_active") & (F.col("olx_id") % 9 == 0)
-    return stock(t).select("olx_id", F.when(gone, "expired").otherwise(F.col("deactivation_reason")).alias("deactivation_reason"))
+    gone = t.orders.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("olx_id"))
+    return b.mark_expired(stock(t), gone, "2001-12-01 00:00:00").select("olx_id", "is_active", "deactivated_at", "deactivation_reason")
+
+
+@query("b27_photo_count_targets", f"WITH {STOCK_SQL} SELECT olx_id FROM stock WHERE is_active AND olx_id % 4 <> 0")
+def _(t: Tables) -> DataFrame:
+    rows = stock(t).withColumn("photo_count", F.when(F.col("olx_id") % 4 == 0, 3))
+    return b.photo_count_targets(rows).select("olx_id")
 
 
 @query(
@@ -326,14 +342,19 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "b30_merge_details",
-    f"""WITH {STOCK_SQL}, {ARRIVALS_SQL} SELECT s.olx_id, coalesce(a.price_eur, s.price_eur) AS price_eur, coalesce(s.brand, a.brand) AS brand,
-    CASE WHEN s.olx_id % 2 = 0 AND s.olx_id >= 10000 THEN coalesce('detail ' || a.olx_id, 'card ' || s.olx_id) ELSE CASE WHEN s.olx_id >= 10000 THEN coalesce('detail ' || a.olx_id, 'card ' || s.olx_id) ELSE 'card ' || s.olx_id END END AS title
-    FROM stock s LEFT JOIN arrivals a USING (olx_id)""",
+    """WITH c AS (SELECT p_partkey AS olx_id, p_retailprice AS price_eur, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_brand END AS brand, p_size % 5 AS doors, CASE WHEN p_partkey % 3 = 0 THEN 'BMW 5.500 €' WHEN p_partkey % 3 = 1 THEN 'BMW 20129.000' ELSE 'BMW 320' END AS title, p_size * 40 AS mileage_km, 2000 + p_partkey % 20 AS year FROM part),
+    d AS (SELECT olx_id, CASE WHEN olx_id % 2 = 0 THEN price_eur * 2 END AS price_eur, 'D' AS brand, 4 AS doors, 'detail ' || olx_id AS title, CASE WHEN olx_id % 6 = 0 THEN 150 END AS mileage_km, year FROM c WHERE olx_id % 5 > 0),
+    m AS (SELECT c.olx_id, coalesce(d.price_eur, c.price_eur) AS price_eur, CASE WHEN coalesce(c.brand, '') <> '' THEN c.brand ELSE coalesce(d.brand, c.brand) END AS brand, CASE WHEN c.doors > 0 THEN c.doors ELSE coalesce(d.doors, c.doors) END AS doors,
+      CASE WHEN c.olx_id % 3 < 2 THEN coalesce(d.title, c.title) ELSE c.title END AS title, coalesce(d.mileage_km, c.mileage_km) AS km, greatest(1, 2024 - c.year) AS age FROM c LEFT JOIN d USING (olx_id))
+    SELECT olx_id, price_eur, brand, doors, title, CASE WHEN km > 0 AND km < 1000 AND (km < 500 * age OR 1000 * km BETWEEN 3000 * age AND 40000 * age) THEN km * 1000 ELSE km END AS mileage_km FROM m""",
 )
 def _(t: Tables) -> DataFrame:
-    card = stock(t).select("olx_id", "price_eur", "brand", F.concat(F.lit("card "), F.col("olx_id").cast("string")).alias("title"))
-    detail = arrivals(t).select("olx_id", "price_eur", "brand", F.concat(F.lit("detail "), F.col("olx_id").cast("string")).alias("title"))
-    return b.merge_details(card, detail, "olx_id", ["price_eur"], ["brand"])
+    k = F.col("p_partkey")
+    title = F.when(k % 3 == 0, "BMW 5.500 €").when(k % 3 == 1, "BMW 20129.000").otherwise("BMW 320")
+    card = t.part.select(k.alias("olx_id"), F.col("p_retailprice").alias("price_eur"), F.when(k % 4 == 1, "").when(k % 4 > 1, F.col("p_brand")).alias("brand"), (F.col("p_size") % 5).alias("doors"), title.alias("title"), (F.col("p_size") * 40).alias("mileage_km"), (2000 + k % 20).alias("year"))
+    i = F.col("olx_id")
+    detail = card.where("olx_id % 5 > 0").select("olx_id", F.when(i % 2 == 0, F.col("price_eur") * 2).alias("price_eur"), F.lit("D").alias("brand"), F.lit(4).alias("doors"), F.concat(F.lit("detail "), i.cast("string")).alias("title"), F.when(i % 6 == 0, 150).alias("mileage_km"))
+    return b.merge_details(card, detail, "olx_id", ["price_eur", "mileage_km"], ["brand", "doors"], 2024).select("olx_id", "price_eur", "brand", "doors", "title", "mileage_km")
 
 
 @query("a16_metrics_history", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -101,17 +101,50 @@ text_query("x20_damage_severity", f"{SEVERITY_SQL} AS severity", lambda: ("sever
 text_query("x21_salvage_phrase", f"nullif(regexp_extract(t, '({x.PARTS_ONLY}|{x.SEVERE}|{x.NON_RUNNER})', 1), '') AS phrase", lambda: ("phrase", x.salvage_phrase(F.col("text"))))
 text_query("x23_numbers_out", "regexp_replace(text, '\\d+(\\.\\d+)?', 'N', 'g') AS reason", lambda: ("reason", x.numbers_out(F.col("text"))))
 text_query("x26_tidy", "coalesce(nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), 'x') AS tidy", lambda: ("tidy", x.tidy(F.col("text"), F.lit("x"))))
-text_query(
+MONTH_NAMES = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
+
+
+def _month_of(k: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), (k - 1).cast("int"))
+
+
+@query(
     "x10_portuguese_date",
-    "CASE WHEN t LIKE '%12 de marco de 2024 as 10:30%' THEN TIMESTAMP '2024-03-12 10:30:00' END AS at",
-    lambda: ("at", x.portuguese_date(F.col("text"))),
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN date_trunc('day', o_orderdate::TIMESTAMP) + CASE WHEN o_orderkey % 2 = 0 THEN to_hours(CAST(o_orderkey % 24 AS INT)) + to_minutes(CAST(o_orderkey % 60 AS INT)) ELSE INTERVAL 0 DAY END END AS at FROM orders""",
 )
-text_query("x11_member_since", "CASE WHEN t LIKE '%fevereiro de 2020%' THEN DATE '2020-02-01' WHEN t LIKE '%marco de 2024%' THEN DATE '2024-03-01' END AS since", lambda: ("since", x.member_since(F.col("text"))))
+def _(t: Tables) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    written = F.concat(F.lit("Publicado "), F.dayofmonth(day).cast("string"), F.lit(" De "), F.when(k % 4 == 0, F.upper(_month_of(F.month(day)))).otherwise(_month_of(F.month(day))), F.lit(" de "), F.year(day).cast("string"))
+    written = F.when(k % 2 == 0, F.concat(written, F.format_string(" às %02d:%02d", k % 24, k % 60))).otherwise(written)
+    return t.orders.select("o_orderkey", x.portuguese_date(F.when(k % 9 > 0, written).otherwise("31 de fevereiro de 2020")).alias("at"))
+
+
+@query("x11_member_since", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS since FROM orders")
+def _(t: Tables) -> DataFrame:
+    day = F.col("o_orderdate")
+    written = F.concat(F.lit("Membro desde "), _month_of(F.month(day)), F.lit(" de "), F.year(day).cast("string"))
+    return t.orders.select("o_orderkey", x.member_since(F.when(F.col("o_orderkey") % 9 > 0, written).otherwise("desde ontem")).alias("since"))
 
 
-@query("x13_plates")
+@query(
+    "x13_plates",
+    """WITH d AS (SELECT p_partkey AS id, lpad((p_partkey % 100)::VARCHAR, 2, '0') AS a, lpad((p_partkey % 89)::VARCHAR, 2, '0') AS b, chr(CAST(65 + p_partkey % 26 AS INT)) || chr(CAST(65 + p_size % 26 AS INT)) AS l FROM part)
+    SELECT id, CASE id % 6 WHEN 0 THEN l || '-' || a || '-' || b WHEN 1 THEN a || '-' || b || '-' || l WHEN 2 THEN a || '-' || l || '-' || b || ',' || l || '-' || a || '-' || l WHEN 3 THEN a || '-' || b || '-' || a ELSE '' END AS plates FROM d""",
+)
 def _(t: Tables) -> DataFrame:
-    return spoken(t).select("id", F.concat_ws(",", x.plates(F.col("text"))).alias("plates"))
+    k = F.col("p_partkey")
+    a, b = F.lpad((k % 100).cast("string"), 2, "0"), F.lpad((k % 89).cast("string"), 2, "0")
+    letters = F.concat(F.char(65 + k % 26), F.char(65 + F.col("p_size") % 26))
+    low = F.lower(letters)
+    said = (
+        F.when(k % 6 == 0, F.concat(F.lit("matrícula "), low, F.lit("-"), a, F.lit(" "), b, F.lit(".")))
+        .when(k % 6 == 1, F.concat(a, b, letters))
+        .when(k % 6 == 2, F.concat(a, F.lit("."), letters, F.lit("."), b, F.lit(" e "), letters, a, letters))
+        .when(k % 6 == 3, F.concat(a, F.lit("-"), b, F.lit("-"), a))
+        .when(k % 6 == 4, F.concat(letters, F.lit("-"), letters, F.lit("-"), letters))
+        .otherwise(F.concat(F.lit("x"), letters, a, b))
+    )
+    return t.part.select(k.alias("id"), F.concat_ws(",", x.plates(said)).alias("plates"))
 
 
 TUNING_SQL = [
@@ -192,7 +225,14 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", x.slug_part(F.col("url"), 1).alias("slug"))
 
 
-@query("x06_url_id", "SELECT page_id, nullif(regexp_extract(url, '/(\\d+)(?:\\.html)?/?(?:[?#].*)?$', 1), '') AS id FROM pages")
+@query("x06_advert_id", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a' || page_id || '_Z' END AS id FROM pages")
+def _(t: Tables) -> DataFrame:
+    k = F.col("page_id")
+    url = F.concat(F.coalesce("url", F.lit("")), F.when(k % 3 == 0, F.concat(F.lit("-carro-ID"), F.concat(F.lit("a"), k.cast("string"), F.lit("_Z")), F.lit(".html?x=ID9.html"))).when(k % 3 == 1, "/ID.html").otherwise("/ID12.htm"))
+    return t.pages.select("page_id", x.advert_id(url).alias("id"))
+
+
+@query("x06_url_number", "SELECT page_id, nullif(regexp_extract(url, '/(\\d+)(?:\\.html)?/?(?:[?#].*)?$', 1), '') AS id FROM pages")
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", x.last_number(F.col("url")).alias("id"))
 

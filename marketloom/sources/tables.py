@@ -19,11 +19,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
-    """JSON lines; blank and malformed rows are left out, one row for each key."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; blank lines and lines that are no JSON object are left out, one row for each key."""
+    lines = spark.read.text(path).where(F.regexp_like("value", F.lit(r"^\s*\{")))
+    # a broken line has no key at all, while a good one without known fields has some
+    rows = lines.select(F.from_json("value", schema).alias("_r"), F.expr("json_object_keys(value)").alias("_keys")).where("_keys is not null").select("_r.*")
     return rows.dropDuplicates([key]) if key else rows
 
 
+def read_snapshots(spark: SparkSession, path: str, schema: T.StructType | str, as_of: str, since_days: int | None = None, ts: str = "scraped_at") -> DataFrame:
+    """Snapshots of the last ``since_days`` before ``as_of``; all of them for None, 0 and less."""
+    rows = read_table(spark, path, schema)
+    if not since_days or since_days <= 0:
+        return rows
+    return rows.where(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(since_days)))
+
+
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """A nested JSON document brand -> model -> [{name, year_from, year_to}] as rows."""
     kind = "map<string, map<string, array<struct<name: string, year_from: int, year_to: int>>>>"

@@ -138,7 +138,16 @@ def test_common_values_are_not_isolated(spark):
 def test_missing_table_is_empty_and_json_is_lenient(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "none"), "a int").count() == 0
     (tmp_path / "x.json").write_text('{"k": 1}\n\nbroken\n{"k": 1}\n{"k": 2}\n')
-    assert tables.read_json_lines(spark, str(tmp_path / "x.json"), "k int", "k").where("k IS NOT NULL").count() == 2
+    assert sorted(r.k for r in tables.read_json_lines(spark, str(tmp_path / "x.json"), "k int", "k").collect()) == [1, 2]
+    zones = spark.createDataFrame([("n", 1.5), ("s", float("nan"))], "zone string, v double")
+    tables.write_zone_feed(zones, str(tmp_path / "feed"))
+    assert {(r.zone, r.v) for r in spark.read.schema("zone string, v double").json(str(tmp_path / "feed")).collect()} == {("n", 1.5), ("s", None)}
+    tables.write_witness(zones, str(tmp_path / "w"), ["zone"])
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2 and (tmp_path / "w" / "zone=n").is_dir()
+    seen = [(k, dt.datetime(2024, 1, k)) for k in range(1, 21)]
+    spark.createDataFrame(seen, "k int, scraped_at timestamp").write.parquet(str(tmp_path / "snaps"))
+    read = lambda days: tables.read_snapshots(spark, str(tmp_path / "snaps"), "k int, scraped_at timestamp", "2024-01-20 00:00:00", days).count()
+    assert [read(d) for d in (14, None, 0, -1)] == [15, 20, 20, 20]
     (tmp_path / "g.json").write_text('{"VW": {"Golf": [{"name": "Mk4", "year_from": 1997, "year_to": 2003}]}}')
     assert tuple(tables.read_generations(spark, str(tmp_path / "g.json")).first()) == ("VW", "Golf", "Mk4", 1997, 2003)
 
