@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 _SELLER = "uuid: string, name: string, is_business: boolean, created: string, last_seen: string, last_login: string, user_ads_url: string, social_network_account_type: string, user_photo: string, position: struct<map_lat: double, map_lon: double>"
 _OFFERS = "adsOffers: struct<metadata: struct<total_elements: bigint, facets: struct<category: array<struct<id: bigint, count: bigint>>>>>"
 _SHOP = "owner_uuid: string, name: string, domain: string, logo: string, details: struct<user_ads_url: string, business_type: string, created: string, last_seen: string>, address: struct<map_lat: double, map_lon: double>"
@@ -141,3 +143,129 @@ def advert_photos(html: Column, script: str = "__NEXT_DATA__") -> Column:
     photos = F.from_json(raw, _ADVERT)["props"]["pageProps"]["advert"]["images"]["photos"]
     urls = F.transform(photos, lambda p: p["url"])
     return F.when(urls.isNull() | F.exists(urls, lambda u: u.isNull()), F.array().cast("array<string>")).otherwise(urls)
+
+
+def _within(html: Column, mark: str) -> Column:
+    """What the first element with ``data-testid`` or ``data-cy`` of ``mark`` holds, up to the first end tag of its own name."""
+    return F.regexp_extract(html, rf"""(?s)<(\w+)[^>]*\bdata-(?:testid|cy)=["']{mark}["'][^>]*>(.*?)</\1>""", 2)
+
+
+def text_of(html: Column) -> Column:
+    """Text without tags, with common character references decoded and white space tidied."""
+    out = F.regexp_replace(html, "<[^>]*>", "")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&euro;", "€"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def listing_cards(df: DataFrame, html: str, key: str, base: str, wanted: list[str], brands: list[str], abbreviations: dict[str, str]) -> DataFrame:
+    """A row for each card of a search page: key, card (0-based), olx_id, url, title, price_eur, negotiable, brand, year, mileage_km and city.
+
+    Cards without a link to one of ``wanted`` (parts of urls) or without an id are left out. The brand is that
+    of the url's path, else of the title, else of an abbreviation in the title, else empty.
+    """
+    c = F.col
+    parts = F.split(c(html), r"""(?=<[^>]*\bdata-testid=["']l-card["'])""")
+    cards = df.select(key, F.posexplode(F.slice(parts, 2, 1_000_000)).alias("card", "_c"))
+    href = F.regexp_extract("_c", r"""(?s)<a\b[^>]*\bhref=["']([^"']+)""", 1)
+    cards = cards.withColumn("url", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))).withColumn("olx_id", text.advert_id(c("url")))
+    fits = F.lit(False)
+    for part in wanted:
+        fits = fits | c("url").contains(part)
+    cards = cards.where(fits & c("olx_id").isNotNull() & (href != ""))
+    wrapped = F.regexp_extract("_c", r"""(?s)\bdata-cy=["']ad-card-title["'][^>]*>(.*)$""", 1)
+    inner = F.regexp_extract(F.when(wrapped != "", wrapped).otherwise(c("_c")), r"(?s)<(a|h[456])\b[^>]*>(.*?)</\1>", 2)
+    heading = F.regexp_extract("_c", r"(?s)<(h[456])\b[^>]*>(.*?)</\1>", 2)
+    cards = cards.withColumns({"title": text_of(F.when(wrapped != "", inner).otherwise(heading)), "_price": text_of(_within(c("_c"), "ad-price")), "_place": text_of(_within(c("_c"), "location-date"))})
+    used = text_of(F.regexp_extract("_c", r"""(?s)<span[^>]*\bdata-nx-name=["']P5["'][^>]*>(.*?)</span>""", 1))
+    age = lambda k: F.regexp_extract(used, r"^(\d{4})\s*-\s*([\d.]+)\s*km", k)
+    names = F.create_map(*[F.lit(x) for b in brands for x in (b.lower().replace(" ", "-"), b)])
+    by_url = F.try_element_at(names, F.lower(F.regexp_extract("url", r"/carros/([^/]+)/", 1)))
+    spelled = F.try_element_at(F.create_map(*[F.lit(x) for b in brands for x in (b.lower(), b)]), text.brand_in_title(c("title"), brands))
+    short = F.coalesce(*[F.when(F.regexp_like(F.lower("title"), F.lit(rf"\b{a}\b")), b) for a, b in abbreviations.items()], F.lit(""))
+    return cards.select(
+        key,
+        "card",
+        "olx_id",
+        "url",
+        "title",
+        text.price_eur(F.nullif(c("_price"), F.lit(""))).alias("price_eur"),
+        F.lower("_price").contains("negociável").alias("negotiable"),
+        F.coalesce(by_url, spelled, short).alias("brand"),
+        age(1).try_cast("int").alias("year"),
+        F.regexp_replace(age(2), r"\.", "").try_cast("int").alias("mileage_km"),
+        F.trim(F.substring_index("_place", " - ", 1)).alias("city"),
+    )
+
+
+# Labels of an advert's parameters.
+PARAMETERS = {
+    "Segmento": "segment",
+    "Ano": "year",
+    "Modelo": "model",
+    "Mês de Registo": "registration_month",
+    "Cilindrada": "engine_cc",
+    "Combustível": "fuel_type",
+    "Potência": "horsepower",
+    "Quilómetros": "mileage_km",
+    "Tipo de Caixa": "transmission",
+    "Condição": "condition",
+    "Portas": "doors",
+    "Lugares": "seats",
+    "Cor": "color",
+    "Tração": "drive_type",
+    "Marca": "brand",
+}
+WHOLE_PARAMETERS = ("year", "mileage_km", "engine_cc", "horsepower", "seats")
+
+
+def listing_details(df: DataFrame, html: str) -> DataFrame:
+    """Adds the fields of an advert's own page; null where the page does not tell.
+
+    A vehicle's JSON block comes first; labelled parameters overwrite it. Then price, negotiable,
+    district and city from the breadcrumbs, photo_count, posted_at, seller_type and the seller's link
+    (seller_profile_url, seller_short_id). Helper columns begin with ``_ld``.
+    """
+    page, c = F.col(html), F.col
+    scripts = F.regexp_extract_all(page, F.lit(r"""(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"""), 1)
+    vehicle = F.get(F.filter(F.slice(scripts, 1, 5), lambda s: F.get_json_object(s, "$.@type") == "Vehicle"), F.lit(0))
+    df = df.withColumns(
+        {
+            "_ld": vehicle,
+            "_ld_p": F.transform(F.regexp_extract_all(F.regexp_extract(page, r"""(?s)\bdata-testid=["']ad-parameters-container["'][^>]*>(.*?)</div>""", 1), F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), 1), text_of),
+            "_ld_b": F.filter(F.transform(F.regexp_extract_all(page, F.lit(r"""(?s)\bdata-testid=["']breadcrumb-item["'][^>]*>(.*?)</li>"""), 1), text_of), lambda x: x.contains(" - ")),
+        }
+    )
+    said = lambda path: F.nullif(F.trim(F.get_json_object("_ld", path)), F.lit(""))
+
+    def labelled(label: str) -> Column:
+        own = F.filter("_ld_p", lambda x: F.trim(F.substring_index(x, ":", 1)) == label)
+        return F.trim(F.regexp_replace(F.try_element_at(own, F.lit(-1)), "^[^:]*:", ""))
+
+    own: dict[str, Column] = {}
+    for label, name in PARAMETERS.items():
+        value = labelled(label)
+        own[name] = text.digits(value).cast("int") if name in WHOLE_PARAMETERS else value
+    own["brand"], own["model"] = F.coalesce(own["brand"], said("$.brand")), F.coalesce(own["model"], said("$.model"))
+    own["year"] = F.coalesce(own["year"], text.digits(said("$.productionDate")).cast("int"))
+    crumb = lambda k: F.nullif(F.trim(F.regexp_replace(F.get(F.reverse("_ld_b"), F.lit(k)), "^.*? - ", "")), F.lit(""))
+    two = F.size("_ld_b") >= 2
+    seller = F.regexp_extract(page, r"""(?s)<a\b[^>]*\bhref=["']([^"']*/ads/user/[^"']+)""", 1)
+    photos = F.size(F.regexp_extract_all(page, F.lit(r"""\bdata-testid=["']ad-photo["']"""), 0))
+    wrapper = F.nullif(_within(page, "prices-wrapper"), F.lit(""))
+    return df.withColumns(
+        own
+        | {
+            "title": said("$.name"),
+            "sku": F.coalesce(said("$.sku"), F.nullif(F.regexp_extract(_within(page, "ad-footer-bar-section"), r"ID:\s*(\d+)", 1), F.lit(""))),
+            "price_eur": F.coalesce(F.get_json_object("_ld", "$.offers.price").try_cast("double"), text.price_eur(F.nullif(text_of(_within(page, "ad-price-container")), F.lit("")))),
+            "negotiable": F.lower(text_of(wrapper)).contains("negociável"),
+            "district": F.when(two, crumb(1)).otherwise(crumb(0)),
+            "city": F.coalesce(F.when(two, crumb(0)), said("$.offers.areaServed.name")),
+            "photo_count": F.when(photos > 0, photos),
+            "posted_at": text.portuguese_date(text_of(_within(page, "ad-posted-at"))),
+            "seller_type": F.try_element_at(F.filter("_ld_p", lambda x: x.isin("Particular", "Profissional")), F.lit(-1)),
+            "seller_profile_url": F.nullif(seller, F.lit("")),
+            "seller_short_id": short_id(seller),
+        }
+    ).drop("_ld", "_ld_p", "_ld_b")

@@ -183,3 +183,54 @@ def _(t: Tables) -> DataFrame:
         ml_window_days(2 * p_size) AS days, ml_engine_size(p_size * 60) AS size, ml_sold_weight(p_size * 9) AS weight FROM {part}""",
         part=t.part,
     )
+
+
+BRANDS = ["Volkswagen", "Alfa Romeo", "BMW", "Mercedes-Benz"]
+
+
+def search_pages(t: Tables) -> DataFrame:
+    """A search page for each part: a card of the site, one of another site, one without an id."""
+    k = F.col("p_partkey")
+    i = k.cast("string")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Golf "), i)).when(k % 4 == 1, "VW &amp; mais").when(k % 4 == 2, "bmw  320").otherwise("Carro")
+    path = F.when(k % 4 == 0, "carros/alfa-romeo/").otherwise("")
+    price = F.concat(F.translate(F.format_number(k * 37, 0), ",", "."), F.lit(" €"), F.when(k % 3 == 0, "<span>Negociável</span>").otherwise(""))
+    one = F.concat(
+        F.lit('<div class="x" data-testid="l-card"><a href="/d/anuncio/'), path, F.lit("x-IDa"), i, F.lit('.html"><img></a><div data-cy="ad-card-title"><a href="#"><h4>'), title, F.lit('</h4></a><p data-testid="ad-price">'), price,
+        F.lit('</p></div><p data-testid="location-date">Porto - Hoje</p><span data-nx-name="P5">2015 - '), F.translate(F.format_number(k * 11, 0), ",", "."), F.lit(" km</span></div>"),
+    )
+    two = F.concat(F.lit('<div data-testid="l-card"><a href="https://other.example.org/x-IDb'), i, F.lit('.html"></a><h6>Mercedes-Benz A</h6><p data-testid="location-date">Lisboa</p></div>'))
+    three = F.lit('<div data-testid="l-card"><a href="/d/anuncio/none.html"></a></div><div data-testid="l-card"><a href="/jobs/IDz.html"></a></div>')
+    return t.part.select("p_partkey", F.concat(F.lit("<html><body>"), one, two, three, F.lit("</body></html>")).alias("html"))
+
+
+@query(
+    "p01_listing_cards",
+    """SELECT p_partkey, 'a' || p_partkey AS olx_id, CASE p_partkey % 4 WHEN 0 THEN 'Golf ' || p_partkey WHEN 1 THEN 'VW & mais' WHEN 2 THEN 'bmw 320' ELSE 'Carro' END AS title, (p_partkey * 37)::DOUBLE AS price_eur, p_partkey % 3 = 0 AS negotiable,
+    CASE p_partkey % 4 WHEN 0 THEN 'Alfa Romeo' WHEN 1 THEN 'Volkswagen' WHEN 2 THEN 'BMW' ELSE '' END AS brand, 2015 AS year, CAST(p_partkey * 11 AS INT) AS mileage_km, 'Porto' AS city FROM part
+    UNION ALL SELECT p_partkey, 'b' || p_partkey, 'Mercedes-Benz A', NULL, false, 'Mercedes-Benz', NULL, NULL, 'Lisboa' FROM part""",
+)
+def _(t: Tables) -> DataFrame:
+    cards = p.listing_cards(search_pages(t), "html", "p_partkey", "https://example.com", ["/d/anuncio/", "other.example.org"], BRANDS, {"vw": "Volkswagen", "merc": "Mercedes-Benz", "mb": "Mercedes-Benz"})
+    return cards.select("p_partkey", "olx_id", "title", "price_eur", "negotiable", "brand", "year", "mileage_km", "city")
+
+
+def advert_pages(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    i = k.cast("string")
+    vehicle = F.concat(F.lit('<script type="application/ld+json">{"@type":"Thing"}</script><script type="application/ld+json">{"@type":"Vehicle","brand":"B'), i, F.lit('","model":"M","productionDate":"2011","name":" Car '), i, F.lit('","sku":"'), i, F.lit('","offers":{"price":"'), (k * 10).cast("string"), F.lit('","areaServed":{"name":"Faro"}}}</script>'))
+    parameters = F.concat(F.lit('<div data-testid="ad-parameters-container"><p><span>Particular</span></p><p>Quilómetros: '), F.translate(F.format_number(k * 1000, 0), ",", "."), F.lit(" km</p><p>Cor: Azul</p><p>Outro: x</p>"), F.when(k % 3 == 0, "<p>Ano: 2018</p>").otherwise(""), F.lit("</div>"))
+    crumbs = F.concat(F.lit('<ol data-testid="breadcrumbs"><li data-testid="breadcrumb-item"><a>Carros</a></li><li data-testid="breadcrumb-item"><a>Carros - Lisboa</a></li>'), F.when(k % 2 == 0, '<li data-testid="breadcrumb-item"><a>Carros - Sintra</a></li>').otherwise(""), F.lit("</ol>"))
+    rest = F.concat(F.lit('<div data-testid="prices-wrapper"><h3 data-testid="ad-price-container">'), (k * 7).cast("string"), F.lit(" €</h3>"), F.when(k % 5 == 0, "<p>Negociável</p>").otherwise(""), F.lit('</div><div data-testid="ad-photo"></div><div data-testid="ad-photo"></div><span data-testid="ad-posted-at">12 de março de 2024</span><a class="s" href="https://example.com/ads/user/u'), i, F.lit('/">Ana</a>'))
+    return t.part.select("p_partkey", F.concat(F.lit("<html>"), F.when(k % 4 > 0, vehicle).otherwise(""), parameters, crumbs, rest, F.lit("</html>")).alias("html"))
+
+
+@query(
+    "p02_listing_details",
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN 'B' || p_partkey END AS brand, CASE WHEN p_partkey % 3 = 0 THEN 2018 WHEN p_partkey % 4 > 0 THEN 2011 END AS year, CAST(p_partkey * 1000 AS INT) AS mileage_km, 'Azul' AS color, CASE WHEN p_partkey % 4 > 0 THEN 'Car ' || p_partkey END AS title,
+    (CASE WHEN p_partkey % 4 > 0 THEN p_partkey * 10 ELSE p_partkey * 7 END)::DOUBLE AS price_eur, p_partkey % 5 = 0 AS negotiable, 'Lisboa' AS district, CASE WHEN p_partkey % 2 = 0 THEN 'Sintra' WHEN p_partkey % 4 > 0 THEN 'Faro' END AS city,
+    2 AS photo_count, TIMESTAMP '2024-03-12' AS posted_at, 'Particular' AS seller_type, 'u' || p_partkey AS seller_short_id FROM part""",
+)
+def _(t: Tables) -> DataFrame:
+    found = p.listing_details(advert_pages(t), "html")
+    return found.select("p_partkey", "brand", "year", "mileage_km", "color", "title", "price_eur", "negotiable", "district", "city", "photo_count", "posted_at", "seller_type", "seller_short_id")

@@ -338,18 +338,6 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(links).cast("long").alias("links"), F.size(F.array_distinct(links)).cast("long").alias("distinct_links")).where("links > 0")
 
 
-@query("p01_page_cards", "SELECT page_id, u AS href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)', 1)) AS u FROM pages) GROUP BY 1, 2")
-def _(t: Tables) -> DataFrame:
-    cards = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)'), 1)).alias("href"))
-    return cards.groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
-@query("p02_page_fields", "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title_chars FROM pages")
-def _(t: Tables) -> DataFrame:
-    lang = F.nullif(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit(""))
-    return t.pages.select("page_id", lang.alias("lang"), F.length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).cast("long").alias("title_chars"))
-
-
 @query("p07_dead_pages", "SELECT page_id, CASE WHEN page_id % 10 IN (4, 7) THEN true WHEN page_id % 10 = 5 THEN NULL ELSE contains(html, 'no longer available') END AS dead FROM pages")
 def _(t: Tables) -> DataFrame:
     k = F.col("page_id") % 10
