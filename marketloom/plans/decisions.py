@@ -224,11 +224,11 @@ DECIDE_SQL = f"""{CONTEXT_SQL}, active AS (SELECT l.*, predicted_price, round(pr
         exit IN ('above', 'margin', 'median', 'softening', 'trap', 'slow', 'end') AS banded, exit IN ('median', 'softening', 'trap', 'slow', 'end') AS priced, exit IN ('trap', 'slow', 'end') AS timed FROM left_at),
     reasoned AS (SELECT *, concat_ws(' | ', CASE exit WHEN 'accident' THEN 'accident mentioned' WHEN 'severity' THEN 'damage severity ' || severity WHEN 'rhd' THEN 'right-hand drive' WHEN 'outlier' THEN 'outlier: anomaly score ' || printf('%.2f', anomaly)
           WHEN 'none' THEN 'no prediction' WHEN 'few' THEN 'only ' || sample_size || ' comparables' WHEN 'band' THEN 'band ' || wide || ' is too wide' END,
-        CASE WHEN banded THEN 'band ' || wide || CASE WHEN band_pct / 100 > 0.25 THEN ' lowers confidence' ELSE ' is tight' END END, CASE WHEN banded AND abs(resid) > 5 THEN 'prediction corrected by ' || printf('%+.1f', round_even(resid, 1)) || '%' END,
-        CASE exit WHEN 'above' THEN 'ask at or above corrected value' WHEN 'margin' THEN 'net margin ' || printf('%.1f', round_even(net_pct, 1)) || '% below 12%' END,
+        CASE WHEN banded THEN 'band ' || wide || CASE WHEN band_pct / 100 > 0.25 THEN ' lowers confidence' ELSE ' is tight' END END, CASE WHEN banded AND abs(resid) > 5 THEN 'prediction corrected by ' || printf('%+.1f', round_even(resid, 1) + 0) || '%' END,
+        CASE exit WHEN 'above' THEN 'ask at or above corrected value' WHEN 'margin' THEN 'net margin ' || printf('%.1f', round_even(net_pct, 1) + 0) || '% below 12%' END,
         CASE WHEN exit = 'median' THEN 'ask above the median' WHEN priced AND bargain THEN 'ask ' || format('{{:,}}', round_even(price_eur, 0)::BIGINT) || ' at or below the low band ' || format('{{:,}}', round_even(fair_price_low, 0)::BIGINT) WHEN priced THEN 'ask between low and median' END,
-        CASE WHEN exit = 'softening' THEN 'trend ' || printf('%+.1f', round_even(trend, 1)) || '%, net margin ' || printf('%.1f', round_even(net_pct, 1)) || '% below twice the drop'
-          WHEN timed THEN 'trend ' || printf('%+.1f', round_even(trend, 1)) || CASE WHEN trend < -3 THEN '%, margin covers twice the drop' WHEN trend < 0 THEN '%, discounted' ELSE '%, firming' END END,
+        CASE WHEN exit = 'softening' THEN 'trend ' || printf('%+.1f', round_even(trend, 1) + 0) || '%, net margin ' || printf('%.1f', round_even(net_pct, 1) + 0) || '% below twice the drop'
+          WHEN timed THEN 'trend ' || printf('%+.1f', round_even(trend, 1) + 0) || CASE WHEN trend < -3 THEN '%, margin covers twice the drop' WHEN trend < 0 THEN '%, discounted' ELSE '%, firming' END END,
         CASE WHEN timed THEN printf('%.0f', round_even(dom, 0)) || CASE WHEN exit = 'trap' THEN ' days on market: capital trap' WHEN exit = 'slow' THEN ' days on market: margin below 18%' WHEN dom > 60 THEN ' days on market: slow, margin clears' WHEN dom <= 30 THEN ' days on market: fast' END END,
         CASE WHEN exit = 'end' AND fast < 0.3 THEN 'only ' || printf('%.0f', round_even(fast * 100, 0)) || '% sold within 21 days' END,
         CASE WHEN exit = 'end' AND prob >= 0.7 THEN 'likely to sell soon: ' || printf('%.2f', prob) WHEN exit = 'end' AND prob <= 0.25 THEN 'unlikely to sell soon: ' || printf('%.2f', prob) END,

@@ -86,12 +86,12 @@ def _(t: Tables) -> DataFrame:
     return v.both_ends(t.events, "value", "event_id").select("event_id", "value", "side")
 
 
-FEED_SQL = "feed AS (SELECT olx_id, round(price_eur / 1000, 4) AS discount_pct, first_seen_at, CASE WHEN part_id % 5 > 0 THEN first_price_eur - price_eur END AS profit_eur FROM listings)"
+FEED_SQL = "feed AS (SELECT olx_id, round(price_eur / 1000, 5) AS discount_pct, first_seen_at, CASE WHEN part_id % 5 > 0 THEN first_price_eur - price_eur END AS profit_eur FROM listings)"
 
 
 def feed(t: Tables) -> DataFrame:
     profit = F.when(F.col("part_id") % 5 > 0, F.col("first_price_eur") - F.col("price_eur"))
-    return t.listings.select("olx_id", F.round(F.col("price_eur") / 1000, 4).alias("discount_pct"), "first_seen_at", profit.alias("profit_eur"))
+    return t.listings.select("olx_id", F.round(F.col("price_eur") / 1000, 5).alias("discount_pct"), "first_seen_at", profit.alias("profit_eur"))
 
 
 def feed_query(by: str, column: str):

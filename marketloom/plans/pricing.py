@@ -137,14 +137,14 @@ def _(t: Tables) -> DataFrame:
 @query(
     "m23_hazard_features",
     """WITH p AS (SELECT olx_id, price_eur, CASE WHEN part_id % 7 > 0 THEN p_retailprice * 25 ELSE 0 END AS predicted FROM listings JOIN part ON part_id = p_partkey)
-    SELECT olx_id, round(ln(1 + greatest(price_eur, 0)), 6) AS log_price, round(CASE WHEN predicted > 0 THEN (price_eur - predicted) / predicted * 100 END, 4) AS residual_pct, round(CASE WHEN predicted > 0 THEN (predicted * 1.2 - predicted * 0.9) / predicted * 100 END, 4) AS band_pct FROM p""",
+    SELECT olx_id, round(ln(1 + greatest(price_eur, 0)), 6) AS log_price, round(CASE WHEN predicted > 0 THEN (price_eur - predicted) / predicted * 100 END, 6) AS residual_pct, round(CASE WHEN predicted > 0 THEN (predicted * 1.2 - predicted * 0.9) / predicted * 100 END, 4) AS band_pct FROM p""",
 )
 def _(t: Tables) -> DataFrame:
     rows = t.listings.join(t.part.select(F.col("p_partkey").alias("part_id"), "p_retailprice"), "part_id")
     rows = rows.withColumn("predicted_price", F.when(F.col("part_id") % 7 > 0, F.col("p_retailprice") * 25).otherwise(0.0))
     rows = rows.withColumns({"fair_price_low": F.col("predicted_price") * 0.9, "fair_price_high": F.col("predicted_price") * 1.2})
     made = models.hazard_features(rows)
-    return made.select("olx_id", F.round("log_price", 6).alias("log_price"), F.round("residual_pct", 4).alias("residual_pct"), F.round("band_pct", 4).alias("band_pct"))
+    return made.select("olx_id", F.round("log_price", 6).alias("log_price"), F.round("residual_pct", 6).alias("residual_pct"), F.round("band_pct", 4).alias("band_pct"))
 
 
 @query(
