@@ -9,6 +9,7 @@ from ..functions.scalars import segment_score
 from ..operators import deals as g
 from ..operators import enrich as n
 from ..operators import market as m
+from ..operators.storage import checkpointed
 from .market import CALIBRATION_SQL, COMPARABLES_SQL, DOM_SQL, GRAINS, SIGNALS_SQL, TREND_SQL, TURNOVER_SQL, signals_of
 from .registry import AS_OF, Tables, query
 
@@ -188,10 +189,16 @@ CONTEXT_SQL = f"""{DOM_SQL}, {SIGNALS_SQL}, {CALIBRATION_SQL}, {ASKED_SQL}, {TRE
       LEFT JOIN trend t ON k.brand = t.brand AND k.model = t.model AND k.generation IS NOT DISTINCT FROM t.generation)"""
 
 
-def context(t: Tables) -> DataFrame:
+def judged_listings(t: Tables) -> DataFrame:
+    """Listings with their predicted price, stored once: activity, segment figures and verdicts all read them."""
+    return checkpointed(t.listings.join(signals_of(t).select("olx_id", "predicted_price"), "olx_id", "left"))
+
+
+def context(t: Tables, rows: DataFrame | None = None) -> DataFrame:
     """One segment table of days on market, calibration and trend, with fallback rows."""
-    tables = [m.dom_medians(t.listings).drop("n"), m.calibration_residuals(t.listings.join(signals_of(t), "olx_id")).drop("n"), m.segment_trend(asked(t))]
-    return g.segment_context(tables)
+    rows = judged_listings(t) if rows is None else rows
+    seen = rows.select(F.col("olx_id").alias("listing_id"), "brand", "model", "generation", "price_eur", F.col("first_seen_at").alias("scraped_at"))
+    return g.segment_context([m.dom_medians(rows).drop("n"), m.calibration_residuals(rows).drop("n"), m.segment_trend(seen)])
 
 
 SEGMENT_FIGURES = ["dom_median", "dom_fast_share", "calibration_resid_pct", "trend_90d_pct"]
@@ -238,8 +245,8 @@ DECIDE_SQL = f"""{CONTEXT_SQL}, active AS (SELECT l.*, predicted_price, round(pr
 
 def decided(t: Tables) -> DataFrame:
     k = F.col("part_id")
-    rows = n.enrich(t.listings.where("is_active"), AS_OF).join(signals_of(t).groupBy("olx_id").agg(F.min("predicted_price").alias("predicted_price")), "olx_id")
-    rows = rows.withColumns(
+    base = judged_listings(t)
+    rows = n.enrich(base.where("is_active AND predicted_price IS NOT NULL"), AS_OF).withColumns(
         {
             "fair_price_low": F.round(F.col("predicted_price") * 0.9, 4),
             "sample_size": k % 20,
@@ -257,7 +264,7 @@ def decided(t: Tables) -> DataFrame:
             "owners": k % 6,
         }
     )
-    return g.decide(n.with_segment(rows, context(t), SEGMENT_FIGURES))
+    return g.decide(n.with_segment(rows, context(t, base), SEGMENT_FIGURES))
 
 
 @query(
