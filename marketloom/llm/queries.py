@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned, with_counts
 from .binpack import pack_sequences
 from .bitpack import packed_ids
 from .bytecnn import fit_quality, quality_score
@@ -16,6 +17,7 @@ from .hostrank import judge
 from .oddsketch import near_duplicates
 from .piecemodel import round_trip
 from .reshard import reshard, with_slots
+from .simhash import simhash_groups
 from .styletree import extract_main_text
 from .zbands import compression_bands
 
@@ -113,6 +115,17 @@ def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return with_counts(rows.withColumn("groups_sha256", digest).drop("groups"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketches": op1_odd_sketches,
     "op2_style_tree": op2_style_tree,
@@ -124,6 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grouped_packing": op8_grouped_packing,
     "op9_host_ranks": op9_host_ranks,
     "op10_one_permutation": op10_one_permutation,
+    "op11_token_spans": op11_token_spans,
+    "op12_simhash": op12_simhash,
 }
 
 _RULES_SQL = ", ".join(f"('{what}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for what, rule in URL_RULES)
