@@ -16,7 +16,9 @@ from .fingerprints import likeness, packed, with_codes, with_next
 from .hostrank import judge
 from .oddsketch import near_duplicates
 from .piecemodel import round_trip
+from .prefixtrie import trie_nodes, turns_of, with_heads
 from .reshard import reshard, with_slots
+from .shared import saved
 from .simhash import simhash_groups
 from .styletree import extract_main_text
 from .zbands import compression_bands
@@ -126,6 +128,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_prefix_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = saved(turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "turns")
+    conv = F.col("conv_id")
+    return trie_nodes(with_heads(turns, base=conv - conv % 5, head=F.crc32(conv.cast("string")) % 9, longest=8))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketches": op1_odd_sketches,
     "op2_style_tree": op2_style_tree,
@@ -139,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_one_permutation": op10_one_permutation,
     "op11_token_spans": op11_token_spans,
     "op12_simhash": op12_simhash,
+    "op13_prefix_nodes": op13_prefix_nodes,
 }
 
 _RULES_SQL = ", ".join(f"('{what}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}')" for what, rule in URL_RULES)
@@ -172,4 +181,23 @@ walk AS (SELECT 0 AS step, 'trust' AS kind, host, trusted AS mass FROM seeds UNI
   UNION ALL SELECT step + 1, w.kind, l.b, mass * share * 0.85 FROM walk w JOIN links l ON w.kind = l.kind AND w.host = l.a WHERE step < 20),
 scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS bad FROM walk GROUP BY 1)
 SELECT page_id, j.host, path, rule, coalesce(what, CASE WHEN bad >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN scores s ON j.host = s.host""",
+    "op13_prefix_nodes": r"""
+WITH bytes_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, count(*) AS n FROM turns GROUP BY 1),
+crcs AS (SELECT c, n, c - c % 5 AS base, xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM convs, bytes_table),
+heads AS (SELECT a.c, a.n, a.base, h, least(h, coalesce(b.n, 0)) AS k FROM crcs a LEFT JOIN convs b ON a.base = b.c),
+rebuilt AS (
+  SELECT c, 0 AS depth, '' AS r, '' AS x FROM heads
+  UNION ALL SELECT h.c, pos + 1, r, x FROM heads h JOIN turns t ON t.c = h.base AND t.pos < h.h
+  UNION ALL SELECT h.c, pos - h.h + k + 1, r, x FROM heads h JOIN turns t ON t.c = h.c AND t.pos >= h.h),
+prefixes AS (SELECT c, depth, strlen(x) AS bytes, max(depth) OVER (PARTITION BY c) AS last, array_to_string(list(sha256(strlen(r) || ':' || r || x)) OVER (PARTITION BY c ORDER BY depth), '') AS key FROM rebuilt),
+nodes AS (SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = last), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+children AS (SELECT left(key, length(key) - 64) AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS own FROM nodes n LEFT JOIN children USING (key, depth)),
+paths AS (SELECT p.key, p.depth, p.c, sum((v.n_children = 0)::INT) OVER w AS leaves, sum(v.own) OVER w AS tokens
+  FROM prefixes p LEFT JOIN valued v ON v.key = p.key AND v.depth = p.depth AND v.conv_id = p.c WINDOW w AS (PARTITION BY p.c ORDER BY p.depth DESC)),
+sums AS (SELECT key, depth, sum(leaves) AS n_leaves, sum(tokens) AS saved_tokens FROM paths GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, coalesce(n_leaves, 0)::BIGINT AS n_leaves, coalesce(saved_tokens, 0)::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON v.key = s.key AND v.depth = s.depth LEFT JOIN valued u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.key = left(v.key, length(v.key) - 64)""",
 }
