@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import at, median_of, ratio, whole_days
+from ..functions.scalars import at, ratio, whole_days
+from .ranks import with_medians
 from .market import SEGMENT
 
 
@@ -180,21 +181,16 @@ def with_comparables(df: DataFrame, table: DataFrame, grains: dict[str, tuple[st
 
 
 def layered_medians(df: DataFrame, value: str, layers: list[tuple[str, ...]], least: int = 5) -> DataFrame:
-    """Medians at every layer (grouping sets), where at least ``least`` values are known.
+    """Medians at every layer, where at least ``least`` values are known.
 
     Columns: layer (0 is the finest), the keys, value and n. A null key belongs to no finer layer.
     """
     keys = list(layers[0])
-    rows = df.where(F.col(value).isNotNull())
-    out = rows.groupingSets([[F.col(k) for k in g] for g in layers], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_g"), median_of(value).alias("value"), F.count("*").alias("n"))
-    layer, full = F.lit(None).cast("int"), F.lit(False)
-    for i, own in enumerate(layers):
-        gid = sum(1 << (len(keys) - 1 - p) for p, k in enumerate(keys) if k not in own)
-        known = F.lit(True)
-        for k in own:
-            known = known & F.col(k).isNotNull()
-        layer, full = F.when(F.col("_g") == gid, i).otherwise(layer), F.when(F.col("_g") == gid, known).otherwise(full)
-    return out.withColumn("layer", layer).where(full & (F.col("n") >= least)).select("layer", *keys, "value", "n")
+    known = lambda own: F.coalesce(*[F.when(F.col(k).isNull(), F.lit(False)) for k in own], F.lit(True)) if own else F.lit(True)
+    sets = [F.when(known(own), F.struct(F.lit(i).alias("layer"), *[(F.col(k) if k in own else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys])) for i, own in enumerate(layers)]
+    rows = df.where(F.col(value).isNotNull()).select(F.explode(F.array_compact(F.array(*sets))).alias("_g"), F.col(value).alias("_v")).select("_g.*", "_v")
+    out = rows.groupBy("layer", *keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return with_medians(out, rows, ["layer", *keys], {"value": "_v"}).select("layer", *keys, "value", "n")
 
 
 def impute(df: DataFrame, value: str, medians: DataFrame, layers: list[tuple[str, ...]]) -> DataFrame:

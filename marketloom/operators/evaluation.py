@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import loss_weight, md5_share, mean, median_of, ratio, sold_tier, whole_days
-from .ranks import quantiles
+from .ranks import grouped_positions, quantiles
 from .storage import checkpointed
 
 
@@ -186,16 +186,13 @@ def precision_at(df: DataFrame, score: str, truth: Column, key: str, k: int) ->
 def conformal_quantile(df: DataFrame, score: str, coverage: float = 0.8, keys: list[str] = [], least: int = 1) -> DataFrame:  # noqa: B006
     """The finite-sample quantile min(ceil(c (n + 1)) / n, 1) of conformal scores, linearly interpolated.
 
-    The level differs by group, so the two order statistics around it are picked by row number.
+    The level differs by group, so the two order statistics around it are picked by rank.
     """
     rows = df.where(F.col(score).isNotNull())
-    w = Window.partitionBy(*keys) if keys else None
     if keys:
-        numbered = rows.withColumns({"_k": F.row_number().over(w.orderBy(score)), "_n": F.count("*").over(w)})
-        at = 1 + F.least(F.ceil(F.lit(coverage) * (F.col("_n") + 1)) / F.col("_n"), F.lit(1.0)) * (F.col("_n") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        out = numbered.groupBy(*keys).agg(F.max("_n").alias("n"), F.max(F.when(F.col("_k") == low, F.col(score))).alias("_l"), F.max(F.when(F.col("_k") == high, F.col(score))).alias("_h"), F.max(at - low).alias("_f"))
-        return out.where(F.col("n") >= least).select(*keys, "n", F.round(F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_f"), 6).alias("q"))
+        level = lambda n: F.least(F.ceil(F.lit(coverage) * (n + 1)) / n, F.lit(1.0)) * (n - 1)
+        out = grouped_positions(rows, keys, {"q": score}, lambda n: [level(n)])
+        return out.where(F.col("n") >= least).select(*keys, "n", F.round(F.col("quantiles")[0], 6).alias("q"))
     # in all: the level is one number
     n = rows.count()
     level = min(-(-int(round(coverage * (n + 1) * 1e9)) // 10**9) / n, 1.0) if n else 1.0

@@ -1,7 +1,8 @@
 """Segment statistics, days on market, turnover, competition, price dynamics.
 
 Every function takes its column names and, where time matters, ``as_of``; nulls in keys form a group
-unless a function says otherwise. All are plain aggregates and windows over their keys.
+unless a function says otherwise. Medians are exact; those of segments, whose size nothing bounds, come
+from ``ranks.with_medians``, which never holds a group in one task. The rest are aggregates and windows over their keys.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at, days_between, mean, median_of, ratio, sold, whole_days
+from .ranks import with_medians
 
 SEGMENT = ("brand", "model", "generation")
 
@@ -23,8 +25,15 @@ def present(*keys: str) -> Column:
 
 def market_overview(df: DataFrame, keys: tuple[str, ...] = ("brand", "model"), price: str = "price_eur", top: int = 30) -> DataFrame:
     """The ``top`` groups by size, with median, least and largest price; ties by key."""
-    out = df.where(present(*keys)).groupBy(*keys).agg(F.count("*").alias("n"), median_of(price).alias("median_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"))
-    return out.orderBy(F.desc("n"), *keys).limit(top)
+    rows = df.where(present(*keys))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(price).alias("min_price"), F.max(price).alias("max_price")).orderBy(F.desc("n"), *keys).limit(top)
+    some = rows.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col(price).alias("_price"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"_t_{k}") == F.col(k))
+    # ``top`` rows
+    some = some.join(F.broadcast(out.select(*keys)), on, "left_semi").withColumnsRenamed({f"_t_{k}": k for k in keys})
+    return with_medians(out, some, list(keys), {"median_price": "_price"}).orderBy(F.desc("n"), *keys)
 
 
 def largest_groups(df: DataFrame, key: str, top: int = 15) -> DataFrame:
@@ -38,25 +47,18 @@ def comparables(df: DataFrame, grains: dict[str, tuple[str, ...]], price: str =
     positive price or with a null key of the grain are left out.
     """
     keys = list(dict.fromkeys(k for g in grains.values() for k in g))
-    rows = df.where(F.col(price) > 0)
-    sets = [[F.col(k) for k in g] for g in grains.values()]
-    out = rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("_g"), F.count("*").alias("n"), median_of(price).alias("median_price"), median_of(year).alias("median_year"), median_of(mileage).alias("median_mileage")
-    )
-    name, full = F.lit(None).cast("string"), F.lit(False)
-    for grain, own in grains.items():
-        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in own)
-        name = F.when(F.col("_g") == gid, grain).otherwise(name)
-        full = F.when(F.col("_g") == gid, present(*own)).otherwise(full)
-    return out.withColumn("grain", name).where(full).select("grain", *keys, "n", "median_price", "median_year", "median_mileage")
+    layers = [F.when(present(*own), F.struct(F.lit(grain).alias("grain"), *[(F.col(k) if k in own else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys])) for grain, own in grains.items()]
+    rows = df.where(F.col(price) > 0).select(F.explode(F.array_compact(F.array(*layers))).alias("_g"), F.col(price).alias("_p"), F.col(year).alias("_y"), F.col(mileage).alias("_m"))
+    rows = rows.select("_g.*", "_p", "_y", "_m")
+    out = rows.groupBy("grain", *keys).agg(F.count("*").alias("n"))
+    return with_medians(out, rows, ["grain", *keys], {"median_price": "_p", "median_year": "_y", "median_mileage": "_m"})
 
 
 def daily_market_stats(snapshots: DataFrame, keys: tuple[str, ...] = ("brand", "model"), price: str = "price_eur", ts: str = "scraped_at") -> DataFrame:
     """All snapshots of a day count, not only the latest."""
     rows = snapshots.where(present(*keys) & F.col(price).isNotNull()).withColumn("date", F.to_date(ts))
-    return rows.groupBy(*keys, "date").agg(
-        median_of(price).alias("median_price_eur"), F.round(mean(F.col(price)), 8).alias("avg_price_eur"), F.min(price).alias("min_price_eur"), F.max(price).alias("max_price_eur"), F.count("*").alias("listing_count")
-    )
+    out = rows.groupBy(*keys, "date").agg(F.round(mean(F.col(price)), 8).alias("avg_price_eur"), F.min(price).alias("min_price_eur"), F.max(price).alias("max_price_eur"), F.count("*").alias("listing_count"))
+    return with_medians(out, rows, [*keys, "date"], {"median_price_eur": price})
 
 
 def seller_rotation(df: DataFrame, as_of: str, days: int = 90, seller: str = "seller_uuid", first_seen: str = "first_seen_at") -> DataFrame:
@@ -127,13 +129,12 @@ def segment_metrics(df: DataFrame, signals: DataFrame | None, as_of: str, sold_d
         F.count_if(live).alias("n_active"),
         F.count_if(recent).alias("n_sold_60d"),
         F.count_if(gone).alias("n_sold_total"),
-        median_of(F.when(recent, days_on_market())).alias("median_dom"),
         F.round(mean(F.when(live, F.col("undervaluation_pct"))), 4).alias("avg_undervaluation_pct"),
-        median_of(F.when(live, price)).alias("median_active_ask_eur"),
-        median_of(F.when(gone, price)).alias("median_sold_ask_eur"),
-        F.round(F.when(F.count_if(moved) >= trend_rows, median_of(change)), 4).alias("trend_30d_pct"),
-        F.round(median_of(resid), 4).alias("calibration_residual_eur"),
+        F.count_if(moved).alias("_moved"),
     )
+    medians = {"median_dom": F.when(recent, days_on_market()), "median_active_ask_eur": F.when(live, price), "median_sold_ask_eur": F.when(gone, price), "trend_30d_pct": change, "calibration_residual_eur": resid}
+    out = with_medians(out, rows, list(SEGMENT), medians)
+    out = out.withColumns({"trend_30d_pct": F.round(F.when(F.col("_moved") >= trend_rows, F.col("trend_30d_pct")), 4), "calibration_residual_eur": F.round("calibration_residual_eur", 4)}).drop("_moved")
     return out.withColumn("clearing_ratio", F.round(ratio(F.col("median_sold_ask_eur"), F.col("median_active_ask_eur")), 6))
 
 
@@ -152,9 +153,12 @@ def dom_medians(df: DataFrame, most: float = 365, fast: float = 21) -> DataFrame
     """
     dom = days_on_market()
     rows = df.where(sold() & dom.between(0, most)).withColumn("_dom", dom)
-    agg = lambda g: g.agg(median_of("_dom").alias("dom_median"), F.avg((F.col("_dom") <= fast).cast("int")).alias("dom_fast_share"), F.count("*").alias("n"))
-    own = agg(rows.groupBy(*SEGMENT))
-    return with_fallback(own, agg(rows.groupBy("brand", "model")))
+
+    def agg(*keys: str) -> DataFrame:
+        out = rows.groupBy(*keys).agg(F.avg((F.col("_dom") <= fast).cast("int")).alias("dom_fast_share"), F.count("*").alias("n"))
+        return with_medians(out, rows, list(keys), {"dom_median": "_dom"})
+
+    return with_fallback(agg(*SEGMENT), agg("brand", "model"))
 
 
 def with_fallback(own: DataFrame, wide: DataFrame) -> DataFrame:
@@ -168,8 +172,12 @@ def calibration_residuals(df: DataFrame, own_rows: int = 3, wide_rows: int = 5)
     """Median residual % of sold rows with a positive prediction, by segment with fallback rows."""
     rows = df.where(sold() & (F.col("predicted_price") > 0) & (F.col("price_eur") > 0))
     rows = rows.withColumn("_r", (F.col("price_eur") - F.col("predicted_price")) / F.col("predicted_price") * 100)
-    agg = lambda g, n: g.agg(median_of("_r").alias("calibration_resid_pct"), F.count("*").alias("n")).where(F.col("n") >= n)
-    return with_fallback(agg(rows.groupBy(*SEGMENT), own_rows), agg(rows.groupBy("brand", "model"), wide_rows))
+
+    def agg(least: int, *keys: str) -> DataFrame:
+        out = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return with_medians(out, rows, list(keys), {"calibration_resid_pct": "_r"})
+
+    return with_fallback(agg(own_rows, *SEGMENT), agg(wide_rows, "brand", "model"))
 
 
 def segment_trend(snapshots: DataFrame, days: int = 90, listing: str = "listing_id") -> DataFrame:

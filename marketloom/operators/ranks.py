@@ -1,17 +1,26 @@
-"""Exact quantiles of a whole column without bringing it to one task.
+"""Exact quantiles without bringing a column or a group to one task.
 
-An approximate percentile narrows the range in which a rank lies, an exact count says how many rows lie
+Of a whole column: an approximate percentile narrows the range in which a rank lies, an exact count says how many rows lie
 below and in it, and so on until the rows in range are few; only those come to the driver. Each pass
 is one aggregation with partial sums; a pass divides the range by some thousands.
+
+Of groups: rows become counts of distinct values by group, stored once. A group with few distinct values
+takes its quantiles from these counts. The counts of larger groups are range partitioned by group and
+value; prefix sums in each partition and a carry for each partition's first group give every value
+its span of ranks, and the values whose spans hold the ranks asked for are picked.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import checkpointed
+
 #: Values that the driver takes in for all ranks together.
 HELD = 200_000
 _ACCURACY = 10_000
@@ -89,3 +98,81 @@ def quantiles(df: DataFrame, column: str, levels: list[float]) -> list[float | N
 def _between(at: dict[int, float], spot: float) -> float:
     low, high = math.floor(spot), math.ceil(spot)
     return at[low] if low == high else (high - spot) * at[low] + (spot - low) * at[high]
+
+
+#: Distinct values of one group that a task may hold.
+GROUP_VALUES = 1_000_000
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def value_counts(df: DataFrame, keys: list[str], columns: dict[str, Column | str]) -> DataFrame:
+    """``k`` (the keys as a struct), ``m`` (the name of a column), ``v`` (a known value as double) and ``c``, how often; stored."""
+    kind = lambda c: F.col(c) if isinstance(c, str) else c
+    values = F.array(*[F.struct(F.lit(name).alias("m"), kind(c).cast("double").alias("v")) for name, c in columns.items()])
+    rows = df.select(F.struct(*keys).alias("k"), F.explode(values).alias("_x")).select("k", "_x.*").where("v is not null")
+    return checkpointed(rows.groupBy("k", "m", "v").agg(F.count("*").alias("c")), "value-counts")
+
+
+def _spans(counts: DataFrame) -> DataFrame:
+    """Adds ``s`` (rows of the group below the value) and ``n`` (rows of the group) to k, m, v, c; no window holds more than a partition's part of a group."""
+    stored = checkpointed(counts.repartitionByRange("k", "m", "v").withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part", "k", "m")
+    rows = stored.withColumns({"_in": F.coalesce(F.sum("c").over(inside.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_own": F.sum("c").over(inside)})
+    # a group that several partitions share ends one of them and begins the next: at most two short rows for each partition
+    ends = stored.groupBy("_part").agg(F.min_by(F.struct("k", "m"), F.struct("k", "m", "v")).alias("a"), F.max_by(F.struct("k", "m"), F.struct("k", "m", "v")).alias("b"))
+    ends = ends.select("_part", F.explode(F.array_distinct(F.array("a", "b"))).alias("g"))
+    both = ends.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
+    met = stored.groupBy("_part", F.struct("k", "m").alias("g")).agg(F.sum("c").alias("_c")).join(F.broadcast(both), "g", "left_semi")
+    by_group = Window.partitionBy("g")
+    carry = met.select(F.col("_part").alias("_p"), "g", F.coalesce(F.sum("_c").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(by_group).alias("_all"))
+    on = (F.col("_part") == F.col("_p")) & (F.struct("k", "m") == F.col("g"))
+    out = rows.join(F.broadcast(carry), on, "left")
+    return out.select("k", "m", "v", "c", (F.col("_in") + F.coalesce("_before", F.lit(0))).alias("s"), F.coalesce("_all", "_own").alias("n"))
+
+
+def grouped_positions(df: DataFrame, keys: list[str], columns: dict[str, Column | str], position: Callable[[Column], list[Column]], most: int = GROUP_VALUES) -> DataFrame:
+    """``keys, m, n, quantiles``: for each group and named column its number of known values and the values at the positions
+    that ``position(n)`` gives (0-based, fractions between neighbours), whatever the size of a group.
+
+    Null keys are keys. Groups without a known value have no row.
+    """
+    counts = value_counts(df, keys, columns)
+    sizes = counts.groupBy("k", "m").agg(F.count("*").alias("_d")).where(F.col("_d") > most).select(F.col("k").alias("_k"), F.col("m").alias("_m"))
+    hot = checkpointed(sizes, "hot-groups")
+    few = Window.partitionBy("k", "m")
+    spans = lambda c: c.withColumns({"s": F.coalesce(F.sum("c").over(few.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(few)})
+    if hot.isEmpty():
+        rows = spans(counts)
+    else:
+        on = _same("k", "_k") & _same("m", "_m")
+        rows = spans(counts.join(hot, on, "left_anti")).unionByName(_spans(counts.join(hot, on, "left_semi")))
+    asked = position(F.col("n"))
+    holds = lambda r: (F.col("s") <= r) & (r < F.col("s") + F.col("c"))
+    wanted = [(F.floor(p).cast("long"), F.ceil(p).cast("long"), p) for p in asked]
+    met = F.lit(False)
+    for low, high, _ in wanted:
+        met = met | holds(low) | holds(high)
+    ends = {}
+    for i, (low, high, _) in enumerate(wanted):
+        ends |= {f"_l{i}": F.max(F.when(holds(low), F.col("v"))), f"_h{i}": F.max(F.when(holds(high), F.col("v")))}
+    out = rows.where(met).groupBy("k", "m", "n").agg(*[c.alias(x) for x, c in ends.items()])
+    between = lambda i, low, high, p: F.when(low == high, F.col(f"_l{i}")).otherwise((high - p) * F.col(f"_l{i}") + (p - low) * F.col(f"_h{i}"))
+    return out.select("k.*", "m", "n", F.array(*[between(i, *w) for i, w in enumerate(wanted)]).alias("quantiles"))
+
+
+def grouped_quantiles(df: DataFrame, column: str, keys: list[str], levels: list[float], most: int = GROUP_VALUES) -> DataFrame:
+    """``keys, n, quantiles`` of one column, with linear interpolation; null keys are keys."""
+    return grouped_positions(df, keys, {column: column}, lambda n: [F.lit(p) * (n - 1) for p in levels], most).drop("m")
+
+
+def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, Column | str], most: int = GROUP_VALUES) -> DataFrame:
+    """``groups`` (one row for each group of ``df`` by ``keys``) with exact medians of named expressions; null where none is known."""
+    found = grouped_positions(df, keys, columns, lambda n: [F.lit(0.5) * (n - 1)], most)
+    wide = found.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(*[F.max(F.when(F.col("m") == name, F.col("quantiles")[0])).alias(name) for name in columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & _same(k, f"_q_{k}")
+    return groups.join(wide, on, "left").drop(*[f"_q_{k}" for k in keys])

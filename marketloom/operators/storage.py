@@ -1,22 +1,48 @@
-"""Lineage cuts that survive lost executors."""
+"""Tables and paths in the folder that all executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster names in ``spark.checkpoint.dir``.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     On one machine a missing setting is replaced by a temporary folder; on a cluster it is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-marketloom-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="spark-marketloom-")
+        sc.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` as a stored table: lineage is cut, lost executors lose nothing, and readers take only their columns."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as it names it (objects of the JVM)."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    fs, at = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
