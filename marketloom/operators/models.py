@@ -2,7 +2,7 @@
 
 Spark trees know no quantile loss and no monotone constraints. Price bands come from a forest whose
 leaves pool training prices (a quantile regression forest); ``calibration`` widens them, which restores
-the coverage. Contributions are occlusions: the change when a feature is set to its segment's median.
+the coverage. Contributions are in ``explain``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp, md5_share, ratio
 from .evaluation import fold_rare
 from .ranks import quantiles
+from .storage import checkpointed
 
 
 def features(numeric: list[str], categorical: list[str], max_bins: int = 64) -> list:
@@ -64,56 +65,85 @@ def out_of_fold(df: DataFrame, key: str, target: str, numeric: list[str], catego
     return out
 
 
+#: Values that a leaf keeps: all of a smaller leaf, ranks at equal distances of a larger one.
+POINTS = 256
+
+
 @dataclass
 class Forest:
-    """A fitted forest and the quantiles of the training targets in each of its leaves."""
+    """A fitted forest, the training targets of each of its leaves (tree, leaf, points) and the levels of its bands.
+
+    A leaf's points weigh the same; together they stand for the leaf's training rows.
+    """
 
     model: PipelineModel
     pools: DataFrame
+    levels: tuple[float, float] = (0.1, 0.9)
 
 
 def _leaves(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
 
 
-def fit_forest(train: DataFrame, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7) -> Forest:
-    """A forest of log1p of the target whose leaves keep a pair of quantiles for each tree.
+def fit_forest(train: DataFrame, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7, points: int = POINTS) -> Forest:
+    """A forest of log1p of the target whose leaves keep their training targets.
 
-    The quantiles come from sketches with a rank error of 1 in 10,000, as the leaves of a forest of
-    bounded depth are few and hold a large share of the rows each.
+    A leaf of at most ``points`` rows keeps them all. A larger one keeps ``points`` values at the
+    middles of equal shares, from a sketch with a rank error of 1 in 10,000.
     """
     forest = RandomForestRegressor(labelCol="_y", leafCol="leaves", numTrees=trees, maxDepth=6, maxBins=64, minInstancesPerNode=10, seed=seed)
     rows = train.withColumn("_y", F.log1p(target))
     model = Pipeline(stages=[*features(numeric, categorical), forest]).fit(rows)
-    pools = _leaves(model.transform(rows), "_y").groupBy("tree", "leaf").agg(F.percentile_approx("_y", [low, high], 10_000).alias("_p"))
-    return Forest(model, pools.select("tree", "leaf", F.col("_p")[0].alias("_l"), F.col("_p")[1].alias("_h")))
+    met = checkpointed(_leaves(model.transform(rows), "_y"), "leaves")
+    # at most trees * 2 ** depth rows
+    sizes = met.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+    met = met.join(F.broadcast(sizes), ["tree", "leaf"])
+    small = met.where(F.col("n") <= points).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("_y")).alias("points"))
+    large = met.where(F.col("n") > points).groupBy("tree", "leaf").agg(F.percentile_approx("_y", [(k + 0.5) / points for k in range(points)], 10_000).alias("points"))
+    return Forest(model, checkpointed(small.unionByName(large), "pools"), (low, high))
+
+
+def pooled_quantiles(pools: list[np.ndarray], levels: list[float]) -> np.ndarray:
+    """Least values at which the pooled weight reaches each level; a pool's values share its equal part of the weight.
+
+    With the leaves of a row as pools, each training row weighs the mean over trees of 1 / size of the
+    leaf that it shares with the row.
+    """
+    values = np.concatenate(pools)
+    weights = np.concatenate([np.full(len(p), 1 / len(p) / len(pools)) for p in pools])
+    order = np.argsort(values, kind="stable")
+    reached = np.searchsorted(np.cumsum(weights[order]), np.asarray(levels) - 1e-12)
+    return values[order][np.minimum(reached, len(values) - 1)]
 
 
 def forest_bands(forest: Forest, rows: DataFrame, key: str) -> DataFrame:
-    """``key, log_low, log_high``: the leaves' quantiles, averaged over trees."""
-    # at most trees * 2 ** depth rows
-    met = _leaves(forest.model.transform(rows), key).join(F.broadcast(forest.pools), ["tree", "leaf"])
-    return met.groupBy(key).agg(F.avg("_l").alias("log_low"), F.avg("_h").alias("log_high"))
+    """``key, log_low, log_high``: quantiles of the training targets in all leaves of a row, pooled over trees.
+
+    Rows of the same leaves are worked out once for a batch.
+    """
+    # at most trees * 2 ** depth rows of a bounded number of values
+    pools = {(r["tree"], int(r["leaf"])): np.array(r["points"]) for r in forest.pools.collect()}
+    levels = list(forest.levels)
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            leaves, at = np.unique(np.stack(batch["_l"].to_numpy()).astype(np.int64), axis=0, return_inverse=True)
+            found = np.array([pooled_quantiles([pools[x] for x in enumerate(own) if x in pools], levels) for own in leaves.tolist()])
+            out = found[at.reshape(-1)]
+            yield pd.DataFrame({key: batch[key], "log_low": out[:, 0], "log_high": out[:, 1]})
+
+    met = forest.model.transform(rows).select(key, vector_to_array("leaves").alias("_l"))
+    return met.mapInPandas(bands, f"{key} {dict(rows.dtypes)[key]}, log_low double, log_high double")
 
 
 def quantile_forest(train: DataFrame, test: DataFrame, key: str, target: str, numeric: list[str], categorical: list[str], low: float = 0.1, high: float = 0.9, trees: int = 10, seed: int = 7) -> DataFrame:
-    """``key, low, high``: quantiles of the training targets in the leaves that the row falls into, unwidened."""
+    """``key, low, high``: pooled quantiles of the training targets in the leaves that the row falls into, unwidened."""
     bands = forest_bands(fit_forest(train, target, numeric, categorical, low, high, trees, seed), test, key)
     return bands.select(key, F.expm1("log_low").alias("low"), F.expm1("log_high").alias("high"))
 
 
-def occlusion(model: PipelineModel, df: DataFrame, key: str, numeric: list[str]) -> DataFrame:
-    """``key, feature, contribution`` on the log scale: prediction less the one at the feature's median."""
-    medians = {c: quantiles(df, c, [0.5])[0] for c in numeric}
-    base = model.transform(df).select(key, F.col("prediction").alias("_full"))
-    out = None
-    for c in numeric:
-        changed = model.transform(df.withColumn(c, F.lit(float(medians[c])))).select(F.col(key).alias("_k"), F.col("prediction").alias("_without"))
-        part = base.join(changed, F.col(key) == F.col("_k")).select(key, F.lit(c).alias("feature"), (F.col("_full") - F.col("_without")).alias("contribution"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def permutation_importance(model: PipelineModel, df: DataFrame, target: str, groups: dict[str, list[str]], seed: int = 7, slice_rows: int = 50_000) -> DataFrame:
     """``name, importance``: growth of the mean absolute log error when a group's columns are shuffled.
 
