@@ -9,7 +9,7 @@ end at the same byte, the text is cut into groups.
 
 Texts are read as a space and the text, as sentencepiece puts one before each text. A text is also cut
 at single blanks and line feeds between other characters, over which neither tokenizer has a token;
-what lies between is aligned once for a task (``tokens.Memo``). A text with odd white space, or a file
+what lies between is aligned once for a task (``tokens.Memo``), marks at its end apart. A text with odd white space, or a file
 for which that is not proven, is aligned whole.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte (U+2581 becomes
@@ -22,9 +22,9 @@ doc_id and text are read; other columns, whatever their names, are not. Empty in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -55,20 +55,32 @@ class Aligned(NamedTuple):
 
 
 NOTHING = Aligned(0, 0, 0, "", b"")
+#: The same as a plain tuple, of which a memo can hold many without Python's collector walking through them.
+Part = tuple[int, int, int, str, bytes]
+#: Marks that may end a unit after a letter or digit; A begins a token there.
+MARKS = ".,;:!?"
 
 
-def refined(spans: list[tuple[int, int]], clean: list[bool], sizes: list[int]) -> list[int] | None:
-    """Byte ends of tokens with byte ``spans``: coarse cuts where ``clean``, decoded ``sizes`` between them.
+def joined(parts: Iterable[Part]) -> Part:
+    n_a, n_b, n, groups, links = zip(*parts, strict=True)
+    return sum(n_a), sum(n_b), sum(n), ";".join(groups), b"".join(links)
 
-    None if a coarse cut is not where the sizes lead.
+
+def flat_starts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def refined(span_ends: np.ndarray, clean: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Byte ends of the tokens of several texts, counted from each text's begin: coarse cuts where ``clean``, decoded ``sizes`` between them.
+
+    The ends of a text are -1 if a coarse cut of it is not where the sizes lead.
     """
-    ends, at = [], 0
-    for (_, end), known, size in zip(spans, clean, sizes, strict=True):
-        at += size
-        if known and at != end:
-            return None
-        ends.append(at)
-    return ends
+    starts = flat_starts(counts)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = total[1:] - np.repeat(total[starts], counts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    wrong = np.bincount(text[clean & (ends != span_ends)], minlength=len(counts)) > 0
+    return np.where(wrong[text], -1, ends)
 
 
 class Aligner:
@@ -81,78 +93,148 @@ class Aligner:
         whole = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         self.a_bytes = whole | {i: bytes(map(own.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.b_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if byte else p.replace(SPACE, BLANK).encode() for p, byte in zip(pieces, self.b_byte, strict=True)]
-        self.prefix = self.b.piece_to_id(SPACE)
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)))
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        self.prefix, self.feed = self.b.piece_to_id(SPACE), self.b.piece_to_id("<0x0A>")
         # no piece goes on over a blank or a line feed, and the A file splits there
         apart = all("\n" not in p and SPACE not in p.lstrip(SPACE) for p in pieces) and not any(self.b.is_unused(i) for i in range(len(pieces)))
         reader = TextEncoder(a_path)
         self.cuts = apart and reader.pattern is not None and not reader.drops_space
         self.added = [t.content for t in self.a.get_added_tokens_decoder().values() if not t.special]
-        self.units = Memo(self.unit, MEMO // 2)
-
-    def a_tokens(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids and byte ends of ``text`` by A."""
-        found = self.a.encode(text, add_special_tokens=False)
-        ids, offsets = found.ids, found.offsets
-        if text.isascii():
-            spans = offsets
-        else:
-            at = [0, *accumulate(len(c.encode()) for c in text)]
-            spans = [(at[b], at[e]) for b, e in offsets]
-        clean = [k + 1 == len(ids) or offsets[k + 1][0] >= offsets[k][1] for k in range(len(ids))]
-        parts = [self.a_bytes[i] for i in ids]
-        ends = refined(spans, clean, list(map(len, parts)))
-        return (ids, ends) if ends is not None and b"".join(parts) == text.encode() else None
-
-    def b_tokens(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids and byte ends of ``text`` by B, which puts a space before what it gets.
-
-        A text that begins with a space gives that one; of another the prefix is left out.
-        """
-        own = text[0] == BLANK
-        pieces = self.b.encode(text[1:] if own else text, return_type="proto").pieces
-        ids, spans = [p.id for p in pieces], [(p.begin, p.end) for p in pieces]
-        if own:
-            spans = [(b + 1, e + 1) for b, e in spans]
-        elif ids[0] == self.prefix:
-            ids, spans = ids[1:], spans[1:]
-        else:
-            return None
-        clean = [e > b or not self.b_byte[i] for i, (b, e) in zip(ids, spans, strict=True)]
-        parts = [self.b_bytes[i] for i in ids]
-        ends = refined(spans, clean, list(map(len, parts)))
-        return (ids, ends) if ends is not None and b"".join(parts) == text.encode() else None
-
-    def unit(self, text: str) -> Aligned | None:
-        """A text, or the part between two cuts; None if a tokenizer does not give it back."""
-        a, b = self.a_tokens(text), self.b_tokens(text)
-        if a is None or b is None:
-            return None
-        (a_ids, a_ends), (b_ids, b_ends) = a, b
-        # ends rise, so each common end is one link and ends one group
-        _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        groups, links, p, q = [], [], 0, 0
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a_ids[p : x + 1]))}|{','.join(map(str, b_ids[q : y + 1]))}")
-            links.append(a_ids[x] << SHIFT | b_ids[y])
-            p, q = x + 1, y + 1
-        return Aligned(len(a_ids), len(b_ids), len(groups), ";".join(groups), np.array(links, "<i8").tobytes())
-
-    def align(self, text: str | None) -> Aligned:
-        if not text:
-            return NOTHING
+        # neighbours within pieces: over no other two characters does a piece go
+        self.joined = {x for p in pieces for x in map("".join, zip(p, p[1:], strict=False))}
+        self.fresh: dict[str, Part | None] = {}
+        self.units, self.ends = Memo(self.part, MEMO), Memo(self.unit, MEMO // 10)
+
+    def a_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and byte ends of all texts by A, one after another, and the number of each text's tokens."""
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.int64)
+        spans = np.array(list(chain.from_iterable(x.offsets for x in found)), np.int64).reshape(-1, 2)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(counts)[counts > 0] - 1] = True
+        clean = last | np.append(spans[1:, 0] >= spans[:-1, 1], True)[: len(ids)]
+        begins = flat_starts(counts)
+        for k, text in enumerate(texts):
+            if not text.isascii():
+                at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+                own = slice(begins[k], begins[k] + counts[k])
+                spans[own] = at[spans[own]]
+        return ids, refined(spans[:, 1], clean, self.a_sizes[ids], counts), counts
+
+    def b_text(self, text: str) -> str:
+        """What B gets for ``text``: B puts a space before it, which is the text's own first one, or else stays apart from it by a line feed."""
+        return text[1:] if text[0] == BLANK else text if text[0] == "\n" else "\n" + text
+
+    def b_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and byte ends of all texts by B, one after another, and the number of each text's tokens."""
+        found = self.b.encode(list(map(self.b_text, texts)), return_type="proto", num_threads=1)
+        rows: list[tuple[int, int, int]] = []
+        counts = []
+        for text, x in zip(texts, found, strict=True):
+            own = [(p.id, p.begin, p.end) for p in x.pieces]
+            if text[0] == BLANK:
+                rows += [(i, b + 1, e + 1) for i, b, e in own]
+            else:
+                skip = 1 if text[0] == "\n" else 2
+                # a prefix that is not apart leaves a piece that no text gives back
+                own = [(i, b - skip + 1, e - skip + 1) for i, b, e in own[skip:]] if [i for i, _, _ in own[:skip]] == [self.prefix, self.feed][:skip] else [(self.prefix, 0, 0)]
+                rows += own
+            counts.append(len(own))
+        flat = np.array(rows, np.int64).reshape(-1, 3)
+        counts = np.array(counts, np.int64)
+        clean = (flat[:, 2] > flat[:, 1]) | ~self.b_byte[flat[:, 0]]
+        return flat[:, 0], refined(flat[:, 2], clean, self.b_sizes[flat[:, 0]], counts), counts
+
+    def whole(self, texts: list[str]) -> list[Part | None]:
+        """Texts, or parts between cuts, by one call of each library; None for what a tokenizer does not give back."""
+        if not texts:
+            return []
+        data = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        (a_ids, a_ends, a_counts), (b_ids, b_ends, b_counts) = self.a_tokens(texts), self.b_tokens(texts)
+        back = np.ones(len(texts), bool)
+        for ids, ends, counts, parts in ((a_ids, a_ends, a_counts, self.a_bytes), (b_ids, b_ends, b_counts, self.b_bytes)):
+            last = np.cumsum(counts)
+            own = (counts > 0) & (ends[np.maximum(last, 1) - 1] == sizes)
+            back &= own
+            given = list(map(parts.__getitem__, ids.tolist()))
+            if not own.all() or b"".join(given) != b"".join(data):
+                for k, (begin, end) in enumerate(zip((last - counts).tolist(), last.tolist(), strict=True)):
+                    back[k] &= b"".join(given[begin:end]) == data[k]
+        # places in all texts, each a byte further apart than it is long; common ones are links
+        shift = np.cumsum(sizes + 1) - sizes
+        a_at, b_at = a_ends + np.repeat(shift, a_counts), b_ends + np.repeat(shift, b_counts)
+        a_text, b_text = np.repeat(np.arange(len(texts)), a_counts), np.repeat(np.arange(len(texts)), b_counts)
+        a_use, b_use = np.flatnonzero(back[a_text]), np.flatnonzero(back[b_text])
+        _, i, j = np.intersect1d(a_at[a_use], b_at[b_use], assume_unique=True, return_indices=True)
+        i, j = a_use[i], b_use[j]
+        links = a_ids[i] << SHIFT | b_ids[j]
+        of = a_text[i]
+        first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+        previous = lambda x, begins: np.where(first, begins[of], np.concatenate([[0], x[:-1] + 1])) if len(x) else x
+        x, y = previous(i, flat_starts(a_counts)), previous(j, flat_starts(b_counts))
+        a_name, b_name = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        groups = [
+            f"{a_name[p] if p == q else ','.join(a_name[p : q + 1])}|{b_name[r] if r == s else ','.join(b_name[r : s + 1])}"
+            for p, q, r, s in zip(x.tolist(), i.tolist(), y.tolist(), j.tolist(), strict=True)
+        ]
+        n = np.bincount(of, minlength=len(texts))
+        begins, raw = flat_starts(n).tolist(), links.tobytes()
+        return [
+            (na, nb, c, ";".join(groups[g : g + c]), raw[8 * g : 8 * (g + c)]) if ok else None
+            for ok, na, nb, c, g in zip(back.tolist(), a_counts.tolist(), b_counts.tolist(), n.tolist(), begins, strict=True)
+        ]
+
+    def unit(self, text: str) -> Part | None:
+        return self.fresh.pop(text) if text in self.fresh else self.whole([text])[0]
+
+    def stem(self, text: str) -> int:
+        """Where the marks at a unit's end begin, if no piece of B goes over from what is before them; else 0."""
+        if text[-1] not in MARKS:
+            return 0
+        k = len(text.rstrip(MARKS))
+        return k if k and text[k - 1].isalnum() and text[k - 1 : k + 1] not in self.joined else 0
+
+    def part(self, text: str) -> Part | None:
+        """A unit, its stem and the marks at its end apart."""
+        if k := self.stem(text):
+            both = self.units[text[:k]], self.ends[text[k:]]
+            return None if None in both else joined(both)
+        return self.unit(text)
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Align what is not known of ``units`` in one go, for the look-ups that follow."""
+        known, old = self.units, self.units.old
+        new = [u for u in dict.fromkeys(units) if u not in known and u not in old]
+        stems = [s for s in dict.fromkeys(u[: self.stem(u) or None] for u in new) if s not in known and s not in old]
+        self.fresh = dict(zip(stems, self.whole(stems), strict=True))
+
+    def units_of(self, text: str) -> list[str]:
+        """The parts of a space and ``text`` between cuts; none where cuts are not proven."""
+        if not self.cuts or _ODD.search(text) or any(x in text for x in self.added):
+            return []
         line = BLANK + text
-        if self.cuts and not _ODD.search(text) and not any(x in text for x in self.added):
-            if " ".join(text.split()) == text.replace("\n", " "):
-                units = line.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:]
+        if " ".join(text.split()) == text.replace("\n", " "):
+            return line.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")[1:]
+        return _CUT.split(line)
+
+    def align(self, texts: list[str | None]) -> list[Aligned]:
+        """All texts; what they have in common is aligned once."""
+        units = [self.units_of(t) if t else [] for t in texts]
+        self.learn(chain.from_iterable(units))
+        out = []
+        for text, own in zip(texts, units, strict=True):
+            found = list(map(self.units.__getitem__, own))
+            if found and None not in found:
+                out.append(Aligned(*joined(found)))
             else:
-                units = _CUT.split(line)
-            found = list(map(self.units.__getitem__, units))
-            if None not in found:
-                n_a, n_b, n, groups, links = zip(*found, strict=True)
-                return Aligned(sum(n_a), sum(n_b), sum(n), ";".join(groups), b"".join(links))
-        return self.unit(line) or NOTHING
+                out.append(Aligned(*(self.whole([BLANK + text])[0] or NOTHING)) if text else NOTHING)
+        return out
 
 
 @cache
@@ -162,8 +244,8 @@ def _loaded(a_path: str, b_path: str) -> Aligner:
 
 
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
-#: Bytes of results in one batch.
-FLUSH = 1 << 23
+#: Documents aligned together, and bytes of results in one batch.
+TOGETHER, FLUSH = 64, 1 << 23
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -181,17 +263,19 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    found = own.align(text.as_py())
-                    pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
-                    rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
-                    size += len(found.groups) + 16 * len(pairs)
-                    if size >= FLUSH:
-                        yield flush()
+                for i in range(0, batch.num_rows, TOGETHER):
+                    some = batch.slice(i, TOGETHER)
+                    for doc_id, found in zip(some.column(0).to_pylist(), own.align(some.column(1).to_pylist()), strict=True):
+                        pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
+                        rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
+                        size += len(found.groups) + 16 * len(pairs)
+                        if size >= FLUSH:
+                            yield flush()
             if rows:
                 yield flush()
         finally:
             own.units.forget()
+            own.ends.forget()
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
