@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import at, ratio
 from ..functions.text import fixed_mileage
+from .storage import checkpointed
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], as_of: str, posted: str = "posted_at") -> DataFrame:
@@ -191,7 +192,9 @@ def cross_source_pairs(df: DataFrame, a: str = "olx", b: str = "sv", tolerance:
     near = km.between(1 - tolerance, 1 + tolerance) & F.coalesce(price.between(1 - tolerance, 1 + tolerance), F.lit(True))
     pairs = left.join(right, on).where(near)
     first = F.coalesce(F.col("_a_last_seen_at") >= F.col("_b_last_seen_at"), F.col("_b_last_seen_at").isNull())
-    return pairs.select(F.xxhash64(*[f"_a_{c}" for c in BLOCK]).alias("block"), F.col(f"_a_{key}").alias("a_id"), F.col(f"_b_{key}").alias("b_id"), F.when(first, F.col(f"_a_{key}")).otherwise(F.col(f"_b_{key}")).alias("canonical"))
+    # cells of the b side: its mileage and price bands within the block
+    block, step = F.xxhash64(*[f"_a_{c}" for c in BLOCK]), lambda c: F.floor(F.log(F.nullif(F.col(c).cast("double"), F.lit(0.0))) / F.log(width))
+    return pairs.select(block.alias("block"), F.xxhash64(block, step("_b_mileage_km"), step("_b_price_eur")).alias("cell"), F.col(f"_a_{key}").alias("a_id"), F.col(f"_b_{key}").alias("b_id"), F.when(first, F.col(f"_a_{key}")).otherwise(F.col(f"_b_{key}")).alias("canonical"))
 
 
 def first_free(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,6 +223,53 @@ def match_in_blocks(pairs: DataFrame, block: str = "block") -> DataFrame:
     return rows.mapInPandas(first_free, "a_id string, b_id string")
 
 
+def _first_open(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks batches of ``slice, b, a, takes, bar`` in order of the first three; a slice may go on in the next batch."""
+    at, taken, done = None, set(), None
+    for batch in batches:
+        out = []
+        for part, b, a, takes, bar in zip(batch["slice"], batch["b"], batch["a"], batch["takes"], batch["bar"], strict=True):
+            if part != at:
+                at, taken, done = part, set(), None
+            if b != done and a not in taken and (bar is None or bar >= b):
+                if takes:
+                    taken.add(a)
+                done = b
+                out.append((part, b, a, takes))
+        yield pd.DataFrame(out, columns=["slice", "b", "a", "takes"])
+
+
+def first_come_matches(pairs: DataFrame, takes: Column | None = None, cell: str = "cell", slice_pairs: int = 500_000) -> DataFrame:
+    """First come, first served over all ``pairs`` (a_id, b_id, cell): in order of b_id, every b takes its least a that is still there.
+
+    A match uses up its a where ``takes`` holds (everywhere by default). What a b gets depends on smaller
+    b only. So the b of a cell, or of a slice of a large cell, are served inside one task, which holds
+    just the a used up there, while what other slices use up is the state of the round before, joined
+    by a. Rounds end when none changes the state; then it is what one walk over all pairs would give.
+    Cells may be any grouping of the b (each b has one); those that share few a with others need few rounds.
+    """
+    rows = pairs.select(cell, F.col("b_id").alias("b"), F.col("a_id").alias("a"), (F.lit(True) if takes is None else takes).alias("takes")).distinct()
+    sizes = rows.groupBy(F.col(cell).alias("_cell")).agg(F.ceil(F.count("*") / slice_pairs).alias("_n"))
+    rows = rows.join(sizes, F.col(cell) == F.col("_cell")).select(F.xxhash64(cell, F.pmod(F.xxhash64("b"), F.col("_n"))).alias("slice"), "b", "a", "takes")
+    rows = checkpointed(rows, "pairs")
+    state, seen = None, None
+    while True:
+        if state is None:
+            open_ = rows.withColumn("bar", F.lit(None).cast(rows.schema["b"].dataType))
+        else:
+            used = state.where("takes").groupBy("a", "slice").agg(F.min("b").alias("b")).groupBy(F.col("a").alias("_a")).agg(F.collect_list(F.struct("slice", "b")).alias("_used"))
+            others = F.filter("_used", lambda x: x["slice"] != F.col("slice"))
+            bar = F.array_min(F.transform(others, lambda x: x["b"]))
+            open_ = rows.join(used, F.col("a") == F.col("_a"), "left").select(*rows.columns, bar.alias("bar"))
+        order = ["slice", "b", "a"]
+        schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+        state = checkpointed(open_.repartition("slice").sortWithinPartitions(*order).mapInPandas(_first_open, schema), "matches")
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            return state.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+        seen = now
+
+
 def same_source_duplicates(df: DataFrame, tolerance: float = 0.01, key: str = "olx_id") -> DataFrame:
     """``key, duplicate_of``: later rows of a block with the same source and mileage, priced alike.
 
@@ -234,12 +284,14 @@ def same_source_duplicates(df: DataFrame, tolerance: float = 0.01, key: str = "o
 def merge_into_canonical(df: DataFrame, pairs: DataFrame, columns: list[str], key: str = "olx_id") -> DataFrame:
     """Empty fields of canonical rows are filled from their duplicates, the least id first.
 
-    ``pairs``: canonical, duplicate.
+    ``pairs``: canonical, duplicate. Null and empty text are empty, on either side.
     """
-    d = df.select(F.col(key).alias("_d"), *[F.col(c).alias(f"_f_{c}") for c in columns]).join(pairs, F.col("_d") == F.col("duplicate"))
+    text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+    full = lambda c: F.nullif(F.col(c), F.lit("")) if c in text else F.col(c)
+    d = df.select(F.col(key).alias("_d"), *[full(c).alias(f"_f_{c}") for c in columns]).join(pairs, F.col("_d") == F.col("duplicate"))
     fill = d.groupBy("canonical").agg(*[F.min_by(f"_f_{c}", F.when(F.col(f"_f_{c}").isNotNull(), F.col("duplicate"))).alias(f"_f_{c}") for c in columns])
     out = df.join(fill, F.col(key) == F.col("canonical"), "left")
-    return out.withColumns({c: F.coalesce(c, f"_f_{c}") for c in columns}).drop("canonical", *[f"_f_{c}" for c in columns])
+    return out.withColumns({c: F.coalesce(full(c), F.col(f"_f_{c}"), F.col(c)) for c in columns}).drop("canonical", *[f"_f_{c}" for c in columns])
 
 
 def page_saturation(log: DataFrame, share: float = 0.95, run: int = 3) -> DataFrame:

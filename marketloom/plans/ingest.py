@@ -245,8 +245,32 @@ def _(t: Tables) -> DataFrame:
     return b.cross_source_pairs(t.listings).groupBy("b_id").agg(F.count("*").alias("n"))
 
 
-@query("b19_greedy_matches")
+@query(
+    "b19_greedy_matches",
+    f"""WITH RECURSIVE {PAIRS_SQL}, o AS (SELECT s.brand, s.model, s.year, s.district, b_id, list({{'a': a_id, 't': canonical = b_id}} ORDER BY a_id) AS c,
+      row_number() OVER (PARTITION BY s.brand, s.model, s.year, s.district ORDER BY b_id) AS k FROM pairs JOIN blocked s ON s.olx_id = b_id GROUP BY 1, 2, 3, 4, 5),
+    walk AS (SELECT DISTINCT brand, model, year, district, 0::BIGINT AS k, NULL::VARCHAR AS b_id, NULL::STRUCT(a VARCHAR, t BOOLEAN) AS pick, []::VARCHAR[] AS used FROM o
+      UNION ALL SELECT o.brand, o.model, o.year, o.district, o.k, o.b_id, list_filter(c, lambda x: NOT list_contains(used, x.a))[1],
+        CASE WHEN (list_filter(c, lambda x: NOT list_contains(used, x.a))[1]).t THEN list_append(used, (list_filter(c, lambda x: NOT list_contains(used, x.a))[1]).a) ELSE used END
+      FROM walk w JOIN o ON o.brand = w.brand AND o.model = w.model AND o.year = w.year AND o.district = w.district AND o.k = w.k + 1)
+    SELECT pick.a AS a_id, b_id FROM walk WHERE pick IS NOT NULL""",
+)
+def _(t: Tables) -> DataFrame:
+    """A later match may have the same OLX row again, unless that row became the duplicate."""
+    return b.first_come_matches(b.cross_source_pairs(t.listings), takes=F.col("canonical") == F.col("b_id"))
+
+
+@query(
+    "b19_matches_of_one_use",
+    f"""WITH RECURSIVE {PAIRS_SQL}, o AS (SELECT s.brand, s.model, s.year, s.district, b_id, list(a_id ORDER BY a_id) AS c,
+      row_number() OVER (PARTITION BY s.brand, s.model, s.year, s.district ORDER BY b_id) AS k FROM pairs JOIN blocked s ON s.olx_id = b_id GROUP BY 1, 2, 3, 4, 5),
+    walk AS (SELECT DISTINCT brand, model, year, district, 0::BIGINT AS k, NULL::VARCHAR AS b_id, NULL::VARCHAR AS a, []::VARCHAR[] AS used FROM o
+      UNION ALL SELECT o.brand, o.model, o.year, o.district, o.k, o.b_id, list_filter(c, lambda x: NOT list_contains(used, x))[1], list_append(used, list_filter(c, lambda x: NOT list_contains(used, x))[1])
+      FROM walk w JOIN o ON o.brand = w.brand AND o.model = w.model AND o.year = w.year AND o.district = w.district AND o.k = w.k + 1)
+    SELECT a AS a_id, b_id FROM walk WHERE a IS NOT NULL""",
+)
 def _(t: Tables) -> DataFrame:
+    """The matching in which every row is used once, by one walk through each block."""
     return b.match_in_blocks(b.cross_source_pairs(t.listings))
 
 
@@ -262,14 +286,17 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "b21_merge_canonical",
-    f"""WITH {STOCK_SQL}, p AS (SELECT olx_id - olx_id % 3 AS canonical, olx_id AS duplicate FROM stock WHERE olx_id % 3 <> 0),
-    f AS (SELECT canonical, arg_min(brand, duplicate) FILTER (brand IS NOT NULL) AS b FROM p JOIN stock s ON s.olx_id = p.duplicate GROUP BY 1)
-    SELECT olx_id, coalesce(brand, b) AS brand FROM stock LEFT JOIN f ON olx_id = canonical""",
+    f"""WITH {STOCK_SQL}, s AS (SELECT olx_id, CASE WHEN olx_id % 9 = 3 THEN '' WHEN olx_id % 9 = 4 THEN NULL ELSE coalesce(brand, '') END AS brand, CASE WHEN olx_id % 4 > 0 THEN price_eur END AS price_eur FROM stock),
+    p AS (SELECT olx_id - olx_id % 3 AS canonical, olx_id AS duplicate FROM s WHERE olx_id % 3 <> 0),
+    f AS (SELECT canonical, arg_min(brand, duplicate) FILTER (brand <> '') AS b, arg_min(price_eur, duplicate) FILTER (price_eur IS NOT NULL) AS p FROM p JOIN s ON s.olx_id = p.duplicate GROUP BY 1)
+    SELECT olx_id, CASE WHEN brand IS NULL OR brand = '' THEN coalesce(b, brand) ELSE brand END AS brand, coalesce(price_eur, p) AS price_eur FROM s LEFT JOIN f ON olx_id = canonical""",
 )
 def _(t: Tables) -> DataFrame:
     k = F.col("olx_id")
-    pairs = stock(t).where(k % 3 != 0).select((k - k % 3).alias("canonical"), k.alias("duplicate"))
-    return b.merge_into_canonical(stock(t), pairs, ["brand"]).select("olx_id", "brand")
+    brand = F.when(k % 9 == 3, "").when(k % 9 == 4, None).otherwise(F.coalesce("brand", F.lit("")))
+    rows = stock(t).select("olx_id", brand.alias("brand"), F.when(k % 4 > 0, F.col("price_eur")).alias("price_eur"))
+    pairs = rows.where(k % 3 != 0).select((k - k % 3).alias("canonical"), k.alias("duplicate"))
+    return b.merge_into_canonical(rows, pairs, ["brand", "price_eur"])
 
 
 @query("b22_duplicate_ids", "SELECT DISTINCT olx_id FROM listings WHERE duplicate_of IS NOT NULL")
