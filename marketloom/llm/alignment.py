@@ -9,7 +9,7 @@ end at the same byte, the text is cut into groups.
 
 Texts are read as a space and the text, as sentencepiece puts one before each text. A text is also cut
 at single blanks and line feeds between other characters, over which neither tokenizer has a token;
-what lies between is aligned once for a task (``tokens.Memo``), marks at its end apart. A text with odd white space, or a file
+what lies between is aligned once for a task (two generations of ``tokens.MEMO`` parts are kept), marks at its end apart. A text with odd white space, or a file
 for which that is not proven, is aligned whole.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte (U+2581 becomes
@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import Scratch
-from .tokens import _ODD, MEMO, Memo, TextEncoder, byte_characters
+from .tokens import _ODD, LONGEST, MEMO, TextEncoder, byte_characters
 
 SPACE, BLANK = "▁", " "
 #: A pair of ids in one number.
 SHIFT = 32
-#: A cut of a text whose white space is not single: before a single blank or line feed between other characters.
+#: One pre-token of A. A cut of a text whose white space is not single: before a single blank or line feed between other characters.
+_WORD = re.compile(" ?[A-Za-z]+")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -101,30 +102,43 @@ class Aligner:
         self.prefix, self.feed = self.b.piece_to_id(SPACE), self.b.piece_to_id("<0x0A>")
         # no piece goes on over a blank or a line feed, and the A file splits there
         apart = all("\n" not in p and SPACE not in p.lstrip(SPACE) for p in pieces) and not any(self.b.is_unused(i) for i in range(len(pieces)))
-        reader = TextEncoder(a_path)
-        self.cuts = apart and reader.pattern is not None and not reader.drops_space
+        self.reader = TextEncoder(a_path)
+        self.cuts = apart and self.reader.pattern is not None and not self.reader.drops_space
         self.added = [t.content for t in self.a.get_added_tokens_decoder().values() if not t.special]
         # neighbours within pieces: over no other two characters does a piece go
         self.joined = {x for p in pieces for x in map("".join, zip(p, p[1:], strict=False))}
-        self.fresh: dict[str, Part | None] = {}
-        self.units, self.ends = Memo(self.part, MEMO), Memo(self.unit, MEMO // 10)
+        # units of the newest two generations
+        self.now: dict[str, Part | None] = {}
+        self.old: dict[str, Part | None] = {}
 
     def a_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and byte ends of all texts by A, one after another, and the number of each text's tokens."""
-        found = self.a.encode_batch(texts, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.int64)
-        spans = np.array(list(chain.from_iterable(x.offsets for x in found)), np.int64).reshape(-1, 2)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        last = np.zeros(len(ids), bool)
-        last[np.cumsum(counts)[counts > 0] - 1] = True
-        clean = last | np.append(spans[1:, 0] >= spans[:-1, 1], True)[: len(ids)]
-        begins = flat_starts(counts)
-        for k, text in enumerate(texts):
+        """Ids and byte ends of all texts by A, one after another, and the number of each text's tokens.
+
+        A text of ASCII letters that is one pre-token goes to the library's model, whose offsets are of
+        the bytes of what it reads, a leading blank being two; any other to the whole library, whose
+        offsets are of characters.
+        """
+        found: list[tuple[list[int], list[int], list[bool]] | None] = []
+        for text in texts:
+            if self.cuts and _WORD.fullmatch(text):
+                tokens, blank = self.reader.model.tokenize(self.reader.mapped(text)), text[0] == BLANK
+                found.append(([t.id for t in tokens], [t.offsets[1] - blank for t in tokens], [True] * len(tokens)))
+            else:
+                found.append(None)
+        places = [k for k, f in enumerate(found) if f is None][::-1]
+        rest = [texts[k] for k in reversed(places)]
+        for f, text in zip(self.a.encode_batch(rest, add_special_tokens=False), rest, strict=True):
+            offsets = f.offsets
+            ends = [e for _, e in offsets]
+            clean = [x[0] >= y[1] for x, y in zip(offsets[1:], offsets, strict=False)] + [True] * bool(offsets)
             if not text.isascii():
-                at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-                own = slice(begins[k], begins[k] + counts[k])
-                spans[own] = at[spans[own]]
-        return ids, refined(spans[:, 1], clean, self.a_sizes[ids], counts), counts
+                points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+                ends = at[ends].tolist()
+            found[places.pop()] = (f.ids, ends, clean)
+        counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
+        ids, ends, clean = (np.fromiter(chain.from_iterable(f[k] for f in found), kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+        return ids, refined(ends, clean, self.a_sizes[ids], counts), counts
 
     def b_text(self, text: str) -> str:
         """What B gets for ``text``: B puts a space before it, which is the text's own first one, or else stays apart from it by a line feed."""
@@ -190,9 +204,6 @@ class Aligner:
             for ok, na, nb, c, g in zip(back.tolist(), a_counts.tolist(), b_counts.tolist(), n.tolist(), begins, strict=True)
         ]
 
-    def unit(self, text: str) -> Part | None:
-        return self.fresh.pop(text) if text in self.fresh else self.whole([text])[0]
-
     def stem(self, text: str) -> int:
         """Where the marks at a unit's end begin, if no piece of B goes over from what is before them; else 0."""
         if text[-1] not in MARKS:
@@ -200,19 +211,38 @@ class Aligner:
         k = len(text.rstrip(MARKS))
         return k if k and text[k - 1].isalnum() and text[k - 1 : k + 1] not in self.joined else 0
 
-    def part(self, text: str) -> Part | None:
-        """A unit, its stem and the marks at its end apart."""
-        if k := self.stem(text):
-            both = self.units[text[:k]], self.ends[text[k:]]
-            return None if None in both else joined(both)
-        return self.unit(text)
+    def look_up(self, units: Iterable[str], stems: bool = True) -> dict[str, Part | None]:
+        """Alignments of distinct units; new ones are aligned in one go, their stems and the marks at their ends apart."""
+        now, old = self.now, self.old
+        out: dict[str, Part | None] = {}
+        new = []
+        for u in units:
+            found = now.get(u, NOTHING)
+            if found is NOTHING:
+                found = old.get(u, NOTHING)
+                if found is NOTHING:
+                    new.append(u)
+                    continue
+                now[u] = found
+            out[u] = found
+        if not new:
+            return out
+        if stems:
+            cuts = {u: k for u in new if (k := self.stem(u))}
+            parts = self.look_up(dict.fromkeys([u for u in new if u not in cuts] + [x for u, k in cuts.items() for x in (u[:k], u[k:])]), False)
+            for u in new:
+                both = [parts[x] for x in ((u[: cuts[u]], u[cuts[u] :]) if u in cuts else (u,))]
+                out[u] = None if None in both else joined(both) if u in cuts else both[0]
+            new = cuts
+        else:
+            out |= zip(new, self.whole(new), strict=True)
+        if len(now) >= MEMO:
+            self.old, self.now = now, {}
+        self.now |= {u: out[u] for u in new if len(u) <= LONGEST}
+        return out
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Align what is not known of ``units`` in one go, for the look-ups that follow."""
-        known, old = self.units, self.units.old
-        new = [u for u in dict.fromkeys(units) if u not in known and u not in old]
-        stems = [s for s in dict.fromkeys(u[: self.stem(u) or None] for u in new) if s not in known and s not in old]
-        self.fresh = dict(zip(stems, self.whole(stems), strict=True))
+    def forget(self) -> None:
+        self.now, self.old = {}, {}
 
     def units_of(self, text: str) -> list[str]:
         """The parts of a space and ``text`` between cuts; none where cuts are not proven."""
@@ -226,10 +256,10 @@ class Aligner:
     def align(self, texts: list[str | None]) -> list[Aligned]:
         """All texts; what they have in common is aligned once."""
         units = [self.units_of(t) if t else [] for t in texts]
-        self.learn(chain.from_iterable(units))
+        parts = self.look_up(dict.fromkeys(chain.from_iterable(units)))
         out = []
         for text, own in zip(texts, units, strict=True):
-            found = list(map(self.units.__getitem__, own))
+            found = list(map(parts.__getitem__, own))
             if found and None not in found:
                 out.append(Aligned(*joined(found)))
             else:
@@ -274,8 +304,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             if rows:
                 yield flush()
         finally:
-            own.units.forget()
-            own.ends.forget()
+            own.forget()
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)

@@ -97,12 +97,14 @@ class TextEncoder:
     def by_library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def by_model(self, pre_token: str) -> bytes:
+    def mapped(self, pre_token: str) -> str:
+        """A character for each byte, as the model reads a pre-token."""
         if pre_token.isascii() and pre_token.isprintable():
-            mapped = pre_token.replace(" ", self.blank)
-        else:
-            mapped = pre_token.encode().decode("latin-1").translate(self.to_char)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            return pre_token.replace(" ", self.blank)
+        return pre_token.encode().decode("latin-1").translate(self.to_char)
+
+    def by_model(self, pre_token: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(self.mapped(pre_token))]).tobytes()
 
     def by_pattern(self, text: str) -> bytes:
         """The ids of a text of Latin letters. Their composed forms are normal, so lower case is all that a normaliser changes."""
