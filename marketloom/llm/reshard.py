@@ -2,14 +2,15 @@
 
 Documents lie in old shards. From the old shards' bytes and the new shards' capacities a
 transportation problem is solved: a byte that stays costs nothing, a byte that moves to another
-shard costs one, so the flow moves the fewest bytes. In each old shard documents are ordered (long
-ones first, equal texts side by side); the flow cuts this order into blocks, one for each new shard.
-A block begins at a document's key, so a row finds its shard from its own columns and the few cuts;
-then the files of shards that change are rewritten.
-
-Null texts count no bytes of text; every document has one byte more than its text. Rows that repeat
-a document lie together. Rows with a null doc_id come before others of their text. A very long document
-is never cut, so a shard may miss its size by one document. Only doc_id and text are read, whatever
+shard costs one, so the flow moves the fewest bytes. In each old shard groups of equal texts are
+ordered (long texts first); the flow cuts this order into blocks, one for each new shard. A block
+begins at a group's key, so a row finds its shard from its own columns and the few cuts; then the
+files of shards that change are rewritten.
+
+Null texts count no bytes of text; every document has one byte more than its text. Equal texts lie
+together (null with empty), whatever their doc_ids (null and repeated ones too), so a shard may miss its size by one
+group. A group that no shard has room for is cut by the hash of the doc_id; rows of one doc_id and text then
+still lie together. A very long document is never cut. Only doc_id and text are read, whatever
 other columns are named. Empty input gives no rows.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .shared import ranked, scratch_path
 
-KEY = ("old_shard", "_order", "_hash", "doc_id")
+KEY = ("old_shard", "_order", "_hash", "_sub")
+#: Parts of a group that is larger than the smallest shard, in shares of that shard.
+PARTS = 16
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -67,11 +70,15 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
 
 @dataclass
 class Transfers:
-    """``flow[i][j]`` bytes go from old shard i to new shard j; ``cuts[i]``: (first key, new shard)."""
+    """``flow[i][j]`` bytes go from old shard i to new shard j; ``cuts[i]``: (first key, new shard).
+
+    ``huge``: (order, hash) of groups of equal texts that no shard can hold, and into how many parts each is cut.
+    """
 
     flow: list[list[int]]
     cuts: dict[int, list[tuple[tuple, int]]]
     new_shards: int
+    huge: dict[tuple[int, int], int]
 
     def moved(self) -> int:
         return sum(x for i, row in enumerate(self.flow) for j, x in enumerate(row) if i != j)
@@ -84,22 +91,32 @@ class Transfers:
 def sized(docs: DataFrame, old_shards: int) -> DataFrame:
     """Adds size, old_shard and the order's helper columns to ``doc_id, text``."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    hashed = F.xxhash64("text")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.withColumns({"size": size, "old_shard": F.pmod(hashed, F.lit(old_shards)).cast("int"), "_order": -size, "_hash": hashed})
 
 
 def plan_transfers(docs: DataFrame, old_shards: int, capacities: list[float]) -> Transfers:
-    """``docs`` holds doc_id, size, old_shard and order columns; ``capacities`` are relative sizes."""
-    at = ranked(docs.select("doc_id", "size", "old_shard", "_order", "_hash"), KEY, {"_before": F.col("size")}, "reshard")
+    """``docs`` holds doc_id, size, old_shard and order columns; ``capacities`` are relative sizes.
+
+    Equal texts are one group, which goes where its middle byte falls. Only a group of more bytes than
+    the smallest shard has room for is cut, by the hash of the doc_id.
+    """
+    groups = docs.groupBy("old_shard", "_order", "_hash").agg(F.sum("size").alias("size"))
+    total, whole = docs.agg(F.sum("size")).first()[0] or 0, sum(capacities)
+    room = max(1, int(total * min(capacities) / whole))
+    # at most total / room rows
+    found = groups.where(F.col("size") > room).select("_order", "_hash", "size").collect()
+    huge = {(r["_order"], r["_hash"]): -(-r["size"] * PARTS // room) for r in found}
+    cut = docs.select("size", "old_shard", "_order", "_hash", sub_of(huge).alias("_sub")).groupBy(*KEY).agg(F.sum("size").alias("size"))
+    at = ranked(cut, KEY, {"_before": F.col("size")}, "reshard")
     # a row for each old shard
     found = {r["old_shard"]: (r["bytes"], r["first"]) for r in at.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.min("_before").alias("first")).collect()}
     sizes = [found.get(i, (0, 0))[0] for i in range(old_shards)]
-    total, whole = sum(sizes), sum(capacities)
     ends = [round(total * sum(capacities[: j + 1]) / whole) for j in range(len(capacities))]
     demand = [e - s for s, e in zip([0, *ends[:-1]], ends, strict=True)]
     cost = [[int(i != j) for j in range(len(demand))] for i in range(old_shards)]
     flow = min_cost_flow(sizes, demand, cost)
-    # blocks in the old shard's order: what stays first; a document belongs where its middle byte falls
+    # blocks in the old shard's order: what stays first; a group belongs where its middle byte falls
     blocks = []
     for i, row in enumerate(flow):
         start = found.get(i, (0, 0))[1]
@@ -117,17 +134,25 @@ def plan_transfers(docs: DataFrame, old_shards: int, capacities: list[float]) ->
     for r in sorted(heads, key=lambda r: r["_block"]):
         i, j, _ = blocks[r["_block"]]
         cuts.setdefault(i, []).append((tuple(r["key"])[1:], j))
-    return Transfers(flow, cuts, len(capacities))
+    return Transfers(flow, cuts, len(capacities), huge)
+
+
+def sub_of(huge: dict[tuple[int, int], int]) -> Column:
+    """The part of its group that a row belongs to: 0 but for groups that no shard can hold."""
+    sub = F.lit(0).cast("long")
+    for (order, hashed), n in huge.items():
+        sub = F.when((F.col("_order") == order) & F.col("_hash").eqNullSafe(F.lit(hashed)), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(sub)
+    return sub
 
 
 def new_shard(transfers: Transfers) -> Column:
     """The shard of a row of ``sized``: the last cut of its old shard that is not above its key."""
     shard = F.lit(None).cast("int")
-    key = F.struct(F.col("_order"), F.col("_hash"), F.col("doc_id"))
+    key = F.struct(F.col("_order"), F.col("_hash"), sub_of(transfers.huge).alias("_sub"))
     for i, cuts in transfers.cuts.items():
         own = F.lit(cuts[0][1])
-        for (order, hashed, doc_id), j in cuts[1:]:
-            head = F.struct(F.lit(order).cast("long").alias("_order"), F.lit(hashed).cast("long").alias("_hash"), F.lit(doc_id).cast("long").alias("doc_id"))
+        for (order, hashed, sub), j in cuts[1:]:
+            head = F.struct(F.lit(order).cast("long").alias("_order"), F.lit(hashed).cast("long").alias("_hash"), F.lit(sub).cast("long").alias("_sub"))
             own = F.when(key >= head, j).otherwise(own)
         shard = F.when(F.col("old_shard") == i, own).otherwise(shard)
     return shard.cast("int")
