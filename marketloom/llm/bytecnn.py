@@ -214,7 +214,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sha
     """Fit on ``doc_id, text`` and ``doc_id, quality``; rows with null ids or labels are left out.
 
     Of several labels of one doc_id the larger counts. The sample holds at most ``2 * sample_docs``
-    documents, whatever the size of the tables.
+    doc_ids and ``4 * sample_docs`` rows, whatever the size of the tables; of repeated ids the rows least by the hash
+    of their text count.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -225,7 +226,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sha
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * sample_docs rows
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    rows = sorted(((r["doc_id"], r["text"], r["quality"]) for r in sample.limit(4 * sample_docs).collect()), key=lambda r: (r[0], r[1]))
+    rows = sorted(((r["doc_id"], r["text"], r["quality"]) for r in sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(4 * sample_docs).collect()), key=lambda r: (r[0], r[1]))
     return fit([t for _, t, _ in rows], np.array([q for _, _, q in rows]), prior, shape)
 
 
