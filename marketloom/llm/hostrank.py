@@ -7,8 +7,8 @@ are sums over walks, discounted by ``damping`` a step, so a host without links k
 value. A host is blocked if its distrust exceeds its trust by ``limit``. Written rules win over the
 graph's verdict.
 
-A blocked host's distrust is divided among its in-links, so of many hosts that link to it each gets
-little. With ``surfer`` distrust is instead the chance that a surfer who follows links of the host
+A blocked host's distrust would be divided among its in-links, so of many hosts that link to it each
+would get little. With ``surfer`` (what the query uses) distrust is instead the chance that a surfer who follows links of the host
 at random, goes on with ``damping`` and stops at pages that a rule judges, stops at a blocked one:
 at most 1, and the same however many other hosts link there.
 

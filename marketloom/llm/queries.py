@@ -95,7 +95,7 @@ URL_RULES = [
 
 def op9_host_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, URL_RULES, surfer=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +174,10 @@ ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, len
 judged AS (SELECT h.*, rule, what FROM hosts h LEFT JOIN ruled USING (page_id)),
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?is)\b(?:href|src)\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1)) AS u FROM judged WHERE host <> ''),
 targets AS (SELECT src, translate(regexp_extract('x:' || regexp_replace(u, '(?i)^https?:', ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM found),
-edges AS (SELECT src, dst, count(*) AS n FROM targets WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
-links AS (SELECT 'trust' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
 seeds AS (SELECT host, avg((coalesce(what, '') = 'allow')::INT) AS trusted, avg((coalesce(what, '') = 'block')::INT) AS blocked FROM judged WHERE host <> '' GROUP BY 1),
+edges AS (SELECT src, dst, count(*) AS n FROM targets WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
+shares AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
+links AS (SELECT 'trust' AS kind, src AS a, dst AS b, share FROM shares UNION ALL SELECT 'distrust', dst, src, share * (1 - trusted - blocked) FROM shares JOIN seeds ON src = host),
 walk AS (SELECT 0 AS step, 'trust' AS kind, host, trusted AS mass FROM seeds UNION ALL SELECT 0, 'distrust', host, blocked FROM seeds
   UNION ALL SELECT step + 1, w.kind, l.b, mass * share * 0.85 FROM walk w JOIN links l ON w.kind = l.kind AND w.host = l.a WHERE step < 20),
 scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS bad FROM walk GROUP BY 1)

@@ -220,10 +220,36 @@ def test_op4_law_and_slots(spark, folder, docs):
         shards[r.shard].append(r)
     assert set(shards) <= set(range(16))
     mean = sum(r.size for r in rows) / 16
+    groups, sizes = collections.defaultdict(set), collections.Counter()
     for own in shards.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
-    # a document is never cut, so a shard may miss its mark by the largest one
-    assert max(sum(r.size for r in own) for own in shards.values()) <= mean + max(r.size for r in rows)
+        for r in own:
+            groups[texts[r.doc_id] or ""].add(r.shard)
+            sizes[texts[r.doc_id] or ""] += r.size
+    # equal texts lie together, so a shard may miss its mark by the largest group that it has room for
+    assert all(len(groups[t]) == 1 for t in sizes if sizes[t] <= mean)
+    assert max(sum(r.size for r in own) for own in shards.values()) <= mean + max(n for n in sizes.values() if n <= mean) + mean / 8 + max(r.size for r in rows)
+
+
+def test_op4_groups_of_equal_texts(spark, tmp_path):
+    # many groups across every cut, null and repeated ids, and one group that no shard has room for
+    rng = random.Random(8)
+    rows = [(rng.choice([None, rng.randrange(2000)]), f"text {k % 60} " * (k % 60 % 7 + 1)) for k in range(1500)]
+    rows += [(5000 + k, "copy " * 12) for k in range(900)] + [(9, None), (None, ""), (9, None), rows[3], rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op4_min_cost_flow"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    where, size = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+        size[r.shard] += r["size"]
+    bytes_of = collections.Counter()
+    for _, t in rows:
+        bytes_of[zlib.crc32((t or "").encode())] += len((t or "").encode()) + 1
+    mean = sum(bytes_of.values()) / 16
+    assert bytes_of[zlib.crc32(b"copy " * 12)] > 2 * mean and len(where[zlib.crc32(b"copy " * 12)]) > 2
+    assert all(len(where[c]) == 1 for c, n in bytes_of.items() if n <= mean)
+    assert max(size.values()) <= mean + max(n for n in bytes_of.values() if n <= mean) + mean / 8 and len(size) == 16
 
 
 def test_op4_moves_the_fewest_bytes(spark, docs):
@@ -338,7 +364,9 @@ def test_op9_rules(spark, folder):
 def test_op9_query_with_links_between_hosts(spark, tmp_path):
     # blocked hosts with one linker each, a chain to them, and hosts that an allowed host vouches for
     html = {"one.net": ["bad.org"], "far.net": ["one.net"], "vouched.net": ["worse.org"], "good.example.com": ["vouched.net"], "bad.org": [], "worse.org": ["bad.org"], "plain.com": ["good.example.com", "bad.org"]}
-    path = {"bad.org": "es/1", "worse.org": "es/2", "good.example.com": "en/7"}
+    # a popular blocked host does not thin out: all that link to nothing else are blocked
+    html |= {f"fan{k}.net": ["popular.org"] for k in range(6)} | {"popular.org": []}
+    path = {"bad.org": "es/1", "worse.org": "es/2", "good.example.com": "en/7", "popular.org": "es/3"}
     rows = [(k, f"https://{h}/{path.get(h, 'x')}", "".join(f"<a href='https://{x}/'>l</a>" for x in to)) for k, (h, to) in enumerate(html.items())]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: tuple(r) for r in queries.QUERIES["op9_host_ranks"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()}
@@ -348,7 +376,7 @@ def test_op9_query_with_links_between_hosts(spark, tmp_path):
     assert got == want
     # the graph alone decides these: both link to a blocked host that few link to
     verdicts = {r[1]: r[4] for r in got.values() if r[3] is None}
-    assert set(verdicts.values()) == {"allow", "block"}
+    assert set(verdicts.values()) == {"allow", "block"} and all(verdicts[f"fan{k}.net"] == "block" for k in range(6))
 
 
 def test_host_scores_against_brute_force(spark):
