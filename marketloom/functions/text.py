@@ -220,11 +220,12 @@ def month_number(c: Column) -> Column:
 
 
 def portuguese_date(c: Column) -> Column:
-    """'12 de março de 2024 às 10:30' (time optional) to a timestamp; null if it is none."""
+    """'12 de março de 2024 às 10:30' to a timestamp; null if it is none. The time is any hh:mm of the text, midnight without one."""
     t = folded(c)
-    part = lambda i: F.regexp_extract(t, r"(\d{1,2}) de ([a-z]+) de (\d{4})(?: as (\d{1,2}):(\d{2}))?", i)
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    return F.try_make_timestamp(number(3), month_number(part(2)), number(1), number(4), number(5), F.lit(0))
+    part = lambda i: F.regexp_extract(t, r"(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})", i)
+    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
+    time = lambda i: number(F.regexp_extract(t, r"(\d{1,2}):(\d{2})", i))
+    return F.try_make_timestamp(number(part(3)), month_number(part(2)), number(part(1)), time(1), time(2), F.lit(0))
 
 
 def member_since(c: Column) -> Column:
@@ -382,9 +383,85 @@ def contribution_label(feature: Column, value: Column) -> Column:
     return F.coalesce(told, F.concat(feature, F.lit("="), F.coalesce(value, F.lit("—"))))
 
 
-def deal_message(title: Column, price: Column, discount: Column, warnings: list[tuple[Column, str]], positives: list[tuple[Column, str]]) -> Column:
-    """The text of an alert: title, price, discount, then warnings and good signs that hold."""
-    level = F.when(discount >= 30, "!!!").when(discount >= 20, "!!").otherwise("!")
-    lines = [F.concat(level, F.lit(" "), title), F.format_string("%.0f EUR, %.1f%% below", price, discount)]
-    lines += [F.when(on, F.lit(f"- {text}")) for on, text in warnings] + [F.when(on, F.lit(f"+ {text}")) for on, text in positives]
-    return F.concat_ws("\n", *lines)
+# The words of an alert.
+DEAL_WORDS = {
+    "accident": "упоминание ДТП",
+    "repair": "упоминание ремонта",
+    "customs": "нет упоминания о растаможке",
+    "owners": "упоминание: %d владельцев",
+    "described": "📝 Из описания: ",
+    "pseudo": "псевдочастник (Utilizador, но JSON=Empresa)",
+    "parts": "продаёт запчасти (%d)",
+    "brands": "%d разных марок под Particular",
+    "seller": "👤 Продавец: ",
+    "photo": "фото профиля",
+    "age": "акк %d+ лет",
+    "trust": "✓ Доверие: ",
+}
+
+
+def deal_message(columns: list[str]) -> Column:
+    """The text of an alert, from the columns of a deal; those that are not in ``columns`` count as null.
+
+    Fire by the discount (over 25, over 20), car, price and median, mileage and place, what the
+    description mentions, what speaks against and for the seller, the photo score (also from the JSON extras), the link.
+    """
+    c = lambda name: F.col(name) if name in columns else F.lit(None)
+    number = lambda name: F.nullif(F.nanvl(c(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+    said = lambda name: F.coalesce(F.nullif(c(name).cast("string"), F.lit("")), F.lit(""))
+    true = lambda name: F.coalesce(c(name).cast("boolean"), F.lit(False))
+    whole = lambda name: F.coalesce(number(name), F.lit(0.0)).cast("long")
+    thousands = lambda name: F.format_number(whole(name), 0)
+    known = lambda name: F.coalesce(c(name).cast("string"), F.lit("?"))
+    two = lambda x: F.format_string("%.2f", F.bround(x, 2))
+    w = {k: F.lit(v) for k, v in DEAL_WORDS.items()}
+    counted = lambda name, key: F.format_string(DEAL_WORDS[key], whole(name))
+    discount = F.coalesce(c("discount_pct").cast("double"), F.lit(0.0))
+    fire = F.when(discount > 25, "🔥🔥🔥").when(discount > 20, "🔥🔥").otherwise("🔥")
+    generation = F.when(said("generation") != "", F.concat(F.lit(" ("), said("generation"), F.lit(")"))).otherwise("")
+    place = F.when(said("city") != "", F.concat(said("city"), F.lit(", "), said("district"))).otherwise(said("district"))
+    score, sure = c("flipper_score").cast("double"), c("flipper_confidence").cast("double")
+    private = ~true("seller_is_business")
+    described = [F.when(true("desc_mentions_accident"), w["accident"]), F.when(true("desc_mentions_repair"), w["repair"]), F.when(~c("desc_mentions_customs_cleared").cast("boolean"), w["customs"])]
+    described += [F.when(number("desc_mentions_num_owners") >= 3, counted("desc_mentions_num_owners", "owners"))]
+    against = [F.when(true("seller_pseudoprivate"), w["pseudo"]), F.when((number("seller_parts_count") > 0) & private, counted("seller_parts_count", "parts"))]
+    against += [F.when((whole("seller_distinct_car_brands") >= 3) & private, counted("seller_distinct_car_brands", "brands"))]
+    flipper = F.concat(F.when(score >= 0.75, "🚨").otherwise("⚠️"), F.lit(" flipper-score "), two(score), F.lit(" (conf "), F.bround(sure * 100, 0).cast("long").cast("string"), F.lit("%)"))
+    against += [F.when((sure >= 0.4) & (score >= 0.5), flipper)]
+    fitting = [F.when(said("seller_social_account_type") != "", F.concat(said("seller_social_account_type"), F.lit(" link"))), F.when(true("seller_has_user_photo"), w["photo"])]
+    fitting += [F.when(whole("seller_account_age_days") >= 365 * 7, F.format_string(DEAL_WORDS["age"], F.floor(whole("seller_account_age_days") / 365)))]
+    photo = F.coalesce(c("photo_damage_p").cast("double"), F.get_json_object(c("llm_extras").cast("string"), "$.photo_damage_p").try_cast("double"))
+    some = lambda title, parts: F.when(F.size(F.array_compact(F.array(*parts))) > 0, F.concat(w[title], F.array_join(F.array_compact(F.array(*parts)), ", ")))
+    return F.concat_ws(
+        "\n",
+        F.concat(fire, F.lit(" <b>"), known("brand"), F.lit(" "), known("model"), F.lit(" "), known("year"), F.lit("</b>"), generation),
+        F.concat(F.lit("💰 <b>"), thousands("price_eur"), F.lit(" EUR</b> (median "), thousands("median_price_eur"), F.lit(" EUR)")),
+        F.concat(F.lit("📉 <b>-"), F.coalesce(c("discount_pct").cast("string"), F.lit("0")), F.lit("%</b> below market")),
+        F.when(number("mileage_km").isNotNull(), F.concat(F.lit("🛣 "), thousands("mileage_km"), F.lit(" km"))),
+        F.when(place != "", F.concat(F.lit("📍 "), place)),
+        some("described", described),
+        some("seller", against),
+        some("trust", fitting),
+        F.when(photo >= 0.10, F.concat(F.lit("📷 Photo classifier: p_damaged="), two(photo))),
+        F.when(said("url") != "", F.concat(F.lit('\n<a href="'), said("url"), F.lit('">Open on OLX</a>'))),
+    )
+
+
+# What a page says whose advert is gone.
+DEAD_MARKERS = [
+    "anúncio que tentas aceder não existe ou foi eliminado",
+    "anúncio que pretende aceder não existe",
+    "this advert no longer exists",
+    "página que estás à procura não existe",
+    "página não encontrada",
+    "anúncio não disponível",
+    "anúncio que procuras não está disponível",
+]
+
+
+def page_is_dead(status: Column, body: Column) -> Column:
+    """True for 404 and 410, and for a 200 whose page says that the advert is gone; false for any other 200; null if that is not known."""
+    gone = F.lit(False)
+    for mark in DEAD_MARKERS:
+        gone = gone | F.coalesce(F.lower(body).contains(mark), F.lit(False))
+    return F.when(status.isin(404, 410), True).when(status == 200, gone)

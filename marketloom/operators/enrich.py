@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at, ratio, whole_days
+from ..functions.text import folded
 from .ranks import with_medians
 from .market import SEGMENT
 
@@ -208,3 +209,10 @@ def impute(df: DataFrame, value: str, medians: DataFrame, layers: list[tuple[str
             df = df.join(F.broadcast(side), F.lit(True), "left")
         picks.append(F.col(f"_l{i}"))
     return df.withColumn(f"{value}_imputed", F.coalesce(*picks)).drop(*[f"_l{i}" for i in range(len(layers))])
+
+
+def with_zone(df: DataFrame, zones: DataFrame, district: str = "district") -> DataFrame:
+    """Adds ``zone`` of a row's district from ``zones`` (place, zone), compared without case, accents and outer blanks; null where there is none."""
+    plain = lambda c: F.trim(folded(F.col(c)))
+    side = zones.groupBy(plain("place").alias("_place")).agg(F.min("zone").alias("zone"))
+    return df.join(side, plain(district) == F.col("_place"), "left").drop("_place")

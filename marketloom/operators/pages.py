@@ -166,7 +166,7 @@ def listing_cards(df: DataFrame, html: str, key: str, base: str, wanted: list[st
     """
     c = F.col
     parts = F.split(c(html), r"""(?=<[^>]*\bdata-testid=["']l-card["'])""")
-    cards = df.select(key, F.posexplode(F.slice(parts, 2, 1_000_000)).alias("card", "_c"))
+    cards = df.select(key, F.posexplode(F.filter(parts, lambda _, i: i > 0)).alias("card", "_c"))
     href = F.regexp_extract("_c", r"""(?s)<a\b[^>]*\bhref=["']([^"']+)""", 1)
     cards = cards.withColumn("url", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))).withColumn("olx_id", text.advert_id(c("url")))
     fits = F.lit(False)

@@ -29,6 +29,7 @@ PAIRS_SQL = f"""{DOM_SQL}, rows AS (SELECT * FROM listings WHERE duplicate_of IS
 
 
 def pairs_of(t: Tables) -> DataFrame:
+    t = t.kept
     return g.relist_pairs(t.listings, m.dom_medians(t.listings))
 
 
@@ -49,6 +50,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g02_find_relists", f"WITH {PAIRS_SQL} SELECT o_id, c_id, score, round(c_price - o_price, 2) AS price_delta_eur, c_km - o_km AS mileage_delta_km FROM best")
 def _(t: Tables) -> DataFrame:
+    t = t.kept
     best = g.find_relists(t.listings, m.dom_medians(t.listings), 0.6)
     return best.select(F.col("o_olx_id").alias("o_id"), F.col("c_olx_id").alias("c_id"), "score", "price_delta_eur", "mileage_delta_km")
 
@@ -65,6 +67,7 @@ def _(t: Tables) -> DataFrame:
     FROM best WHERE c_sold AND o_price > 0 AND gap_days >= 7 AND abs((c_price - o_price) / o_price * 100) BETWEEN 5 AND 100""",
 )
 def _(t: Tables) -> DataFrame:
+    t = t.kept
     return g.outcomes(g.find_relists(t.listings, m.dom_medians(t.listings), 0.6), t.listings)
 
 
@@ -122,7 +125,7 @@ def predictions(t: Tables) -> DataFrame:
 
 
 def deals(t: Tables) -> DataFrame:
-    k = F.col("part_id")
+    t, k = t.kept, F.col("part_id")
     active = n.enrich(t.listings.where(F.col("is_active") & F.col("duplicate_of").isNull()), AS_OF).withColumns(
         {
             "urgency": F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low"),

@@ -81,10 +81,45 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "x25_deal_message",
-    "SELECT p_partkey, CASE WHEN p_size >= 30 THEN '!!!' WHEN p_size >= 20 THEN '!!' ELSE '!' END || ' ' || p_name || chr(10) || floor(p_retailprice)::BIGINT || ' EUR, ' || p_size || '.0% below' || CASE WHEN p_size % 2 = 0 THEN chr(10) || '- odd' ELSE '' END AS message FROM part",
+    """WITH d AS (SELECT l.*, 15 + part_id % 13 AS discount, part_id % 5 = 0 AS accident, part_id % 7 = 0 AS repair, CASE WHEN part_id % 3 = 0 THEN false WHEN part_id % 3 = 1 THEN true END AS customs, part_id % 6 AS owners,
+      part_id % 4 = 0 AS pseudo, part_id % 8 AS parts, part_id % 5 AS brands, part_id % 2 = 0 AS business, part_id % 10 / 8 AS score, CASE WHEN part_id % 11 > 0 THEN part_id % 11 / 10 END AS sure,
+      CASE WHEN part_id % 3 = 0 THEN 'facebook' ELSE '' END AS social, part_id % 9 = 0 AS photo, part_id * 37 % 4000 AS age, CASE WHEN part_id % 4 > 1 THEN '{"photo_damage_p": 0.' || part_id % 5 || '}' WHEN part_id % 4 = 1 THEN 'none' END AS extras,
+      CASE WHEN part_id % 5 > 1 THEN 'City' || part_id % 5 END AS city FROM listings l),
+    m AS (SELECT *, array_to_string(list_filter([CASE WHEN accident THEN 'упоминание ДТП' END, CASE WHEN repair THEN 'упоминание ремонта' END, CASE WHEN NOT customs THEN 'нет упоминания о растаможке' END, CASE WHEN owners >= 3 THEN 'упоминание: ' || owners || ' владельцев' END], lambda v: v IS NOT NULL), ', ') AS told,
+      array_to_string(list_filter([CASE WHEN pseudo THEN 'псевдочастник (Utilizador, но JSON=Empresa)' END, CASE WHEN parts > 0 AND NOT business THEN 'продаёт запчасти (' || parts || ')' END, CASE WHEN brands >= 3 AND NOT business THEN brands || ' разных марок под Particular' END,
+        CASE WHEN score >= 0.5 AND sure >= 0.4 THEN CASE WHEN score >= 0.75 THEN '🚨' ELSE '⚠️' END || ' flipper-score ' || printf('%.2f', round_even(score, 2)) || ' (conf ' || printf('%.0f', sure * 100) || '%)' END], lambda v: v IS NOT NULL), ', ') AS against,
+      array_to_string(list_filter([CASE WHEN social <> '' THEN social || ' link' END, CASE WHEN photo THEN 'фото профиля' END, CASE WHEN age >= 2555 THEN 'акк ' || age // 365 || '+ лет' END], lambda v: v IS NOT NULL), ', ') AS fitting,
+      CASE WHEN part_id % 4 > 1 THEN part_id % 5 / 10 END AS p FROM d)
+    SELECT olx_id, concat_ws(chr(10), CASE WHEN discount > 25 THEN '🔥🔥🔥' WHEN discount > 20 THEN '🔥🔥' ELSE '🔥' END || ' <b>' || brand || ' ' || model || ' ' || year || '</b>' || coalesce(' (' || generation || ')', ''),
+      '💰 <b>' || format('{:,}', trunc(price_eur)::BIGINT) || ' EUR</b> (median ' || format('{:,}', trunc(first_price_eur)::BIGINT) || ' EUR)', '📉 <b>-' || discount || '%</b> below market', CASE WHEN mileage_km <> 0 THEN '🛣 ' || format('{:,}', mileage_km::BIGINT) || ' km' END,
+      '📍 ' || coalesce(city || ', ', '') || district, CASE WHEN told <> '' THEN '📝 Из описания: ' || told END, CASE WHEN against <> '' THEN '👤 Продавец: ' || against END, CASE WHEN fitting <> '' THEN '✓ Доверие: ' || fitting END,
+      CASE WHEN p >= 0.1 THEN '📷 Photo classifier: p_damaged=' || printf('%.2f', p) END, chr(10) || '<a href="https://example.com/' || part_id || '">Open on OLX</a>') AS message FROM m""",
 )
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", x.deal_message(F.col("p_name"), F.floor("p_retailprice").cast("double"), F.col("p_size").cast("double"), [(F.col("p_size") % 2 == 0, "odd")], []).alias("message"))
+    k = F.col("part_id")
+    rows = t.listings.withColumns(
+        {
+            "median_price_eur": F.col("first_price_eur"),
+            "discount_pct": 15 + k % 13,
+            "desc_mentions_accident": k % 5 == 0,
+            "desc_mentions_repair": k % 7 == 0,
+            "desc_mentions_customs_cleared": F.when(k % 3 == 0, False).when(k % 3 == 1, True),
+            "desc_mentions_num_owners": k % 6,
+            "seller_pseudoprivate": k % 4 == 0,
+            "seller_parts_count": k % 8,
+            "seller_distinct_car_brands": k % 5,
+            "seller_is_business": k % 2 == 0,
+            "flipper_score": k % 10 / 8,
+            "flipper_confidence": F.when(k % 11 > 0, k % 11 / 10),
+            "seller_social_account_type": F.when(k % 3 == 0, "facebook").otherwise(""),
+            "seller_has_user_photo": k % 9 == 0,
+            "seller_account_age_days": k * 37 % 4000,
+            "llm_extras": F.when(k % 4 > 1, F.format_string('{"photo_damage_p": 0.%d}', k % 5)).when(k % 4 == 1, "none"),
+            "city": F.when(k % 5 > 1, F.format_string("City%d", k % 5)),
+            "url": F.format_string("https://example.com/%d", k),
+        }
+    )
+    return rows.select("olx_id", x.deal_message(rows.columns).alias("message"))
 
 
 @query(

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -86,6 +88,13 @@ class Tables:
             F.col("l_partkey").alias("part_id"),
         )
 
+    @cached_property
+    def kept(self) -> Tables:
+        """The same tables with the listings stored once: queries that read them several times take only their columns."""
+        out = Tables(self.spark, self.sf_dir)
+        out.__dict__["listings"] = checkpointed(self.listings, "listings")
+        return out
+
     @cached_property
     def snapshots(self) -> DataFrame:
         user = F.col("user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions import text as x
+from ..operators.enrich import with_zone
 from .registry import Tables, query
 
 #: Phrases that the driver's invented prose lacks; each row of ``part`` gets one after its name.
@@ -115,7 +116,10 @@ def _month_of(k: Column) -> Column:
 def _(t: Tables) -> DataFrame:
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
     written = F.concat(F.lit("Publicado "), F.dayofmonth(day).cast("string"), F.lit(" De "), F.when(k % 4 == 0, F.upper(_month_of(F.month(day)))).otherwise(_month_of(F.month(day))), F.lit(" de "), F.year(day).cast("string"))
-    written = F.when(k % 2 == 0, F.concat(written, F.format_string(" às %02d:%02d", k % 24, k % 60))).otherwise(written)
+    time = F.format_string("%d:%02d", k % 24, k % 60)
+    # the time stands after "às", after a comma, or before the date
+    timed = F.when(k % 3 == 0, F.concat(written, F.lit(" às "), time)).when(k % 3 == 1, F.concat(written, F.lit(", "), time)).otherwise(F.concat(time, F.lit("h - "), written))
+    written = F.when(k % 2 == 0, timed).otherwise(written)
     return t.orders.select("o_orderkey", x.portuguese_date(F.when(k % 9 > 0, written).otherwise("31 de fevereiro de 2020")).alias("at"))
 
 
@@ -312,9 +316,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("x39_zones", "SELECT olx_id, r_name AS zone FROM listings LEFT JOIN nation ON n_name = district LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(t: Tables) -> DataFrame:
-    # a fixed map of districts to zones; here nations and regions stand for them
-    zones = {r["n_name"]: r["r_name"] for r in t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").limit(100).collect()}
-    return t.listings.select("olx_id", x.zone_of(F.col("district"), zones).alias("zone"))
+    zones = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("place"), F.col("r_name").alias("zone"))
+    return with_zone(t.listings, zones, "district").select("olx_id", "zone")
 
 
 @query("a17_evolved", "SELECT event_id, NULL::VARCHAR AS note, json_extract_string(props, '$.k') AS k, props NOT LIKE '%dead%' AS clean, 2 AS version FROM events")
@@ -338,9 +341,19 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(links).cast("long").alias("links"), F.size(F.array_distinct(links)).cast("long").alias("distinct_links")).where("links > 0")
 
 
-@query("p07_dead_pages", "SELECT page_id, CASE WHEN page_id % 10 IN (4, 7) THEN true WHEN page_id % 10 = 5 THEN NULL ELSE contains(html, 'no longer available') END AS dead FROM pages")
+DEAD_SQL = " OR ".join(f"contains(body, '{mark}')" for mark in (
+    "anúncio que tentas aceder não existe ou foi eliminado", "anúncio que pretende aceder não existe", "this advert no longer exists", "página que estás à procura não existe",
+    "página não encontrada", "anúncio não disponível", "anúncio que procuras não está disponível"))
+
+
+@query(
+    "p07_dead_pages",
+    f"""WITH p AS (SELECT page_id, lower(html || CASE page_id % 9 WHEN 0 THEN 'O Anúncio que procuras NÃO está disponível' WHEN 1 THEN '<h1>Página não encontrada</h1>' WHEN 2 THEN 'This advert no longer exists.' WHEN 3 THEN 'anúncio disponível' ELSE '' END) AS body,
+      CASE WHEN page_id % 10 = 4 THEN 404 WHEN page_id % 10 = 7 THEN 410 WHEN page_id % 10 = 5 THEN 503 WHEN page_id % 10 = 6 THEN 301 WHEN page_id % 10 = 8 THEN 403 ELSE 200 END AS status FROM pages)
+    SELECT page_id, CASE WHEN status IN (404, 410) THEN true WHEN status = 200 THEN {DEAD_SQL} END AS dead FROM p""",
+)
 def _(t: Tables) -> DataFrame:
-    k = F.col("page_id") % 10
-    status = F.when(k.isin(4, 7), 404).when(k == 5, 503).otherwise(200)
-    dead = F.when(status.isin(404, 410), True).when(status < 500, F.col("html").contains("no longer available"))
-    return t.pages.select("page_id", dead.alias("dead"))
+    k, m = F.col("page_id") % 10, F.col("page_id") % 9
+    status = F.when(k == 4, 404).when(k == 7, 410).when(k == 5, 503).when(k == 6, 301).when(k == 8, 403).otherwise(200)
+    said = F.when(m == 0, "O Anúncio que procuras NÃO está disponível").when(m == 1, "<h1>Página não encontrada</h1>").when(m == 2, "This advert no longer exists.").when(m == 3, "anúncio disponível").otherwise("")
+    return t.pages.select("page_id", x.page_is_dead(status, F.concat("html", said)).alias("dead"))
