@@ -147,12 +147,30 @@ def assign_generation(df: DataFrame, generations: DataFrame, brand: str = "brand
     return df.join(g, hit, "left").groupBy(key).agg(F.max_by("_name", F.struct("year_from", "_name")).alias("generation_name"))
 
 
-def model_from_title(df: DataFrame, lexicon: DataFrame, title: str = "title", brand: str = "brand", key: str = "olx_id") -> DataFrame:
-    """``key, model_found``: the longest model of the brand that stands in the title as whole words."""
-    lex = lexicon.select(F.col("brand").alias("_b"), F.col("model").alias("_m"))
+def title_grams(title: str, words: int) -> Column:
+    """Distinct runs of up to ``words`` words of a title in lower case, with what stands between the words."""
+    parts = F.regexp_extract_all(title, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    run = lambda i, n: F.when(i + 2 * n < F.size(parts), F.lower(F.array_join(F.slice(parts, i + 1, 2 * n + 1), "")))
+    starts = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.regexp_like(F.get(parts, i), F.lit(r"(?U)^\w")))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda n: run(i, n))))
+    return F.when(F.size(parts) > 0, F.array_distinct(F.array_compact(grams)))
+
+
+def model_from_title(df: DataFrame, lexicon: DataFrame, title: str = "title", brand: str = "brand", key: str = "olx_id", words: int = 5) -> DataFrame:
+    """``key, model_found``: the longest model of the brand that stands in the title as whole words.
+
+    Runs of the title's words meet the lexicon by equality of brand and text. Only models of more than
+    ``words`` words, or that do not begin and end with a letter or digit, are looked for by a pattern.
+    """
+    lex = lexicon.select(F.col("brand").alias("_b"), F.col("model").alias("_m")).distinct()
+    plain = F.regexp_like("_m", F.lit(r"(?U)^\w(.*\w)?$")) & (F.size(F.regexp_extract_all("_m", F.lit(r"(?U)\w+"), F.lit(0))) <= words)
+    rows = df.select(key, F.col(brand).alias("_brand"), F.col(title).alias("_title"))
+    grams = rows.select(key, "_brand", F.explode(title_grams("_title", words)).alias("_gram"))
+    found = grams.join(lex.where(plain), (F.col("_brand") == F.col("_b")) & (F.col("_gram") == F.lower("_m"))).select(key, "_m")
     word = F.concat(F.lit(r"(?iU)\b"), F.regexp_replace("_m", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"), F.lit(r"\b"))
-    found = df.join(lex, F.col(brand) == F.col("_b"), "left").withColumn("_hit", F.regexp_like(title, word))
-    return found.groupBy(key).agg(F.max_by(F.when(F.col("_hit"), F.col("_m")), F.when(F.col("_hit"), F.struct(F.length("_m"), "_m"))).alias("model_found"))
+    odd = rows.join(lex.where(~plain), F.col("_brand") == F.col("_b")).where(F.regexp_like("_title", word)).select(key, "_m")
+    best = found.unionByName(odd).groupBy(F.col(key).alias("_k")).agg(F.max_by("_m", F.struct(F.length("_m"), "_m")).alias("model_found"))
+    return df.select(key).distinct().join(best, F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def with_segment(df: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import loss_weight, md5_share, mean, median_of, ratio, sold_tier, whole_days
-from .ranks import grouped_positions, quantiles
+from .ranks import grouped_positions, places, quantiles
 from .storage import checkpointed
 
 
@@ -163,7 +163,7 @@ def round_robin(df: DataFrame, bucket: str, key: str, group: str, score: str, ca
     most = F.lit(least)
     for at, n in reversed(sorted(caps, reverse=True)):
         most = F.when(F.max(score).over(best) >= at, n).otherwise(most)
-    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(bucket).orderBy(F.desc(score), key)) - 1)
+    rows = places(df, bucket, [F.desc(score), F.col(key)]).withColumn("place", F.col("place").cast("int"))
     own = Window.partitionBy(group).orderBy("place", F.desc(bucket), key)
     rows = rows.withColumns({"_most": most, "_k": F.row_number().over(own)})
     return rows.where(F.col("_k") <= F.col("_most")).drop("_most", "_k").orderBy("place", F.desc(bucket), key)

@@ -176,3 +176,19 @@ def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dic
     for k in keys:
         on = on & _same(k, f"_q_{k}")
     return groups.join(wide, on, "left").drop(*[f"_q_{k}" for k in keys])
+
+
+def places(df: DataFrame, bucket: str, order: list[Column]) -> DataFrame:
+    """Adds ``place``, the 0-based position of a row in its bucket, however large a bucket is.
+
+    Rows are range partitioned by bucket and order and stored; a window sees a partition's part of a
+    bucket, and a bucket that goes on in the next partition carries its count over. ``order`` should be a key.
+    """
+    stored = checkpointed(df.repartitionByRange(F.col(bucket), *order).withColumn("_part", F.spark_partition_id()), "places")
+    rows = stored.withColumn("_in", F.row_number().over(Window.partitionBy("_part", bucket).orderBy(*order)) - 1)
+    sizes = stored.groupBy("_part", F.col(bucket).alias("_b")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_b").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # only buckets that began in an earlier partition: at most one for each partition
+    carry = sizes.select(F.col("_part").alias("_p"), "_b", F.sum("_n").over(by).alias("_before")).where(F.col("_before").isNotNull())
+    out = rows.join(F.broadcast(carry), (F.col("_part") == F.col("_p")) & _same(bucket, "_b"), "left")
+    return out.withColumn("place", (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_in", "_p", "_b", "_before")

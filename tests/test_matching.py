@@ -1,10 +1,12 @@
 """First-come matching, merges of duplicates and relist candidates against walks in Python."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import maintain
+from marketloom.operators import enrich, maintain
 
 
 def walked(pairs):
@@ -60,3 +62,18 @@ def test_empty_text_is_filled_and_never_fills(spark):
     rows = {r.olx_id: r for r in maintain.merge_into_canonical(df, pairs, ["colour", "fuel", "doors"]).collect()}
     assert (rows[1].colour, rows[1].fuel, rows[1].doors) == ("red", "x", 0)
     assert (rows[9].colour, rows[9].fuel, rows[9].doors) == (None, "", 1) and rows[2].colour == ""
+
+
+def test_models_of_titles_as_by_patterns(spark):
+    lexicon = {"Renault": ["Mégane", "Mégane Sport Tourer", "4", "5 E-Tech", "up!", "R 5 a b c d e"], "BMW": ["320", "320d", "i3", "M3 (E46)", "X1"]}
+    titles = ["Renault mégane SPORT tourer 1.5", "MÉGANE-sport", "Renault 4L 4x4", "renault R 5 a b c d e!", "5 e-tech 5  E-Tech", "BMW 2.0 3000 320", "bmw 320d 320", "M3 (E46) x1", "M3 (E46)x", "up!x up! ", "", "  ", None, "i3/X1;320"]
+    rows = [(f"{brand}{k}", brand, t) for brand in (*lexicon, "Lada", None) for k, t in enumerate(titles)]
+    df = spark.createDataFrame([(k if b else f"none{k}", b, t) for k, b, t in rows], "olx_id string, brand string, title string")
+    lex = spark.createDataFrame([(b, m) for b, ms in lexicon.items() for m in ms], "brand string, model string")
+    got = {r.olx_id: r.model_found for r in enrich.model_from_title(df, lex, words=3).collect()}
+
+    def want(brand, title):
+        found = [m for m in lexicon.get(brand, []) if title and re.search(rf"\b{re.escape(m)}\b", title, re.IGNORECASE)]
+        return max(found, key=lambda m: (len(m), m), default=None)
+
+    assert got == {(k if b else f"none{k}"): want(b, t) for k, b, t in rows} and len({v for v in got.values()}) > 6

@@ -58,3 +58,16 @@ def test_no_window_holds_a_hot_group(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ranks.grouped_quantiles(df, "v", ["a"], [0.5], 100).first().quantiles == [np.median([k * 7919 % 20_011 for k in range(20_000)])]
+
+
+def test_places_of_a_bucket_over_several_partitions(spark):
+    rows = [(k, "hot" if k % 2 else None if k % 6 == 0 else f"b{k % 5}", k * 7 % 101) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, bucket string, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.place for r in ranks.places(df, "bucket", [F.desc("v"), F.col("id")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[0]))
+        assert [got[r[0]] for r in own] == list(range(len(own)))
