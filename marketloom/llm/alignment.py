@@ -9,7 +9,7 @@ end at the same byte, the text is cut into groups.
 
 Texts are read as a space and the text, as sentencepiece puts one before each text. A text is also cut
 at single blanks and line feeds between other characters, over which neither tokenizer has a token;
-what lies between is aligned once for a task (two generations of ``tokens.MEMO`` parts are kept), marks at its end apart. A text with odd white space, or a file
+what lies between is aligned once (two generations of ``tokens.MEMO`` parts are kept by a Python worker), marks at its end apart. A text with odd white space, or a file
 for which that is not proven, is aligned whole.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte (U+2581 becomes
@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +122,8 @@ class Aligner:
         found: list[tuple[list[int], list[int], list[bool]] | None] = []
         for text in texts:
             if self.cuts and _WORD.fullmatch(text):
-                tokens, blank = self.reader.model.tokenize(self.reader.mapped(text)), text[0] == BLANK
+                blank = text[0] == BLANK
+                tokens = self.reader.model.tokenize(self.reader.blank + text[1:] if blank else text)
                 found.append(([t.id for t in tokens], [t.offsets[1] - blank for t in tokens], [True] * len(tokens)))
             else:
                 found.append(None)
@@ -231,9 +233,12 @@ class Aligner:
             cuts = {u: k for u in new if (k := self.stem(u))}
             parts = self.look_up(dict.fromkeys([u for u in new if u not in cuts] + [x for u, k in cuts.items() for x in (u[:k], u[k:])]), False)
             for u in new:
-                both = [parts[x] for x in ((u[: cuts[u]], u[cuts[u] :]) if u in cuts else (u,))]
-                out[u] = None if None in both else joined(both) if u in cuts else both[0]
-            new = cuts
+                if (k := cuts.get(u)) is None:
+                    out[u] = parts[u]
+                    continue
+                a, b = parts[u[:k]], parts[u[k:]]
+                out[u] = None if a is None or b is None else (a[0] + b[0], a[1] + b[1], a[2] + b[2], f"{a[3]};{b[3]}", a[4] + b[4])
+            new = list(cuts)
         else:
             out |= zip(new, self.whole(new), strict=True)
         if len(now) >= MEMO:
@@ -241,9 +246,6 @@ class Aligner:
         self.now |= {u: out[u] for u in new if len(u) <= LONGEST}
         return out
 
-    def forget(self) -> None:
-        self.now, self.old = {}, {}
-
     def units_of(self, text: str) -> list[str]:
         """The parts of a space and ``text`` between cuts; none where cuts are not proven."""
         if not self.cuts or _ODD.search(text) or any(x in text for x in self.added):
@@ -269,13 +271,13 @@ class Aligner:
 
 @cache
 def _loaded(a_path: str, b_path: str) -> Aligner:
-    """One aligner for each pair of files in a Python worker: the vocabularies, without the memo."""
+    """One aligner for each pair of files in a Python worker; the parts it keeps are bounded and serve later tasks."""
     return Aligner(a_path, b_path)
 
 
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
-#: Documents aligned together, and bytes of results in one batch.
-TOGETHER, FLUSH = 64, 1 << 23
+#: Bytes of texts aligned together, and bytes of results in one batch.
+TOGETHER, FLUSH = 1 << 20, 1 << 23
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -291,21 +293,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             columns, rows, size = list(zip(*rows, strict=True)), [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        try:
-            for batch in batches:
-                for i in range(0, batch.num_rows, TOGETHER):
-                    some = batch.slice(i, TOGETHER)
-                    for doc_id, found in zip(some.column(0).to_pylist(), own.align(some.column(1).to_pylist()), strict=True):
-                        pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
-                        rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
-                        size += len(found.groups) + 16 * len(pairs)
-                        if size >= FLUSH:
-                            yield flush()
-            if rows:
-                yield flush()
-        finally:
-            own.forget()
-            pa.default_memory_pool().release_unused()
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            # documents of about so many bytes together
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                some = batch.slice(begin, end - begin)
+                for doc_id, found in zip(some.column(0).to_pylist(), own.align(some.column(1).to_pylist()), strict=True):
+                    pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
+                    rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
+                    size += len(found.groups) + 16 * len(pairs)
+                    if size >= FLUSH:
+                        yield flush()
+        if rows:
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
