@@ -9,7 +9,7 @@ end at the same byte, the text is cut into groups.
 
 Texts are read as a space and the text, as sentencepiece puts one before each text. A text is also cut
 at single blanks and line feeds between other characters, over which neither tokenizer has a token;
-what lies between is aligned once (two generations of ``tokens.MEMO`` parts are kept by a Python worker), marks at its end apart. A text with odd white space, or a file
+what lies between is aligned once for a task (two generations of ``tokens.MEMO`` parts are kept), marks at its end apart. A text with odd white space, or a file
 for which that is not proven, is aligned whole.
 
 Null and empty texts, and texts that either tokenizer does not give back byte for byte (U+2581 becomes
@@ -246,6 +246,9 @@ class Aligner:
         self.now |= {u: out[u] for u in new if len(u) <= LONGEST}
         return out
 
+    def forget(self) -> None:
+        self.now, self.old = {}, {}
+
     def units_of(self, text: str) -> list[str]:
         """The parts of a space and ``text`` between cuts; none where cuts are not proven."""
         if not self.cuts or _ODD.search(text) or any(x in text for x in self.added):
@@ -271,13 +274,13 @@ class Aligner:
 
 @cache
 def _loaded(a_path: str, b_path: str) -> Aligner:
-    """One aligner for each pair of files in a Python worker; the parts it keeps are bounded and serve later tasks."""
+    """One aligner for each pair of files in a Python worker: the vocabularies; the parts it keeps are freed with each task."""
     return Aligner(a_path, b_path)
 
 
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
 #: Bytes of texts aligned together, and bytes of results in one batch.
-TOGETHER, FLUSH = 1 << 20, 1 << 23
+TOGETHER, FLUSH = 1 << 18, 1 << 22
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -293,20 +296,24 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             columns, rows, size = list(zip(*rows, strict=True)), [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            # documents of about so many bytes together
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist(), batch.num_rows]
-            for begin, end in zip(cuts, cuts[1:], strict=False):
-                some = batch.slice(begin, end - begin)
-                for doc_id, found in zip(some.column(0).to_pylist(), own.align(some.column(1).to_pylist()), strict=True):
-                    pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
-                    rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
-                    size += len(found.groups) + 16 * len(pairs)
-                    if size >= FLUSH:
-                        yield flush()
-        if rows:
-            yield flush()
+        try:
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+                # documents of about so many bytes together
+                cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist(), batch.num_rows]
+                for begin, end in zip(cuts, cuts[1:], strict=False):
+                    some = batch.slice(begin, end - begin)
+                    for doc_id, found in zip(some.column(0).to_pylist(), own.align(some.column(1).to_pylist()), strict=True):
+                        pairs, times = np.unique(np.frombuffer(found.links, "<i8"), return_counts=True)
+                        rows.append((doc_id, found.n_a, found.n_b, found.n_groups, len(found.links) // 8, found.groups, pairs, times))
+                        size += len(found.groups) + 16 * len(pairs)
+                        if size >= FLUSH:
+                            yield flush()
+            if rows:
+                yield flush()
+        finally:
+            own.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
