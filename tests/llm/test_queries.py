@@ -361,6 +361,14 @@ def test_op9_rules(spark, folder):
         assert r.verdict == what or (what is None and r.verdict in ("allow", "block"))
 
 
+def test_op9_rules_are_those_of_the_contract(spark, tmp_path):
+    assert queries.URL_RULES == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    urls = ["https://a.net/de/1", "https://net/de/8", "http://b.example.net/de/81", "http://example.net/de/7", "https://c.com/en/7", "https://www.example.com/en/7", "https://d.org/es/1"]
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in queries.QUERIES["op9_host_ranks"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(urls))] == ["allow", "allow", "block", "allow", "block", "allow", "block"]
+
+
 def test_op9_query_with_links_between_hosts(spark, tmp_path):
     # blocked hosts with one linker each, a chain to them, and hosts that an allowed host vouches for
     html = {"one.net": ["bad.org"], "far.net": ["one.net"], "vouched.net": ["worse.org"], "good.example.com": ["vouched.net"], "bad.org": [], "worse.org": ["bad.org"], "plain.com": ["good.example.com", "bad.org"]}
