@@ -301,6 +301,18 @@ def test_top_ancestors(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7)}
 
 
+def test_halves_round_as_in_sql(spark):
+    import duckdb
+
+    # shares that are a half of the last place on paper: the double next to it counts as the half
+    pairs = [(200.0 * (k % 97 + 50), 200.0 * (k % 97 + 50) * (k % 1801 + 20) / 2000) for k in range(20_000)]
+    df = spark.createDataFrame(pairs, "p double, a double")
+    share = (F.col("p") - F.col("a") - 0.12 * F.col("p")) / F.col("p") * 100
+    got = df.select("p", "a", scalars.rounded(share, 1).alias("r"), F.round(share, 1).alias("plain")).toPandas()
+    want = duckdb.sql("SELECT round((p - a - 0.12::DOUBLE * p) / p * 100, 1) AS r FROM got").fetchnumpy()["r"]
+    assert (got["r"].to_numpy() == want).all() and (got["plain"].to_numpy() != want).any()
+
+
 def test_relist_pairs_against_brute_force(spark):
     from marketloom.operators import deals
 
