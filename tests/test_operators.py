@@ -326,3 +326,27 @@ def test_relist_pairs_against_brute_force(spark):
     got = sorted((r.o_olx_id, r.c_olx_id) for r in deals.relist_pairs(df).collect())
     want = sorted((a[0], b[0]) for a in rows if a[8] for b in rows if a[0] != b[0] and 0 < (b[7] - a[8]).total_seconds() / 86400 <= 180)
     assert got == want and got
+
+
+def test_relists_of_kinds_are_those_of_all_pairs(spark):
+    """Copies, nulls, keys that repeat and rows first seen after their own sale: the same as from every pair."""
+    from marketloom.operators import deals
+
+    rng = np.random.default_rng(5)
+    some = lambda *x: x[int(rng.integers(0, len(x)))]
+    rows = []
+    for k in range(400):
+        seen = dt.datetime(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 20)) * 10)
+        gone = seen + dt.timedelta(days=int(rng.integers(-2, 5)) * 10)
+        is_sold = k % 3 == 0
+        rows.append((f"k{k if k % 7 else k // 2}", some("b", "c"), "m", 2010, "dup" if k % 41 == 0 else None, not is_sold, "sold" if is_sold else None, seen, gone if is_sold else None, some(1000.0, 2000.0, None), some(10_000, 12_000, 40_000, None), some("Diesel", None), some(1000, 1040, 2000, None), some("x", " X", None)))
+    df = spark.createDataFrame(rows, "olx_id string, brand string, model string, year int, duplicate_of string, is_active boolean, deactivation_reason string, first_seen_at timestamp, deactivated_at timestamp, price_eur double, mileage_km int, fuel_type string, engine_cc int, district string").withColumn("transmission", F.lit(None).cast("string")).cache()
+    for gated in (False, True):
+        pairs = deals.relist_pairs(df)
+        pairs = deals.gates(pairs) if gated else pairs
+        want = {r[0]: (r[1], r[2]) for r in pairs.groupBy("o_olx_id").agg(F.count("*"), F.min("gap_days")).collect()}
+        assert {r[0]: (r[1], r[2]) for r in deals.relist_counts(df, gated=gated).select("o_olx_id", "n", "gap").collect()} == want and want
+    what = ["o_olx_id", "c_olx_id", "score", "gap_days", "reasons"]
+    want = sorted(map(tuple, deals.best_candidates(deals.match_score(deals.gates(deals.relist_pairs(df))), 0.5).select("o_olx_id", "score", "gap_days", "c_olx_id").collect()))
+    got = deals.best_relists(df, None, 0.5)
+    assert set(what) <= set(got.columns) and sorted(map(tuple, got.select("o_olx_id", "score", "gap_days", "c_olx_id").collect())) == want and want
