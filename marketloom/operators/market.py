@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import at, days_between, mean, median_of, ratio, sold, whole_days
 from .ranks import with_medians
+from .storage import checkpointed
 
 SEGMENT = ("brand", "model", "generation")
 
@@ -40,18 +41,23 @@ def largest_groups(df: DataFrame, key: str, top: int = 15) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(top)
 
 
-def comparables(df: DataFrame, grains: dict[str, tuple[str, ...]], price: str = "price_eur", year: str = "year", mileage: str = "mileage_km") -> DataFrame:
+def comparables(df: DataFrame, grains: dict[str, tuple[str, ...]], price: str = "price_eur", year: str = "year", mileage: str = "mileage_km", only_price: bool = False) -> DataFrame:
     """Price, year and mileage medians at several grains in one pass (grouping sets).
 
     Columns: grain, all keys (null where the grain has none), n and the medians; rows without a
-    positive price or with a null key of the grain are left out.
+    positive price or with a null key of the grain are left out. With ``only_price`` the price's median
+    alone. Rows of equal keys and values are counted before they are copied to the grains.
     """
     keys = list(dict.fromkeys(k for g in grains.values() for k in g))
+    values = {"_p": price} if only_price else {"_p": price, "_y": year, "_m": mileage}
+    met = df.where(F.col(price) > 0).groupBy(*keys, *[F.col(c).alias(v) for v, c in values.items()]).agg(F.count("*").alias("_n"))
     layers = [F.when(present(*own), F.struct(F.lit(grain).alias("grain"), *[(F.col(k) if k in own else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys])) for grain, own in grains.items()]
-    rows = df.where(F.col(price) > 0).select(F.explode(F.array_compact(F.array(*layers))).alias("_g"), F.col(price).alias("_p"), F.col(year).alias("_y"), F.col(mileage).alias("_m"))
-    rows = rows.select("_g.*", "_p", "_y", "_m")
-    out = rows.groupBy("grain", *keys).agg(F.count("*").alias("n"))
-    return with_medians(out, rows, ["grain", *keys], {"median_price": "_p", "median_year": "_y", "median_mileage": "_m"})
+    rows = met.select(F.explode(F.array_compact(F.array(*layers))).alias("_g"), *values, "_n").select("_g.*", *values, "_n")
+    if only_price:
+        rows = checkpointed(rows.groupBy("grain", *keys, "_p").agg(F.sum("_n").alias("_n")), "comparables")
+    out = rows.groupBy("grain", *keys).agg(F.sum("_n").alias("n"))
+    names = {"_p": "median_price", "_y": "median_year", "_m": "median_mileage"}
+    return with_medians(out, rows, ["grain", *keys], {names[v]: v for v in values}, weight="_n")
 
 
 def daily_market_stats(snapshots: DataFrame, keys: tuple[str, ...] = ("brand", "model"), price: str = "price_eur", ts: str = "scraped_at") -> DataFrame:

@@ -108,12 +108,16 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def value_counts(df: DataFrame, keys: list[str], columns: dict[str, Column | str]) -> DataFrame:
-    """``k`` (the keys as a struct), ``m`` (the name of a column), ``v`` (a known value as double) and ``c``, how often; stored."""
+def value_counts(df: DataFrame, keys: list[str], columns: dict[str, Column | str], weight: str | None = None) -> DataFrame:
+    """``k`` (the keys as a struct), ``m`` (the name of a column), ``v`` (a known value as double) and ``c``, how often; stored.
+
+    With ``weight`` a row stands for that many.
+    """
     kind = lambda c: F.col(c) if isinstance(c, str) else c
     values = F.array(*[F.struct(F.lit(name).alias("m"), kind(c).cast("double").alias("v")) for name, c in columns.items()])
-    rows = df.select(F.struct(*keys).alias("k"), F.explode(values).alias("_x")).select("k", "_x.*").where("v is not null")
-    return checkpointed(rows.groupBy("k", "m", "v").agg(F.count("*").alias("c")), "value-counts")
+    own = F.col(weight) if weight else F.lit(1).cast("long")
+    rows = df.select(F.struct(*keys).alias("k"), own.alias("_w"), F.explode(values).alias("_x")).select("k", "_w", "_x.*").where("v is not null")
+    return checkpointed(rows.groupBy("k", "m", "v").agg(F.sum("_w").alias("c")), "value-counts")
 
 
 def _spans(counts: DataFrame) -> DataFrame:
@@ -133,13 +137,13 @@ def _spans(counts: DataFrame) -> DataFrame:
     return out.select("k", "m", "v", "c", (F.col("_in") + F.coalesce("_before", F.lit(0))).alias("s"), F.coalesce("_all", "_own").alias("n"))
 
 
-def grouped_positions(df: DataFrame, keys: list[str], columns: dict[str, Column | str], position: Callable[[Column], list[Column]], most: int = GROUP_VALUES) -> DataFrame:
+def grouped_positions(df: DataFrame, keys: list[str], columns: dict[str, Column | str], position: Callable[[Column], list[Column]], most: int = GROUP_VALUES, weight: str | None = None) -> DataFrame:
     """``keys, m, n, quantiles``: for each group and named column its number of known values and the values at the positions
     that ``position(n)`` gives (0-based, fractions between neighbours), whatever the size of a group.
 
     Null keys are keys. Groups without a known value have no row.
     """
-    counts = value_counts(df, keys, columns)
+    counts = value_counts(df, keys, columns, weight)
     sizes = counts.groupBy("k", "m").agg(F.count("*").alias("_d")).where(F.col("_d") > most).select(F.col("k").alias("_k"), F.col("m").alias("_m"))
     hot = checkpointed(sizes, "hot-groups")
     few = Window.partitionBy("k", "m")
@@ -168,9 +172,9 @@ def grouped_quantiles(df: DataFrame, column: str, keys: list[str], levels: list[
     return grouped_positions(df, keys, {column: column}, lambda n: [F.lit(p) * (n - 1) for p in levels], most).drop("m")
 
 
-def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, Column | str], most: int = GROUP_VALUES) -> DataFrame:
+def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, Column | str], most: int = GROUP_VALUES, weight: str | None = None) -> DataFrame:
     """``groups`` (one row for each group of ``df`` by ``keys``) with exact medians of named expressions; null where none is known."""
-    found = grouped_positions(df, keys, columns, lambda n: [F.lit(0.5) * (n - 1)], most)
+    found = grouped_positions(df, keys, columns, lambda n: [F.lit(0.5) * (n - 1)], most, weight)
     wide = found.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(*[F.max(F.when(F.col("m") == name, F.col("quantiles")[0])).alias(name) for name in columns])
     on = F.lit(True)
     for k in keys:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import enrich as n
 from ..operators import market as m
+from ..operators.storage import checkpointed
 from .market import COMPARABLES_SQL, DOM_SQL, GRAINS, TURNOVER_SQL
 from .registry import AS_OF, SNAPSHOT_AS_OF, Tables, query
 
@@ -253,7 +254,8 @@ def _(t: Tables) -> DataFrame:
     LEFT JOIN c m ON m.grain = 'model' AND m.n >= 5 AND l.brand = m.brand AND l.model = m.model""",
 )
 def _(t: Tables) -> DataFrame:
-    out = n.with_comparables(t.listings, m.comparables(t.listings, GRAINS), GRAINS)
+    rows = checkpointed(t.listings.select("olx_id", "brand", "model", "generation", "fuel_type", "price_eur", "year", "mileage_km"), "listings")
+    out = n.with_comparables(rows, m.comparables(rows, GRAINS, only_price=True), GRAINS)
     return out.select("olx_id", "comparable_grain", "comparable_n", "comparable_median")
 
 

@@ -350,3 +350,17 @@ def test_relists_of_kinds_are_those_of_all_pairs(spark):
     want = sorted(map(tuple, deals.best_candidates(deals.match_score(deals.gates(deals.relist_pairs(df))), 0.5).select("o_olx_id", "score", "gap_days", "c_olx_id").collect()))
     got = deals.best_relists(df, None, 0.5)
     assert set(what) <= set(got.columns) and sorted(map(tuple, got.select("o_olx_id", "score", "gap_days", "c_olx_id").collect())) == want and want
+
+
+def test_comparables_count_equal_rows_before_the_grains(spark):
+    from marketloom.operators import market
+
+    rows = [(f"b{k % 2}", "m", None if k % 5 == 0 else f"g{k % 3}", None if k % 4 == 0 else "Diesel", float(k % 7), 2000 + k % 3, k % 11) for k in range(300)]
+    df = spark.createDataFrame(rows, "brand string, model string, generation string, fuel_type string, price_eur double, year int, mileage_km int")
+    grains = {"sub": ("brand", "model", "generation", "fuel_type"), "model": ("brand", "model")}
+    full = market.comparables(df, grains)
+    got = {(r.grain, r.brand, r.generation, r.fuel_type): (r.n, r.median_price) for r in market.comparables(df, grains, only_price=True).collect()}
+    assert got == {(r.grain, r.brand, r.generation, r.fuel_type): (r.n, r.median_price) for r in full.collect()}
+    for r in full.where("grain = 'model'").collect():
+        own = [x for x in rows if x[0] == r.brand and x[4] > 0]
+        assert (r.n, r.median_price, r.median_year, r.median_mileage) == (len(own), *(float(np.median([x[i] for x in own])) for i in (4, 5, 6)))
