@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as v
 from ..operators import market as m
+from ..operators.storage import checkpointed
 from .market import SIGNALS_SQL, signals_of
 from .registry import AS_OF, Tables, query
 
@@ -264,7 +265,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("m10_decile_edges", f"WITH {SIGNALS_SQL}, e AS (SELECT unnest(list_distinct(quantile_cont(predicted_price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edge FROM signals) SELECT round(edge, 6) AS edge FROM e")
 def _(t: Tables) -> DataFrame:
-    return v.quantile_edges(signals_of(t), "predicted_price").select(F.explode("edges").alias("edge")).select(F.round("edge", 6).alias("edge"))
+    # several passes read them
+    signals = checkpointed(signals_of(t).select("predicted_price"), "signals")
+    return v.quantile_edges(signals, "predicted_price").select(F.explode("edges").alias("edge")).select(F.round("edge", 6).alias("edge"))
 
 
 @query(
