@@ -142,7 +142,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     score = F.col("part_id") % 97 / 100 - 0.3 + F.col("price_eur") / 1_000_000
-    rows = t.listings.where("first_seen_at >= '2000-01-01'").select("olx_id", "price_eur", score.alias("score"))
+    # edges, widths and result all read them
+    rows = checkpointed(t.listings.where("first_seen_at >= '2000-01-01'").select("olx_id", "price_eur", score.alias("score")), "scores")
     edges, overall = c.price_edges(rows, "price_eur"), c.conformal_q(rows, "score")
     rows = rows.withColumn("bucket", c.bucket_at(F.col("price_eur"), edges).cast("long"))
     widths = c.bucket_q(rows, "score", "bucket")
