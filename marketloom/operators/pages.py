@@ -167,18 +167,20 @@ def listing_cards(df: DataFrame, html: str, key: str, base: str, wanted: list[st
     c = F.col
     parts = F.split(c(html), r"""(?=<[^>]*\bdata-testid=["']l-card["'])""")
     cards = df.select(key, F.posexplode(F.filter(parts, lambda _, i: i > 0)).alias("card", "_c"))
-    href = F.regexp_extract("_c", r"""(?s)<a\b[^>]*\bhref=["']([^"']+)""", 1)
-    cards = cards.withColumn("url", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))).withColumn("olx_id", text.advert_id(c("url")))
+    # texts with several readers are columns of their own, so that each is cut out once
+    href = c("_href")
+    cards = cards.withColumn("_href", F.regexp_extract("_c", r"""(?s)<a\b[^>]*\bhref=["']([^"']+)""", 1)).withColumn("url", F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))).withColumn("olx_id", text.advert_id(c("url")))
     fits = F.lit(False)
     for part in wanted:
         fits = fits | c("url").contains(part)
     cards = cards.where(fits & c("olx_id").isNotNull() & (href != ""))
-    wrapped = F.regexp_extract("_c", r"""(?s)\bdata-cy=["']ad-card-title["'][^>]*>(.*)$""", 1)
+    wrapped = c("_wrapped")
+    cards = cards.withColumn("_wrapped", F.regexp_extract("_c", r"""(?s)\bdata-cy=["']ad-card-title["'][^>]*>(.*)$""", 1))
     inner = F.regexp_extract(F.when(wrapped != "", wrapped).otherwise(c("_c")), r"(?s)<(a|h[456])\b[^>]*>(.*?)</\1>", 2)
     heading = F.regexp_extract("_c", r"(?s)<(h[456])\b[^>]*>(.*?)</\1>", 2)
-    cards = cards.withColumns({"title": text_of(F.when(wrapped != "", inner).otherwise(heading)), "_price": text_of(_within(c("_c"), "ad-price")), "_place": text_of(_within(c("_c"), "location-date"))})
-    used = text_of(F.regexp_extract("_c", r"""(?s)<span[^>]*\bdata-nx-name=["']P5["'][^>]*>(.*?)</span>""", 1))
-    age = lambda k: F.regexp_extract(used, r"^(\d{4})\s*-\s*([\d.]+)\s*km", k)
+    cards = cards.withColumn("_heading", F.when(wrapped != "", inner).otherwise(heading))
+    cards = cards.withColumns({"title": text_of(c("_heading")), "_used": text_of(F.regexp_extract("_c", r"""(?s)<span[^>]*\bdata-nx-name=["']P5["'][^>]*>(.*?)</span>""", 1)), "_price": text_of(_within(c("_c"), "ad-price")), "_place": text_of(_within(c("_c"), "location-date"))})
+    age = lambda k: F.regexp_extract("_used", r"^(\d{4})\s*-\s*([\d.]+)\s*km", k)
     names = F.create_map(*[F.lit(x) for b in brands for x in (b.lower().replace(" ", "-"), b)])
     by_url = F.try_element_at(names, F.lower(F.regexp_extract("url", r"/carros/([^/]+)/", 1)))
     spelled = F.try_element_at(F.create_map(*[F.lit(x) for b in brands for x in (b.lower(), b)]), text.brand_in_title(c("title"), brands))
@@ -238,9 +240,18 @@ def listing_details(df: DataFrame, html: str) -> DataFrame:
     )
     said = lambda path: F.nullif(F.trim(F.get_json_object("_ld", path)), F.lit(""))
 
+    # each text is cut out of the page once; its readers are many
+    df = df.withColumns(
+        {
+            "_ld_v": F.transform("_ld_p", lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))),
+            "_ld_price": text_of(_within(page, "ad-price-container")),
+            "_ld_posted": text_of(_within(page, "ad-posted-at")),
+            "_ld_seller": F.regexp_extract(page, r"""(?s)<a\b[^>]*\bhref=["']([^"']*/ads/user/[^"']+)""", 1),
+        }
+    )
+
     def labelled(label: str) -> Column:
-        own = F.filter("_ld_p", lambda x: F.trim(F.substring_index(x, ":", 1)) == label)
-        return F.trim(F.regexp_replace(F.try_element_at(own, F.lit(-1)), "^[^:]*:", ""))
+        return F.try_element_at(F.filter("_ld_v", lambda x: x["name"] == label), F.lit(-1))["value"]
 
     own: dict[str, Column] = {}
     for label, name in PARAMETERS.items():
@@ -250,7 +261,7 @@ def listing_details(df: DataFrame, html: str) -> DataFrame:
     own["year"] = F.coalesce(own["year"], text.digits(said("$.productionDate")).cast("int"))
     crumb = lambda k: F.nullif(F.trim(F.regexp_replace(F.get(F.reverse("_ld_b"), F.lit(k)), "^.*? - ", "")), F.lit(""))
     two = F.size("_ld_b") >= 2
-    seller = F.regexp_extract(page, r"""(?s)<a\b[^>]*\bhref=["']([^"']*/ads/user/[^"']+)""", 1)
+    seller = c("_ld_seller")
     photos = F.size(F.regexp_extract_all(page, F.lit(r"""\bdata-testid=["']ad-photo["']"""), 0))
     wrapper = F.nullif(_within(page, "prices-wrapper"), F.lit(""))
     return df.withColumns(
@@ -258,14 +269,14 @@ def listing_details(df: DataFrame, html: str) -> DataFrame:
         | {
             "title": said("$.name"),
             "sku": F.coalesce(said("$.sku"), F.nullif(F.regexp_extract(_within(page, "ad-footer-bar-section"), r"ID:\s*(\d+)", 1), F.lit(""))),
-            "price_eur": F.coalesce(F.get_json_object("_ld", "$.offers.price").try_cast("double"), text.price_eur(F.nullif(text_of(_within(page, "ad-price-container")), F.lit("")))),
+            "price_eur": F.coalesce(F.get_json_object("_ld", "$.offers.price").try_cast("double"), text.price_eur(F.nullif(c("_ld_price"), F.lit("")))),
             "negotiable": F.lower(text_of(wrapper)).contains("negociável"),
             "district": F.when(two, crumb(1)).otherwise(crumb(0)),
             "city": F.coalesce(F.when(two, crumb(0)), said("$.offers.areaServed.name")),
             "photo_count": F.when(photos > 0, photos),
-            "posted_at": text.portuguese_date(text_of(_within(page, "ad-posted-at"))),
+            "posted_at": text.portuguese_date(c("_ld_posted")),
             "seller_type": F.try_element_at(F.filter("_ld_p", lambda x: x.isin("Particular", "Profissional")), F.lit(-1)),
             "seller_profile_url": F.nullif(seller, F.lit("")),
             "seller_short_id": short_id(seller),
         }
-    ).drop("_ld", "_ld_p", "_ld_b")
+    ).drop("_ld", "_ld_p", "_ld_b", "_ld_v", "_ld_price", "_ld_posted", "_ld_seller")

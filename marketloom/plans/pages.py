@@ -188,6 +188,11 @@ def _(t: Tables) -> DataFrame:
 BRANDS = ["Volkswagen", "Alfa Romeo", "BMW", "Mercedes-Benz"]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The keys dealt to several tasks for each core: a small file is one task, but a page made of a key is long work."""
+    return df.select(key).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def search_pages(t: Tables) -> DataFrame:
     """A search page for each part: a card of the site, one of another site, one without an id."""
     k = F.col("p_partkey")
@@ -201,7 +206,7 @@ def search_pages(t: Tables) -> DataFrame:
     )
     two = F.concat(F.lit('<div data-testid="l-card"><a href="https://other.example.org/x-IDb'), i, F.lit('.html"></a><h6>Mercedes-Benz A</h6><p data-testid="location-date">Lisboa</p></div>'))
     three = F.lit('<div data-testid="l-card"><a href="/d/anuncio/none.html"></a></div><div data-testid="l-card"><a href="/jobs/IDz.html"></a></div>')
-    return t.part.select("p_partkey", F.concat(F.lit("<html><body>"), one, two, three, F.lit("</body></html>")).alias("html"))
+    return spread(t.part, "p_partkey").select("p_partkey", F.concat(F.lit("<html><body>"), one, two, three, F.lit("</body></html>")).alias("html"))
 
 
 @query(
@@ -222,7 +227,7 @@ def advert_pages(t: Tables) -> DataFrame:
     parameters = F.concat(F.lit('<div data-testid="ad-parameters-container"><p><span>Particular</span></p><p>Quilómetros: '), F.translate(F.format_number(k * 1000, 0), ",", "."), F.lit(" km</p><p>Cor: Azul</p><p>Outro: x</p>"), F.when(k % 3 == 0, "<p>Ano: 2018</p>").otherwise(""), F.lit("</div>"))
     crumbs = F.concat(F.lit('<ol data-testid="breadcrumbs"><li data-testid="breadcrumb-item"><a>Carros</a></li><li data-testid="breadcrumb-item"><a>Carros - Lisboa</a></li>'), F.when(k % 2 == 0, '<li data-testid="breadcrumb-item"><a>Carros - Sintra</a></li>').otherwise(""), F.lit("</ol>"))
     rest = F.concat(F.lit('<div data-testid="prices-wrapper"><h3 data-testid="ad-price-container">'), (k * 7).cast("string"), F.lit(" €</h3>"), F.when(k % 5 == 0, "<p>Negociável</p>").otherwise(""), F.lit('</div><div data-testid="ad-photo"></div><div data-testid="ad-photo"></div><span data-testid="ad-posted-at">12 de março de 2024</span><a class="s" href="https://example.com/ads/user/u'), i, F.lit('/">Ana</a>'))
-    return t.part.select("p_partkey", F.concat(F.lit("<html>"), F.when(k % 4 > 0, vehicle).otherwise(""), parameters, crumbs, rest, F.lit("</html>")).alias("html"))
+    return spread(t.part, "p_partkey").select("p_partkey", F.concat(F.lit("<html>"), F.when(k % 4 > 0, vehicle).otherwise(""), parameters, crumbs, rest, F.lit("</html>")).alias("html"))
 
 
 @query(
