@@ -7,9 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import at, ratio
 from ..functions.text import fixed_mileage
@@ -270,6 +275,101 @@ def first_come_matches(pairs: DataFrame, takes: Column | None = None, cell: str
         seen = now
 
 
+#: Rows of a block that one task may hold, and comparisons that it makes together.
+BLOCK_ROWS, TOGETHER = 100_000, 1 << 20
+
+
+def _served(ids: list, side: np.ndarray, km: np.ndarray, price: np.ndarray, known: np.ndarray, seen: np.ndarray, tolerance: float, once: bool) -> Iterator[tuple]:
+    """(a, b) of one block whose rows are in order of ``side`` (False: a) and id; rows of one id count as one."""
+    n = int(np.searchsorted(side, True))
+    if n in (0, len(ids)):
+        return
+    low, high = 1 - tolerance, 1 + tolerance
+    number = np.cumsum([0, *(x != y for x, y in zip(ids[1:n], ids, strict=False))])
+    free, step, best = np.ones(n, bool), max(1, TOGETHER // n), None
+    for begin in range(n, len(ids), step):
+        own = slice(begin, begin + step)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            by_km, by_price = km[own, None] / km[:n], price[own, None] / price[:n]
+        near = (by_km >= low) & (by_km <= high) & ((by_price >= low) & (by_price <= high) | ~(known[own, None] & known[:n]))
+        for i, row in enumerate(near, begin):
+            if best and ids[i] != ids[i - 1]:
+                yield ids[best[0]], ids[i - 1]
+                if best[1]:
+                    free[number == number[best[0]]] = False
+                best = None
+            k = int((row & free).argmax())
+            if row[k] and free[k] and (best is None or k < best[0]):
+                best = k, once or seen[i] > seen[k]
+    if best:
+        yield ids[best[0]], ids[-1]
+
+
+def _walked_blocks(batches: Iterable[pa.RecordBatch], schema: pa.Schema, tolerance: float, once: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """Matches of rows in order of block, side and id; of a block of more than ``most`` rows its name alone. A block may go on in the next batch."""
+    block, parts, n = None, [], 0
+
+    def finished() -> Iterator[tuple]:
+        if n > most:
+            yield None, None, *block
+        elif n:
+            ids, *rest = zip(*parts, strict=True)
+            yield from ((*m, *[None] * len(BLOCK)) for m in _served([x for own in ids for x in own], *map(np.concatenate, rest), tolerance, once))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(batch.schema.get_field_index(c)) for c in BLOCK]
+        name = lambda k: tuple(x[k].as_py() for x in keys)  # noqa: E731, B023
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = name(0) != block
+        for x in keys:
+            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+        ids, side, km, price, seen = (batch.column(k) for k in range(len(BLOCK), len(BLOCK) + 5))
+        known, plain = pc.is_valid(price), lambda x: x.to_numpy(zero_copy_only=False)
+        values = [ids.to_pylist(), *map(plain, (side, km, price, known, seen))]
+        edges, out = sorted({0, *np.flatnonzero(new).tolist(), batch.num_rows}), []
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if new[begin]:
+                out += finished()
+                block, parts, n = name(begin), [], 0
+            n += end - begin
+            parts = [*parts, [x[begin:end] for x in values]] if n <= most else []
+        if out:
+            yield packed(out)
+    if out := list(finished()):
+        yield packed(out)
+
+
+def block_matches(df: DataFrame, a: str = "olx", b: str = "sv", tolerance: float = 0.1, key: str = "olx_id", once: bool = False, most: int = BLOCK_ROWS) -> DataFrame:
+    """``a_id, b_id``: the first-come matches of ``cross_source_pairs``, without its pairs: rows move once, to their block.
+
+    In order of ``b`` ids, every row takes the least ``a`` that is near and still there. It is used up if it was
+    seen before (becomes the duplicate), with ``once`` always. A task holds one block of at most ``most`` rows;
+    larger blocks are only named by it, and go through pairs and rounds of slices (``first_come_matches``).
+    """
+    rows = _candidates(df).where(F.col("source").isin(a, b))
+    known = F.nullif(F.col("price_eur").cast("double"), F.lit(0.0))
+    # an unknown time is before all others
+    seen = F.coalesce(F.unix_micros("last_seen_at"), F.lit(-(1 << 62)))
+    rows = rows.select(*BLOCK, F.col(key).alias("id"), (F.col("source") == b).alias("side"), F.col("mileage_km").cast("double").alias("km"), known.alias("price"), seen.alias("seen"))
+    kind = {"a_id": "id", "b_id": "id"} | {c: c for c in BLOCK}
+    schema = ", ".join(f"{c} {rows.schema[own].dataType.simpleString()}" for c, own in kind.items())
+    empty = to_arrow_schema(StructType([StructField(c, rows.schema[own].dataType) for c, own in kind.items()]))
+    rows = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "side", "id")
+    found = checkpointed(rows.mapInArrow(lambda batches: _walked_blocks(batches, empty, tolerance, once, most), schema), "matches")
+    matches = found.where(F.col("a_id").isNotNull()).select("a_id", "b_id")
+    large = found.where(F.col("a_id").isNull()).select(*BLOCK)
+    if large.isEmpty():
+        return matches
+    # at most one name for ``most`` rows
+    pairs = cross_source_pairs(_candidates(df).join(F.broadcast(large), list(BLOCK), "left_semi"), a, b, tolerance, key)
+    return matches.unionByName(first_come_matches(pairs, None if once else F.col("canonical") == F.col("b_id")))
+
+
 def same_source_duplicates(df: DataFrame, tolerance: float = 0.01, key: str = "olx_id") -> DataFrame:
     """``key, duplicate_of``: later rows of a block with the same source and mileage, priced alike.
 

@@ -257,7 +257,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """A later match may have the same OLX row again, unless that row became the duplicate."""
-    return b.first_come_matches(b.cross_source_pairs(t.listings), takes=F.col("canonical") == F.col("b_id"))
+    return b.block_matches(t.listings)
 
 
 @query(
@@ -271,7 +271,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """The matching in which every row is used once, by one walk through each block."""
-    return b.match_in_blocks(b.cross_source_pairs(t.listings))
+    return b.block_matches(t.listings, once=True)
 
 
 @query(

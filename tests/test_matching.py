@@ -77,3 +77,40 @@ def test_models_of_titles_as_by_patterns(spark):
         return max(found, key=lambda m: (len(m), m), default=None)
 
     assert got == {(k if b else f"none{k}"): want(b, t) for k, b, t in rows} and len({v for v in got.values()}) > 6
+
+
+def listed(seed, n):
+    rng = np.random.default_rng(seed)
+    some = lambda *x: None if rng.random() < 0.1 else x[int(rng.integers(len(x)))]
+    rows = []
+    for k in range(n):
+        seen = None if rng.random() < 0.1 else f"2001-01-{int(rng.integers(1, 20)):02} 00:00:00"
+        # the first block has half of all rows
+        block = ("Vw", "Golf", 2001, "Porto") if rng.random() < 0.5 else (some("vw", "Fiat"), some("golf", "Uno"), int(rng.integers(2000, 2002)), some("porto", "Faro"))
+        rows.append((f"k{int(rng.integers(10**6)):07}-{k}", *block, some(*range(1000, 50000, 900)), some(0.0, *map(float, range(500, 9000, 37))), seen, some("olx", "sv", "sv", "other"), bool(rng.random() < 0.95), "d" if rng.random() < 0.05 else None))
+    return rows
+
+
+LISTED = "olx_id string, brand string, model string, year int, district string, mileage_km int, price_eur double, seen string, source string, is_active boolean, duplicate_of string"
+
+
+@pytest.mark.parametrize("once", [False, True])
+@pytest.mark.parametrize("most", [100_000, 60, 0])
+def test_matches_by_block_are_those_of_its_pairs(spark, once, most):
+    df = spark.createDataFrame(listed(3, 700), LISTED).withColumn("last_seen_at", F.col("seen").cast("timestamp")).repartition(3)
+    pairs = maintain.cross_source_pairs(df)
+    want = walked([(0, r.b_id, r.a_id, once or r.canonical == r.b_id) for r in pairs.collect()])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = maintain.block_matches(df, once=once, most=most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == want and len(want) > 40
+
+
+def test_blocks_are_matched_without_their_pairs(spark, monkeypatch):
+    rows = [(f"{s}{k:03}", "vw", "golf", 2001, "porto", 1000, 500.0, "2001-01-01 00:00:00", s, True, None) for s in ("olx", "sv") for k in range(300)]
+    df = spark.createDataFrame(rows, LISTED).withColumn("last_seen_at", F.col("seen").cast("timestamp"))
+    monkeypatch.setattr(maintain, "cross_source_pairs", None)
+    assert sorted(map(tuple, maintain.block_matches(df, once=True).collect())) == [(f"olx{k:03}", f"sv{k:03}") for k in range(300)]
+    assert {r.a_id for r in maintain.block_matches(df).collect()} == {"olx000"}
