@@ -118,28 +118,31 @@ def days_on_market(first: str = "first_seen_at", gone: str = "deactivated_at") -
 def segment_metrics(df: DataFrame, signals: DataFrame | None, as_of: str, sold_days: int = 60, trend_days: int = 90, trend_rows: int = 5) -> DataFrame:
     """One row for each (brand, model, generation) of non-duplicates; a null generation counts as empty.
 
-    ``signals``: olx_id, undervaluation_pct, predicted_price.
+    ``signals``: olx_id, undervaluation_pct, predicted_price; without them those columns of ``df`` count, if it has them.
+    What the figures need of a row is stored once.
     """
     rows = df.where(F.col("duplicate_of").isNull()).withColumns({k: F.coalesce(k, F.lit("")) for k in SEGMENT})
-    if signals is None:
-        rows = rows.withColumns({"undervaluation_pct": F.lit(None).cast("double"), "predicted_price": F.lit(None).cast("double")})
-    else:
+    if signals is not None:
         rows = rows.join(signals.select("olx_id", "undervaluation_pct", "predicted_price"), "olx_id", "left")
+    elif "predicted_price" not in rows.columns:
+        rows = rows.withColumns({"undervaluation_pct": F.lit(None).cast("double"), "predicted_price": F.lit(None).cast("double")})
     live, gone = F.col("is_active"), sold()
     recent = gone & (F.col("deactivated_at") >= at(as_of) - F.make_dt_interval(F.lit(sold_days)))
     price, first = F.col("price_eur"), F.col("first_price_eur")
     moved = live & (first > 0) & price.isNotNull() & (whole_days(at(as_of), F.col("first_seen_at")) <= trend_days)
     change = F.when(moved, (price - first) / first * 100)
     resid = F.when(gone & (F.col("predicted_price") > 0), price - F.col("predicted_price"))
+    medians = {"median_dom": F.when(recent, days_on_market()), "median_active_ask_eur": F.when(live, price), "median_sold_ask_eur": F.when(gone, price), "trend_30d_pct": change, "calibration_residual_eur": resid}
+    flags = {"_live": live, "_recent": recent, "_gone": gone, "_moved": moved, "_under": F.when(live, F.col("undervaluation_pct"))}
+    rows = checkpointed(rows.select(*SEGMENT, *[c.alias(k) for k, c in (flags | medians).items()]), "segments")
     out = rows.groupBy(*SEGMENT).agg(
-        F.count_if(live).alias("n_active"),
-        F.count_if(recent).alias("n_sold_60d"),
-        F.count_if(gone).alias("n_sold_total"),
-        F.round(mean(F.when(live, F.col("undervaluation_pct"))), 4).alias("avg_undervaluation_pct"),
-        F.count_if(moved).alias("_moved"),
+        F.count_if("_live").alias("n_active"),
+        F.count_if("_recent").alias("n_sold_60d"),
+        F.count_if("_gone").alias("n_sold_total"),
+        F.round(mean(F.col("_under")), 4).alias("avg_undervaluation_pct"),
+        F.count_if("_moved").alias("_moved"),
     )
-    medians = {"median_dom": F.when(recent, days_on_market()), "median_active_ask_eur": F.when(live, price), "median_sold_ask_eur": F.when(gone, price), "trend_30d_pct": change, "calibration_residual_eur": resid}
-    out = with_medians(out, rows, list(SEGMENT), medians)
+    out = with_medians(out, rows, list(SEGMENT), {k: k for k in medians}, stored=True)
     out = out.withColumns({"trend_30d_pct": F.round(F.when(F.col("_moved") >= trend_rows, F.col("trend_30d_pct")), 4), "calibration_residual_eur": F.round("calibration_residual_eur", 4)}).drop("_moved")
     return out.withColumn("clearing_ratio", F.round(ratio(F.col("median_sold_ask_eur"), F.col("median_active_ask_eur")), 6))
 

@@ -113,11 +113,18 @@ def value_counts(df: DataFrame, keys: list[str], columns: dict[str, Column | str
 
     With ``weight`` a row stands for that many.
     """
+    return checkpointed(_values(df, keys, columns, weight).groupBy("k", "m", "v").agg(F.sum("_w").alias("c")), "value-counts")
+
+
+def _values(df: DataFrame, keys: list[str], columns: dict[str, Column | str], weight: str | None = None, together: bool = False) -> DataFrame:
+    """``k, m, v`` and the weight ``_w`` of every known value; with ``together`` the rows of a group move to one partition, before they become values."""
     kind = lambda c: F.col(c) if isinstance(c, str) else c
-    values = F.array(*[F.struct(F.lit(name).alias("m"), kind(c).cast("double").alias("v")) for name, c in columns.items()])
     own = F.col(weight) if weight else F.lit(1).cast("long")
-    rows = df.select(F.struct(*keys).alias("k"), own.alias("_w"), F.explode(values).alias("_x")).select("k", "_w", "_x.*").where("v is not null")
-    return checkpointed(rows.groupBy("k", "m", "v").agg(F.sum("_w").alias("c")), "value-counts")
+    rows = df.select(F.struct(*keys).alias("k"), own.alias("_w"), *[kind(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns.values())])
+    if together:
+        rows = rows.where(F.coalesce(*[f"_v{i}" for i in range(len(columns))]).isNotNull()).repartition("k")
+    values = F.array(*[F.struct(F.lit(name).alias("m"), F.col(f"_v{i}").alias("v")) for i, name in enumerate(columns)])
+    return rows.select("k", "_w", F.explode(values).alias("_x")).select("k", "_w", "_x.*").where("v is not null")
 
 
 def _spans(counts: DataFrame) -> DataFrame:
@@ -137,22 +144,33 @@ def _spans(counts: DataFrame) -> DataFrame:
     return out.select("k", "m", "v", "c", (F.col("_in") + F.coalesce("_before", F.lit(0))).alias("s"), F.coalesce("_all", "_own").alias("n"))
 
 
-def grouped_positions(df: DataFrame, keys: list[str], columns: dict[str, Column | str], position: Callable[[Column], list[Column]], most: int = GROUP_VALUES, weight: str | None = None) -> DataFrame:
+def grouped_positions(df: DataFrame, keys: list[str], columns: dict[str, Column | str], position: Callable[[Column], list[Column]], most: int = GROUP_VALUES, weight: str | None = None, stored: bool = False) -> DataFrame:
     """``keys, m, n, quantiles``: for each group and named column its number of known values and the values at the positions
     that ``position(n)`` gives (0-based, fractions between neighbours), whatever the size of a group.
 
-    Null keys are keys. Groups without a known value have no row.
+    Null keys are keys. Groups without a known value have no row. A ``stored`` table is read twice: its rows are
+    counted, and if no group has more than ``most``, rows move once, to their group, and no counts are stored.
     """
+    if stored and df.groupBy(*keys).agg(F.count("*").alias("_d")).where(F.col("_d") > most).isEmpty():
+        return _at_positions(_small_spans(_values(df, keys, columns, weight, together=True).groupBy("k", "m", "v").agg(F.sum("_w").alias("c"))), position)
     counts = value_counts(df, keys, columns, weight)
     sizes = counts.groupBy("k", "m").agg(F.count("*").alias("_d")).where(F.col("_d") > most).select(F.col("k").alias("_k"), F.col("m").alias("_m"))
     hot = checkpointed(sizes, "hot-groups")
-    few = Window.partitionBy("k", "m")
-    spans = lambda c: c.withColumns({"s": F.coalesce(F.sum("c").over(few.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(few)})
     if hot.isEmpty():
-        rows = spans(counts)
+        rows = _small_spans(counts)
     else:
         on = _same("k", "_k") & _same("m", "_m")
-        rows = spans(counts.join(hot, on, "left_anti")).unionByName(_spans(counts.join(hot, on, "left_semi")))
+        rows = _small_spans(counts.join(hot, on, "left_anti")).unionByName(_spans(counts.join(hot, on, "left_semi")))
+    return _at_positions(rows, position)
+
+
+def _small_spans(counts: DataFrame) -> DataFrame:
+    """``s`` and ``n`` as ``_spans`` has them, by a window over the counts of a group."""
+    few = Window.partitionBy("k", "m")
+    return counts.withColumns({"s": F.coalesce(F.sum("c").over(few.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(few)})
+
+
+def _at_positions(rows: DataFrame, position: Callable[[Column], list[Column]]) -> DataFrame:
     asked = position(F.col("n"))
     holds = lambda r: (F.col("s") <= r) & (r < F.col("s") + F.col("c"))
     wanted = [(F.floor(p).cast("long"), F.ceil(p).cast("long"), p) for p in asked]
@@ -172,9 +190,9 @@ def grouped_quantiles(df: DataFrame, column: str, keys: list[str], levels: list[
     return grouped_positions(df, keys, {column: column}, lambda n: [F.lit(p) * (n - 1) for p in levels], most).drop("m")
 
 
-def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, Column | str], most: int = GROUP_VALUES, weight: str | None = None) -> DataFrame:
+def with_medians(groups: DataFrame, df: DataFrame, keys: list[str], columns: dict[str, Column | str], most: int = GROUP_VALUES, weight: str | None = None, stored: bool = False) -> DataFrame:
     """``groups`` (one row for each group of ``df`` by ``keys``) with exact medians of named expressions; null where none is known."""
-    found = grouped_positions(df, keys, columns, lambda n: [F.lit(0.5) * (n - 1)], most, weight)
+    found = grouped_positions(df, keys, columns, lambda n: [F.lit(0.5) * (n - 1)], most, weight, stored)
     wide = found.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(*[F.max(F.when(F.col("m") == name, F.col("quantiles")[0])).alias(name) for name in columns])
     on = F.lit(True)
     for k in keys:

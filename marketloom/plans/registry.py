@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
@@ -56,7 +56,21 @@ class Tables:
     @cached_property
     def listings(self) -> DataFrame:
         df = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        return self._listings(df.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(self.nation, F.col("s_nationkey") == F.col("n_nationkey")))
+
+    @cached_property
+    def priced_listings(self) -> DataFrame:
+        """The same rows with ``order_id`` and ``retail_price``, the least of the part's key.
+
+        Orders are joined last, so rows of an order lie together; an olx_id begins with its order.
+        """
+        least = F.min(F.struct("p_retailprice")).over(Window.partitionBy("p_partkey"))["p_retailprice"]
+        df = self.lineitem.join(self.part.withColumn("_least", least), F.col("l_partkey") == F.col("p_partkey"))
         df = df.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        return self._listings(df.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")), F.col("l_orderkey").alias("order_id"), F.col("_least").alias("retail_price"))
+
+    @staticmethod
+    def _listings(df: DataFrame, *more: Column) -> DataFrame:
         active = F.col("l_linestatus") == "O"
         first_seen = F.col("o_orderdate").cast("timestamp")
         days = ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 120).cast("int")
@@ -86,6 +100,7 @@ class Tables:
             F.col("p_name").alias("title"),
             F.when(F.col("l_orderkey") % 50 == 0, F.concat(F.lit("dup-"), F.col("l_orderkey").cast("string"))).alias("duplicate_of"),
             F.col("l_partkey").alias("part_id"),
+            *more,
         )
 
     @cached_property

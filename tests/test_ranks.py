@@ -71,3 +71,22 @@ def test_places_of_a_bucket_over_several_partitions(spark):
     for name in {r[1] for r in rows}:
         own = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[0]))
         assert [got[r[0]] for r in own] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_medians_of_a_stored_table_are_the_same(spark, most):
+    rows = rows_of(3)
+    df = spark.createDataFrame(rows, "a string, b int, v double, w double").repartition(5)
+    groups = df.groupBy("a", "b").agg(F.count("*").alias("n"))
+    columns = {"mid": "v", "square": F.col("w") + 1}
+    own, other = (sorted(map(str, ranks.with_medians(groups, df, ["a", "b"], columns, most, stored=stored).collect())) for stored in (True, False))
+    assert own == other and len(own) == len({r[:2] for r in rows})
+
+
+def test_rows_of_a_stored_table_move_once(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 7).alias("a"), (F.col("id") * 31 % 1009).cast("double").alias("v"))
+    monkeypatch.setattr(ranks, "value_counts", None)
+    out = ranks.grouped_positions(df, ["a"], {"v": "v"}, lambda n: [F.lit(0.5) * (n - 1)], stored=True)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # by group, and the picked values of each group
+    assert plan.count("Exchange hashpartitioning") <= 2 and out.count() == 7
