@@ -41,8 +41,7 @@ from .tokens import _ODD, LONGEST, MEMO, TextEncoder, byte_characters
 SPACE, BLANK = "▁", " "
 #: A pair of ids in one number.
 SHIFT = 32
-#: One pre-token of A. A cut of a text whose white space is not single: before a single blank or line feed between other characters.
-_WORD = re.compile(" ?[A-Za-z]+")
+#: A cut of a text whose white space is not single: before a single blank or line feed between other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -100,6 +99,7 @@ class Aligner:
         self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)))
         for i, x in self.a_bytes.items():
             self.a_sizes[i] = len(x)
+        self.names = list(map(str, range(max(len(self.a_sizes), len(self.b_sizes)))))
         self.prefix, self.feed = self.b.piece_to_id(SPACE), self.b.piece_to_id("<0x0A>")
         # no piece goes on over a blank or a line feed, and the A file splits there
         apart = all("\n" not in p and SPACE not in p.lstrip(SPACE) for p in pieces) and not any(self.b.is_unused(i) for i in range(len(pieces)))
@@ -115,56 +115,74 @@ class Aligner:
     def a_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and byte ends of all texts by A, one after another, and the number of each text's tokens.
 
-        A text of ASCII letters that is one pre-token goes to the library's model, whose offsets are of
-        the bytes of what it reads, a leading blank being two; any other to the whole library, whose
-        offsets are of characters.
+        The library's offsets are of characters; those of all texts become places in their bytes at once.
         """
-        found: list[tuple[list[int], list[int], list[bool]] | None] = []
-        for text in texts:
-            if self.cuts and _WORD.fullmatch(text):
-                blank = text[0] == BLANK
-                tokens = self.reader.model.tokenize(self.reader.blank + text[1:] if blank else text)
-                found.append(([t.id for t in tokens], [t.offsets[1] - blank for t in tokens], [True] * len(tokens)))
-            else:
-                found.append(None)
-        places = [k for k, f in enumerate(found) if f is None][::-1]
-        rest = [texts[k] for k in reversed(places)]
-        for f, text in zip(self.a.encode_batch(rest, add_special_tokens=False), rest, strict=True):
-            offsets = f.offsets
-            ends = [e for _, e in offsets]
-            clean = [x[0] >= y[1] for x, y in zip(offsets[1:], offsets, strict=False)] + [True] * bool(offsets)
-            if not text.isascii():
-                points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
-                ends = at[ends].tolist()
-            found[places.pop()] = (f.ids, ends, clean)
-        counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
-        ids, ends, clean = (np.fromiter(chain.from_iterable(f[k] for f in found), kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(f.ids for f in found), np.int64)
+        begins, ends = np.fromiter(chain.from_iterable(chain.from_iterable(f.offsets for f in found)), np.int64).reshape(-1, 2).T
+        clean = np.ones(len(ids), bool)
+        clean[:-1] = begins[1:] >= ends[:-1]
+        clean[(np.cumsum(counts) - 1)[counts > 0]] = True
+        data = "".join(texts)
+        if not data.isascii():
+            points = np.frombuffer(data.encode("utf-32-le"), "<u4")
+            at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+            first = np.repeat(flat_starts(np.fromiter(map(len, texts), np.int64, len(texts))), counts)
+            ends = at[first + ends] - at[first]
         return ids, refined(ends, clean, self.a_sizes[ids], counts), counts
 
     def b_text(self, text: str) -> str:
         """What B gets for ``text``: B puts a space before it, which is the text's own first one, or else stays apart from it by a line feed."""
         return text[1:] if text[0] == BLANK else text if text[0] == "\n" else "\n" + text
 
+    def b_pieces(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and byte ends of B's pieces, whether an end is a coarse cut, and the number of each line's pieces."""
+        ids: list[int] = []
+        ends: list[int] = []
+        counts = np.zeros(len(lines), np.int64)
+        for k, x in enumerate(self.b.encode(lines, return_type="proto", num_threads=1)):
+            pieces = x.pieces
+            counts[k] = len(pieces)
+            ids += [p.id for p in pieces]
+            ends += [p.end for p in pieces]
+        flat, at = np.array(ids, np.int64), np.array(ends, np.int64)
+        # a piece begins where the one before it ends; byte-fallback pieces but the last have no span
+        begins = np.concatenate([[0], at[:-1]])[: len(at)]
+        begins[flat_starts(counts)[counts > 0]] = 0
+        return flat, at, (at > begins) | ~self.b_byte[flat], counts
+
+    def b_lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The same as ``b_tokens`` by one text with a line feed before each of ``texts``, over which no piece goes; None if the feeds are not found."""
+        ids, ends, clean, _ = self.b_pieces(["\n" + "\n".join(texts)])
+        sizes = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
+        begins = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+        feed = (ids == self.feed) & np.isin(ends, begins)
+        if ids[0] != self.prefix or not feed[1:2].all() or feed.sum() != len(texts):
+            return None
+        text = np.cumsum(feed) - 1
+        keep = ~feed & (text >= 0)
+        ids, text = ids[keep], text[keep]
+        counts = np.bincount(text, minlength=len(texts))
+        return ids, refined(ends[keep] - begins[text], clean[keep], self.b_sizes[ids], counts), counts
+
     def b_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and byte ends of all texts by B, one after another, and the number of each text's tokens."""
-        found = self.b.encode(list(map(self.b_text, texts)), return_type="proto", num_threads=1)
-        rows: list[tuple[int, int, int]] = []
-        counts = []
-        for text, x in zip(texts, found, strict=True):
-            own = [(p.id, p.begin, p.end) for p in x.pieces]
-            if text[0] == BLANK:
-                rows += [(i, b + 1, e + 1) for i, b, e in own]
-            else:
-                skip = 1 if text[0] == "\n" else 2
-                # a prefix that is not apart leaves a piece that no text gives back
-                own = [(i, b - skip + 1, e - skip + 1) for i, b, e in own[skip:]] if [i for i, _, _ in own[:skip]] == [self.prefix, self.feed][:skip] else [(self.prefix, 0, 0)]
-                rows += own
-            counts.append(len(own))
-        flat = np.array(rows, np.int64).reshape(-1, 3)
-        counts = np.array(counts, np.int64)
-        clean = (flat[:, 2] > flat[:, 1]) | ~self.b_byte[flat[:, 0]]
-        return flat[:, 0], refined(flat[:, 2], clean, self.b_sizes[flat[:, 0]], counts), counts
+        if self.cuts and len(texts) > 1 and (found := self.b_lines(texts)):
+            return found
+        ids, ends, clean, counts = self.b_pieces(list(map(self.b_text, texts)))
+        starts = flat_starts(counts)
+        # pieces of what b_text puts before a text are left out
+        skip = np.fromiter((0 if x[0] == BLANK else 1 if x[0] == "\n" else 2 for x in texts), np.int64, len(texts))
+        padded = np.concatenate([ids, [-1, -1]])
+        apart = (counts >= skip) & ((skip < 1) | (padded[starts] == self.prefix)) & ((skip < 2) | (padded[starts + 1] == self.feed))
+        text = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(ids)) - starts[text]
+        # a prefix that is not apart leaves a piece that no text gives back
+        keep = np.where(apart[text], place >= skip[text], place == 0)
+        ids, ends = np.where(apart[text], ids, self.prefix)[keep], np.where(apart[text], ends + 1 - skip[text], 0)[keep]
+        counts = np.bincount(text[keep], minlength=len(texts))
+        return ids, refined(ends, clean[keep], self.b_sizes[ids], counts), counts
 
     def whole(self, texts: list[str]) -> list[Part | None]:
         """Texts, or parts between cuts, by one call of each library; None for what a tokenizer does not give back."""
@@ -194,7 +212,7 @@ class Aligner:
         first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
         previous = lambda x, begins: np.where(first, begins[of], np.concatenate([[0], x[:-1] + 1])) if len(x) else x
         x, y = previous(i, flat_starts(a_counts)), previous(j, flat_starts(b_counts))
-        a_name, b_name = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        a_name, b_name = list(map(self.names.__getitem__, a_ids.tolist())), list(map(self.names.__getitem__, b_ids.tolist()))
         groups = [
             f"{a_name[p] if p == q else ','.join(a_name[p : q + 1])}|{b_name[r] if r == s else ','.join(b_name[r : s + 1])}"
             for p, q, r, s in zip(x.tolist(), i.tolist(), y.tolist(), j.tolist(), strict=True)

@@ -296,3 +296,16 @@ def test_op13_one_digest_with_two_contents_is_an_error(spark):
 @pytest.mark.parametrize("name", ["op11_token_spans", "op12_simhash", "op13_prefix_nodes"])
 def test_empty_tables(spark, empty_folder, name):
     assert queries.QUERIES[name](spark, empty_folder).collect() == []
+
+
+def test_lines_of_one_text_give_what_texts_apart_give(monkeypatch):
+    own = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" word", "\nLine", " café", " 日本\U0001f600", "...", " x1,", "\nü", " <0x41>", "▁a", " zwłoka"] * 3
+    calls = []
+    pieces = own.b_pieces
+    monkeypatch.setattr(own, "b_pieces", lambda lines: calls.append(len(lines)) or pieces(lines))
+    together = own.whole(texts)
+    assert calls == [1]
+    assert together == [own.whole([t])[0] for t in texts] and together[0] is not None
+    monkeypatch.setattr(own, "b_lines", lambda texts: None)
+    assert own.whole(texts) == together
