@@ -352,6 +352,38 @@ def test_relists_of_kinds_are_those_of_all_pairs(spark):
     assert set(what) <= set(got.columns) and sorted(map(tuple, got.select("o_olx_id", "score", "gap_days", "c_olx_id").collect())) == want and want
 
 
+def test_scored_pairs_of_kinds_are_those_of_all_pairs(spark, tmp_path):
+    """Copies, nulls, keys that repeat, segments that are dealt and lists that are cut: every pair once, and few bytes for a pair."""
+    from marketloom.operators import deals
+
+    rng = np.random.default_rng(6)
+    some = lambda *x: x[int(rng.integers(0, len(x)))]
+    schema = "olx_id string, brand string, model string, year int, duplicate_of string, is_active boolean, deactivation_reason string, first_seen_at timestamp, deactivated_at timestamp, mileage_km int, fuel_type string, engine_cc int, district string, color string"
+    rows = []
+    for k in range(500):
+        seen = dt.datetime(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 20)) * 10)
+        gone = seen + dt.timedelta(days=int(rng.integers(-2, 5)) * 10)
+        is_sold = k % 3 == 0
+        rows.append((f"k{k if k % 7 else k // 2}", some("b", "c", None), "m", 2010, "dup" if k % 41 == 0 else None, not is_sold, "sold" if is_sold else None, seen, gone if is_sold else None, some(10_000, 12_000, 40_000, None), some("Diesel", None), some(1000, 1040, 2000, None), some("x", " X", None), some("Preto", " preto", "Azul", None)))
+    df = spark.createDataFrame(rows, schema).withColumn("transmission", F.lit(None).cast("string")).cache()
+    what = ["o_olx_id", "c_olx_id", "score"]
+    want = sorted(map(tuple, deals.match_score(deals.gates(deals.relist_pairs(df))).select(*what).collect()))
+    assert want and len({w[2] for w in want}) > 3
+    for more in ({}, {"slot_days": 7}, {"pairs_a_task": 300, "keys_a_task": 50}):
+        got = deals.scored_pairs(df, **more)
+        assert got.columns == what and sorted(map(tuple, got.collect())) == want
+
+    # 300 sold rows of a kind and 1500 later ones of another, whose lists are cut: what is written is far below a key a pair
+    day = dt.datetime(2023, 1, 1)
+    copies = [(f"original-{k:06d}", "b", "m", 2010, None, False, "sold", day, day + dt.timedelta(days=9), 10_000, None, 1000, "x", None) for k in range(300)]
+    copies += [(f"candidate-{k:06d}", "b", "m", 2010, None, True, None, day + dt.timedelta(days=20), None, 10_000, None, 1000, "x", None) for k in range(1500)]
+    pairs = deals.scored_pairs(spark.createDataFrame(copies, schema).withColumn("transmission", F.lit(None).cast("string")))
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    written = spark.read.parquet(str(tmp_path / "pairs"))
+    assert written.count() == written.distinct().count() == 300 * 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 450_000
+
+
 def test_comparables_count_equal_rows_before_the_grains(spark):
     from marketloom.operators import market
 
