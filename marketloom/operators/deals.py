@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import adaptive_window, at, clamp, days_between, ratio, repair_cost, rounded, sold
 from ..functions.text import canonical_colour, numbers_out, salvage_phrase
+from . import relists
 from .enrich import with_comparables, with_segment
 from .storage import checkpointed
 
@@ -71,51 +75,24 @@ def relist_pairs(df: DataFrame, dom: DataFrame | None = None, key: str = "olx_id
 LOOKED_AT = ["mileage_km", "fuel_type", "transmission", "engine_cc", "horsepower", "district", "color", *BONUS]
 
 
-def _apart(df: DataFrame, o: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """Originals that can't meet a candidate of their own key, and the others (None if there are none).
-
-    A key whose rows were all first seen before any of them was sold meets itself in no window.
-    """
-    gone = F.when(sold(), F.col("deactivated_at"))
-    own = df.where(F.col("duplicate_of").isNull()).groupBy(F.col(key).alias("_k")).agg(F.max("first_seen_at").alias("_seen"), F.min(gone).alias("_gone"))
-    own = checkpointed(own.where(F.col("_seen") > F.col("_gone")).select("_k"), "own-keys")
-    if own.isEmpty():
-        return o, None
-    same = F.col(f"o_{key}") == F.col("_k")
-    return o.join(own, same, "left_anti"), o.join(own, same, "left_semi")
-
-
-def _kinds(o: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
-    """The distinct combinations of what decides an original's pairs, and their columns."""
-    columns = ["o_brand", "o_model", "o_year", "o_deactivated_at", "window_days", *[f"o_{k}" for k in fields]]
-    return o.select(*columns).distinct(), columns
-
-
-def _to_members(o: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    on = F.lit(True)
-    for k in columns:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return o.join(found.withColumnsRenamed({k: f"_k_{k}" for k in columns}), on).drop(*[f"_k_{k}" for k in columns])
+def _rules(fields: list[str], least: float = 0.0, scored: bool = True) -> relists.Rules:
+    """``gates`` and ``match_score`` for the matching inside tasks, in hundredths."""
+    told = tuple((f"_{k}", 10) for k in SPELLED if k in fields) + tuple((k, round(100 * w)) for k, w in BONUS.items() if k in fields)
+    near = tuple(x for x in (("engine_cc", 50, 10, -20), ("horsepower", 10, 5, -15)) if x[0] in fields)
+    gated = relists.Rules(equal=("fuel_type", "transmission"), grown="mileage_km", noise=NOISE_KM, rate=KM_PER_DAY)
+    return replace(gated, near=near, agree=told, least=least) if scored else gated
 
 
-def relist_counts(df: DataFrame, dom: DataFrame | None = None, gated: bool = False, key: str = "olx_id") -> DataFrame:
+def relist_counts(df: DataFrame, dom: DataFrame | None = None, gated: bool = False, key: str = "olx_id", most: int = relists.BLOCK) -> DataFrame:
     """``o_<key>, n, gap``: the number of an original's pairs (with ``gated`` those that pass the gates) and their least gap.
 
-    Originals and candidates that the rules can't tell apart count together, so a pair of kinds is met once
-    and not every pair of rows.
+    Pairs are counted inside tasks; ``df`` is read several times, so it should be stored.
     """
-    fields = [k for k in LOOKED_AT[:3] if gated]
-    o, c = relist_sides(df, dom)
-    plain, odd = _apart(df, o, key)
-    passed = gates if gated else lambda pairs: pairs
-    kinds, columns = _kinds(plain, fields)
-    likes = c.groupBy("c_brand", "c_model", "c_year", "c_first_seen_at", *[f"c_{k}" for k in fields]).agg(F.count("*").alias("_n"))
-    found = passed(within_window(kinds, likes)).groupBy(*columns).agg(F.sum("_n").alias("n"), F.min("gap_days").alias("gap"))
-    rows = _to_members(plain, found, columns).select(f"o_{key}", "n", "gap")
-    if odd is not None:
-        pairs = passed(within_window(odd, c).where(F.col(f"o_{key}") != F.col(f"c_{key}")))
-        rows = rows.unionByName(pairs.select(f"o_{key}", F.lit(1).cast("long").alias("n"), F.col("gap_days").alias("gap")))
-    return rows.groupBy(f"o_{key}").agg(F.sum("n").alias("n"), F.min("gap").alias("gap"))
+    rules = _rules([], scored=False) if gated else relists.Rules()
+    rows, _ = relists.blocks(df, dom, key, rules.fields, most)
+    schema = T.StructType([T.StructField(f"o_{key}", df.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("gap", T.DoubleType())])
+    found = relists.in_groups(rows, lambda table: relists.count_in(table, key, rules), schema)
+    return found.groupBy(f"o_{key}").agg(F.sum("n").alias("n"), F.min("gap").alias("gap"))
 
 
 def gates(pairs: DataFrame) -> DataFrame:
@@ -197,31 +174,25 @@ def best_candidates(pairs: DataFrame, least_score: float = 0.0, key: str = "olx_
     return pairs.where(F.col("score") >= least_score).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def best_relists(df: DataFrame, dom: DataFrame | None, least_score: float = 0.0, key: str = "olx_id") -> DataFrame:
-    """What ``best_candidates`` finds among all scored pairs, without building them.
+def best_relists(df: DataFrame, dom: DataFrame | None, least_score: float = 0.0, key: str = "olx_id", keep: list[str] | None = None, most: int = relists.BLOCK) -> DataFrame:
+    """What ``best_candidates`` finds among all scored pairs, without building them: ``o_*`` and ``c_*``, gap_days and score.
 
-    Candidates that gates and score can't tell apart are one, the row of the least key; originals are scored by kind.
+    With ``keep`` only the key and these columns of both sides are told, else all and the reasons. ``df`` is read several times,
+    so it should be stored.
     """
     fields = [k for k in LOOKED_AT if k in df.columns]
-    o, c = relist_sides(df, dom)
-    plain, odd = _apart(df, o, key)
-    kinds, columns = _kinds(plain, fields)
-    told = ["c_brand", "c_model", "c_year", "c_first_seen_at", *[f"c_{k}" for k in fields]]
-    rest = [f"c_{key}", *[x for x in c.columns if x not in told and x != f"c_{key}"]]
-    likes = c.groupBy(*told).agg(F.min(F.struct(*rest)).alias("_row"))
-    pairs = match_score(gates(within_window(kinds, likes))).where(F.col("score") >= least_score)
-    # higher scores first, then shorter gaps, then keys
-    best = F.min(F.struct((-F.col("score")).alias("_order"), "gap_days", F.col(f"_row.c_{key}").alias("_id"), "score", "reasons", *told, "_row")).alias("_best")
-    found = pairs.groupBy(*columns).agg(best)
-    rows = _to_members(plain, found, columns)
-    rows = rows.select(*o.columns, "_best.gap_days", "_best.score", "_best.reasons", *[f"_best.{x}" for x in told], "_best._row.*")
-    if odd is not None:
-        rows = rows.unionByName(match_score(gates(within_window(odd, c).where(F.col(f"o_{key}") != F.col(f"c_{key}")))))
-    return best_candidates(rows, least_score, key)
-
-
-def find_relists(df: DataFrame, dom: DataFrame | None, least_score: float = 0.7) -> DataFrame:
-    best = best_relists(df, dom, least_score)
+    rules = _rules(fields, least_score)
+    told = list(dict.fromkeys([key, *keep] if keep is not None else [k for k in df.columns if k != "duplicate_of"]))
+    rows = df.withColumns({f"_{k}": spell(F.col(k)) for k, (_, spell) in SPELLED.items() if k in fields})
+    rows, _ = relists.blocks(rows, dom, key, [*told, *rules.fields], most)
+    sides = [T.StructField(f"{side}_{k}", df.schema[k].dataType) for side in "oc" for k in told]
+    schema = T.StructType([*sides, T.StructField("gap_days", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    found = best_candidates(relists.in_groups(rows, lambda table: relists.best_in(table, key, rules, told), schema), least_score, key)
+    return found if keep is not None else match_score(found)
+
+
+def find_relists(df: DataFrame, dom: DataFrame | None, least_score: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    best = best_relists(df, dom, least_score, keep=keep if keep is None else ["price_eur", "mileage_km", *keep])
     return best.withColumns({"price_delta_eur": F.round(F.col("c_price_eur") - F.col("o_price_eur"), 2), "mileage_delta_km": F.col("c_mileage_km") - F.col("o_mileage_km")})
 
 
