@@ -67,6 +67,8 @@ def test_relists_without_pairs_are_those_of_every_pair(spark, monkeypatch, most)
     assert got == {k: (v[0], pytest.approx(v[1])) for k, v in want.items()} and len(got) > 100
     got = {r[0]: r[1] for r in deals.relist_counts(df, gated=True, most=most).select("o_olx_id", "n").collect()}
     assert got == {k: v[2] for k, v in want.items() if v[2]} and len(got) > 60
+    quick = deals.relist_counts(df, gated=True, most=most, told_gap=False)
+    assert {r[0]: r[1] for r in quick.select("o_olx_id", "n").collect()} == got and quick.where("gap is not null").isEmpty()
     best = {r[0]: (-round(100 * r[1]), pytest.approx(r[2]), r[3]) for r in deals.best_relists(df, None, 0.45, most=most).select("o_olx_id", "score", "gap_days", "c_olx_id").collect()}
     assert best == {k: v[3] for k, v in want.items() if v[3]} and len(best) > 60
 
@@ -77,8 +79,30 @@ def test_pairs_are_looked_at_in_slices(spark, monkeypatch):
     table = relists.blocks(spark.createDataFrame(rows, SCHEMA), None, "olx_id", ["fuel_type", "transmission", "mileage_km"])[0].toArrow()
     for pairs in (1, 40, 10**6):
         monkeypatch.setattr(relists, "PAIRS", pairs)
-        found = relists.count_in(table, "olx_id", deals._rules([], scored=False)).to_pandas().groupby("o_olx_id")["n"].sum()
-        assert found.to_dict() == want
+        for told_gap in (True, False):
+            found = relists.count_in(table, "olx_id", deals._rules([], scored=False), told_gap).to_pandas().groupby("o_olx_id")["n"].sum()
+            assert found.to_dict() == want
+
+
+def test_few_pairs_are_looked_at(spark, monkeypatch):
+    day, n = dt.datetime(2023, 1, 1), 1000
+    row = lambda k, sold, seen, cc: (f"k{k}", "b", "m", 2010, "g", None, not sold, "sold" if sold else None, day + dt.timedelta(days=seen), day + dt.timedelta(days=seen + 3) if sold else None, 1.0, 1000 + k, "Diesel", "Manual", cc, 100, "x")
+    rows = [row(k, k < n, k % 9 if k < n else 20 + k % 40, 1000 + 60 * (k % 50)) for k in range(2 * n)]
+    table = relists.blocks(spark.createDataFrame(rows, SCHEMA).withColumn("_district", F.col("district")), None, "olx_id", ["fuel_type", "transmission", "mileage_km", "engine_cc", "horsepower", "_district", "generation"])[0].toArrow()
+    looked = []
+    pairs = relists._Rows.pairs
+
+    def noted(self, *more):
+        for who, at in pairs(self, *more):
+            looked.append(len(who))
+            yield who, at
+
+    monkeypatch.setattr(relists._Rows, "pairs", noted)
+    best = relists.best_in(table, "olx_id", deals._rules(["engine_cc", "horsepower", "district", "generation"], 0.6), ["olx_id"])
+    assert best.num_rows == n and 0 < sum(looked) < n * n // 10
+    looked.clear()
+    counts = [sum(relists.count_in(table, "olx_id", deals._rules([], scored=False), told)["n"].to_pylist()) for told in (False, True)]
+    assert counts[0] == counts[1] == sum(looked) > n * n
 
 
 def test_only_what_is_kept_is_told(spark):
