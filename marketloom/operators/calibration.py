@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -138,11 +139,13 @@ def stopped_trees(df: DataFrame, key: str, target: str, numeric: list[str], cate
     Fits see kinds of rows with their spread, so the held-out errors are those of the rows.
     """
     rows = models.kinds(df.withColumn("_fold", models.fold_of(F.col(key), folds)), target, [*numeric, *categorical, "_fold"], spread=True)
-    counts = []
-    for k in range(folds):
+
+    def count(k: int) -> int:
         model = GBTRegressor(labelCol="_y", weightCol="_n", maxIter=most, maxDepth=5, maxBins=64, validationIndicatorCol="_held", validationTol=0.001, seed=7)
         fitted = Pipeline(stages=[*models.features(numeric, categorical), model]).fit(rows.withColumn("_held", F.col("_fold") == k))
-        counts.append(fitted.stages[-1].getNumTrees)
+        return fitted.stages[-1].getNumTrees
+
+    counts = models.side_by_side(df.sparkSession, [partial(count, k) for k in range(folds)])
     return counts, max(least, int(sorted(counts)[len(counts) // 2]))
 
 
@@ -175,31 +178,39 @@ def fit_chain(rows: DataFrame, key: str, price: str, time: str, numeric: list[st
         mid = fitted[0].transform(part).withColumn("log_median", F.col("prediction")).drop("prediction", "features", *[f"{c}_i" for c in categorical])
         return models.with_bands(fitted[1], mid)
 
-    overall, edges, by_bucket, width = 0.0, PRICE_EDGES, {}, None
-    split = time_split(rows, time, key)
-    if split is not None:
+    def widths() -> tuple[float, list[float], dict[int, float], tuple[PipelineModel, float] | None]:
+        split = time_split(rows, time, key)
+        if split is None:
+            return 0.0, PRICE_EDGES, {}, None
         cal = scored(fit(split.where("part = 'fit'")), split.where("part = 'calibrate'"))
         cal = cal.withColumns({"score": band_score(F.col("log_low"), F.col("log_high"), F.log1p(price)), "_price": F.expm1("log_median")})
         cal = checkpointed(cal)
         overall, edges = conformal_q(cal, "score"), price_edges(cal, "_price")
         by_bucket = bucket_q(cal.withColumn("_bucket", bucket_at(F.col("_price"), edges)), "score", "_bucket")
         halves = time_split(cal, time, key, 0.5, least=50)
-        if halves is not None:
-            model = GBTRegressor(labelCol="score", predictionCol="width", lossType="absolute", maxIter=trees, maxDepth=4, maxBins=64, seed=7)
-            fitted = Pipeline(stages=[*models.features([*numeric, *extra], categorical), model]).fit(halves.where("part = 'fit'"))
-            rest = fitted.transform(halves.where("part = 'calibrate'")).withColumn("_r", F.col("score") - F.col("width"))
-            width = fitted, conformal_q(rest, "_r")
-    held = None
+        if halves is None:
+            return overall, edges, by_bucket, None
+        model = GBTRegressor(labelCol="score", predictionCol="width", lossType="absolute", maxIter=trees, maxDepth=4, maxBins=64, seed=7)
+        fitted = Pipeline(stages=[*models.features([*numeric, *extra], categorical), model]).fit(halves.where("part = 'fit'"))
+        rest = fitted.transform(halves.where("part = 'calibrate'")).withColumn("_r", F.col("score") - F.col("width"))
+        return overall, edges, by_bucket, (fitted, conformal_q(rest, "_r"))
+
     numbered = rows.withColumn("_fold", models.fold_of(F.col(key), folds))
-    for k in range(folds):
-        part = scored(fit(numbered.where(F.col("_fold") != k)), numbered.where(F.col("_fold") == k)).select(key, price, "log_median", "log_low", "log_high")
-        held = part if held is None else held.unionByName(part)
+
+    def unseen(k: int) -> DataFrame:
+        return scored(fit(numbered.where(F.col("_fold") != k)), numbered.where(F.col("_fold") == k)).select(key, price, "log_median", "log_low", "log_high")
+
+    # none of them needs another; the widths take longest
+    (overall, edges, by_bucket, width), final, *parts = models.side_by_side(rows.sparkSession, [widths, partial(fit, rows), *[partial(unseen, k) for k in range(folds)]])
+    held = parts[0]
+    for part in parts[1:]:
+        held = held.unionByName(part)
     held = checkpointed(held.withColumn("raw", F.greatest(F.expm1("log_median"), F.lit(0.0))))
     iso = isotonic(held, "raw", price)
     seen = iso.transform(held).withColumn("q", width_of(F.col("calibrated"), edges, by_bucket, overall))
     seen = final_bands(seen.select(key, F.col("calibrated").alias("median"), "log_low", "log_high", "q"), None, key)
     seen = seen.select(key, F.col("fair_price_low").alias("low"), F.col("predicted_price").alias("median"), F.col("fair_price_high").alias("high"))
-    return Calibrated(*fit(rows), iso, overall, edges, by_bucket, width, seen)
+    return Calibrated(*final, iso, overall, edges, by_bucket, width, seen)
 
 
 def backtest(df: DataFrame, key: str, price: str, time: str, numeric: list[str], categorical: list[str], splits: int = 5, q: float = 0.0, trees: int = LEAST_TREES, least: tuple[int, int, int] = (200, 100, 50)) -> DataFrame:
@@ -219,21 +230,24 @@ def backtest(df: DataFrame, key: str, price: str, time: str, numeric: list[str],
         at = rows.where(F.col("_t") == instants[r])
         rank = r - rows.where(F.col("_t") < instants[r]).count()
         starts.append((instants[r], values_at(at, "_h", [rank])[""][rank]))
-    found = []
-    for k, start in enumerate(starts, 1):
+
+    def tested(k: int) -> tuple | None:
+        start = starts[k - 1]
         before = lambda x: (F.col("_t") < x[0]) | ((F.col("_t") == x[0]) & (F.col("_h") < x[1]))
         train = rows.where(before(start))
         test = rows.where(~before(start) & (before(starts[k]) if k < len(starts) else F.lit(True)))
         n_train, n_test = k * size, size if k < len(starts) else n - k * size
         if n_train < least[1] or n_test < least[2]:
-            continue
+            return None
         median, forest = models.fit_price(train, price, numeric, categorical, "_w", trees=trees), models.fit_forest(train, price, numeric, categorical)
         guess = median.transform(test).select(key, price, *numeric, *categorical, F.expm1("prediction").alias("median"))
         bands = models.with_bands(forest, guess).withColumn("q", F.lit(float(q)))
         out = final_bands(bands, None, key, calibrated=False, keep=(price,))
         miss, scale = F.col(price) - F.col("predicted_price"), F.greatest(F.col(price), F.lit(1.0))
         r = out.agg(F.avg(F.abs(miss)), F.avg(F.abs(miss) / scale) * 100, F.avg(miss / scale) * 100, F.avg(F.col(price).between(F.col("fair_price_low"), F.col("fair_price_high")).cast("int"))).first()
-        found.append((k, n_train, n_test, *(round(x, d) for x, d in zip(r, (0, 1, 2, 3), strict=True))))
+        return k, n_train, n_test, *(round(x, d) for x, d in zip(r, (0, 1, 2, 3), strict=True))
+
+    found = [x for x in models.side_by_side(df.sparkSession, [partial(tested, k + 1) for k in range(len(starts))]) if x] if starts else []
     return df.sparkSession.createDataFrame(found, "fold int, n_train long, n_test long, mae double, mape double, bias_pct double, coverage double")
 
 

@@ -7,17 +7,19 @@ the coverage. Contributions are in ``explain``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, md5_share, ratio
@@ -41,6 +43,16 @@ def prepared(df: DataFrame, numeric: list[str], categorical: list[str], most: in
     return df
 
 
+#: Fits that run at once: a boosted tree is a chain of short jobs, which leave most cores idle; each fit keeps its kinds in memory.
+AT_ONCE = 4
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable]) -> list:
+    """What the functions return, in order; at most ``AT_ONCE`` of them run at the same time."""
+    with ThreadPool(min(AT_ONCE, len(jobs))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], 1)
+
+
 #: Kinds of rows that a task of a fit reads at most.
 KINDS = 250_000
 

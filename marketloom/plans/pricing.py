@@ -118,8 +118,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("m07_stopped_trees")
 def _(t: Tables) -> DataFrame:
-    # the floor of 50 trees is lowered, as the driver's prices follow from few columns
-    counts, chosen = c.stopped_trees(training(t), "olx_id", "price_eur", NUMERIC, CATEGORICAL, most=12, least=4)
+    counts, chosen = c.stopped_trees(training(t), "olx_id", "price_eur", NUMERIC, CATEGORICAL)
     return t.spark.createDataFrame([(*counts, chosen)], "a int, b int, c int, chosen int")
 
 
