@@ -193,7 +193,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("m21_backtest")
 def _(t: Tables) -> DataFrame:
-    return c.backtest(training(t), "olx_id", "price_eur", "first_seen_at", NUMERIC, CATEGORICAL, splits=3, trees=6)
+    return c.backtest(training(t), "olx_id", "price_eur", "first_seen_at", NUMERIC, CATEGORICAL)
 
 
 @query("m27_ablation")
