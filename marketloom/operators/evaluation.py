@@ -215,7 +215,8 @@ def pinball(actual: Column, predicted: Column, alpha: float) -> Column:
 def fold_rare(df: DataFrame, column: str, least: int = 3, other: str = "__other__") -> DataFrame:
     """Adds ``<column>_folded``: values rarer than ``least`` become ``other``."""
     common = df.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col(column).alias("_c"))
-    out = df.join(common, F.col(column) == F.col("_c"), "left")
+    # its stored size tells whether it goes to the tasks, so that rows need not move
+    out = df.join(checkpointed(common, "common"), F.col(column) == F.col("_c"), "left")
     return out.withColumn(f"{column}_folded", F.coalesce("_c", F.lit(other))).drop("_c")
 
 
@@ -286,6 +287,19 @@ def waterfall(contributions: DataFrame, key: str, feature: str, value: str, base
     return rows.groupBy(key, step.alias("step"), name.alias("feature")).agg(F.round(F.sum("_eur"), 6).alias("delta_eur"))
 
 
+def row_waterfall(df: DataFrame, key: str, steps: str, base: str, n: int, top: int = 5) -> DataFrame:
+    """``waterfall`` of rows that hold their ``n`` contributions as an array (feature, contribution): no row is moved."""
+    given = F.array_sort(F.transform(steps, lambda x: F.struct((-F.abs(x["contribution"])).alias("o"), x["feature"].alias("feature"), x["contribution"].alias("v"))))
+    rows = df.select(key, F.col(base).alias("_b"), given.alias("_s"))
+    run = lambda i: F.col("_b") + sum((F.col("_s")[k]["v"] for k in range(1, i + 1)), F.col("_s")[0]["v"])
+    eur = [F.expm1(run(i)) - F.expm1(run(i) - F.col("_s")[i]["v"]) for i in range(n)]
+    out = [(F.lit(i + 1), F.col("_s")[i]["feature"], eur[i]) for i in range(min(top, n))]
+    if n > top:
+        out.append((F.lit(top + 1), F.lit("rest"), sum(eur[top + 1 :], eur[top])))
+    told = F.array(*[F.struct(k.cast("long").alias("step"), name.alias("feature"), F.round(x, 6).alias("delta_eur")) for k, name, x in out])
+    return rows.select(key, F.explode(told).alias("_x")).select(key, "_x.*")
+
+
 def time_folds(df: DataFrame, order: list[str], folds: int) -> DataFrame:
     """Adds ``fold`` 0 to ``folds`` by time: each fold is tested on rows before it.
 

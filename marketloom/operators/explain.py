@@ -91,8 +91,8 @@ class Paths:
         return out
 
 
-def path_contributions(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
-    """``key, base, feature, contribution`` on the scale of the model's target; base and contributions of a key add up to its prediction."""
+def path_steps(model: PipelineModel, df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``key, base, prediction, steps`` of each row, and how many steps: base and steps (feature, contribution) add up to the prediction."""
     names = inputs_of(model)
     # at most trees * 2 ** (depth + 1) rows
     paths = Paths(node_table(model).toPandas(), len(names))
@@ -100,11 +100,16 @@ def path_contributions(model: PipelineModel, df: DataFrame, key: str) -> DataFra
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({key: batch[key], "c": list(paths.steps(np.stack(batch["x"].to_numpy())))})
+                yield pd.DataFrame({key: batch[key], "prediction": batch["prediction"], "c": list(paths.steps(np.stack(batch["x"].to_numpy())))})
 
-    rows = model.transform(df).select(key, vector_to_array("features").alias("x")).mapInPandas(walk, f"{key} {dict(df.dtypes)[key]}, c array<double>")
+    rows = model.transform(df).select(key, "prediction", vector_to_array("features").alias("x")).mapInPandas(walk, f"{key} {dict(df.dtypes)[key]}, prediction double, c array<double>")
     named = F.array(*[F.struct(F.lit(n).alias("feature"), F.col("c")[k].alias("contribution")) for k, n in enumerate(names)])
-    return rows.select(key, F.lit(paths.base).alias("base"), F.explode(named).alias("_f")).select(key, "base", "_f.*")
+    return rows.select(key, F.lit(paths.base).alias("base"), "prediction", named.alias("steps")), len(names)
+
+
+def path_contributions(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """``key, base, feature, contribution`` on the scale of the model's target; base and contributions of a key add up to its prediction."""
+    return path_steps(model, df, key)[0].select(key, "base", F.explode("steps").alias("_f")).select(key, "base", "_f.*")
 
 
 def occlusion(model: PipelineModel, df: DataFrame, key: str, numeric: list[str], segment: list[str] | None = None) -> DataFrame:

@@ -264,8 +264,13 @@ def worst_axis(axes: dict[str, DataFrame], key: str) -> DataFrame:
     for name, scores in axes.items():
         own = scores.select(F.col(key).alias(f"_{name}"), F.col("anomaly").alias(name))
         out = own.withColumnRenamed(f"_{name}", key) if out is None else out.join(own, F.col(key) == F.col(f"_{name}"), "left").drop(f"_{name}")
-    top = F.greatest(*axes) if len(axes) > 1 else F.col(next(iter(axes)))
-    return out.withColumns({"anomaly": top, "axis": F.coalesce(*[F.when(F.col(name) == top, name) for name in axes])})
+    return with_worst(out, list(axes))
+
+
+def with_worst(df: DataFrame, axes: list[str]) -> DataFrame:
+    """Adds ``anomaly``, the highest of the scores, and ``axis``, its name."""
+    top = F.greatest(*axes) if len(axes) > 1 else F.col(axes[0])
+    return df.withColumns({"anomaly": top, "axis": F.coalesce(*[F.when(F.col(name) == top, name) for name in axes])})
 
 
 def hazard_scores(model: PipelineModel, df: DataFrame, key: str, price: str) -> DataFrame:
@@ -319,28 +324,44 @@ def _expected(n: np.ndarray | float) -> np.ndarray | float:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def anomaly_scores(df: DataFrame, forest: DataFrame, key: str, columns: list[str], sample: int = 256) -> DataFrame:
-    """``key, anomaly`` in (0, 1). The forest has at most trees * 2 * sample rows and goes to the tasks."""
+def _scorer(forest: DataFrame, sample: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Scores of rows of numbers in (0, 1). The forest has at most trees * 2 * sample rows."""
     nodes: dict[int, dict[int, tuple[int, float, int]]] = {}
     for r in forest.collect():
         nodes.setdefault(r["tree"], {})[r["node"]] = (r["feature"], r["cut"], r["size"])
     norm = float(_expected(min(sample, max((t[1][2] for t in nodes.values()), default=1)))) or 1.0
 
+    def score(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for tree in nodes.values():
+            open_ = [(1, np.arange(len(x)), 0)]
+            while open_:
+                node, at, level = open_.pop()
+                f, cut, size = tree[node]
+                if f < 0:
+                    total[at] += level + _expected(size)
+                    continue
+                left = x[at, f] < cut
+                open_ += [(n, a, level + 1) for n, a in ((2 * node, at[left]), (2 * node + 1, at[~left])) if len(a)]
+        return 2 ** (-total / max(1, len(nodes)) / norm)
+
+    return score
+
+
+def anomaly_scores(df: DataFrame, forest: DataFrame, key: str, columns: list[str], sample: int = 256) -> DataFrame:
+    """``key, anomaly`` in (0, 1). The forest goes to the tasks."""
+    return axis_scores(df, {"anomaly": (forest, columns)}, key, sample, worst=False)
+
+
+def axis_scores(df: DataFrame, axes: dict[str, tuple[DataFrame, list[str]]], key: str, sample: int = 256, worst: bool = True) -> DataFrame:
+    """``key`` and a score for each axis (its forest and columns) in one pass; with ``worst`` the highest of them and its axis."""
+    scorers = {name: (_scorer(forest, sample), columns) for name, (forest, columns) in axes.items()}
+    used = list(dict.fromkeys(c for _, columns in axes.values() for c in columns))
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.nan_to_num(batch[columns].to_numpy(float))
-            total = np.zeros(len(x))
-            for tree in nodes.values():
-                open_ = [(1, np.arange(len(x)), 0)]
-                while open_:
-                    node, at, level = open_.pop()
-                    f, cut, size = tree[node]
-                    if f < 0:
-                        total[at] += level + _expected(size)
-                        continue
-                    left = x[at, f] < cut
-                    open_ += [(n, a, level + 1) for n, a in ((2 * node, at[left]), (2 * node + 1, at[~left])) if len(a)]
-            yield pd.DataFrame({key: batch[key], "anomaly": 2 ** (-total / max(1, len(nodes)) / norm)})
+            yield pd.DataFrame({key: batch[key], **{name: of(np.nan_to_num(batch[columns].to_numpy(float))) for name, (of, columns) in scorers.items()}})
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(score, f"{key} {kind}, anomaly double")
+    out = df.select(key, *[F.col(c).cast("double").alias(c) for c in used]).mapInPandas(score, f"{key} {kind}, " + ", ".join(f"{name} double" for name in axes))
+    return with_worst(out, list(axes)) if worst else out

@@ -55,23 +55,26 @@ def _(t: Tables) -> DataFrame:
     return parts.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
 
 
+def explained(t: Tables) -> tuple[DataFrame, int]:
+    """Rows with their prediction and the steps that add up to it. The listings are stored once, with what the model reads."""
+    rows = models.prepared(checkpointed(t.listings.select("olx_id", "price_eur", *NUMERIC, *CATEGORICAL), "listings"), NUMERIC, CATEGORICAL)
+    return explain.path_steps(models.fit_price(rows, "price_eur", NUMERIC, CATEGORICAL), rows, "olx_id")
+
+
 @query("m19_path_contributions")
 def _(t: Tables) -> DataFrame:
-    """Each prediction with the steps that add up to it (log scale), and the largest miss of that sum."""
-    rows = training(t)
-    model = models.fit_price(rows, "price_eur", NUMERIC, CATEGORICAL)
-    parts = explain.path_contributions(model, rows, "olx_id")
-    sums = parts.groupBy("olx_id").agg(F.max("base").alias("base"), F.sum("contribution").alias("steps"), F.max_by("feature", F.abs("contribution")).alias("main_feature"))
-    guess = model.transform(rows).select(F.col("olx_id").alias("_k"), "prediction")
-    return sums.join(guess, F.col("olx_id") == F.col("_k")).select("olx_id", "base", "prediction", "main_feature", F.abs(F.col("base") + F.col("steps") - F.col("prediction")).alias("miss"))
+    """Each prediction with the steps that add up to it (log scale), and the miss of that sum."""
+    rows, _ = explained(t)
+    total = F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["contribution"])
+    main = F.array_max(F.transform("steps", lambda x: F.struct(F.abs(x["contribution"]).alias("size"), x["feature"].alias("feature"))))["feature"]
+    return rows.select("olx_id", "base", "prediction", main.alias("main_feature"), F.abs(F.col("base") + total - F.col("prediction")).alias("miss"))
 
 
 @query("w09_model_waterfall")
 def _(t: Tables) -> DataFrame:
     """The waterfall in EUR of the model's own contributions; the steps of a listing add up to its price less the base's."""
-    rows = training(t)
-    parts = explain.path_contributions(models.fit_price(rows, "price_eur", NUMERIC, CATEGORICAL), rows, "olx_id")
-    return v.waterfall(parts, "olx_id", "feature", "contribution", "base", 3)
+    rows, n = explained(t)
+    return v.row_waterfall(rows, "olx_id", "steps", "base", n, 3)
 
 
 GATE_SQL = """meta AS (SELECT 'm' || o_orderkey AS model, o_custkey % 7 AS line, CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderkey % 9 > 0 THEN 1 END AS schema_version,
@@ -246,12 +249,9 @@ def _(t: Tables) -> DataFrame:
 @query("m26_anomaly")
 def _(t: Tables) -> DataFrame:
     """Two axes: the car as described, and its price against a prediction (here a part's retail price)."""
-    rows = training(t)
-    described = ["price_eur", *NUMERIC]
-    priced = t.listings.join(t.part.select(F.col("p_partkey").alias("part_id"), "p_retailprice"), "part_id").withColumn("predicted_price", F.col("p_retailprice") * 25)
-    priced = models.hazard_features(priced.withColumns({"fair_price_low": F.col("predicted_price") * 0.9, "fair_price_high": F.col("predicted_price") * (1.1 + F.col("part_id") % 3 / 10)}))
-    axes = {
-        "described": models.anomaly_scores(rows, models.isolation_forest(rows, described, key="olx_id"), "olx_id", described),
-        "priced": models.anomaly_scores(priced, models.isolation_forest(priced, ["residual_pct", "band_pct"], key="olx_id"), "olx_id", ["residual_pct", "band_pct"]),
-    }
-    return models.worst_axis(axes, "olx_id")
+    described, against = ["price_eur", *NUMERIC], ["residual_pct", "band_pct"]
+    rows = t.priced_listings.select("olx_id", "part_id", *described, (F.col("retail_price") * 25).alias("predicted_price"))
+    rows = models.hazard_features(rows.withColumns({"fair_price_low": F.col("predicted_price") * 0.9, "fair_price_high": F.col("predicted_price") * (1.1 + F.col("part_id") % 3 / 10)}))
+    rows = checkpointed(rows.select("olx_id", *described, *against), "axes")
+    axes = {name: (models.isolation_forest(rows, columns, key="olx_id"), columns) for name, columns in (("described", described), ("priced", against))}
+    return models.axis_scores(rows, axes, "olx_id")
